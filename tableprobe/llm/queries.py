@@ -4,11 +4,27 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableprobe.llm import quality_rules, ring_sharding
-from tableprobe.llm.common import table
+from tableprobe.llm import chunk_bpe, packing, quality_rules, ring_sharding, token_scan
+from tableprobe.llm.common import run_dir, table
+
+#: Files of public tokenizers come with this module; their places are parameters of the operators.
+WORD_BPE, BYTE_BPE, BYTE_RANKS = (public_tokenizers.path(x) for x in ("word_bpe_49k.json", "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"))
+
+
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = packing.pieces(table(spark, sf_dir, "documents"), WORD_BPE, max_tokens=4096, end_id=1)
+    return packing.pack(cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), packing.Capacity(tokens=4096))
+
+
+def op3_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = chunk_bpe.encode(table(spark, sf_dir, "documents"), BYTE_BPE, BYTE_RANKS, public_tokenizers.PATTERN)
+    return chunk_bpe.decode(ids, BYTE_BPE).select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256")
+    )
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +70,13 @@ FROM b
 """
 
 
+def op8_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, end = run_dir(spark, "tokens"), 49407
+    written = token_scan.write_token_files(table(spark, sf_dir, "documents"), folder, WORD_BPE, end)
+    counts = token_scan.scan(token_scan.token_files(spark, folder), folder, end)
+    return written.join(counts, ["file", "ordinal"], "full").select("doc_id", "n_tokens", "file", "ordinal", "start", "terminated")
+
+
 def op9_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = ring_sharding.assign(table(spark, sf_dir, "documents"), n_shards=8)
     return placed.select(
@@ -62,7 +85,7 @@ def op9_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_quality_rules, op9_ring_sharding)}
+    return {f.__name__: f for f in (op2_best_fit_packing, op3_chunk_bpe, op4_quality_rules, op8_separator_scan, op9_ring_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
