@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableprobe.llm import chunk_bpe, packing, quality_rules, ring_sharding, token_scan
+from tableprobe.llm import chunk_bpe, language_id, packing, quality_rules, ring_sharding, token_scan, zip_warc
 from tableprobe.llm.common import run_dir, table
 
 #: Files of public tokenizers come with this module; their places are parameters of the operators.
@@ -70,6 +70,19 @@ FROM b
 """
 
 
+def op5_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = run_dir(spark, "warc")
+    packages = zip_warc.write_packages(zip_warc.roles(table(spark, sf_dir, "pages"), min_bytes=0), folder)
+    records = zip_warc.read_records(zip_warc.locate(packages))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", language_id.held_out())
+    model = language_id.train(docs.filter(~F.col("held_out")))
+    return language_id.predict(docs.select("doc_id", "text", "held_out"), model).drop("text")
+
+
 def op8_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, end = run_dir(spark, "tokens"), 49407
     written = token_scan.write_token_files(table(spark, sf_dir, "documents"), folder, WORD_BPE, end)
@@ -85,7 +98,7 @@ def op9_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_best_fit_packing, op3_chunk_bpe, op4_quality_rules, op8_separator_scan, op9_ring_sharding)}
+    return {f.__name__: f for f in (op2_best_fit_packing, op3_chunk_bpe, op4_quality_rules, op5_zip_warc, op6_language_id, op8_separator_scan, op9_ring_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
