@@ -8,13 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableprobe.llm import chunk_bpe, language_id, packing, quality_rules, ring_sharding, token_scan, zip_warc
+from tableprobe.llm import chunk_bpe, embedding_dedup, language_id, packing, quality_rules, ring_sharding, token_scan, zip_warc
 from tableprobe.llm.common import run_dir, table
 
 #: Files of public tokenizers come with this module; their places are parameters of the operators.
 WORD_BPE, BYTE_BPE, BYTE_RANKS = (public_tokenizers.path(x) for x in ("word_bpe_49k.json", "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"))
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.links_and_components(table(spark, sf_dir, "embeddings"), embedding_dedup.Settings(threshold=0.9))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = packing.pieces(table(spark, sf_dir, "documents"), WORD_BPE, max_tokens=4096, end_id=1)
     return packing.pack(cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), packing.Capacity(tokens=4096))
@@ -98,7 +102,7 @@ def op9_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_best_fit_packing, op3_chunk_bpe, op4_quality_rules, op5_zip_warc, op6_language_id, op8_separator_scan, op9_ring_sharding)}
+    return {f.__name__: f for f in (op1_embedding_dedup, op2_best_fit_packing, op3_chunk_bpe, op4_quality_rules, op5_zip_warc, op6_language_id, op8_separator_scan, op9_ring_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
