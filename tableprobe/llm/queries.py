@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableprobe.llm import chunk_bpe, embedding_dedup, language_id, packing, quality_rules, ring_sharding, token_scan, zip_warc
+from tableprobe.llm import chunk_bpe, embedding_dedup, language_id, packing, quality_rules, ring_sharding, sketch_dedup, token_scan, zip_warc
 from tableprobe.llm.common import run_dir, table
 
 #: Files of public tokenizers come with this module; their places are parameters of the operators.
@@ -101,8 +101,12 @@ def op9_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_bottom_k_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch_dedup.components(table(spark, sf_dir, "documents"), sketch_dedup.Settings(words=3, percent=85))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_embedding_dedup, op2_best_fit_packing, op3_chunk_bpe, op4_quality_rules, op5_zip_warc, op6_language_id, op8_separator_scan, op9_ring_sharding)}
+    return {f.__name__: f for f in (op1_embedding_dedup, op2_best_fit_packing, op3_chunk_bpe, op4_quality_rules, op5_zip_warc, op6_language_id, op8_separator_scan, op9_ring_sharding, op10_bottom_k_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
