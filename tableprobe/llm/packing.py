@@ -33,16 +33,24 @@ def pieces(docs: DataFrame, tokenizer_path: str, max_tokens: int = 4096, end_id:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = word_encoder(tokenizer_path), np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            keys, out = batch.column(0), ([], [], [], [], [])
+            keys, out, held = batch.column(0), ([], [], [], [], []), 0
+
+            def flush(keys=keys):
+                rows = [keys.take(pa.array(out[0], "int64"))]
+                rest = [pa.array(x, t) for x, t in zip(out[1:], ("int32", "int64", "int64", "binary"), strict=True)]
+                return pa.RecordBatch.from_arrays(rows + rest, ["doc_id", "piece", "start", "length", "ids"])
+
             for row, ids in enumerate(encode(x.as_py() for x in batch.column(1))):
                 ids += end
+                held += len(ids)
                 for k, at in enumerate(range(0, len(ids), 4 * max_tokens)):
                     part = ids[at : at + 4 * max_tokens]
                     for column, x in zip(out, (row, k, at // 4, len(part) // 4, part), strict=True):
                         column.append(x)
-            rows = [keys.take(pa.array(out[0], "int64"))]
-            rest = [pa.array(x, t) for x, t in zip(out[1:], ("int32", "int64", "int64", "binary"), strict=True)]
-            yield pa.RecordBatch.from_arrays(rows + rest, ["doc_id", "piece", "start", "length", "ids"])
+                if held > 8_000_000:
+                    yield flush()
+                    out, held = ([], [], [], [], []), 0
+            yield flush()
 
     schema = f"doc_id {kind}, piece int, start long, length long, ids binary"
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
@@ -113,7 +121,9 @@ def _pack_groups(items: DataFrame, cap: Capacity, rule: str) -> DataFrame:
 
 
 def pack(items: DataFrame, cap: Capacity = Capacity(), rule: str = "norm", group_pieces: int = 8192, refill: float = 0.995) -> DataFrame:
-    """items (doc_id, piece, length and more columns) with sequence_id and offset."""
+    """items (doc_id, piece, length and more columns) with sequence_id and offset. Columns of the names used
+    here (row, grp, bin, fill, sequence_id, offset) are replaced."""
+    items = items.drop("row", "grp", "bin", "fill", "sequence_id", "offset")
     keep = items.columns
     items = durable(items.withColumn("row", F.monotonically_increasing_id()))
 
