@@ -161,7 +161,8 @@ def score(texts: list[str | None], model: Model) -> tuple[list[str], np.ndarray]
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred and score."""
+    """docs with lang_pred and score, which replace columns of these names."""
+    docs = docs.drop("lang_pred", "score")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # settings.places words a 64 languages: 8 MB
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     at = docs.columns.index(text_col)

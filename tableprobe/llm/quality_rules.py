@@ -28,7 +28,12 @@ def _adjacent_equal(items: Column, field: str) -> Column:
 
 
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_caps and n_bangs of every whole text.
+    """The measurements of ``_measured`` with the id first."""
+    return _measured(docs, F.col(id_col).alias("_key"), text_col).withColumnRenamed("_key", id_col)
+
+
+def _measured(docs: DataFrame, key: Column, text_col: str) -> DataFrame:
+    """_key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_caps and n_bangs of every whole text.
 
     Repeated windows are found by sorting 64-bit hashes within the row; windows whose hashes repeat are then
     compared as text, so a collision cannot count."""
@@ -36,7 +41,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     words, n, hashes = F.col("_words"), F.col("n_words"), F.col("_hashes")
     with_word = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD_CHAR))
     first = docs.select(
-        F.col(id_col),
+        key,
         F.array_remove(F.split(text, WORD_GAP), "").alias("_words"),
         with_word.alias("_lines"),
         F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
@@ -44,7 +49,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.regexp_count(text, F.lit(r"!")).cast("long").alias("n_bangs"),
     )
     counted = first.select(
-        id_col, "_words", "n_symbols", "n_caps", "n_bangs",
+        "_key", "_words", "n_symbols", "n_caps", "n_bangs",
         F.size(words).cast("long").alias("n_words"),
         F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
@@ -73,7 +78,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         lambda a: a["n"],
     )
     return found.select(
-        id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines",
+        "_key", "n_words", "word_chars", "n_symbols", "n_dup_lines",
         covered.cast("long").alias("n_repeat_words"), "n_caps", "n_bangs",
     )
 
@@ -120,13 +125,17 @@ POLICIES = {
 
 def ledger(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Measurements and failure_bits (bit k: rule k failed) of each row of docs."""
+    return measure(docs, id_col, text_col).withColumn("failure_bits", failure_bits(rules))
+
+
+def failure_bits(rules: tuple[Rule, ...] = RULES) -> Column:
     if len(rules) > 63:
         raise ValueError("a ledger holds at most 63 rules")
     bits = F.lit(0).cast("long")
     for k, rule in enumerate(rules):
         failed = F.coalesce(F.expr(rule.fails), F.lit(False))
         bits = bits.bitwiseOR(F.when(failed, F.lit(1 << k)).otherwise(F.lit(0)).cast("long"))
-    return measure(docs, id_col, text_col).withColumn("failure_bits", bits)
+    return bits
 
 
 def passes(policy: Policy, rules: tuple[Rule, ...] = RULES) -> Column:
@@ -138,6 +147,13 @@ def apply_policy(ledger_: DataFrame, policy: Policy, rules: tuple[Rule, ...] = R
     return ledger_.withColumns({"policy_version": F.lit(policy.version), "kept": passes(policy, rules)})
 
 
+def accepted(docs: DataFrame, policy: Policy, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns unchanged, that the policy keeps; they travel with their measurements,
+    so nothing is joined."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_key")
+    return _measured(docs, row, text_col).withColumn("failure_bits", failure_bits(rules)).filter(passes(policy, rules)).select("_key.*")
+
+
 def ablation(ledger_: DataFrame, policy: Policy, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """A row per rule of the policy: documents that fail it, that fail it alone (and would be kept without
     it), and the bits that are ever and always set. Every count is one conditional sum over masked bits."""

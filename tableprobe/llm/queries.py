@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableprobe.llm import chunk_bpe, embedding_dedup, language_id, packing, quality_rules, ring_sharding, sketch_dedup, token_scan, zip_warc
+from tableprobe.llm import chunk_bpe, embedding_dedup, language_id, masked_lm, packing, quality_rules, ring_sharding, sketch_dedup, token_scan, zip_warc
 from tableprobe.llm.common import run_dir, table
 
 #: Files of public tokenizers come with this module; their places are parameters of the operators.
@@ -87,6 +87,12 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs.select("doc_id", "text", "held_out"), model).drop("text")
 
 
+def op7_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    vocab = masked_lm.vocabulary(docs, masked_lm.Settings())
+    return masked_lm.score(docs, masked_lm.train(docs, vocab), vocab)
+
+
 def op8_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, end = run_dir(spark, "tokens"), 49407
     written = token_scan.write_token_files(table(spark, sf_dir, "documents"), folder, WORD_BPE, end)
@@ -106,7 +112,7 @@ def op10_bottom_k_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_embedding_dedup, op2_best_fit_packing, op3_chunk_bpe, op4_quality_rules, op5_zip_warc, op6_language_id, op8_separator_scan, op9_ring_sharding, op10_bottom_k_dedup)}
+    return {f.__name__: f for f in (op1_embedding_dedup, op2_best_fit_packing, op3_chunk_bpe, op4_quality_rules, op5_zip_warc, op6_language_id, op7_masked_lm, op8_separator_scan, op9_ring_sharding, op10_bottom_k_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
