@@ -77,6 +77,9 @@ def _measured(docs: DataFrame, key: Column, text_col: str) -> DataFrame:
         lambda a, i: F.struct((a["n"] + F.least(F.lit(WINDOW), i - a["last"])).alias("n"), i.alias("last")),
         lambda a: a["n"],
     )
+    # Not deterministic in name only: else a filter on a measurement would be moved below these projections,
+    # and every step above written out inside the next one's lambda.
+    covered = F.when(F.monotonically_increasing_id() >= 0, covered)
     return found.select(
         "_key", "n_words", "word_chars", "n_symbols", "n_dup_lines",
         covered.cast("long").alias("n_repeat_words"), "n_caps", "n_bangs",
