@@ -29,12 +29,12 @@ def _suspects(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def duplicate_groups(df: DataFrame, columns: list[str]) -> DataFrame:
-    return _suspects(df, columns).groupBy(*columns).agg(F.count("*").alias("n")).filter("n > 1")
+    return _suspects(df, columns).groupBy(*columns).agg(F.count("*").alias("_copies")).filter("_copies > 1")
 
 
 def duplicate_rows(df: DataFrame, columns: list[str]) -> DataFrame:
     """One finding: copies beyond the first, and groups; nulls are equal."""
-    extra = duplicate_groups(df, columns).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("count"), F.count("*").alias("groups"))
+    extra = duplicate_groups(df, columns).agg(F.coalesce(F.sum(F.col("_copies") - 1), F.lit(0)).alias("count"), F.count("*").alias("groups"))
     found = extra.crossJoin(df.agg(F.count("*").alias("total")))  # one row by one row
     found = found.withColumn("percentage", percentage_of(F.col("count"), F.col("total")))
     return found.withColumns(

@@ -81,7 +81,7 @@ def structural_gaps(profile: DataFrame) -> DataFrame:
 def industry_hints(df: DataFrame) -> DataFrame:
     """Industries whose words occur in the column names."""
     hints = df.sparkSession.createDataFrame(list(INDUSTRIES.items()), "industry string, words string")
-    return hints.filter(F.lower(F.lit(" ".join(df.columns))).rlike(F.col("words"))).select("industry")
+    return hints.filter(F.regexp_like(F.lower(F.lit(" ".join(df.columns))), F.col("words"))).select("industry")
 
 
 def tag_facets(items: DataFrame) -> DataFrame:

@@ -81,7 +81,9 @@ def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None,
     encoding = encoding or detect_encoding(head)
     first = head.decode(encoding, "replace").removeprefix("﻿").splitlines()[0]
     sep = delimiter or DELIMITERS.get(suffix[1].lower() if suffix else "") or detect_delimiter(first)
-    options = {"header": True, "inferSchema": False, "sep": sep, "encoding": encoding, "escape": '"', "multiLine": multi_line, "mode": "PERMISSIVE", "enforceSchema": True}
+    # Spark reads Latin-1, which windows-1252 widens by some characters in place of control codes.
+    latin = encoding == FALLBACK
+    options = {"header": True, "inferSchema": False, "sep": sep, "encoding": "iso-8859-1" if latin else encoding, "escape": '"', "multiLine": multi_line, "mode": "PERMISSIVE", "enforceSchema": True}
     df = spark.read.options(**options).csv(path)
     if not df.columns:
         raise SourceError("no-header", f"{path} has no header")
@@ -92,7 +94,14 @@ def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None,
     blank = F.lit(True)
     for c in df.columns:
         blank = blank & empty_of(df, c)
-    return df.filter(~blank).select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in df.columns])
+    cell = lambda c: F.coalesce(F.translate(F.col(f"`{c}`"), *_widened()) if latin else F.col(f"`{c}`"), F.lit(""))
+    return df.filter(~blank).select(*[cell(c).alias(c) for c in df.columns])
+
+
+def _widened() -> tuple[str, str]:
+    """Latin-1's control codes from 0x80 on, and what windows-1252 has in their place."""
+    codes = [b for b in range(0x80, 0xA0) if bytes([b]).decode(FALLBACK, "ignore")]
+    return "".join(map(chr, codes)), bytes(codes).decode(FALLBACK)
 
 
 def read_table(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
