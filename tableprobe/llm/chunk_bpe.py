@@ -14,7 +14,9 @@ repeated rows; an empty table gives no rows.
 
 from __future__ import annotations
 
+import base64
 import functools
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,14 +24,13 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
 from tableprobe.llm.tokens import sliced
 
 WINDOW = 32
 #: A cut is taken where the rolling hash has this many zero bits: chunks of about 512 bytes.
 CUT_BITS = 9
-TABLE_CHARS = 48_000_000
+TABLE_CHARS = 10_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
@@ -84,22 +85,25 @@ class ChunkEncoder:
     """Encodes texts with a table of chunks; one per worker process."""
 
     def __init__(self, json_path: str, ranks_path: str, pattern: str):
-        import base64
-
+        with open(json_path, encoding="utf-8") as f:
+            self.special = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.special = {t.content: k for k, t in Tokenizer.from_file(json_path).get_added_tokens_decoder().items()}
         self.bpe = tiktoken.Encoding("chunks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=self.special)
         self.allowed = set(self.special)
-        self.table: dict[bytes, tuple[list[int], bytes, bytes]] = {}
+        #: Chunk: ids (little-endian unsigned 32-bit), first word and last word.
+        self.table: dict[bytes, tuple[bytes, bytes, bytes]] = {}
         self.joins: dict[tuple[bytes, bytes], bool] = {}
         self.held = self.encoded = self.reused = self.repaired = 0
 
-    def plain(self, text: str) -> list[int]:
-        return self.bpe.encode(text, allowed_special=self.allowed)
+    def plain(self, text: str) -> bytes:
+        return np.array(self.bpe.encode(text, allowed_special=self.allowed), "<u4").tobytes()
+
+    def text(self, ids: bytes) -> str:
+        """What ids spell; bytes that are no UTF-8 become replacement characters."""
+        return self.bpe.decode_bytes(np.frombuffer(ids, "<u4").tolist()).decode("utf-8", "replace")
 
-    def chunk(self, data: bytes) -> tuple[list[int], bytes, bytes]:
-        """ids, first word and last word of a chunk."""
+    def chunk(self, data: bytes) -> tuple[bytes, bytes, bytes]:
         found = self.table.get(data)
         if found is None:
             gaps = [k for k in (data.find(b" ", 1), data.find(b"\n", 1)) if k > 0]
@@ -120,11 +124,11 @@ class ChunkEncoder:
         found = self.joins.get((tail, head))
         if found is None:
             a, b = self.plain(tail.decode()), self.plain(head.decode())
-            found = self.plain((tail + head).decode()) == a + b and left[0][len(left[0]) - len(a) :] == a and right[0][: len(b)] == b
+            found = self.plain((tail + head).decode()) == a + b and left[0].endswith(a) and right[0].startswith(b)
             self.joins[tail, head] = found
         return found
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> bytes:
         data = text.encode()
         bounds, _ = cuts(data)
         parts: list[tuple[bytes, tuple]] = []
@@ -136,10 +140,10 @@ class ChunkEncoder:
                 got = self.chunk(new)
                 self.repaired += 1
             parts.append((new, got))
-        return [x for _, got in parts for x in got[0]]
+        return b"".join(got[0] for _, got in parts)
 
     def trim(self) -> None:
-        if self.held > TABLE_CHARS or len(self.joins) > 400_000:
+        if self.held > TABLE_CHARS or len(self.joins) > 60_000:
             self.table.clear()
             self.joins.clear()
             self.held = 0
@@ -150,11 +154,6 @@ def chunk_encoder(json_path: str, ranks_path: str, pattern: str) -> ChunkEncoder
     return ChunkEncoder(json_path, ranks_path, pattern)
 
 
-@functools.cache
-def _decoder(json_path: str) -> Tokenizer:
-    return Tokenizer.from_file(json_path)
-
-
 def _routed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, text and the least chunk fingerprint, dealt by that fingerprint."""
     kind = docs.schema[id_col].dataType.simpleString()
@@ -168,31 +167,35 @@ def _routed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"id {kind}, text string, route long").hint("rebalance", "route")
 
 
-def encode(docs: DataFrame, json_path: str, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens and ids (little-endian unsigned 32-bit) of every whole text."""
+def encode(docs: DataFrame, json_path: str, ranks_path: str, pattern: str, decoded: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_tokens and ids (little-endian unsigned 32-bit) of every whole text; with ``decoded`` also
+    decoded, what the tokenizer makes of the ids, in the same worker."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = chunk_encoder(json_path, ranks_path, pattern)
         for batch in batches:
-            ids = [np.array(encoder.encode(x.as_py()), "<u4").tobytes() for x in batch.column(1)]
-            encoder.trim()
-            n = pa.array([len(x) // 4 for x in ids], "int64")
-            yield pa.RecordBatch.from_arrays([batch.column(0), n, pa.array(ids, "binary")], ["doc_id", "n_tokens", "ids"])
+            at = 0
+            for part in sliced(x.as_py() for x in batch.column(1)):
+                ids = [encoder.encode(x) for x in part]
+                encoder.trim()
+                n = pa.array([len(x) // 4 for x in ids], "int64")
+                columns = {"doc_id": batch.column(0).slice(at, len(part)), "n_tokens": n, "ids": pa.array(ids, "binary")}
+                if decoded:
+                    columns["decoded"] = pa.array([encoder.text(x) for x in ids], "string")
+                at += len(part)
+                yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    return _routed(docs, id_col, text_col).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids binary")
+    return _routed(docs, id_col, text_col).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids binary" + ", decoded string" * decoded)
 
 
-def decode(encoded: DataFrame, json_path: str) -> DataFrame:
+def decode(encoded: DataFrame, json_path: str, ranks_path: str, pattern: str) -> DataFrame:
     """encoded (with a binary column ids) and text, as the tokenizer decodes it, special tokens kept."""
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in encoded.schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = _decoder(json_path)
         for batch in batches:
-            texts: list[str] = []
-            for part in sliced(x.as_py() for x in batch.column("ids")):
-                texts += decoder.decode_batch([np.frombuffer(x or b"", "<u4").tolist() for x in part], skip_special_tokens=False)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, "string")], [*batch.schema.names, "text"])
+            text = chunk_encoder(json_path, ranks_path, pattern).text
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([text(x.as_py() or b"") for x in batch.column("ids")], "string")], [*batch.schema.names, "text"])
 
     return encoded.mapInArrow(run, f"{kinds}, text string")
