@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tableprobe.llm import language_id, packing, quality_rules, sketch_dedup
-from tableprobe.llm.common import run_dir, table
+from tableprobe.llm.common import run_dir, short_batches, table
 
 #: A document whose language is supported by less than this share of its n-grams is rejected.
 LEAST_LANGUAGE_SCORE = 0.3
@@ -17,11 +17,13 @@ LEAST_LANGUAGE_SCORE = 0.3
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass every rule of the policy."""
+    short_batches(spark)
     return quality_rules.accepted(docs, quality_rules.POLICIES["v2"])
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the languages learned from the labelled folds."""
+    short_batches(spark)
     model = language_id.train(docs.filter(~language_id.held_out()))
     found = language_id.predict(docs, model)
     return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
@@ -29,6 +31,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of each group of near copies: five words, similarity 0.8 or more."""
+    short_batches(spark)
     found = sketch_dedup.components(docs, sketch_dedup.Settings(words=5, percent=80))
     stays = found.filter("kept").select(F.col("doc_id").alias("stays")).distinct()
     return docs.join(stays, F.col("doc_id").eqNullSafe(F.col("stays")), "left_semi")
@@ -36,6 +39,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' pieces in sequences of at most 4096 tokens."""
+    short_batches(spark)
     pieces = packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"), max_tokens=4096, end_id=1)
     return packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), packing.Capacity(tokens=4096))
 

@@ -12,10 +12,20 @@ WORD_GAP = r"[ \t-\r]+"
 WORD_CHAR = r"[^ \t-\r]"
 
 
+#: Rows of whole texts are long: so many travel to a Python worker at once, unless the session names its own number.
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    short_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def short_batches(spark: SparkSession) -> None:
+    if spark.conf.get(ARROW_ROWS) == "10000":
+        spark.conf.set(ARROW_ROWS, "1000")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``; only where a session has
     none (tests on one machine), a new temporary folder."""
@@ -30,9 +40,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared folder, so that a lost executor costs no recomputation."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df, computed once and written to the shared folder, so that a lost executor costs no recomputation.
+
+    A table rather than a checkpoint: a checkpoint keeps the estimates of the plan it replaces, which in a
+    loop of joins grow by powers, and with them planning time and the driver's memory."""
+    path = run_dir(df.sparkSession, "step")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def run_dir(spark: SparkSession, name: str) -> str:

@@ -2,19 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tableprobe.llm.common import durable
 
 
+#: Graphs of fewer edges are joined as planned; larger ones are planned anew as they run, with hot keys split.
+SMALL = 5_000_000
+
+
+@contextmanager
+def _planned_once(spark: SparkSession, small: bool):
+    """Small rounds without adaptive planning, whose jobs and threads for every exchange cost more than they save."""
+    was = spark.conf.get("spark.sql.adaptive.enabled")
+    if small:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", was)
+
+
 def _stars(edges: DataFrame) -> DataFrame:
     """One round over edges (a, b), a > b: each neighbour is linked to the least node that a node sees.
 
     Least nodes are durable before they are joined: a plain shuffled join, whose hot keys can be split."""
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
     least = durable(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-    large = both.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+    large = both.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b")
     large = durable(large)
     lower = durable(large.groupBy("a").agg(F.min("b").alias("m")))
     small = large.join(lower, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
@@ -31,8 +49,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     state = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     before = state(edges)
     while before[0]:
-        edges = _stars(edges)
-        after = state(edges)
+        with _planned_once(edges.sparkSession, before[0] < SMALL):
+            edges = _stars(edges)
+            after = state(edges)
         if after == before:
             break
         before = after

@@ -10,8 +10,8 @@ import numpy as np
 from tokenizers import Tokenizer
 
 #: Characters of text that are split into words at a time; words that a memo holds before it starts anew.
-SLICE_CHARS = 1_000_000
-MEMO_WORDS = 700_000
+SLICE_CHARS = 500_000
+MEMO_WORDS = 450_000
 #: Stands between words that are encoded together.
 MARK = "§"
 
