@@ -60,21 +60,20 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 def ngrams(texts: list[str | None], n: int) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all n-grams of the texts, and how many each text has. Texts of letters begin and end with a blank."""
+    """64-bit hashes of all n-grams of the texts, and how many each text has. A text with a
+    letter begins with n - 2 blanks and ends with one, so that it has an n-gram."""
     low = [(t or "").lower() for t in texts]
-    codes = np.frombuffer(" ".join(low).encode("utf-32-le", "surrogatepass"), "<u4")
-    text_of = np.repeat(np.arange(len(low)), [len(t) + 1 for t in low])[: len(codes)]
+    codes = np.frombuffer("".join([f"{t} " for t in low]).encode("utf-32-le", "surrogatepass"), "<u4")
+    text_of = np.repeat(np.arange(len(low)), [len(t) + 1 for t in low])
     letter = _letters()[codes]
     codes = np.where(letter, codes, 0x20)
     keep = letter.copy()
     keep[1:] |= letter[:-1]  # the first of a run of blanks
     codes, text_of = codes[keep].astype("uint64"), text_of[keep]
-    if len(codes) < n - 1:
+    if not len(codes):
         return np.zeros(0, "uint64"), np.zeros(len(low), "int64")
-    starts = np.flatnonzero(np.r_[True, text_of[1:] != text_of[:-1]]) if len(codes) else np.zeros(0, "int64")
+    starts = np.repeat(np.flatnonzero(np.r_[True, text_of[1:] != text_of[:-1]]), n - 2)
     codes, text_of = np.insert(codes, starts, 0x20), np.insert(text_of, starts, text_of[starts])
-    if len(codes) < n:
-        return np.zeros(0, "uint64"), np.zeros(len(low), "int64")
     h = codes[: len(codes) - n + 1].copy()
     for k in range(1, n):
         h = h * np.uint64(0x100000001B3) + codes[k : len(codes) - n + 1 + k]
