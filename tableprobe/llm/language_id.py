@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tableprobe.llm.tokens import sliced
+from tableprobe.llm.tokens import release, sliced
 
 
 @dataclass(frozen=True)
@@ -174,6 +174,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                 langs += found[0]
                 scores += found[1].tolist()
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, "string"), pa.array(scores, "float64")], [*batch.schema.names, "lang_pred", "score"])
+        release()
 
     return docs.mapInArrow(run, f"{kinds}, lang_pred string, score double")
 

@@ -7,6 +7,7 @@ import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 #: Characters of text that are split into words at a time; words that a memo holds before it starts anew.
@@ -82,6 +83,11 @@ def sliced(texts: Iterable[str | None]) -> Iterator[list[str | None]]:
         yield part
 
 
+def release() -> None:
+    """Gives back what Arrow holds unused: at a task's end, as the worker process stays."""
+    pa.default_memory_pool().release_unused()
+
+
 @functools.cache
 def word_encoder(path: str, encode_special_tokens: bool = False) -> WordEncoder:
     return WordEncoder(path, encode_special_tokens)
