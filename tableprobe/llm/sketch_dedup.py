@@ -88,7 +88,7 @@ def _sketches(norms: list[bytes], n: int, k: int) -> tuple[np.ndarray, np.ndarra
     h, doc = h[new], doc[new]
     count = np.bincount(doc, minlength=len(norms))
     rank = np.arange(len(h)) - np.repeat(np.r_[0, np.cumsum(count)[:-1]], count)
-    return count, h[rank < k].view("int64"), np.minimum(count, k)
+    return count, (h[rank < k] ^ np.uint64(1 << 63)).view("int64"), np.minimum(count, k)  # signed order, as Spark's, is the order of h
 
 
 def sketches(docs: DataFrame, s: Settings, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -113,6 +113,21 @@ def test_near_copies_of_given_documents(spark):
     assert got == sorted(brute(rows, 3, 85))
 
 
+def test_estimates_of_texts_that_contain_each_other(spark):
+    """k = 32 of 40 to 60 shingles: what is cut off must stay out of the union's least values."""
+    rng, rows, pairs = random.Random(11), [], []
+    for small, large in [(40, 47), (51, 60), (44, 51)] * 400:
+        words = [f"{rng.getrandbits(40):x}" for _ in range(large + 2)]
+        rows += [(len(rows), " ".join(words[: small + 2])), (len(rows) + 1, " ".join(words))]
+        pairs.append((len(rows) - 2, len(rows) - 1))
+    s = sketch_dedup.Settings(words=3, percent=85)
+    got = sketch_dedup.sketches(spark.createDataFrame(rows, "doc_id long, text string"), s)
+    assert all(r["sketch"] == sorted(r["sketch"]) for r in got.collect())
+    classes = got.select(F.col("doc_id").alias("cls"), "n_shingles", "sketch")
+    likely = {tuple(r) for r in sketch_dedup._likely(spark.createDataFrame(pairs, "a long, b long"), classes, s).collect()}
+    assert likely == set(pairs)
+
+
 def test_null_ids_repeated_rows_and_no_rows(spark):
     df = spark.createDataFrame([(None, "a b c d"), (4, "a b c d"), (4, "a b c d"), (9, None)], "doc_id long, text string")
     got = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in sketch_dedup.components(df).collect()), key=str)
