@@ -1,13 +1,15 @@
 """Near-dedup by bottom-k sketches from one hash function.
 
 Documents with equal word sequences are one class. A class keeps the ``k`` least hashes of its shingles.
-Inverted lists of the ``keys`` least retained values bring classes together. A list beyond ``list_rows``
-classes (a common passage, or thousands of near copies) is split by the run of 3, then of 6 retained values
-that starts with its value; nothing is dropped. In each list all are paired with its first class only; what
-the union sketch estimates far below the threshold goes, the rest is verified by exact Jaccard over the full
-sets. Components of these links come next; then pairs of a list whose components differ, and no others, are
-estimated and verified as well: a link between other pairs would change no component. So no list, however
-long, is written out as all its pairs unless its members truly differ.
+A pair whose union sketch estimates a similarity near the threshold shares at least ``Settings.shared`` retained
+values, so, with values ordered from the rarest to the most common, it shares one of the first that are needed to
+leave fewer than that. Inverted lists of these values hold every such pair, and a value of a common passage
+is listed only for classes that consist of it for the most part. No list is dropped or cut.
+In each list all are paired with its head, the class whose values are the most common; what the union sketch
+estimates far below the threshold goes, the rest is verified by exact Jaccard over the full sets. Components of
+these links come next; then the members of a list outside its head's component meet all members of other components,
+block by block in tasks, and what is estimated near the threshold is verified as well: a link between other
+pairs would change no component. Pairs are never written out before they are estimated.
 
 Defined cases: null texts and texts without a word have no shingles and link with nothing; a text of fewer
 words than a shingle has one shingle, all its words; a null id is kept with the class it belongs to, where
@@ -39,7 +41,7 @@ class Settings:
     #: Link where percent_of * union <= 100 * intersection.
     percent: int = 80
     k: int = 32
-    keys: int = 12
+    #: Members of a list that meet as many others in one task.
     list_rows: int = 128
     #: Standard deviations that an estimate may lie below the threshold.
     margin: float = 4.5
@@ -53,6 +55,11 @@ class Settings:
         t = self.percent / 100
         return t - self.margin * math.sqrt(t * (1 - t) / self.k)
 
+    def shared(self, size: int) -> int:
+        """Values that a sketch of this size shares with any whose union sketch meets the least estimate: the
+        union sketch is no smaller than either."""
+        return max(1, math.ceil(self.least_estimate * size - 1e-9))
+
 
 def normalised(text: str | None) -> bytes:
     """The words of a text, A-Z lower-cased, with one blank between them."""
@@ -111,25 +118,18 @@ def sketches(docs: DataFrame, s: Settings, id_col: str = "doc_id", text_col: str
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"doc_id {kind}, cls binary, n_shingles long, sketch array<long>")
 
 
-def _lists(classes: DataFrame, s: Settings) -> DataFrame:
-    """key, cls and head (the list's first class) of all inverted lists of two classes or more."""
-    run = lambda i, n: F.xxhash64(*[F.get("sketch", i + j) for j in range(n)], F.lit(n))
-    positions = F.sequence(F.lit(0), F.least(F.lit(s.keys), F.size("sketch")) - 1)
-    entries = F.transform(positions, lambda i: F.array(F.get("sketch", i), run(i, 3), run(i, 6)))
-    left = classes.filter(F.size("sketch") > 0).select("cls", F.explode(entries).alias("runs"))
-    found = None
-    for level in range(3):
-        keyed = left.withColumn("key", F.col("runs")[level])
-        sizes = durable(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("cls").alias("head")).filter("n > 1"))
-        joined = keyed.join(sizes, "key")
-        part = joined if level == 2 else joined.filter(F.col("n") <= s.list_rows)
-        part = durable(part.select(F.struct(F.lit(level).alias("level"), F.col("key")).alias("key"), "cls", "head"))
-        found = part if found is None else found.unionByName(part)
-        if level < 2:
-            left = joined.filter(F.col("n") > s.list_rows).select("cls", "runs")
-            if not sizes.filter(F.col("n") > s.list_rows).head(1):
-                break
-    return found
+def _lists(classes: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
+    """key and cls of the members of all inverted lists of two classes or more; key and head of these lists."""
+    values = classes.select("cls", F.size("sketch").alias("size"), F.explode("sketch").alias("key"))
+    counts = durable(values.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
+    common = values.join(counts, "key").groupBy("cls", "size").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("found"), F.sum("n").alias("weight"))
+    first = F.array(*[F.lit(n - s.shared(n) + 1 if n else 0) for n in range(s.k + 1)])[F.col("size")]
+    own = first - (F.col("size") - F.size("found"))  # values of this class only come first
+    listed = common.filter(own > 0).select("cls", "weight", F.explode(F.slice("found", 1, own)).alias("e")).select(F.col("e.key").alias("key"), "cls", "weight")
+    listed = durable(listed)
+    heads = listed.groupBy("key").agg(F.count("*").alias("n"), F.max(F.struct("weight", "cls")).alias("head"))
+    heads = durable(heads.filter("n > 1").select("key", F.col("head.cls").alias("head")))
+    return listed.select("key", "cls"), heads
 
 
 def _likely(pairs: DataFrame, classes: DataFrame, s: Settings) -> DataFrame:
@@ -199,16 +199,92 @@ def _verified(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
     return durable(dealt.mapInArrow(run, "a binary, b binary"))
 
 
-def _across(apart: DataFrame) -> DataFrame:
-    """All pairs (a, b) of classes of a list (key, component, cls) that stand in different components, met by
-    equality of list and component so that no two of one component are compared."""
-    groups = apart.select("key", "component").distinct()
-    x, y = groups.alias("x"), groups.alias("y")
-    crossed = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component"))).select(
-        F.col("x.key").alias("key"), F.col("x.component").alias("ca"), F.col("y.component").alias("cb")
+def _near(sketch: np.ndarray, size: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray, s: Settings) -> np.ndarray:
+    """Which pairs of rows (i, j) _likely keeps. Sketches are rows of k ascending values, filled up with the largest."""
+    out = np.zeros(len(i), bool)
+    sized = np.flatnonzero(np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * s.percent)
+    for at in range(0, len(sized), 20_000):
+        some = sized[at : at + 20_000]
+        a, b = i[some], j[some]
+        both = np.sort(np.concatenate([sketch[a], sketch[b]], 1), 1)
+        place = np.arange(2 * s.k)[None] < (size[a] + size[b])[:, None]
+        new = np.concatenate([np.ones((len(some), 1), bool), both[:, 1:] != both[:, :-1]], 1)
+        rank = np.cumsum(new & place, 1)
+        shared = (~new & place & (rank <= s.k)).sum(1)
+        out[some] = shared >= s.least_estimate * np.minimum(rank[:, -1], s.k)
+    return out
+
+
+def _meet(rows: pa.Table, s: Settings) -> pa.RecordBatch:
+    """Likely pairs of the tasks (key, ub, mb) in rows, which come sorted: each of side 0 with each of side 1."""
+    rows = rows.combine_chunks()
+    keys = [rows[c].to_numpy() for c in ("key", "ub", "mb")]
+    edges = np.r_[0, np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) + 1, rows.num_rows]
+    side, size, n = (rows[c].to_numpy() for c in ("side", "size", "n_shingles"))
+    lists = rows["sketch"].combine_chunks()
+    sketch = np.full((rows.num_rows, s.k), np.iinfo("int64").max)
+    sketch[np.arange(s.k)[None] < size[:, None]] = lists.flatten().to_numpy()
+    code = lambda c: rows[c].combine_chunks().dictionary_encode().indices.to_numpy()
+    component, cls = code("component"), code("cls")
+    least = np.array([s.shared(k) for k in range(s.k + 1)])
+    found = []
+    for p, q in zip(edges[:-1], edges[1:], strict=True):
+        cut = p + int(np.searchsorted(side[p:q], 1))
+        if cut == p or cut == q:
+            continue
+        u, m = np.arange(p, cut), np.arange(cut, q)
+        apart = component[u][:, None] != component[m][None]
+        if apart.any() and len(u) * len(m) > 64:
+            _, at = np.unique(sketch[p:q], return_inverse=True)
+            holds = np.zeros((q - p, int(at.max()) + 1), "f4")
+            holds[np.repeat(np.arange(q - p), s.k), at.ravel()] = 1
+            filled = (size[p:q] < s.k).astype("f4")  # the filling is no value that they share
+            shared = holds[: cut - p] @ holds[cut - p :].T - filled[: cut - p, None] * filled[None, cut - p :]
+            apart &= shared >= np.maximum(least[size[u]][:, None], least[size[m]][None])
+        i, j = np.nonzero(apart)
+        found.append((u[i], m[j]))
+    i, j = (np.concatenate([x[k] for x in found]) if found else np.zeros(0, "int64") for k in (0, 1))
+    _, new = np.unique(np.minimum(cls[i], cls[j]).astype("int64") * rows.num_rows + np.maximum(cls[i], cls[j]), return_index=True)
+    i, j = i[new], j[new]
+    near = _near(sketch, size, n, i, j, s)
+    names = rows["cls"].combine_chunks()
+    return pa.RecordBatch.from_arrays([names.take(pa.array(i[near])), names.take(pa.array(j[near]))], ["a", "b"])
+
+
+def _across(lists: DataFrame, heads: DataFrame, label: DataFrame, classes: DataFrame, s: Settings) -> DataFrame:
+    """The likely pairs (a, b) of classes of a list that stand in different components. Of each, one at least
+    stands outside the component of the list's head: so many blocks of such members meet all blocks of the list."""
+    named = lambda df, name, to: df.join(label.select(F.col("node").alias(name), F.col("component").alias(to)), name, "left").withColumn(to, F.coalesce(to, name))
+    mains = durable(named(heads, "head", "main").select("key", "main"))
+    placed = durable(named(lists, "cls", "component").join(mains, "key"))
+    outside = (F.col("component") != F.col("main")).cast("int")
+    blocks = lambda x: F.ceil(x / s.list_rows).cast("int")
+    sizes = durable(placed.groupBy("key").agg(blocks(F.sum(outside)).alias("gu"), blocks(F.count("*")).alias("gm")).filter("gu > 0"))
+    wide = placed.join(sizes, "key").join(classes.select("cls", "n_shingles", "sketch"), "cls")
+    block = lambda g: F.pmod(F.xxhash64("cls"), F.col(g)).cast("int")
+    every = lambda g: F.sequence(F.lit(0), F.col(g) - 1)
+    place = lambda side, ub, mb: F.struct(F.lit(side).alias("side"), ub.alias("ub"), mb.alias("mb"))
+    members = F.transform(every("gu"), lambda x: place(1, x, block("gm")))
+    others = F.when(outside == 1, F.transform(every("gm"), lambda x: place(0, block("gu"), x))).otherwise(F.array().cast("array<struct<side:int,ub:int,mb:int>>"))
+    dealt = wide.withColumn("t", F.explode(F.concat(members, others))).select(
+        "key", "t.ub", "t.mb", "t.side", "cls", "component", "n_shingles", F.size("sketch").alias("size"), "sketch"
     )
-    member = lambda c, name: apart.select("key", F.col("component").alias(c), F.col("cls").alias(name))
-    pairs = crossed.join(member("ca", "a"), ["key", "ca"]).join(member("cb", "b"), ["key", "cb"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            keys = [held[c].to_numpy() for c in ("key", "ub", "mb")]
+            last = np.logical_or.reduce([k != k[-1] for k in keys]).nonzero()[0] if held.num_rows else []
+            if len(last):
+                yield _meet(held.slice(0, int(last[-1]) + 1), s)
+                held = held.slice(int(last[-1]) + 1)
+        if held is not None and held.num_rows:
+            yield _meet(held, s)
+        release()
+
+    task = ["key", "ub", "mb"]
+    pairs = dealt.repartition(*task).sortWithinPartitions(*task, "side").mapInArrow(run, "a binary, b binary")
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -219,19 +295,18 @@ def components(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id"
         rows.filter("cls is not null").groupBy("cls")
         .agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
     )
-    lists = _lists(classes, s)
-    stars = durable(lists.filter("cls <> head").select(F.col("head").alias("a"), F.col("cls").alias("b")).distinct())
+    lists, heads = _lists(classes, s)
+    stars = lists.join(heads, "key").filter("cls <> head").select(F.least("head", "cls").alias("a"), F.greatest("head", "cls").alias("b"))
+    stars = durable(stars.distinct())
     likely = durable(_likely(stars, classes, s))
     entry = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes.select("cls", "doc_id"), "cls")
     links = _verified(likely, durable(_texts(docs, entry(likely), s, id_col, text_col)), s)
     label = connected_components(links)
 
     # What the heads did not settle: pairs of a list in different components.
-    placed = durable(lists.select("key", "cls").join(label.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls")))
-    split = durable(placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key"))
-    if split.head(1):
-        rest = durable(_likely(_across(durable(placed.join(split, "key"))).join(stars, ["a", "b"], "left_anti"), classes, s))
-        more = _verified(rest, durable(_texts(docs, entry(rest), s, id_col, text_col)), s) if rest.head(1) else rest
+    rest = durable(_across(lists.join(heads.select("key"), "key"), heads, label, classes, s).join(stars, ["a", "b"], "left_anti"))
+    if rest.head(1):
+        more = _verified(rest, durable(_texts(docs, entry(rest), s, id_col, text_col)), s)
         if more.head(1):
             label = connected_components(links.unionByName(more))
 

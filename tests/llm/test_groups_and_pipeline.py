@@ -107,6 +107,31 @@ def test_near_copies_against_all_pairs(spark, n, percent, list_rows):
     assert got == sorted(brute(rows, n, percent))
 
 
+def hub(n, percent, copies, seed, size=120):
+    """An original and copies of it just above the threshold, each with scattered words of its own."""
+    rng, out = random.Random(seed), []
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(7))
+    base = [word() for _ in range(size)]
+    whole = sketch_dedup.shingle_set(" ".join(base).encode(), n)
+    for _ in range(copies):
+        copy, spots = list(base), list(range(size))
+        rng.shuffle(spots)
+        for spot in spots:
+            was, copy[spot] = copy[spot], word()
+            own = sketch_dedup.shingle_set(" ".join(copy).encode(), n)
+            if 100 * len(whole & own) < percent * len(whole | own):
+                copy[spot] = was
+        out.append(" ".join(copy))
+    return [*out, " ".join(base)]
+
+
+@pytest.mark.parametrize(("n", "percent", "copies"), [(3, 85, 300), (5, 80, 3000)])
+def test_a_hub_keeps_all_its_copies(spark, n, percent, copies):
+    df = spark.createDataFrame(list(enumerate(hub(n, percent, copies, 3))), "doc_id long, text string")
+    got = sketch_dedup.components(df, sketch_dedup.Settings(words=n, percent=percent)).select("component_id").distinct().collect()
+    assert [tuple(r) for r in got] == [(0,)]  # all resemble their original
+
+
 def test_near_copies_of_given_documents(spark):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     got = sorted(tuple(r) for r in sketch_dedup.components(spark.read.parquet(f"{SF}/documents.parquet"), sketch_dedup.Settings(words=3, percent=85)).collect())
