@@ -204,3 +204,10 @@ def test_pipeline_against_brute_force(spark):
     packed = corpus_pipeline.run(spark, SF)
     assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == want
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality_rules", "language_id", "minhash_near_dedup", "best_fit_packing"]
+
+
+def test_stage_keeps_one_of_a_large_group(spark):
+    import corpus_pipeline
+
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate([*hub(5, 80, 330, 7), "some other text of six words"])], "doc_id long, text string, source string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, df, SF).collect()) == [0, 331]
