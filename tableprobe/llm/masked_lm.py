@@ -5,13 +5,14 @@ embeddings are summed, passed through tanh, and a two-level softmax (class, then
 proper distribution over the vocabulary. A document's score is the sum of the log-probabilities of its words,
 each given its neighbours on both sides.
 
-The vocabulary comes from counts of all words of all documents. Training is plain numpy inside tasks: in each
+The vocabulary is the ``Settings.vocabulary`` - 2 most frequent words of all documents, a fixed bound. To the network any other
+word is the one rare word; which one it is costs its spelling besides: the log-probability of its bytes, each given
+the one before, and of its end, from counts of all rare words of all documents. So every word is predicted. Training is plain numpy inside tasks: in each
 round every partition takes steps on its documents' own positions from the round's common parameters, and
 changes are averaged by weight in two levels, so that no task and not the driver sees more than a bounded
 number of parameter blocks. All documents take part; of a document's positions, one in ``stride`` is learned.
 
-Defined cases: null and empty texts have no words, log_prob 0 and no mean; words outside the vocabulary are
-one rare word; a corpus without words leaves the initial parameters; repeated rows are scored each.
+Defined cases: null and empty texts have no words, log_prob 0 and no mean; a corpus without words leaves the initial parameters; repeated rows are scored each.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from tableprobe.llm.common import durable
 from tableprobe.llm.tokens import sliced
 
 PAD, RARE, FIRST = 0, 1, 2
+#: The symbol before a word's first byte and after its last.
+EDGE = 256
 
 
 @dataclass(frozen=True)
@@ -133,8 +136,8 @@ class Vocabulary(dict):
         return RARE
 
 
-def vocabulary(docs: DataFrame, s: Settings, text_col: str = "text") -> Vocabulary:
-    """The most frequent words of all documents; the driver gets these only."""
+def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """word and n of all documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter[bytes] = Counter()
@@ -147,11 +150,49 @@ def vocabulary(docs: DataFrame, s: Settings, text_col: str = "text") -> Vocabula
                     held.clear()
         yield out()
 
-    counts = docs.select(text_col).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select(text_col).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def vocabulary(docs: DataFrame, s: Settings, text_col: str = "text", counts: DataFrame | None = None) -> Vocabulary:
+    """The most frequent words of all documents; the driver gets these only."""
+    counts = word_counts(docs, text_col) if counts is None else counts
     top = counts.orderBy(F.desc("n"), "word").limit(s.vocabulary - FIRST).collect()
     return Vocabulary({bytes(r["word"]): k for k, r in enumerate(top, FIRST)})
 
 
+def _steps(some: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of non-empty words, one after the other: each symbol, the one before it, and the word's number."""
+    size = np.array([len(w) + 1 for w in some], "int64")
+    raw, ends = np.full(int(size.sum()), EDGE, "int64"), np.cumsum(size) - 1
+    inside = np.ones(len(raw), bool)
+    inside[ends] = False
+    raw[inside] = np.frombuffer(b"".join(some), "uint8")
+    return raw, np.r_[EDGE, raw[:-1]], np.repeat(np.arange(len(some)), size)
+
+
+def spelling(counts: DataFrame, vocab: Vocabulary) -> np.ndarray:
+    """Log-probabilities of a byte or the end after a byte or the start, by rare words' counts and one more each."""
+    terms = counts.sparkSession.sparkContext.broadcast(vocab)  # at most s.vocabulary words
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(257 * 257)
+        for batch in batches:
+            rows = [(w, n) for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if w not in terms.value]
+            if rows:
+                symbol, before, of = _steps([w for w, _ in rows])
+                total += np.bincount(before * 257 + symbol, np.array([n for _, n in rows], "f8")[of], 257 * 257)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, "int64"), pa.array(total[at].astype("int64"))], ["at", "n"])
+
+    table = np.ones(257 * 257)
+    for r in counts.select("word", "n").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():  # 257 * 257 at most
+        table[r["at"]] += r["n"]
+    table = table.reshape(257, 257)
+    table[EDGE, EDGE] = 0  # no word is empty
+    with np.errstate(divide="ignore"):
+        return np.log(table / table.sum(1, keepdims=True))
+
+
 def positions(texts: list[str | None], vocab: Vocabulary, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Contexts, targets and the text of every word."""
     ids, of = [PAD] * reach, [-1] * reach
@@ -207,10 +248,12 @@ def train(docs: DataFrame, vocab: Vocabulary, s: Settings = Settings(), text_col
     return net
 
 
-def score(docs: DataFrame, net: Network, vocab: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, log_prob (sum over words) and mean_log_prob of every whole text."""
+def score(docs: DataFrame, net: Network, vocab: Vocabulary, id_col: str = "doc_id", text_col: str = "text", spelled: np.ndarray | None = None) -> DataFrame:
+    """doc_id, n_words, log_prob (sum over words) and mean_log_prob of every whole text. Without the table
+    spelled a rare word costs only that it is rare."""
     kind, sc, s = docs.schema[id_col].dataType.simpleString(), docs.sparkSession.sparkContext, net.s
     terms, flat = sc.broadcast(vocab), sc.broadcast(net.flat)
+    letters = sc.broadcast(spelled)  # 257 * 257 numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Network(s, flat.value)
@@ -221,6 +264,10 @@ def score(docs: DataFrame, net: Network, vocab: Vocabulary, id_col: str = "doc_i
                 logs = [own.log_probs(context[k : k + 65536], target[k : k + 65536]) for k in range(0, len(target), 65536)]
                 n.append(np.bincount(of, minlength=len(part)))
                 total.append(np.bincount(of, np.concatenate(logs).astype("f8") if logs else None, minlength=len(part)).astype("f8"))
+                if letters.value is not None and (target == RARE).any():
+                    rare = [w for t in part for w in words(t) if w not in terms.value]
+                    symbol, before, word = _steps(rare)
+                    total[-1] += np.bincount(of[target == RARE][word], letters.value[before, symbol], len(part))
             n = np.concatenate(n) if n else np.zeros(0, "int64")
             total = np.concatenate(total) if total else np.zeros(0)
             mean = pa.array(total / np.maximum(n, 1), mask=n == 0)

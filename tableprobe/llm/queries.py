@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tableprobe.llm import chunk_bpe, embedding_dedup, language_id, masked_lm, packing, quality_rules, ring_sharding, sketch_dedup, token_scan, zip_warc
-from tableprobe.llm.common import run_dir, table
+from tableprobe.llm.common import durable, run_dir, table
 
 #: Files of public tokenizers come with this module; their places are parameters of the operators.
 WORD_BPE, BYTE_BPE, BYTE_RANKS = (public_tokenizers.path(x) for x in ("word_bpe_49k.json", "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"))
@@ -89,8 +89,9 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    vocab = masked_lm.vocabulary(docs, masked_lm.Settings())
-    return masked_lm.score(docs, masked_lm.train(docs, vocab), vocab)
+    counts = durable(masked_lm.word_counts(docs))
+    vocab = masked_lm.vocabulary(docs, masked_lm.Settings(), counts=counts)
+    return masked_lm.score(docs, masked_lm.train(docs, vocab), vocab, spelled=masked_lm.spelling(counts, vocab))
 
 
 def op8_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

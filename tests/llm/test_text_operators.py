@@ -307,6 +307,22 @@ def test_scores_against_plain_loops(spark, docs):
     assert sum(r["log_prob"] for r in got.values()) > fresh
 
 
+def test_rare_words_cost_their_spelling(spark):
+    s = masked_lm.Settings(classes=2, members=2, width=4)
+    texts = ["aa aa aa bb bb bb", "cat car cat", None, "", "zq\x7f Xw9 é", "aa zq\x7f", "cat car cat"]
+    some = frame(spark, texts)
+    counts = masked_lm.word_counts(some)
+    vocab = masked_lm.vocabulary(some, s, counts=counts)
+    table = masked_lm.spelling(counts, vocab)
+    assert list(vocab) == [b"aa", b"cat"] and np.exp(table).sum(1) == pytest.approx(1)
+    pairs = Counter(p for t in texts for w in masked_lm.words(t) if w not in vocab for p in zip([256, *w], [*w, 256], strict=True))
+    cost = lambda w: sum(np.log((pairs[a, b] + 1) / (sum(n for (x, _), n in pairs.items() if x == a) + 257 - (a == 256))) for a, b in zip([256, *w], [*w, 256], strict=True))
+    net = masked_lm.Network(s)
+    base, got = ({r["doc_id"]: r["log_prob"] for r in masked_lm.score(some, net, vocab, spelled=x).collect()} for x in (None, table))
+    for k, t in enumerate(texts):
+        assert got[k] - base[k] == pytest.approx(sum(cost(w) for w in masked_lm.words(t) if w not in vocab), abs=1e-9)
+
+
 # ---- 8 separator scan
 
 
