@@ -10,7 +10,7 @@ word is the one rare word; which one it is costs its spelling besides: the log-p
 the one before, and of its end, from counts of all rare words of all documents. So every word is predicted. Training is plain numpy inside tasks: in each
 round every partition takes steps on its documents' own positions from the round's common parameters, and
 changes are averaged by weight in two levels, so that no task and not the driver sees more than a bounded
-number of parameter blocks. All documents take part; of a document's positions, one in ``stride`` is learned.
+number of parameter blocks. All documents take part; a round learns one position in ``stride``, and as many rounds as that learn each once.
 
 Defined cases: null and empty texts have no words, log_prob 0 and no mean; a corpus without words leaves the initial parameters; repeated rows are scored each.
 """
@@ -41,7 +41,7 @@ class Settings:
     members: int = 64
     width: int = 16
     reach: int = 2
-    stride: int = 16
+    stride: int = 2
     rounds: int = 2
     batch: int = 2048
     rate: float = 0.1
@@ -206,6 +206,11 @@ def positions(texts: list[str | None], vocab: Vocabulary, reach: int) -> tuple[n
     return np.stack([ids[at + o] for o in offsets], 1), ids[at], of[at]
 
 
+def learned(of: np.ndarray, turn: int, s: Settings) -> np.ndarray:
+    """Which positions a round learns; of has the text of each."""
+    return (np.arange(len(of)) + 5 * of + turn) % s.stride == 0
+
+
 def train(docs: DataFrame, vocab: Vocabulary, s: Settings = Settings(), text_col: str = "text") -> Network:
     """Parameters after s.rounds rounds over all documents."""
     net, sc = Network(s), docs.sparkSession.sparkContext
@@ -218,7 +223,7 @@ def train(docs: DataFrame, vocab: Vocabulary, s: Settings = Settings(), text_col
             for batch in batches:
                 for part in sliced(x.as_py() for x in batch.column(0)):
                     context, target, of = positions(part, terms.value, s.reach)
-                    chosen = np.flatnonzero((np.arange(len(target)) + 5 * of + turn) % s.stride == 0)
+                    chosen = np.flatnonzero(learned(of, turn, s))
                     chosen = np.random.default_rng([s.seed, turn, len(target)]).permutation(chosen)
                     for k in range(0, len(chosen), s.batch):
                         own.step(context[chosen[k : k + s.batch]], target[chosen[k : k + s.batch]])

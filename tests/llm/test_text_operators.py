@@ -323,6 +323,13 @@ def test_rare_words_cost_their_spelling(spark):
         assert got[k] - base[k] == pytest.approx(sum(cost(w) for w in masked_lm.words(t) if w not in vocab), abs=1e-9)
 
 
+def test_rounds_learn_every_position_once():
+    s = masked_lm.Settings()
+    of = np.repeat(np.arange(40), [1, 2, 3, 4] * 10)
+    turns = [set(np.flatnonzero(masked_lm.learned(of, turn, s))) for turn in range(s.rounds)]
+    assert sorted(x for t in turns for x in t) == list(range(len(of)))
+
+
 # ---- 8 separator scan
 
 
