@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -27,11 +28,13 @@ def short_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; only where a session has
-    none (tests on one machine), a new temporary folder."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Only where a session has none and runs
+    in one process (tests on one machine), a new temporary folder; on a cluster that is an error."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if not re.match(r"local($|\[)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         sc.setCheckpointDir(named)
     elif not sc.getCheckpointDir():
@@ -39,14 +42,27 @@ def shared_dir(spark: SparkSession) -> str:
     return named if "://" in named or named.startswith("file:") else f"file://{named}"
 
 
+def saved(df: DataFrame) -> str:
+    """The path of a table in the shared folder that holds df."""
+    path = run_dir(df.sparkSession, "step")
+    df.write.parquet(path)
+    return path
+
+
 def durable(df: DataFrame) -> DataFrame:
     """df, computed once and written to the shared folder, so that a lost executor costs no recomputation.
 
     A table rather than a checkpoint: a checkpoint keeps the estimates of the plan it replaces, which in a
     loop of joins grow by powers, and with them planning time and the driver's memory."""
-    path = run_dir(df.sparkSession, "step")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(saved(df))
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Deletes tables that nothing reads any more."""
+    sc = spark.sparkContext
+    for path in paths:
+        where = sc._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def run_dir(spark: SparkSession, name: str) -> str:

@@ -2,41 +2,43 @@
 
 from __future__ import annotations
 
-from contextlib import contextmanager
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableprobe.llm.common import durable
-
+from tableprobe.llm.common import discard, saved
 
-#: Graphs of fewer edges are joined as planned; larger ones are planned anew as they run, with hot keys split.
+#: Rounds over fewer edges are joined as planned, as adaptive planning's jobs and threads for every exchange cost more
+#: than they save; larger ones are planned anew as they run, with hot keys split. The results are the same.
 SMALL = 5_000_000
 
 
-@contextmanager
-def _planned_once(spark: SparkSession, small: bool):
-    """Small rounds without adaptive planning, whose jobs and threads for every exchange cost more than they save."""
-    was = spark.conf.get("spark.sql.adaptive.enabled")
-    if small:
-        spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        yield
-    finally:
-        spark.conf.set("spark.sql.adaptive.enabled", was)
+def _apart(spark: SparkSession, edges: int) -> SparkSession:
+    """A session of the same application, so that the caller's settings stay as they are."""
+    other = spark.newSession()
+    other.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
+    other.conf.set("spark.sql.adaptive.enabled", "false" if edges < SMALL else "true")
+    return other
+
 
+def _stars(edges: DataFrame) -> str:
+    """One round over edges (a, b), a > b: each neighbour is linked to the least node that a node sees. Where it is saved.
 
-def _stars(edges: DataFrame) -> DataFrame:
-    """One round over edges (a, b), a > b: each neighbour is linked to the least node that a node sees.
+    Least nodes are written before they are joined: a plain shuffled join, whose hot keys can be split."""
+    spark, used = edges.sparkSession, []
+
+    def step(df: DataFrame) -> DataFrame:
+        used.append(saved(df))
+        return spark.read.schema(df.schema).parquet(used[-1])
 
-    Least nodes are durable before they are joined: a plain shuffled join, whose hot keys can be split."""
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    least = durable(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-    large = both.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b")
-    large = durable(large)
-    lower = durable(large.groupBy("a").agg(F.min("b").alias("m")))
-    small = large.join(lower, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-    return durable(small.select("e.a", "e.b").filter("a <> b").distinct())
+    least = step(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+    large = step(both.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b"))
+    lower = step(large.groupBy("a").agg(F.min("b").alias("m")))
+    ends = F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))
+    small = large.join(lower, "a").select(F.explode(ends).alias("e")).select("e.a", "e.b")
+    out = saved(small.filter("a <> b").distinct())
+    discard(spark, *used)
+    return out
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -44,16 +46,22 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Nodes may be of any type with an order. Null ends, loops and repeated edges are left out. Each round
     halves what is left at least; it ends when a round changes nothing."""
+    spark = edges.sparkSession
     edges = edges.filter("a is not null and b is not null and a <> b")
-    edges = durable(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    state = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    before = state(edges)
+    edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    schema, path = edges.schema, saved(edges)
+
+    def state() -> tuple:
+        return tuple(spark.read.schema(schema).parquet(path).agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+    before = state()
     while before[0]:
-        with _planned_once(edges.sparkSession, before[0] < SMALL):
-            edges = _stars(edges)
-            after = state(edges)
+        was, path = path, _stars(_apart(spark, before[0]).read.schema(schema).parquet(path))
+        discard(spark, was)
+        after = state()
         if after == before:
             break
         before = after
+    edges = spark.read.schema(schema).parquet(path)
     nodes = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return nodes.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -3,13 +3,17 @@
 Documents with equal word sequences are one class. A class keeps the ``k`` least hashes of its shingles.
 A pair whose union sketch estimates a similarity near the threshold shares at least ``Settings.shared`` retained
 values, so, with values ordered from the rarest to the most common, it shares one of the first that are needed to
-leave fewer than that. Inverted lists of these values hold every such pair, and a value of a common passage
-is listed only for classes that consist of it for the most part. No list is dropped or cut.
-In each list all are paired with its head, the class whose values are the most common; what the union sketch
-estimates far below the threshold goes, the rest is verified by exact Jaccard over the full sets. Components of
-these links come next; then the members of a list outside its head's component meet all members of other components,
-block by block in tasks, and what is estimated near the threshold is verified as well: a link between other
-pairs would change no component. Pairs are never written out before they are estimated.
+leave fewer than that. Inverted lists of these values hold every such pair.
+
+Lists of at most ``list_rows`` classes give their pairs at once, so at most ``list_rows - 1`` an entry. What the
+union sketch estimates far below the threshold goes. All classes of a longer list are sketched anew with a k that
+covers their whole sets, and listed again. With whole sets the bound is exact: the place of a value in the order of
+a set limits what can follow it, hence the sizes of the sets that can be linked through it, and a list is kept for
+each range of sizes. A class with enough values of its own stands in no list. In these lists all are paired with the
+head, the class whose values are the most common; then those outside its component meet the others of the list, block
+by block, and each task returns a spanning forest of its links. So what is written grows with the members of
+a list, whatever its length, and no pair is left out. All links are verified by exact Jaccard over the full sets of
+shingles before they count.
 
 Defined cases: null texts and texts without a word have no shingles and link with nothing; a text of fewer
 words than a shingle has one shingle, all its words; a null id is kept with the class it belongs to, where
@@ -26,10 +30,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tableprobe.llm.common import durable
+from tableprobe.llm.common import WORD_CHAR, durable
 from tableprobe.llm.components import connected_components
 from tableprobe.llm.rolling import prefix_sums, span_hashes
 from tableprobe.llm.tokens import release, sliced
@@ -41,8 +45,13 @@ class Settings:
     #: Link where percent_of * union <= 100 * intersection.
     percent: int = 80
     k: int = 32
-    #: Members of a list that meet as many others in one task.
-    list_rows: int = 128
+    #: Classes of a list whose pairs are formed at once; all classes of longer lists are sketched anew, whole.
+    list_rows: int = 16
+    #: Whole sets that meet as many others in one task, and shingles in them.
+    block_rows: int = 128
+    block_shingles: int = 1_000_000
+    #: Lists of whole sets are split by ranges of their sizes, each so many times the one before.
+    size_step: float = 1.1
     #: Standard deviations that an estimate may lie below the threshold.
     margin: float = 4.5
     #: Texts that are verified against one copy of a text at a time.
@@ -99,7 +108,7 @@ def _sketches(norms: list[bytes], n: int, k: int) -> tuple[np.ndarray, np.ndarra
 
 
 def sketches(docs: DataFrame, s: Settings, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, cls (digest of the words; null without words), n_shingles and sketch of every row."""
+    """doc_id, cls (digest of the words; null without words), n_shingles, sketch and text_hash of every row."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,36 +119,79 @@ def sketches(docs: DataFrame, s: Settings, id_col: str = "doc_id", text_col: str
                 count, values, kept = _sketches(norms, s.words, s.k)
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(kept)], "int32"), pa.array(values))
                 cls = [hashlib.blake2b(x, digest_size=16).digest() if x else None for x in norms]
-                ids = batch.column(0).slice(at, len(part))
+                ids, hashes = (batch.column(c).slice(at, len(part)) for c in (0, 2))
                 at += len(part)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(cls, "binary"), pa.array(count, "int64"), lists], ["doc_id", "cls", "n_shingles", "sketch"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(cls, "binary"), pa.array(count, "int64"), lists, hashes], ["doc_id", "cls", "n_shingles", "sketch", "text_hash"])
         release()
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"doc_id {kind}, cls binary, n_shingles long, sketch array<long>")
+    return docs.select(F.col(id_col), F.col(text_col), F.xxhash64(text_col)).mapInArrow(run, f"doc_id {kind}, cls binary, n_shingles long, sketch array<long>, text_hash long")
 
 
-def _lists(classes: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
-    """key and cls of the members of all inverted lists of two classes or more; key and head of these lists."""
+def _listed(classes: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
+    """The entries (key, cls) of all inverted lists; key and n of the lists of two classes or more."""
     values = classes.select("cls", F.size("sketch").alias("size"), F.explode("sketch").alias("key"))
     counts = durable(values.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
-    common = values.join(counts, "key").groupBy("cls", "size").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("found"), F.sum("n").alias("weight"))
+    common = values.join(counts, "key").groupBy("cls", "size").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("found"))
     first = F.array(*[F.lit(n - s.shared(n) + 1 if n else 0) for n in range(s.k + 1)])[F.col("size")]
     own = first - (F.col("size") - F.size("found"))  # values of this class only come first
-    listed = common.filter(own > 0).select("cls", "weight", F.explode(F.slice("found", 1, own)).alias("e")).select(F.col("e.key").alias("key"), "cls", "weight")
-    listed = durable(listed)
-    heads = listed.groupBy("key").agg(F.count("*").alias("n"), F.max(F.struct("weight", "cls")).alias("head"))
-    heads = durable(heads.filter("n > 1").select("key", F.col("head.cls").alias("head")))
-    return listed.select("key", "cls"), heads
+    listed = durable(common.filter(own > 0).select("cls", F.explode(F.slice("found", 1, own)).alias("e")).select("e.key", "cls"))
+    return listed, durable(listed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
 
 
-def _likely(pairs: DataFrame, classes: DataFrame, s: Settings) -> DataFrame:
-    """Those pairs (a, b) whose union sketch estimates a Jaccard similarity near the threshold or above."""
-    side = lambda x: classes.select(F.col("cls").alias(x), F.col("sketch").alias(f"s{x}"), F.col("n_shingles").alias(f"n{x}"))
-    joined = pairs.join(side("a"), "a").filter(F.size("sa") > 0).join(side("b"), "b")
-    sized = joined.filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * s.percent)
-    union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, s.k)
-    both = F.size(F.array_intersect(union, F.array_intersect("sa", "sb")))
-    return sized.filter(both >= F.lit(s.least_estimate) * F.size(union)).select("a", "b")
+def _likely(x: Column, y: Column, s: Settings) -> Column:
+    """Whether the union sketch of two classes (n_shingles, sketch) estimates a similarity near the threshold or above."""
+    sized = F.least(x["n_shingles"], y["n_shingles"]) * 100 >= F.greatest(x["n_shingles"], y["n_shingles"]) * s.percent
+    union = F.slice(F.array_sort(F.array_union(x["sketch"], y["sketch"])), 1, s.k)
+    both = F.size(F.array_intersect(union, F.array_intersect(x["sketch"], y["sketch"])))
+    return sized & (both >= F.lit(s.least_estimate) * F.size(union))
+
+
+def _short_pairs(listed: DataFrame, sizes: DataFrame, classes: DataFrame, s: Settings) -> DataFrame:
+    """The likely pairs (a, b), a < b, of lists of at most list_rows classes."""
+    entries = listed.join(sizes.filter(F.col("n") <= s.list_rows), "key").join(classes.select("cls", "n_shingles", "sketch"), "cls")
+    lists = entries.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("cls", "n_shingles", "sketch"))).alias("m"))
+    firsts = lists.select("m", F.posexplode(F.slice("m", 1, F.size("m") - 1)).alias("i", "x"))
+    later = F.filter(F.slice("m", F.col("i") + 2, F.size("m")), lambda y: _likely(F.col("x"), y, s))
+    return firsts.select(F.col("x.cls").alias("a"), F.explode(F.transform(later, lambda y: y["cls"])).alias("b")).distinct()
+
+
+def _whole(texts: DataFrame, s: Settings) -> DataFrame:
+    """cls, n and vals (hashes of all shingles, ascending) of texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for part in sliced(batch.column(1).to_pylist()):
+                count, values, kept = _sketches(part, s.words, 1 << 62)
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(kept)], "int32"), pa.array(values))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array(count, "int64"), lists], ["cls", "n", "vals"])
+                at += len(part)
+        release()
+
+    return texts.select("cls", "norm").mapInArrow(run, "cls binary, n long, vals array<long>")
+
+
+def _whole_lists(whole: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
+    """Entries (key, r, cls, n, most, small) of the lists of whole sets, and key, r, head and the head's n and most of
+    lists of two classes or more. most is what two sets share at most where key is the rarest value that they
+    share. r is the range of sizes of the smaller set; small tells whether the class may be the smaller one."""
+    t, p = s.percent, 100 + s.percent
+    values = whole.select("cls", "n", F.explode("vals").alias("key"))
+    counts = durable(values.groupBy("key").agg(F.count("*").alias("df")).filter("df > 1"))
+    common = values.join(counts, "key").groupBy("cls", "n").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("found"), F.sum("df").alias("weight"))
+    # Values of this class only come first; where less than a percent of the set is left, nothing is linked by it.
+    first = F.greatest(F.lit(0), F.size("found") - F.ceil(F.col("n") * t / 100).cast("int") + 1)
+    entry = common.select("cls", "n", "weight", F.size("found").alias("all"), F.posexplode(F.slice("found", 1, first)).alias("i", "e"))
+    entry = entry.select("cls", "n", "weight", F.col("e.key").alias("key"), (F.col("all") - F.col("i")).cast("long").alias("most"))
+    step = F.lit(math.log(s.size_step))
+    span = lambda n: F.floor(F.log(n.cast("double")) / step).cast("int")
+    low, high = F.ceil(F.col("n") * t / 100), F.least(F.col("n"), F.floor(F.col("most") * p / t - F.col("n")))
+    ranged = entry.filter(low <= high).withColumn("r", F.explode(F.sequence(span(low), span(high))))
+    small = (F.col("most") * p >= 2 * t * F.col("n")) & (F.col("r") == span(F.col("n")))
+    listed = durable(ranged.select("key", "r", "cls", "n", "most", "weight", small.alias("small")))
+    head = F.max(F.when(F.col("small"), F.struct("weight", "cls", "n", "most"))).alias("h")
+    heads = listed.groupBy("key", "r").agg(F.count("*").alias("rows"), head).filter("rows > 1 and h is not null")
+    return listed, durable(heads.select("key", "r", F.col("h.cls").alias("head"), F.col("h.n").alias("head_n"), F.col("h.most").alias("head_most")))
 
 
 def _texts(docs: DataFrame, wanted: DataFrame, s: Settings, id_col: str, text_col: str) -> DataFrame:
@@ -199,120 +251,136 @@ def _verified(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
     return durable(dealt.mapInArrow(run, "a binary, b binary"))
 
 
-def _near(sketch: np.ndarray, size: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray, s: Settings) -> np.ndarray:
-    """Which pairs of rows (i, j) _likely keeps. Sketches are rows of k ascending values, filled up with the largest."""
-    out = np.zeros(len(i), bool)
-    sized = np.flatnonzero(np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * s.percent)
-    for at in range(0, len(sized), 20_000):
-        some = sized[at : at + 20_000]
-        a, b = i[some], j[some]
-        both = np.sort(np.concatenate([sketch[a], sketch[b]], 1), 1)
-        place = np.arange(2 * s.k)[None] < (size[a] + size[b])[:, None]
-        new = np.concatenate([np.ones((len(some), 1), bool), both[:, 1:] != both[:, :-1]], 1)
-        rank = np.cumsum(new & place, 1)
-        shared = (~new & place & (rank <= s.k)).sum(1)
-        out[some] = shared >= s.least_estimate * np.minimum(rank[:, -1], s.k)
-    return out
-
-
-def _meet(rows: pa.Table, s: Settings) -> pa.RecordBatch:
-    """Likely pairs of the tasks (key, ub, mb) in rows, which come sorted: each of side 0 with each of side 1."""
+def _forest(rows: pa.Table, s: Settings) -> pa.RecordBatch:
+    """A spanning forest of the links between different components in the tasks (key, r, ub, mb) of rows, which come
+    sorted: each of side 0 with each of side 1."""
     rows = rows.combine_chunks()
-    keys = [rows[c].to_numpy() for c in ("key", "ub", "mb")]
+    keys = [rows[c].to_numpy() for c in ("key", "r", "ub", "mb")]
     edges = np.r_[0, np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) + 1, rows.num_rows]
-    side, size, n = (rows[c].to_numpy() for c in ("side", "size", "n_shingles"))
-    lists = rows["sketch"].combine_chunks()
-    sketch = np.full((rows.num_rows, s.k), np.iinfo("int64").max)
-    sketch[np.arange(s.k)[None] < size[:, None]] = lists.flatten().to_numpy()
+    side, n, most = (rows[c].to_numpy() for c in ("side", "n", "most"))
     code = lambda c: rows[c].combine_chunks().dictionary_encode().indices.to_numpy()
-    component, cls = code("component"), code("cls")
-    least = np.array([s.shared(k) for k in range(s.k + 1)])
-    found = []
+    component, lists = code("component"), rows["vals"].combine_chunks()
+    flat, ends = lists.flatten().to_numpy(), np.r_[0, np.cumsum(n)]
+    out = ([], [])
     for p, q in zip(edges[:-1], edges[1:], strict=True):
         cut = p + int(np.searchsorted(side[p:q], 1))
-        if cut == p or cut == q:
+        least = s.percent * (n[p:cut, None] + n[None, cut:q])
+        open_ = (component[p:cut, None] != component[None, cut:q]) & (np.minimum(most[p:cut, None], most[None, cut:q]) * (100 + s.percent) >= least)
+        if not open_.any():
             continue
-        u, m = np.arange(p, cut), np.arange(cut, q)
-        apart = component[u][:, None] != component[m][None]
-        if apart.any() and len(u) * len(m) > 64:
-            _, at = np.unique(sketch[p:q], return_inverse=True)
-            holds = np.zeros((q - p, int(at.max()) + 1), "f4")
-            holds[np.repeat(np.arange(q - p), s.k), at.ravel()] = 1
-            filled = (size[p:q] < s.k).astype("f4")  # the filling is no value that they share
-            shared = holds[: cut - p] @ holds[cut - p :].T - filled[: cut - p, None] * filled[None, cut - p :]
-            apart &= shared >= np.maximum(least[size[u]][:, None], least[size[m]][None])
-        i, j = np.nonzero(apart)
-        found.append((u[i], m[j]))
-    i, j = (np.concatenate([x[k] for x in found]) if found else np.zeros(0, "int64") for k in (0, 1))
-    _, new = np.unique(np.minimum(cls[i], cls[j]).astype("int64") * rows.num_rows + np.maximum(cls[i], cls[j]), return_index=True)
-    i, j = i[new], j[new]
-    near = _near(sketch, size, n, i, j, s)
+        _, value = np.unique(flat[ends[p] : ends[q]], return_inverse=True)
+        owner = np.repeat(np.arange(q - p), n[p:q])
+        order = np.argsort(value, kind="stable")
+        value, owner = value[order], owner[order]
+        both = np.zeros((cut - p, q - cut))
+        for low in range(0, int(value[-1]) + 1, 4096):  # so many distinct values at a time
+            x, y = np.searchsorted(value, (low, low + 4096))
+            holds = np.zeros((q - p, 4096), "f4")
+            holds[owner[x:y], value[x:y] - low] = 1
+            both += holds[: cut - p] @ holds[cut - p :].T
+        up = {}
+
+        def root(x: int, up: dict = up) -> int:
+            while x in up:
+                x = up[x]
+            return x
+
+        for i, j in zip(*np.nonzero(open_ & (both * (100 + s.percent) >= least)), strict=True):
+            x, y = root(int(component[p + i])), root(int(component[cut + j]))
+            if x != y:
+                up[x] = y
+                out[0].append(p + i)
+                out[1].append(cut + j)
     names = rows["cls"].combine_chunks()
-    return pa.RecordBatch.from_arrays([names.take(pa.array(i[near])), names.take(pa.array(j[near]))], ["a", "b"])
+    return pa.RecordBatch.from_arrays([names.take(pa.array(x, "int64")) for x in out], ["a", "b"])
 
 
-def _across(lists: DataFrame, heads: DataFrame, label: DataFrame, classes: DataFrame, s: Settings) -> DataFrame:
-    """The likely pairs (a, b) of classes of a list that stand in different components. Of each, one at least
-    stands outside the component of the list's head: so many blocks of such members meet all blocks of the list."""
+def _across(listed: DataFrame, heads: DataFrame, label: DataFrame, whole: DataFrame, s: Settings) -> DataFrame:
+    """Links (a, b) that join the components of label within the lists of whole sets. Of a pair in different
+    components, one at least stands outside that of the list's head: so many blocks of such classes meet all blocks."""
     named = lambda df, name, to: df.join(label.select(F.col("node").alias(name), F.col("component").alias(to)), name, "left").withColumn(to, F.coalesce(to, name))
-    mains = durable(named(heads, "head", "main").select("key", "main"))
-    placed = durable(named(lists, "cls", "component").join(mains, "key"))
+    mains = durable(named(heads, "head", "main").select("key", "r", "main"))
+    placed = durable(named(listed, "cls", "component").join(mains, ["key", "r"]))
     outside = (F.col("component") != F.col("main")).cast("int")
-    blocks = lambda x: F.ceil(x / s.list_rows).cast("int")
-    sizes = durable(placed.groupBy("key").agg(blocks(F.sum(outside)).alias("gu"), blocks(F.count("*")).alias("gm")).filter("gu > 0"))
-    wide = placed.join(sizes, "key").join(classes.select("cls", "n_shingles", "sketch"), "cls")
+    blocks = lambda rows, size: F.greatest(F.ceil(rows / s.block_rows), F.ceil(size / s.block_shingles)).cast("int")
+    sizes = placed.groupBy("key", "r").agg(blocks(F.sum(outside), F.sum(outside * F.col("n"))).alias("gu"), blocks(F.count("*"), F.sum("n")).alias("gm"))
+    sizes = durable(sizes.filter("gu > 0"))
     block = lambda g: F.pmod(F.xxhash64("cls"), F.col(g)).cast("int")
     every = lambda g: F.sequence(F.lit(0), F.col(g) - 1)
     place = lambda side, ub, mb: F.struct(F.lit(side).alias("side"), ub.alias("ub"), mb.alias("mb"))
     members = F.transform(every("gu"), lambda x: place(1, x, block("gm")))
     others = F.when(outside == 1, F.transform(every("gm"), lambda x: place(0, block("gu"), x))).otherwise(F.array().cast("array<struct<side:int,ub:int,mb:int>>"))
-    dealt = wide.withColumn("t", F.explode(F.concat(members, others))).select(
-        "key", "t.ub", "t.mb", "t.side", "cls", "component", "n_shingles", F.size("sketch").alias("size"), "sketch"
-    )
+    spread = placed.join(sizes, ["key", "r"]).withColumn("t", F.explode(F.concat(members, others)))
+    dealt = spread.select("key", "r", "t.ub", "t.mb", "t.side", "cls", "component", "most").join(whole, "cls")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
         for batch in batches:
             held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-            keys = [held[c].to_numpy() for c in ("key", "ub", "mb")]
+            keys = [held[c].to_numpy() for c in ("key", "r", "ub", "mb")]
             last = np.logical_or.reduce([k != k[-1] for k in keys]).nonzero()[0] if held.num_rows else []
             if len(last):
-                yield _meet(held.slice(0, int(last[-1]) + 1), s)
+                yield _forest(held.slice(0, int(last[-1]) + 1), s)
                 held = held.slice(int(last[-1]) + 1)
         if held is not None and held.num_rows:
-            yield _meet(held, s)
+            yield _forest(held, s)
         release()
 
-    task = ["key", "ub", "mb"]
-    pairs = dealt.repartition(*task).sortWithinPartitions(*task, "side").mapInArrow(run, "a binary, b binary")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def components(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (the least doc_id reachable by links) and kept of every row."""
+    task = ["key", "r", "ub", "mb"]
+    found = dealt.repartition(*task).sortWithinPartitions(*task, "side").mapInArrow(run, "a binary, b binary")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _links(docs: DataFrame, classes: DataFrame, s: Settings, id_col: str, text_col: str) -> DataFrame:
+    """Verified links (a, b) of classes, enough to connect all that links connect."""
+    listed, sizes = _listed(classes, s)
+    pairs = durable(_short_pairs(listed, sizes, classes, s))
+    hot = durable(listed.join(sizes.filter(F.col("n") > s.list_rows), "key").select("cls").distinct())
+    wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).union(hot).distinct()
+    texts = durable(_texts(docs, durable(wanted.join(classes.select("cls", "doc_id"), "cls")), s, id_col, text_col))
+    if not hot.head(1):
+        return _verified(pairs, texts, s)
+    whole = durable(_whole(texts.join(hot, "cls"), s))
+    listed, heads = _whole_lists(whole, s)
+    reach = F.least("most", "head_most") * (100 + s.percent) >= s.percent * (F.col("n") + F.col("head_n"))
+    stars = listed.join(heads, ["key", "r"]).filter((F.col("cls") != F.col("head")) & reach)
+    stars = durable(stars.select(F.col("head").alias("a"), F.col("cls").alias("b")).distinct())
+    links = _verified(durable(pairs.union(stars).distinct()), texts, s)
+    more = durable(_across(listed, heads, connected_components(links), whole, s))
+    return links.union(_verified(more, texts, s)) if more.head(1) else links
+
+
+def _placed(docs: DataFrame, s: Settings, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, cls, n_shingles, text_hash and component_id of every row."""
     rows = durable(sketches(docs, s, id_col, text_col))
     classes = durable(
         rows.filter("cls is not null").groupBy("cls")
         .agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
     )
-    lists, heads = _lists(classes, s)
-    stars = lists.join(heads, "key").filter("cls <> head").select(F.least("head", "cls").alias("a"), F.greatest("head", "cls").alias("b"))
-    stars = durable(stars.distinct())
-    likely = durable(_likely(stars, classes, s))
-    entry = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes.select("cls", "doc_id"), "cls")
-    links = _verified(likely, durable(_texts(docs, entry(likely), s, id_col, text_col)), s)
-    label = connected_components(links)
-
-    # What the heads did not settle: pairs of a list in different components.
-    rest = durable(_across(lists.join(heads.select("key"), "key"), heads, label, classes, s).join(stars, ["a", "b"], "left_anti"))
-    if rest.head(1):
-        more = _verified(rest, durable(_texts(docs, entry(rest), s, id_col, text_col)), s)
-        if more.head(1):
-            label = connected_components(links.unionByName(more))
-
+    label = connected_components(_links(docs, classes, s, id_col, text_col))
     named = durable(classes.select("cls", "doc_id").join(label.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls")))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    of_class = durable(named.join(least, "component").select("cls", "component_id"))
-    return rows.select("doc_id", "n_shingles", "cls").join(of_class, "cls", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
-    ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    of_class = durable(named.join(least, "component").select("cls", "component", "component_id"))
+    placed = rows.drop("sketch").join(of_class, "cls", "left")
+    return placed.withColumn("component_id", F.coalesce("component_id", "doc_id"))
+
+
+def components(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id (the least doc_id reachable by links) and kept of every row."""
+    placed = _placed(docs, s, id_col, text_col).select("doc_id", "n_shingles", "component_id")
+    return placed.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def representatives(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of docs, whole, for each component: one with the least id, also where rows or ids repeat. Rows without
+    a word link with nothing and all stay."""
+    worded = F.coalesce(F.col(text_col).rlike(WORD_CHAR), F.lit(False))
+    least = _placed(docs.filter(worded), s, id_col, text_col).groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "text_hash")).alias("x"))
+    name = "chosen"
+    while name in docs.columns:
+        name += "_"
+    # As one text: a null id then joins like any other.
+    chosen = least.select(F.struct("x.doc_id", "x.text_hash").alias(name)).select(F.to_json(name).alias(name))
+    own = F.to_json(F.struct(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash")))
+    stay = docs.filter(worded).withColumn(name, own).join(chosen, name, "left_semi")
+    return stay.dropDuplicates([name]).select(*docs.columns).unionByName(docs.filter(~worded))

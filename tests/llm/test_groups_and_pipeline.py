@@ -98,11 +98,11 @@ def planted(seed=5):
     return [(i, t) for i, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize(("n", "percent", "list_rows"), [(5, 80, 128), (3, 85, 3)])
+@pytest.mark.parametrize(("n", "percent", "list_rows"), [(5, 80, 128), (3, 85, 3), (3, 60, 2)])
 def test_near_copies_against_all_pairs(spark, n, percent, list_rows):
     rows = planted()
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("cls", F.lit("clash"))
-    s = sketch_dedup.Settings(words=n, percent=percent, list_rows=list_rows, block=7, filter_bits=12)
+    s = sketch_dedup.Settings(words=n, percent=percent, list_rows=list_rows, block_rows=6, block=7, filter_bits=12)
     got = sorted(tuple(r) for r in sketch_dedup.components(df, s).collect())
     assert got == sorted(brute(rows, n, percent))
 
@@ -132,6 +132,67 @@ def test_a_hub_keeps_all_its_copies(spark, n, percent, copies):
     assert [tuple(r) for r in got] == [(0,)]  # all resemble their original
 
 
+def test_pairs_in_a_corpus_of_one_passage(spark):
+    """400 texts share most of their words, at 0.82 of each other; 100 pairs among them are linked, at 0.86."""
+    rng, rows = random.Random(9), []
+    word = lambda: f"{rng.getrandbits(40):x}"
+    passage = [word() for _ in range(900)]
+    for k in range(300):
+        rows.append(passage + [word() for _ in range(100)])
+        if k < 100:
+            rows.append(rows[-1][:-50] + [word() for _ in range(50)])
+    rows = [(i, " ".join(r)) for i, r in enumerate(rows)]
+    rng.shuffle(rows)
+    got = sketch_dedup.components(spark.createDataFrame(rows, "doc_id long, text string"), sketch_dedup.Settings(words=3, percent=85))
+    linked = {(r["component_id"], r["doc_id"]) for r in got.filter("not kept").collect()}
+    assert linked == {(2 * k, 2 * k + 1) for k in range(100)}
+
+
+def scattered(count, size, own, seed):
+    """Copies of an original that is not among them, each with so many words replaced; every pair of neighbours at
+    an even place also shares its replacements."""
+    rng = random.Random(seed)
+    word = lambda: f"{rng.getrandbits(40):x}"
+    base, out = [word() for _ in range(size)], []
+    for k in range(count):
+        copy = list(base)
+        spots = range(3, size - 3, size // own) if k % 4 else rng.sample(range(3, size - 3), own)
+        for at in spots:
+            copy[at] = word()
+        out.append(" ".join(copy))
+        if k % 4 == 0:
+            out.append(" ".join(copy[:-1] + [word()]))
+    return list(enumerate(out))
+
+
+@pytest.mark.parametrize("own", [4, 7, 12])
+def test_a_group_without_its_original(spark, own):
+    rows = scattered(150, 150, own, own)
+    s = sketch_dedup.Settings(words=3, percent=85, list_rows=4, block_rows=16, block=5)
+    got = sorted(tuple(r) for r in sketch_dedup.components(spark.createDataFrame(rows, "doc_id long, text string"), s).collect())
+    assert got == sorted(brute(rows, 3, 85))
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(2)
+    long = [rng.choice("abcdefghij") * rng.randrange(1, 9) for _ in range(60_000)]
+    rows = [(1, " ".join(long)), (2, " ".join(long[:55_000])), (3, " ".join(long[:40_000])), (4, "a b c")]
+    got = sorted(tuple(r) for r in sketch_dedup.components(spark.createDataFrame(rows, "doc_id long, text string"), sketch_dedup.Settings(words=3, percent=85, list_rows=2)).collect())
+    assert got == sorted(brute(rows, 3, 85))
+
+
+def test_one_row_of_each_component(spark):
+    one, two = "one two three four five six", "un deux trois quatre cinq six"
+    rows = [(1, one, "a"), (2, two, "b"), (2, one, "c"), (3, two, "d"), (1, one, "e"), (None, "seven eight", "f"), (4, None, "g"), (4, None, "g"), (5, " ", "h"), (6, two.upper(), "i")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, chosen string")
+    got = sketch_dedup.representatives(df)
+    assert got.columns == df.columns
+    kept = [tuple(r) for r in got.collect()]
+    assert sorted([(r[0], r[1]) for r in kept], key=str) == sorted([(1, one), (2, two), (None, "seven eight"), (4, None), (4, None), (5, " ")], key=str)
+    assert set(kept) <= set(rows)
+    assert sketch_dedup.representatives(df.filter("false")).count() == 0
+
+
 def test_near_copies_of_given_documents(spark):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     got = sorted(tuple(r) for r in sketch_dedup.components(spark.read.parquet(f"{SF}/documents.parquet"), sketch_dedup.Settings(words=3, percent=85)).collect())
@@ -148,8 +209,9 @@ def test_estimates_of_texts_that_contain_each_other(spark):
     s = sketch_dedup.Settings(words=3, percent=85)
     got = sketch_dedup.sketches(spark.createDataFrame(rows, "doc_id long, text string"), s)
     assert all(r["sketch"] == sorted(r["sketch"]) for r in got.collect())
-    classes = got.select(F.col("doc_id").alias("cls"), "n_shingles", "sketch")
-    likely = {tuple(r) for r in sketch_dedup._likely(spark.createDataFrame(pairs, "a long, b long"), classes, s).collect()}
+    side = lambda name: got.select(F.col("doc_id").alias(name), F.struct("n_shingles", "sketch").alias(f"x{name}"))
+    both = spark.createDataFrame(pairs, "a long, b long").join(side("a"), "a").join(side("b"), "b")
+    likely = {tuple(r) for r in both.filter(sketch_dedup._likely(F.col("xa"), F.col("xb"), s)).select("a", "b").collect()}
     assert likely == set(pairs)
 
 
