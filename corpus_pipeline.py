@@ -30,11 +30,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group of near copies: five words, similarity 0.8 or more."""
+    """One row of each group of near copies, with the least id: five words, similarity 0.8 or more. Repeated rows and
+    ids are rows like any other, so of equal texts one row stays whatever their ids; a null id comes last; texts that
+    are null or without a word are no copies and stay; an empty table gives no rows."""
     short_batches(spark)
-    found = sketch_dedup.components(docs, sketch_dedup.Settings(words=5, percent=80))
-    stays = found.filter("kept").select(F.col("doc_id").alias("stays")).distinct()
-    return docs.join(stays, F.col("doc_id").eqNullSafe(F.col("stays")), "left_semi")
+    return sketch_dedup.representatives(docs, sketch_dedup.Settings(words=5, percent=80))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
