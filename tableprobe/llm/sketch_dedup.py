@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -108,7 +108,7 @@ def _sketches(norms: list[bytes], n: int, k: int) -> tuple[np.ndarray, np.ndarra
 
 
 def sketches(docs: DataFrame, s: Settings, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, cls (digest of the words; null without words), n_shingles, sketch and text_hash of every row."""
+    """doc_id, digest (of the words; null without words), n_shingles, sketch and text_hash of every row."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,13 +118,13 @@ def sketches(docs: DataFrame, s: Settings, id_col: str = "doc_id", text_col: str
                 norms = [normalised(t) for t in part]
                 count, values, kept = _sketches(norms, s.words, s.k)
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(kept)], "int32"), pa.array(values))
-                cls = [hashlib.blake2b(x, digest_size=16).digest() if x else None for x in norms]
+                digest = [hashlib.blake2b(x, digest_size=16).digest() if x else None for x in norms]
                 ids, hashes = (batch.column(c).slice(at, len(part)) for c in (0, 2))
                 at += len(part)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(cls, "binary"), pa.array(count, "int64"), lists, hashes], ["doc_id", "cls", "n_shingles", "sketch", "text_hash"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(digest, "binary"), pa.array(count, "int64"), lists, hashes], ["doc_id", "digest", "n_shingles", "sketch", "text_hash"])
         release()
 
-    return docs.select(F.col(id_col), F.col(text_col), F.xxhash64(text_col)).mapInArrow(run, f"doc_id {kind}, cls binary, n_shingles long, sketch array<long>, text_hash long")
+    return docs.select(F.col(id_col), F.col(text_col), F.xxhash64(text_col)).mapInArrow(run, f"doc_id {kind}, digest binary, n_shingles long, sketch array<long>, text_hash long")
 
 
 def _listed(classes: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
@@ -168,7 +168,7 @@ def _whole(texts: DataFrame, s: Settings) -> DataFrame:
                 at += len(part)
         release()
 
-    return texts.select("cls", "norm").mapInArrow(run, "cls binary, n long, vals array<long>")
+    return texts.select("cls", "norm").mapInArrow(run, "cls long, n long, vals array<long>")
 
 
 def _whole_lists(whole: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
@@ -195,9 +195,9 @@ def _whole_lists(whole: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
 
 
 def _texts(docs: DataFrame, wanted: DataFrame, s: Settings, id_col: str, text_col: str) -> DataFrame:
-    """cls and text (words with one blank between) of the wanted classes (cls, doc_id)."""
+    """cls and text (words with one blank between) of the wanted classes (cls, digest, doc_id)."""
     size = 1 << s.filter_bits
-    mark = F.conv(F.hex(F.substring("cls", 1, 4)), 16, 10).cast("long") % size
+    mark = F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("long") % size
     words = wanted.select(F.shiftright(mark, 6).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (mark % 64).cast("int")).alias("bit"))
     got = words.groupBy("w").agg(F.bit_or("bit").alias("bits")).toArrow()
     table = np.zeros(size >> 6, "uint64")
@@ -210,17 +210,18 @@ def _texts(docs: DataFrame, wanted: DataFrame, s: Settings, id_col: str, text_co
             out = ([], [], [])
             for row, text in enumerate(batch.column(1)):
                 norm = normalised(text.as_py())
-                cls = hashlib.blake2b(norm, digest_size=16).digest()
-                bit = int.from_bytes(cls[:4], "big") % size
+                digest = hashlib.blake2b(norm, digest_size=16).digest()
+                bit = int.from_bytes(digest[:4], "big") % size
                 if norm and int(shared.value[bit >> 6]) >> (bit & 63) & 1:
-                    for column, x in zip(out, (row, cls, norm), strict=True):
+                    for column, x in zip(out, (row, digest, norm), strict=True):
                         column.append(x)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(out[0], "int64")), pa.array(out[1], "binary"), pa.array(out[2], "binary")], ["id", "cls", "norm"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(out[0], "int64")), pa.array(out[1], "binary"), pa.array(out[2], "binary")], ["id", "digest", "norm"])
         release()
 
-    some = docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"id {kind}, cls binary, norm binary")
-    exact = some.join(wanted.select("cls", F.col("doc_id").alias("want")), "cls").filter(F.col("id").eqNullSafe(F.col("want")))
-    return exact.select("cls", "norm").dropDuplicates(["cls"])
+    some = docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"id {kind}, digest binary, norm binary")
+    # doc_id is the least id of a class, null where all are; so stated, the join has one key, by which repeats go as well.
+    exact = some.join(wanted, "digest").filter(F.coalesce(F.col("id") <= F.col("doc_id"), F.col("doc_id").isNull()))
+    return exact.select("digest", "cls", "norm").dropDuplicates(["digest"]).select("cls", "norm")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
@@ -228,7 +229,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
     blocks = durable(pairs.groupBy("a").agg(F.ceil(F.count("*") / s.block).cast("int").alias("g")))
     members = pairs.join(blocks, "a").withColumn("block", F.pmod(F.xxhash64("b"), F.col("g")).cast("int")).join(texts.withColumnRenamed("cls", "b"), "b")
     heads = blocks.join(texts.withColumnRenamed("cls", "a"), "a").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-    rows = heads.select("a", "block", F.lit(None).cast("binary").alias("b"), "norm").unionByName(members.select("a", "block", "b", "norm"))
+    rows = heads.select("a", "block", F.lit(None).cast("long").alias("b"), "norm").unionByName(members.select("a", "block", "b", "norm"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, set()
@@ -245,59 +246,146 @@ def _verified(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
                         out[1].append(row["b"])
                 else:
                     raise ValueError("a text is missing")
-            yield pa.RecordBatch.from_arrays([pa.array(x, "binary") for x in out], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, "int64") for x in out], ["a", "b"])
 
     dealt = rows.repartition("a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first())
-    return durable(dealt.mapInArrow(run, "a binary, b binary"))
-
-
-def _forest(rows: pa.Table, s: Settings) -> pa.RecordBatch:
-    """A spanning forest of the links between different components in the tasks (key, r, ub, mb) of rows, which come
-    sorted: each of side 0 with each of side 1."""
-    rows = rows.combine_chunks()
-    keys = [rows[c].to_numpy() for c in ("key", "r", "ub", "mb")]
-    edges = np.r_[0, np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) + 1, rows.num_rows]
-    side, n, most = (rows[c].to_numpy() for c in ("side", "n", "most"))
-    code = lambda c: rows[c].combine_chunks().dictionary_encode().indices.to_numpy()
-    component, lists = code("component"), rows["vals"].combine_chunks()
-    flat, ends = lists.flatten().to_numpy(), np.r_[0, np.cumsum(n)]
-    out = ([], [])
-    for p, q in zip(edges[:-1], edges[1:], strict=True):
-        cut = p + int(np.searchsorted(side[p:q], 1))
+    return durable(dealt.mapInArrow(run, "a long, b long"))
+
+
+TASK = ["key", "r", "ub", "mb"]
+
+
+def _by_task(work: Callable[[pa.Table, np.ndarray], pa.RecordBatch]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Calls work with whole tasks, of rows that come sorted by TASK, and the places where each begins and the last ends."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in _ended(batches):
+            if batch is not None:
+                held = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch])
+            if held is None or not held.num_rows:
+                continue
+            keys = [held[c].to_numpy() for c in TASK]
+            edges = np.r_[0, np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) + 1]
+            if batch is None:
+                edges = np.r_[edges, held.num_rows]
+            if len(edges) > 1:
+                yield work(held.slice(0, int(edges[-1])).combine_chunks(), edges)
+                held = held.slice(int(edges[-1]))
+        release()
+
+    return run
+
+
+def _ended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
+
+
+def _codes(rows: pa.Table, column: str) -> np.ndarray:
+    return rows[column].combine_chunks().dictionary_encode().indices.to_numpy()
+
+
+def _open(rows: pa.Table, s: Settings) -> Callable[[int, int, int], tuple[np.ndarray, np.ndarray]]:
+    """For a task at p, whose side 1 begins at cut and which ends at q: which pairs of the two sides stand in different
+    components and may be linked by their sizes and places; and the percent that they must reach, times both sizes."""
+    n, most, component = rows["n"].to_numpy(), rows["most"].to_numpy(), _codes(rows, "component")
+
+    def of(p: int, cut: int, q: int) -> tuple[np.ndarray, np.ndarray]:
         least = s.percent * (n[p:cut, None] + n[None, cut:q])
-        open_ = (component[p:cut, None] != component[None, cut:q]) & (np.minimum(most[p:cut, None], most[None, cut:q]) * (100 + s.percent) >= least)
-        if not open_.any():
-            continue
-        _, value = np.unique(flat[ends[p] : ends[q]], return_inverse=True)
-        owner = np.repeat(np.arange(q - p), n[p:q])
-        order = np.argsort(value, kind="stable")
-        value, owner = value[order], owner[order]
-        both = np.zeros((cut - p, q - cut))
-        for low in range(0, int(value[-1]) + 1, 4096):  # so many distinct values at a time
-            x, y = np.searchsorted(value, (low, low + 4096))
-            holds = np.zeros((q - p, 4096), "f4")
-            holds[owner[x:y], value[x:y] - low] = 1
-            both += holds[: cut - p] @ holds[cut - p :].T
-        up = {}
-
-        def root(x: int, up: dict = up) -> int:
-            while x in up:
-                x = up[x]
-            return x
-
-        for i, j in zip(*np.nonzero(open_ & (both * (100 + s.percent) >= least)), strict=True):
-            x, y = root(int(component[p + i])), root(int(component[cut + j]))
-            if x != y:
-                up[x] = y
-                out[0].append(p + i)
-                out[1].append(cut + j)
-    names = rows["cls"].combine_chunks()
-    return pa.RecordBatch.from_arrays([names.take(pa.array(x, "int64")) for x in out], ["a", "b"])
+        sized = np.minimum(n[p:cut, None], n[None, cut:q]) * 100 >= np.maximum(n[p:cut, None], n[None, cut:q]) * s.percent
+        placed = np.minimum(most[p:cut, None], most[None, cut:q]) * (100 + s.percent) >= least
+        return (component[p:cut, None] != component[None, cut:q]) & sized & placed, least
+
+    return of
+
+
+def _shared(value: np.ndarray, owner: np.ndarray, cut: int, rows: int) -> np.ndarray:
+    """How many values each row before cut shares with each row from it on. value: of row owner, each once a row."""
+    _, value = np.unique(value, return_inverse=True)
+    order = np.argsort(value, kind="stable")
+    value, owner = value[order], owner[order]
+    both = np.zeros((cut, rows - cut))
+    for low in range(0, int(value[-1]) + 1, 4096):  # so many distinct values at a time
+        x, y = np.searchsorted(value, (low, low + 4096))
+        holds = np.zeros((rows, 4096), "f4")
+        holds[owner[x:y], value[x:y] - low] = 1
+        both += holds[:cut] @ holds[cut:].T
+    return both
+
+
+def _near(sketch: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray, s: Settings) -> np.ndarray:
+    """Which pairs of rows (i, j) the union sketch estimates near the threshold or above. Sketches are rows of k ascending
+    values, filled up with the largest."""
+    out = np.zeros(len(i), bool)
+    for at in range(0, len(i), 20_000):
+        a, b = i[at : at + 20_000], j[at : at + 20_000]
+        both = np.sort(np.concatenate([sketch[a], sketch[b]], 1), 1)
+        place = np.arange(2 * s.k)[None] < (size[a] + size[b])[:, None]
+        new = np.concatenate([np.ones((len(a), 1), bool), both[:, 1:] != both[:, :-1]], 1)
+        rank = np.cumsum(new & place, 1)
+        shared = (~new & place & (rank <= s.k)).sum(1)
+        out[at : at + 20_000] = shared >= s.least_estimate * np.minimum(rank[:, -1], s.k)
+    return out
+
+
+def _hopeful(s: Settings) -> Callable[[pa.Table, np.ndarray], pa.RecordBatch]:
+    """The rows that have a likely partner in their task, without their sketches."""
+
+    def work(rows: pa.Table, edges: np.ndarray) -> pa.RecordBatch:
+        side, kept = rows["side"].to_numpy(), np.zeros(rows.num_rows, bool)
+        lists = rows["sketch"].combine_chunks()
+        flat, size = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+        sketch = np.full((rows.num_rows, s.k), np.iinfo("int64").max)
+        sketch[np.arange(s.k)[None] < size[:, None]] = flat
+        least, ends, of = np.array([s.shared(k) for k in range(s.k + 1)]), np.r_[0, np.cumsum(size)], _open(rows, s)
+        for p, q in zip(edges[:-1], edges[1:], strict=True):
+            cut = p + int(np.searchsorted(side[p:q], 1))
+            open_, _ = of(p, cut, q)
+            if open_.any():
+                both = _shared(flat[ends[p] : ends[q]], np.repeat(np.arange(q - p), size[p:q]), cut - p, q - p)
+                i, j = np.nonzero(open_ & (both >= np.maximum(least[size[p:cut]][:, None], least[size[cut:q]][None])))
+                near = _near(sketch, size, i + p, j + cut, s)
+                kept[i[near] + p] = kept[j[near] + cut] = True
+        return pa.RecordBatch.from_struct_array(rows.drop_columns(["sketch"]).filter(pa.array(kept)).to_struct_array().combine_chunks())
+
+    return work
+
+
+def _forest(s: Settings) -> Callable[[pa.Table, np.ndarray], pa.RecordBatch]:
+    """A spanning forest of the links between different components in each task: of each of side 0 with each of side 1."""
+
+    def work(rows: pa.Table, edges: np.ndarray) -> pa.RecordBatch:
+        side, n, component, of = rows["side"].to_numpy(), rows["n"].to_numpy(), _codes(rows, "component"), _open(rows, s)
+        flat, ends = rows["vals"].combine_chunks().flatten().to_numpy(), np.r_[0, np.cumsum(n)]
+        out: tuple[list[int], list[int]] = ([], [])
+        for p, q in zip(edges[:-1], edges[1:], strict=True):
+            cut = p + int(np.searchsorted(side[p:q], 1))
+            open_, least = of(p, cut, q)
+            if not open_.any():
+                continue
+            both = _shared(flat[ends[p] : ends[q]], np.repeat(np.arange(q - p), n[p:q]), cut - p, q - p)
+            up: dict[int, int] = {}
+            for i, j in zip(*np.nonzero(open_ & (both * (100 + s.percent) >= least)), strict=True):
+                x, y = int(component[p + i]), int(component[cut + j])
+                while x in up:
+                    x = up[x]
+                while y in up:
+                    y = up[y]
+                if x != y:
+                    up[x] = y
+                    out[0].append(p + i)
+                    out[1].append(cut + j)
+        names = rows["cls"].combine_chunks()
+        return pa.RecordBatch.from_arrays([names.take(pa.array(x, "int64")) for x in out], ["a", "b"])
+
+    return work
 
 
 def _across(listed: DataFrame, heads: DataFrame, label: DataFrame, whole: DataFrame, s: Settings) -> DataFrame:
     """Links (a, b) that join the components of label within the lists of whole sets. Of a pair in different
-    components, one at least stands outside that of the list's head: so many blocks of such classes meet all blocks."""
+    components, one at least stands outside that of the list's head: so many blocks of such classes meet all blocks.
+    They meet by their sketches first; whole sets follow only for those that have a likely partner."""
     named = lambda df, name, to: df.join(label.select(F.col("node").alias(name), F.col("component").alias(to)), name, "left").withColumn(to, F.coalesce(to, name))
     mains = durable(named(heads, "head", "main").select("key", "r", "main"))
     placed = durable(named(listed, "cls", "component").join(mains, ["key", "r"]))
@@ -310,24 +398,11 @@ def _across(listed: DataFrame, heads: DataFrame, label: DataFrame, whole: DataFr
     place = lambda side, ub, mb: F.struct(F.lit(side).alias("side"), ub.alias("ub"), mb.alias("mb"))
     members = F.transform(every("gu"), lambda x: place(1, x, block("gm")))
     others = F.when(outside == 1, F.transform(every("gm"), lambda x: place(0, block("gu"), x))).otherwise(F.array().cast("array<struct<side:int,ub:int,mb:int>>"))
-    spread = placed.join(sizes, ["key", "r"]).withColumn("t", F.explode(F.concat(members, others)))
-    dealt = spread.select("key", "r", "t.ub", "t.mb", "t.side", "cls", "component", "most").join(whole, "cls")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-        for batch in batches:
-            held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-            keys = [held[c].to_numpy() for c in ("key", "r", "ub", "mb")]
-            last = np.logical_or.reduce([k != k[-1] for k in keys]).nonzero()[0] if held.num_rows else []
-            if len(last):
-                yield _forest(held.slice(0, int(last[-1]) + 1), s)
-                held = held.slice(int(last[-1]) + 1)
-        if held is not None and held.num_rows:
-            yield _forest(held, s)
-        release()
-
-    task = ["key", "r", "ub", "mb"]
-    found = dealt.repartition(*task).sortWithinPartitions(*task, "side").mapInArrow(run, "a binary, b binary")
+    spread = placed.join(sizes, ["key", "r"]).join(whole.select("cls", F.slice("vals", 1, s.k).alias("sketch")), "cls").withColumn("t", F.explode(F.concat(members, others)))
+    rows = spread.select("key", "r", "t.ub", "t.mb", "t.side", "cls", "component", "n", "most", "sketch")
+    met = lambda df, work, schema: df.repartition(*TASK).sortWithinPartitions(*TASK, "side").mapInArrow(_by_task(work), schema)
+    hopeful = durable(met(rows, _hopeful(s), "key long, r int, ub int, mb int, side int, cls long, component long, n long, most long"))
+    found = met(hopeful.join(whole.select("cls", "vals"), "cls").select(*hopeful.columns, "vals"), _forest(s), "a long, b long")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -337,7 +412,7 @@ def _links(docs: DataFrame, classes: DataFrame, s: Settings, id_col: str, text_c
     pairs = durable(_short_pairs(listed, sizes, classes, s))
     hot = durable(listed.join(sizes.filter(F.col("n") > s.list_rows), "key").select("cls").distinct())
     wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).union(hot).distinct()
-    texts = durable(_texts(docs, durable(wanted.join(classes.select("cls", "doc_id"), "cls")), s, id_col, text_col))
+    texts = durable(_texts(docs, durable(wanted.join(classes.select("cls", "digest", "doc_id"), "cls")), s, id_col, text_col))
     if not hot.head(1):
         return _verified(pairs, texts, s)
     whole = durable(_whole(texts.join(hot, "cls"), s))
@@ -351,17 +426,18 @@ def _links(docs: DataFrame, classes: DataFrame, s: Settings, id_col: str, text_c
 
 
 def _placed(docs: DataFrame, s: Settings, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, cls, n_shingles, text_hash and component_id of every row."""
+    """doc_id, n_shingles, text_hash, component and component_id of every row."""
     rows = durable(sketches(docs, s, id_col, text_col))
-    classes = durable(
-        rows.filter("cls is not null").groupBy("cls")
-        .agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
+    least = rows.filter("digest is not null").groupBy("digest").agg(
+        F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")
     )
+    classes = durable(least.withColumn("cls", F.monotonically_increasing_id()))  # fixed by being written
     label = connected_components(_links(docs, classes, s, id_col, text_col))
-    named = durable(classes.select("cls", "doc_id").join(label.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls")))
+    named = classes.select("cls", "digest", "doc_id").join(label.withColumnRenamed("node", "cls"), "cls", "left")
+    named = durable(named.withColumn("component", F.coalesce("component", "cls")))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    of_class = durable(named.join(least, "component").select("cls", "component", "component_id"))
-    placed = rows.drop("sketch").join(of_class, "cls", "left")
+    of_class = durable(named.join(least, "component").select("digest", "component", "component_id"))
+    placed = rows.drop("sketch").join(of_class, "digest", "left")
     return placed.withColumn("component_id", F.coalesce("component_id", "doc_id"))
 
 
