@@ -14,6 +14,7 @@ rows are packed each; an empty table gives no rows. Only documents longer than a
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,38 +27,48 @@ from tableprobe.llm.common import durable
 from tableprobe.llm.tokens import release, word_encoder
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, max_tokens: int = 4096, end_id: int = 1, keep_memo: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, piece, start, length, ids (little-endian unsigned 32-bit) of every document and its end token.
+def pieces(
+    docs: DataFrame, tokenizer_path: str, max_tokens: int = 4096, end_id: int = 1, keep_memo: bool = True, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 and, with_ids, ids (little-endian unsigned 32-bit) of every document and
+    its end token.
 
-    With keep_memo a worker remembers words from task to task: faster, but it holds some 200 MB between tasks."""
+    With keep_memo a worker remembers words from task to task: faster, but it holds some 100 MB between tasks."""
     kind = docs.schema[id_col].dataType.simpleString()
+    names = ["piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
+    types = dict(zip(names, (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=False))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = word_encoder(tokenizer_path), np.array([end_id], "<u4").tobytes()
+        encode, end = word_encoder(tokenizer_path), np.array([end_id], "<u4")
         for batch in batches:
-            keys, out, held = batch.column(0), ([], [], [], [], []), 0
+            keys, held = batch.column(0), 0
+            rows: list[int] = []
+            out: dict[str, list] = {name: [] for name in names}
 
             def flush(keys=keys):
-                rows = [keys.take(pa.array(out[0], "int64"))]
-                rest = [pa.array(x, t) for x, t in zip(out[1:], ("int32", "int64", "int64", "binary"), strict=True)]
-                return pa.RecordBatch.from_arrays(rows + rest, ["doc_id", "piece", "start", "length", "ids"])
-
-            for row, ids in enumerate(encode(x.as_py() for x in batch.column(1))):
-                ids += end
-                held += len(ids)
-                for k, at in enumerate(range(0, len(ids), 4 * max_tokens)):
-                    part = ids[at : at + 4 * max_tokens]
-                    for column, x in zip(out, (row, k, at // 4, len(part) // 4, part), strict=True):
-                        column.append(x)
+                made = [keys.take(pa.array(rows, "int64")), *(pa.array(out[name], types[name]) for name in names)]
+                rows.clear()
+                for x in out.values():
+                    x.clear()
+                return pa.RecordBatch.from_arrays(made, ["doc_id", *names])
+
+            for row, ids in enumerate(encode(batch.column(1).to_pylist())):
+                data = np.concatenate([ids, end]).tobytes()
+                for k, at in enumerate(range(0, len(data), 4 * max_tokens)):
+                    part = data[at : at + 4 * max_tokens]
+                    rows.append(row)
+                    for name, x in zip(names, (k, at // 4, len(part) // 4, zlib.crc32(part), part), strict=False):
+                        out[name].append(x)
+                    held += len(part) if with_ids else 40
                 if held > 8_000_000:
                     yield flush()
-                    out, held = ([], [], [], [], []), 0
+                    held = 0
             yield flush()
         if not keep_memo:
-            encode.memo.clear()
+            encode.forget()
         release()
 
-    schema = f"doc_id {kind}, piece int, start long, length long, ids binary"
+    schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else "")
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
 
 

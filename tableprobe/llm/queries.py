@@ -20,8 +20,8 @@ def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = packing.pieces(table(spark, sf_dir, "documents"), WORD_BPE, max_tokens=4096, end_id=1)
-    return packing.pack(cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), packing.Capacity(tokens=4096))
+    cut = packing.pieces(table(spark, sf_dir, "documents"), WORD_BPE, max_tokens=4096, end_id=1, with_ids=False)
+    return packing.pack(cut, packing.Capacity(tokens=4096))
 
 
 def op3_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ in a text are ordinary text, so the separator occurs nowhere else.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,8 +39,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
         part = f"{top}/.{name}-{task.taskAttemptId()}"
         with store.open_output_stream(part) as out:
             for batch in batches:
-                for ids in encode(x.as_py() for x in batch.column(1)):
-                    out.write(np.frombuffer(ids, "<u4").astype(dtype).tobytes() + end)
+                for ids in encode(batch.column(1).to_pylist()):
+                    out.write(ids.astype(dtype).tobytes() + end)
                 rows = batch.num_rows
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.array([name] * rows), pa.array(range(n, n + rows), "int64")], ["doc_id", "file", "ordinal"]
@@ -58,13 +59,18 @@ def token_files(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame(rows, "file string, bytes long")
 
 
-def scan(files: DataFrame, folder: str, end_id: int, dtype: str = "<u2", block_tokens: int = 1 << 22) -> DataFrame:
+def blocks(files: DataFrame, width: int, block_tokens: int, task_bytes: int) -> DataFrame:
+    """file, bytes and block of every block of tokens of so many bytes, dealt to so many tasks that each reads about
+    task_bytes: the rows themselves are too small for adaptive planning to tell."""
+    files = files.filter("bytes > 0")
+    total = files.agg(F.sum("bytes")).first()[0] or 0
+    found = files.select("file", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("bytes") - 1) / (width * block_tokens)))).alias("block"))
+    return found.repartition(max(1, math.ceil(total / task_bytes)), "file", "block")
+
+
+def scan(files: DataFrame, folder: str, end_id: int, dtype: str = "<u2", block_tokens: int = 1 << 22, task_bytes: int = 16 << 20) -> DataFrame:
     """file, ordinal, start (token of the file), n_tokens (without the separator) and terminated."""
     width = np.dtype(dtype).itemsize
-    blocks = files.filter("bytes > 0").select(
-        "file", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("bytes") - 1) / (width * block_tokens)))).alias("block")
-    )
-    blocks = blocks.repartition(F.col("file"), F.col("block"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, top = pafs.FileSystem.from_uri(folder)
@@ -81,7 +87,7 @@ def scan(files: DataFrame, folder: str, end_id: int, dtype: str = "<u2", block_t
                     ["file", "block", "k", "end", "before"],
                 )
 
-    found = durable(blocks.mapInArrow(run, "file string, block long, k long, end long, before long"))
+    found = durable(blocks(files, width, block_tokens, task_bytes).mapInArrow(run, "file string, block long, k long, end long, before long"))
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     prefix = found.groupBy("file", "block").agg(F.count("*").alias("n"), F.max("end").alias("last")).select(
         "file", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"), F.coalesce(F.max("last").over(earlier), F.lit(-1)).alias("carry")

@@ -15,6 +15,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import math
 import struct
 import zipfile
 import zlib
@@ -210,8 +211,11 @@ def parse_record(data: bytes) -> dict:
     }
 
 
-def read_records(spans: DataFrame) -> DataFrame:
-    """RECORD_COLUMNS of the records at (path, at, length), each read by its range."""
+def read_records(spans: DataFrame, stretch: int = 8 << 20) -> DataFrame:
+    """RECORD_COLUMNS of the records at (path, at, length), each read by its range. Ranges are dealt by package and
+    stretch to as many tasks as there are stretches to read: a large package is read by many tasks, each in order."""
+    spans = durable(spans)
+    total = spans.agg(F.sum("length")).first()[0] or 0
     schema = pa.schema([("page_id", "int64"), ("payload_bytes", "int64"), ("payload_digest", "string"), ("record_type", "string"), ("refers_to", "int64"), ("url", "string"), ("payload", "binary")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,6 +238,5 @@ def read_records(spans: DataFrame) -> DataFrame:
         if f:
             f.close()
 
-    # Ranges are dealt by package and stretch of 8 MB: a large package is read by many tasks, each in order.
-    dealt = spans.repartition("path", F.floor(F.col("at") / (8 << 20))).sortWithinPartitions("path", "at")
+    dealt = spans.repartition(max(1, math.ceil(total / stretch)), "path", F.floor(F.col("at") / stretch)).sortWithinPartitions("path", "at")
     return dealt.mapInArrow(run, RECORD_COLUMNS)

@@ -47,7 +47,10 @@ def docs(spark):
 def test_word_memo_equals_tokenizer(texts):
     t = Tokenizer.from_file(WORD)
     want = [array.array("I", t.encode(x, add_special_tokens=False).ids).tobytes() for x in texts]
-    assert list(WordEncoder(WORD)(texts)) == want
+    encode = WordEncoder(WORD)
+    assert encode.by_words
+    assert [x.tobytes() for x in encode(texts)] == want
+    assert [x.tobytes() for x in encode(texts[::-1])] == want[::-1]  # from the memo
 
 
 def test_packing_holds_every_piece_once(spark, docs):
@@ -203,6 +206,24 @@ def test_packages_round_trip(spark):
     assert zip_warc.read_records(zip_warc.locate(none)).count() == 0
 
 
+def test_records_of_one_package_are_read_by_many_tasks(spark):
+    pages = spark.createDataFrame([(i, f"http://x/{i}", f"{i} " * 300) for i in range(200)], "page_id long, url string, html string")
+    packages = zip_warc.write_packages(zip_warc.roles(pages.coalesce(1)), run_dir(spark, "warc"))
+    read = zip_warc.read_records(zip_warc.locate(packages), stretch=4000).withColumn("task", F.spark_partition_id())
+    rows = read.collect()
+    assert len(rows) == 200 and len({r["task"] for r in rows}) > 3
+
+
+def test_blocks_are_scanned_by_many_tasks(spark):
+    folder = run_dir(spark, "tokens")
+    token_scan.write_token_files(frame(spark, ["a b c d e f g h"] * 400).coalesce(1), folder, WORD, 49407)
+    files = token_scan.token_files(spark, folder)
+    blocks = token_scan.blocks(files, 2, block_tokens=64, task_bytes=512).withColumn("task", F.spark_partition_id()).collect()
+    assert len(blocks) > 20 and len({r["task"] for r in blocks}) > 3
+    got = token_scan.scan(files, folder, 49407, block_tokens=64, task_bytes=512).collect()
+    assert len(got) == 400 and {r["n_tokens"] for r in got} == {8}
+
+
 def test_zip64_directory(tmp_path):
     data = io.BytesIO()
     with zipfile.ZipFile(data, "w") as z:
