@@ -40,8 +40,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' pieces in sequences of at most 4096 tokens."""
     short_batches(spark)
-    pieces = packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"), max_tokens=4096, end_id=1, keep_memo=False)
-    return packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), packing.Capacity(tokens=4096))
+    pieces = packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"), max_tokens=4096, end_id=1, keep_memo=False, with_ids=False)
+    return packing.pack(pieces, packing.Capacity(tokens=4096))
 
 
 STAGES = [("quality_rules", quality), ("language_id", language), ("minhash_near_dedup", near_dedup), ("best_fit_packing", pack)]
