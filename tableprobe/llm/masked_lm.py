@@ -3,16 +3,19 @@
 A bidirectional window network predicts each word from the ``reach`` words on either side: position-wise
 embeddings are summed, passed through tanh, and a two-level softmax (class, then word within class) gives a
 proper distribution over the vocabulary. A document's score is the sum of the log-probabilities of its words,
-each given its neighbours on both sides.
+each given its neighbours on both sides. Words are told apart by 64-bit hashes of their bytes.
 
 The vocabulary is the ``Settings.vocabulary`` - 2 most frequent words of all documents, a fixed bound. To the network any other
 word is the one rare word; which one it is costs its spelling besides: the log-probability of its bytes, each given
 the one before, and of its end, from counts of all rare words of all documents. So every word is predicted. Training is plain numpy inside tasks: in each
 round every partition takes steps on its documents' own positions from the round's common parameters, and
-changes are averaged by weight in two levels, so that no task and not the driver sees more than a bounded
-number of parameter blocks. All documents take part; a round learns one position in ``stride``, and as many rounds as that learn each once.
+changes are averaged by weight, a bounded number of them in each task, level by level. All documents take part; a
+round learns the words at one place in ``stride`` of each document, and as many rounds as that learn each word once.
+As each partition takes its own steps, parameters depend on how documents are dealt to partitions, within noise.
 
-Defined cases: null and empty texts have no words, log_prob 0 and no mean; a corpus without words leaves the initial parameters; repeated rows are scored each.
+Defined cases: null and empty texts have no words, log_prob 0 and no mean; a corpus without words leaves the initial
+parameters; repeated rows, and rows with a null id, are scored each; other columns are ignored; an empty table gives no
+rows; whole texts are read in any length. Scores are finite: the softmax is taken from its maximum.
 """
 
 from __future__ import annotations
@@ -28,7 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tableprobe.llm.common import durable
-from tableprobe.llm.tokens import sliced
+from tableprobe.llm.rolling import prefix_sums, span_hashes
+from tableprobe.llm.tokens import SLICE_CHARS, sliced
 
 PAD, RARE, FIRST = 0, 1, 2
 #: The symbol before a word's first byte and after its last.
@@ -43,11 +47,12 @@ class Settings:
     reach: int = 2
     stride: int = 2
     rounds: int = 2
-    batch: int = 2048
+    batch: int = 16384
     rate: float = 0.1
     seed: int = 5
-    #: Floats that travel together when changes are averaged.
+    #: Floats that travel together when changes are averaged, and changes that one task averages.
     piece: int = 16384
+    fan: int = 16
 
     @property
     def vocabulary(self) -> int:
@@ -77,44 +82,54 @@ class Network:
         return np.tanh(z)
 
     def log_probs(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-        h, out = self.hidden(context), np.empty(len(target), "f4")
-        for a, b, c, rows in self._by_class(target):
-            logits = h[rows] @ self.ww[c].T + self.bw[c]
-            out[rows] = logits[np.arange(b - a), target[rows] % self.s.members] - np.log(np.exp(logits).sum(1))
-        logits = h @ self.wc.T + self.bc
-        return out + logits[np.arange(len(target)), target // self.s.members] - np.log(np.exp(logits).sum(1))
-
-    def _by_class(self, target: np.ndarray):
+        h, within = self.hidden(context), np.empty(len(target), "f4")
+        of_class = np.concatenate([_log_share(h[k : k + 2048] @ self.wc.T + self.bc, target[k : k + 2048] // self.s.members) for k in range(0, max(1, len(target)), 2048)])
+        order, edges = self._by_class(target)
+        part, member = h[order], target[order] % self.s.members
+        for c in range(self.s.classes):
+            a, b = edges[c], edges[c + 1]
+            if a < b:
+                within[order[a:b]] = _log_share(part[a:b] @ self.ww[c].T + self.bw[c], member[a:b])
+        return of_class + within
+
+    def _by_class(self, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The positions class by class, and where each class begins."""
         of = (target // self.s.members).astype("u2")
         order = np.argsort(of, kind="stable")
-        edges = np.searchsorted(of[order], np.arange(self.s.classes + 1))
-        for c in range(self.s.classes):
-            if edges[c] < edges[c + 1]:
-                yield edges[c], edges[c + 1], c, order[edges[c] : edges[c + 1]]
+        return order, np.searchsorted(of[order], np.arange(self.s.classes + 1))
 
     def step(self, context: np.ndarray, target: np.ndarray) -> None:
         """One Adagrad step down the gradient of a batch's summed loss."""
         n = len(target)
         h = self.hidden(context)
-        p = _softmax(h @ self.wc.T + self.bc)
-        p[np.arange(n), target // self.s.members] -= 1
-        dh = p @ self.wc
-        self._move("wc", ..., p.T @ h)
-        self._move("bc", ..., p.sum(0))
-        for a, b, c, rows in self._by_class(target):
-            part = h[rows]
-            p = _softmax(part @ self.ww[c].T + self.bw[c])
-            p[np.arange(b - a), target[rows] % self.s.members] -= 1
-            dh[rows] += p @ self.ww[c]
-            self._move("ww", c, p.T @ part)
-            self._move("bw", c, p.sum(0))
+        dh, of_class, change, bias = np.empty_like(h), target // self.s.members, 0, 0
+        for k in range(0, n, 2048):  # what stays in a core's cache
+            some = slice(k, k + 2048)
+            p = h[some] @ self.wc.T
+            p += self.bc
+            _softmax(p)[np.arange(len(p)), of_class[some]] -= 1
+            dh[some] = p @ self.wc
+            change, bias = change + p.T @ h[some], bias + p.sum(0)
+        self._move("wc", ..., change)
+        self._move("bc", ..., bias)
+        order, edges = self._by_class(target)
+        part, member, back = h[order], target[order] % self.s.members, np.empty_like(dh)
+        for c in range(self.s.classes):
+            a, b = edges[c], edges[c + 1]
+            if a < b:
+                p = _softmax(part[a:b] @ self.ww[c].T + self.bw[c])
+                p[np.arange(b - a), member[a:b]] -= 1
+                back[a:b] = p @ self.ww[c]
+                self._move("ww", c, p.T @ part[a:b])
+                self._move("bw", c, p.sum(0))
+        dh[order] += back
         dz = dh * (1 - h * h)
         self._move("bias", ..., dz.sum(0))
         for o in range(context.shape[1]):
-            ids, at = np.unique(context[:, o], return_inverse=True)
-            total = np.zeros((len(ids), dz.shape[1]), "f4")
-            np.add.at(total, at, dz)
-            self._move("emb", (o, ids), total)
+            order = np.argsort(context[:, o].astype("u2"), kind="stable")
+            ids = context[order, o]
+            first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+            self._move("emb", (o, ids[first]), np.add.reduceat(dz[order], first))
 
     def _move(self, name: str, where, gradient: np.ndarray) -> None:
         squares = self.squares.setdefault(name, np.full_like(getattr(self, name), 1e-2))
@@ -123,17 +138,60 @@ class Network:
 
 
 def _softmax(logits: np.ndarray) -> np.ndarray:
-    p = np.exp(logits - logits.max(1, keepdims=True))
-    return p / p.sum(1, keepdims=True)
+    """In place."""
+    logits -= logits.max(1)[:, None]
+    np.exp(logits, out=logits)
+    logits *= np.float32(1) / logits.sum(1)[:, None]
+    return logits
+
+
+def _log_share(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The logarithm of softmax at one place of each row. The logits are overwritten."""
+    logits -= logits.max(1)[:, None]
+    own = logits[np.arange(len(at)), at]
+    return own - np.log(np.exp(logits, out=logits).sum(1))
 
 
 def words(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
-class Vocabulary(dict):
-    def __missing__(self, word: bytes) -> int:
-        return RARE
+_GAP = np.zeros(256, bool)
+_GAP[[0x20, *range(0x09, 0x0E)]] = True
+
+
+def _spans(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all texts, where each word begins and ends, and the text that it is in."""
+    parts = [(t or "").encode().lower() for t in texts]
+    raw = np.frombuffer(b" ".join(parts) + b" ", "uint8")
+    gap = _GAP[raw]
+    starts, ends = np.flatnonzero(~gap & np.r_[True, gap[:-1]]), np.flatnonzero(gap & np.r_[False, ~gap[:-1]])
+    return raw, starts, ends, np.searchsorted(np.cumsum([len(p) + 1 for p in parts]), starts, "right")
+
+
+class Vocabulary:
+    """The numbers of words, by their hashes."""
+
+    def __init__(self, some: list[bytes]):
+        self.places = {w: k for k, w in enumerate(some, FIRST)}
+        raw, starts, ends, _ = _spans([w.decode() for w in some])
+        found = span_hashes(prefix_sums(raw), starts, ends)
+        order = np.argsort(found)
+        self.hashes, self.numbers = np.r_[found[order], np.uint64(0)], np.r_[(order + FIRST).astype("int32"), np.int32(RARE)]
+
+    def __iter__(self) -> Iterator[bytes]:
+        return iter(self.places)
+
+    def __contains__(self, word: bytes) -> bool:
+        return word in self.places
+
+    def __getitem__(self, word: bytes) -> int:
+        return self.places.get(word, RARE)
+
+    def numbered(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        own = span_hashes(prefix_sums(raw), starts, ends)
+        at = np.searchsorted(self.hashes[:-1], own)
+        return np.where(self.hashes[at] == own, self.numbers[at], np.int32(RARE))
 
 
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -154,10 +212,18 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def vocabulary(docs: DataFrame, s: Settings, text_col: str = "text", counts: DataFrame | None = None) -> Vocabulary:
-    """The most frequent words of all documents; the driver gets these only."""
+    """The most frequent words of all documents; the driver gets these only. Counts of counts by sixteenths of their
+    magnitude tell first from which count on words come into question, so that no more are sent than share the last one."""
     counts = word_counts(docs, text_col) if counts is None else counts
-    top = counts.orderBy(F.desc("n"), "word").limit(s.vocabulary - FIRST).collect()
-    return Vocabulary({bytes(r["word"]): k for k, r in enumerate(top, FIRST)})
+    size = s.vocabulary - FIRST
+    level = F.floor(F.log2("n") * 16).cast("int")
+    least, found = 0, 0
+    for r in counts.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():  # 16 for each power of 2 at most
+        least, found = r["level"], found + r["count"]
+        if found >= size:
+            break
+    top = counts.filter(level >= least).orderBy(F.desc("n"), "word").limit(size).collect()
+    return Vocabulary([bytes(r["word"]) for r in top])
 
 
 def _steps(some: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -175,9 +241,9 @@ def spelling(counts: DataFrame, vocab: Vocabulary) -> np.ndarray:
     terms = counts.sparkSession.sparkContext.broadcast(vocab)  # at most s.vocabulary words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(257 * 257)
+        total, known = np.zeros(257 * 257), terms.value
         for batch in batches:
-            rows = [(w, n) for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if w not in terms.value]
+            rows = [(w, n) for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if w not in known]
             if rows:
                 symbol, before, of = _steps([w for w, _ in rows])
                 total += np.bincount(before * 257 + symbol, np.array([n for _, n in rows], "f8")[of], 257 * 257)
@@ -193,22 +259,35 @@ def spelling(counts: DataFrame, vocab: Vocabulary) -> np.ndarray:
         return np.log(table / table.sum(1, keepdims=True))
 
 
-def positions(texts: list[str | None], vocab: Vocabulary, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Contexts, targets and the text of every word."""
-    ids, of = [PAD] * reach, [-1] * reach
-    for k, t in enumerate(texts):
-        own = list(map(vocab.__getitem__, words(t)))
-        ids += own + [PAD] * reach
-        of += [k] * len(own) + [-1] * reach
-    ids, of = np.array(ids, "int32"), np.array(of, "int64")
-    at = np.flatnonzero(of >= 0)
+def positions(texts: list[str | None], vocab: Vocabulary, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Contexts, targets and the text of every word, and its place there."""
+    raw, starts, ends, of = _spans(texts)
+    own = vocab.numbered(raw, starts, ends)
+    first = np.searchsorted(of, np.arange(len(texts) + 1))
+    place = np.arange(len(of)) - first[of]
+    ids = np.full(len(of) + reach * (len(texts) + 1), PAD, "int32")
+    at = np.arange(len(of)) + reach * (of + 1)  # with so much padding before each text
+    ids[at] = own
     offsets = [o for o in range(-reach, reach + 1) if o]
-    return np.stack([ids[at + o] for o in offsets], 1), ids[at], of[at]
+    return np.stack([ids[at + o] for o in offsets], 1), own, of, place
+
+
+def learned(place: np.ndarray, turn: int, s: Settings) -> np.ndarray:
+    """Which words a round learns, by their places in their texts."""
+    return (place + turn) % s.stride == 0
 
 
-def learned(of: np.ndarray, turn: int, s: Settings) -> np.ndarray:
-    """Which positions a round learns; of has the text of each."""
-    return (np.arange(len(of)) + 5 * of + turn) % s.stride == 0
+def _spelled(texts: list[str | None], target: np.ndarray, letters: np.ndarray) -> np.ndarray:
+    """What the spelling of its rare words costs each text."""
+    raw, starts, ends, of = _spans(texts)
+    rare = np.flatnonzero(target == RARE)
+    size = ends[rare] - starts[rare] + 1  # with the end
+    last = np.cumsum(size) - 1
+    first = last - size + 1
+    symbol = raw[np.repeat(starts[rare] - first, size) + np.arange(size.sum())].astype("int64")
+    symbol[last] = EDGE
+    before = np.r_[EDGE, symbol[:-1]][: len(symbol)]  # the end of one is the start of the next
+    return np.bincount(np.repeat(of[rare], size), letters[before, symbol], len(texts))
 
 
 def train(docs: DataFrame, vocab: Vocabulary, s: Settings = Settings(), text_col: str = "text") -> Network:
@@ -221,9 +300,9 @@ def train(docs: DataFrame, vocab: Vocabulary, s: Settings = Settings(), text_col
         def run(batches: Iterator[pa.RecordBatch], start=start, turn=turn) -> Iterator[pa.RecordBatch]:
             own, seen = Network(s, start.value.copy()), 0
             for batch in batches:
-                for part in sliced(x.as_py() for x in batch.column(0)):
-                    context, target, of = positions(part, terms.value, s.reach)
-                    chosen = np.flatnonzero(learned(of, turn, s))
+                for part in sliced(batch.column(0).to_pylist(), 2 * SLICE_CHARS):
+                    context, target, _, place = positions(part, terms.value, s.reach)
+                    chosen = np.flatnonzero(learned(place, turn, s))
                     chosen = np.random.default_rng([s.seed, turn, len(target)]).permutation(chosen)
                     for k in range(0, len(chosen), s.batch):
                         own.step(context[chosen[k : k + s.batch]], target[chosen[k : k + s.batch]])
@@ -232,7 +311,7 @@ def train(docs: DataFrame, vocab: Vocabulary, s: Settings = Settings(), text_col
                 change = (own.flat - start.value) * np.float32(seen)
                 for k in range(0, len(change), s.piece):
                     yield pa.RecordBatch.from_pylist(
-                        [{"piece": k // s.piece, "branch": TaskContext.get().partitionId() % 64, "weight": float(seen), "change": change[k : k + s.piece].tobytes()}], schema
+                        [{"piece": k // s.piece, "branch": TaskContext.get().partitionId(), "weight": float(seen), "change": change[k : k + s.piece].tobytes()}], schema
                     )
 
         schema = pa.schema([("piece", "int32"), ("branch", "int32"), ("weight", "float64"), ("change", "binary")])
@@ -240,11 +319,16 @@ def train(docs: DataFrame, vocab: Vocabulary, s: Settings = Settings(), text_col
         def add(rows: pa.Table) -> pa.Table:
             total = np.sum([np.frombuffer(x, "f4") for x in rows["change"].to_pylist()], 0, dtype="f8").astype("f4")
             weight = float(np.sum(rows["weight"].to_numpy()))
-            return pa.Table.from_pylist([{"piece": rows["piece"][0].as_py(), "branch": rows["branch"][0].as_py(), "weight": weight, "change": total.tobytes()}], schema)
+            return pa.Table.from_pylist([{"piece": rows["piece"][0].as_py(), "branch": rows["branch"][0].as_py() // s.fan, "weight": weight, "change": total.tobytes()}], schema)
 
         sql = "piece int, branch int, weight double, change binary"
         changes = durable(docs.select(text_col).mapInArrow(run, sql))
-        summed = changes.groupBy("piece", "branch").applyInArrow(add, sql).groupBy("piece").applyInArrow(add, sql)
+        tasks = changes.agg(F.max("branch")).first()[0] or 0
+        summed = changes
+        while True:  # s.fan changes a task, level by level
+            summed, tasks = summed.groupBy("piece", F.floor(F.col("branch") / s.fan).cast("int").alias("up")).applyInArrow(add, sql), tasks // s.fan
+            if not tasks:
+                break
         flat = net.flat.copy()
         for r in summed.collect():  # as many rows as the parameters have pieces
             part = np.frombuffer(bytes(r["change"]), "f4") / np.float32(r["weight"])
@@ -264,15 +348,13 @@ def score(docs: DataFrame, net: Network, vocab: Vocabulary, id_col: str = "doc_i
         own = Network(s, flat.value)
         for batch in batches:
             n, total = [], []
-            for part in sliced(x.as_py() for x in batch.column(1)):
-                context, target, of = positions(part, terms.value, s.reach)
-                logs = [own.log_probs(context[k : k + 65536], target[k : k + 65536]) for k in range(0, len(target), 65536)]
+            for part in sliced(batch.column(1).to_pylist()):
+                context, target, of, _ = positions(part, terms.value, s.reach)
+                logs = [own.log_probs(context[k : k + s.batch], target[k : k + s.batch]) for k in range(0, len(target), s.batch)]
                 n.append(np.bincount(of, minlength=len(part)))
                 total.append(np.bincount(of, np.concatenate(logs).astype("f8") if logs else None, minlength=len(part)).astype("f8"))
-                if letters.value is not None and (target == RARE).any():
-                    rare = [w for t in part for w in words(t) if w not in terms.value]
-                    symbol, before, word = _steps(rare)
-                    total[-1] += np.bincount(of[target == RARE][word], letters.value[before, symbol], len(part))
+                if letters.value is not None:
+                    total[-1] += _spelled(part, target, letters.value)
             n = np.concatenate(n) if n else np.zeros(0, "int64")
             total = np.concatenate(total) if total else np.zeros(0)
             mean = pa.array(total / np.maximum(n, 1), mask=n == 0)

@@ -346,9 +346,39 @@ def test_rare_words_cost_their_spelling(spark):
 
 def test_rounds_learn_every_position_once():
     s = masked_lm.Settings()
-    of = np.repeat(np.arange(40), [1, 2, 3, 4] * 10)
-    turns = [set(np.flatnonzero(masked_lm.learned(of, turn, s))) for turn in range(s.rounds)]
-    assert sorted(x for t in turns for x in t) == list(range(len(of)))
+    place = np.concatenate([np.arange(n) for n in [1, 2, 3, 4] * 10])
+    turns = [set(np.flatnonzero(masked_lm.learned(place, turn, s))) for turn in range(s.rounds)]
+    assert sorted(x for t in turns for x in t) == list(range(len(place)))
+
+
+def test_positions_against_plain_loops():
+    vocab = masked_lm.Vocabulary([b"a", b"b", b"\xc3\xa9"])
+    texts = ["a x b", None, "", "A\tb\x1cc \u00e9 \n b", "b"]
+    context, target, of, place = masked_lm.positions(texts, vocab, 2)
+    want = []
+    for k, t in enumerate(texts):
+        ids = [0, 0, *(vocab[w] for w in masked_lm.words(t)), 0, 0]
+        want += [([ids[i - 2], ids[i - 1], ids[i + 1], ids[i + 2]], ids[i], k, i - 2) for i in range(2, len(ids) - 2)]
+    assert list(zip(context.tolist(), target.tolist(), of.tolist(), place.tolist(), strict=True)) == want
+    assert all(len(x) == 0 for x in masked_lm.positions([None, " "], vocab, 2))
+
+
+def test_large_logits_stay_finite():
+    net = masked_lm.Network(masked_lm.Settings(classes=4, members=4, width=8))
+    net.bc[0], net.bw[1, 2] = 500, -500
+    assert np.isfinite(net.log_probs(np.zeros((16, 4), "int32"), np.arange(16, dtype="int32"))).all()
+
+
+def test_model_of_nothing_and_of_clashing_columns(spark):
+    s = masked_lm.Settings(classes=2, members=2, width=4)
+    none = spark.createDataFrame([], "doc_id long, text string")
+    vocab = masked_lm.vocabulary(none, s)
+    net = masked_lm.train(none, vocab, s)
+    assert list(vocab) == [] and (net.flat == masked_lm.Network(s).flat).all() and masked_lm.score(none, net, vocab).count() == 0
+    df = spark.createDataFrame([(None, "a b", 1), (1, "a b", 2), (1, "a b", 3), (2, "a " * 300_000, 4)], "doc_id long, text string, log_prob long")
+    vocab = masked_lm.vocabulary(df, s)
+    got = masked_lm.score(df, masked_lm.train(df.repartition(40), vocab, s), vocab).collect()
+    assert len(got) == 4 and len({r["log_prob"] for r in got if r["n_words"] == 2}) == 1 and max(r["n_words"] for r in got) == 300_000
 
 
 # ---- 8 separator scan
