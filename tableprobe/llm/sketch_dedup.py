@@ -194,8 +194,8 @@ def _whole_lists(whole: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
     return listed, durable(heads.select("key", "r", F.col("h.cls").alias("head"), F.col("h.n").alias("head_n"), F.col("h.most").alias("head_most")))
 
 
-def _texts(docs: DataFrame, wanted: DataFrame, s: Settings, id_col: str, text_col: str) -> DataFrame:
-    """cls and text (words with one blank between) of the wanted classes (cls, digest, doc_id)."""
+def _texts(docs: DataFrame, wanted: DataFrame, s: Settings, text_col: str) -> DataFrame:
+    """cls and text (words with one blank between) of the wanted classes (cls, digest)."""
     size = 1 << s.filter_bits
     mark = F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("long") % size
     words = wanted.select(F.shiftright(mark, 6).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (mark % 64).cast("int")).alias("bit"))
@@ -203,25 +203,22 @@ def _texts(docs: DataFrame, wanted: DataFrame, s: Settings, id_col: str, text_co
     table = np.zeros(size >> 6, "uint64")
     table[got["w"].to_numpy()] = got["bits"].to_numpy().view("uint64")
     shared = docs.sparkSession.sparkContext.broadcast(table)  # 2 ** filter_bits bits
-    kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = ([], [], [])
-            for row, text in enumerate(batch.column(1)):
+            digests, norms = [], []
+            for text in batch.column(0):
                 norm = normalised(text.as_py())
                 digest = hashlib.blake2b(norm, digest_size=16).digest()
                 bit = int.from_bytes(digest[:4], "big") % size
                 if norm and int(shared.value[bit >> 6]) >> (bit & 63) & 1:
-                    for column, x in zip(out, (row, digest, norm), strict=True):
-                        column.append(x)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(out[0], "int64")), pa.array(out[1], "binary"), pa.array(out[2], "binary")], ["id", "digest", "norm"])
+                    digests.append(digest)
+                    norms.append(norm)
+            yield pa.RecordBatch.from_arrays([pa.array(digests, "binary"), pa.array(norms, "binary")], ["digest", "norm"])
         release()
 
-    some = docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"id {kind}, digest binary, norm binary")
-    # doc_id is the least id of a class, null where all are; so stated, the join has one key, by which repeats go as well.
-    exact = some.join(wanted, "digest").filter(F.coalesce(F.col("id") <= F.col("doc_id"), F.col("doc_id").isNull()))
-    return exact.select("digest", "cls", "norm").dropDuplicates(["digest"]).select("cls", "norm")
+    some = docs.select(F.col(text_col)).mapInArrow(run, "digest binary, norm binary")
+    return some.dropDuplicates(["digest"]).join(wanted, "digest").select("cls", "norm")  # copies go within tasks first
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
@@ -406,13 +403,13 @@ def _across(listed: DataFrame, heads: DataFrame, label: DataFrame, whole: DataFr
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _links(docs: DataFrame, classes: DataFrame, s: Settings, id_col: str, text_col: str) -> DataFrame:
+def _links(docs: DataFrame, classes: DataFrame, s: Settings, text_col: str) -> DataFrame:
     """Verified links (a, b) of classes, enough to connect all that links connect."""
     listed, sizes = _listed(classes, s)
     pairs = durable(_short_pairs(listed, sizes, classes, s))
     hot = durable(listed.join(sizes.filter(F.col("n") > s.list_rows), "key").select("cls").distinct())
     wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).union(hot).distinct()
-    texts = durable(_texts(docs, durable(wanted.join(classes.select("cls", "digest", "doc_id"), "cls")), s, id_col, text_col))
+    texts = durable(_texts(docs, durable(wanted.join(classes.select("cls", "digest"), "cls")), s, text_col))
     if not hot.head(1):
         return _verified(pairs, texts, s)
     whole = durable(_whole(texts.join(hot, "cls"), s))
@@ -432,7 +429,7 @@ def _placed(docs: DataFrame, s: Settings, id_col: str, text_col: str) -> DataFra
         F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")
     )
     classes = durable(least.withColumn("cls", F.monotonically_increasing_id()))  # fixed by being written
-    label = connected_components(_links(docs, classes, s, id_col, text_col))
+    label = connected_components(_links(docs, classes, s, text_col))
     named = classes.select("cls", "digest", "doc_id").join(label.withColumnRenamed("node", "cls"), "cls", "left")
     named = durable(named.withColumn("component", F.coalesce("component", "cls")))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
