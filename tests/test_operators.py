@@ -147,3 +147,18 @@ def test_reports_and_tags(spark):
     entries = spark.createDataFrame([(0, "n", "by name"), (0, "zz", "by place")], "place int, name string, description string")
     assert {(r["description"], r["column"]) for r in report.dictionary_attach(entries, profile).collect()} == {("by name", "n"), ("by place", "c")}
     assert structure.industry_hints(df.withColumnRenamed("c", "patient_name")).first()["industry"] == "healthcare"
+
+
+def test_dates_with_month_names(spark):
+    want = {
+        "January 5, 2024": "2024-01-05", "Jan 5, 2024": "2024-01-05", "5 January 2024": "2024-01-05", "5 Jan 2024": "2024-01-05", "Sept 5, 2024": "2024-09-05",
+        "Jan 5 2024": "2024-01-05", "5-Jan-2024": "2024-01-05", "jun. 30, 1999": "1999-06-30", "Fri, Jan 5, 2024 10:30": "2024-01-05", "MAY 1, 2020": "2020-05-01",
+        "Feb 30, 2024": "2024-03-01", "ORD-50276": None, "SKU-2024": None, "Mayor 5, 2024": None, "Jan 45, 2024": None, "5 marching 2024": None, "market 5 2024": None,
+        "2024-02-30": None, "2024-02-29T10:00:00Z": "2024-02-29", "0000-01-01": None, "25/12/2024": "2024-12-25", "1.2.3": "2003-01-02", "1/1/69": "1969-01-01", "2024/3/4": "2024-03-04",
+        "": None, "  2024-01-31\u00a0": "2024-01-31", "31/04/2024": None, "13/13/2024": None, "99999-01-01": None,
+    }
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(want)], "row_id long, d string")
+    got = {r["original"]: r["normalized"] for r in calendar.date_values(df, "d", "2024-12-31").collect()}
+    assert got == want
+    numbers = spark.createDataFrame([(1, 20240131, 1.5, True)], "row_id long, a long, b double, c boolean")
+    assert [r["n_parsed"] for r in calendar.detect_date_columns(numbers, ["a", "b", "c"]).collect()] == [0, 0, 0]
