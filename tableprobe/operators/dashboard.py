@@ -112,17 +112,17 @@ def segment_kpis(df: DataFrame, segment: str, measure: str, total_rows: int | No
 
 
 def _folded(groups: DataFrame) -> DataFrame:
-    """name, value: more than six groups become the five largest and the rest."""
-    ranked = groups.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("value"), "seen")))
-    ranked = ranked.withColumn("k", F.count("*").over(Window.partitionBy()))
-    folds = (F.col("k") > GROUPS) & (F.col("rank") >= GROUPS)
-    out = ranked.withColumns({"name": F.when(folds, OTHER).otherwise(F.col("name")), "place": F.least("rank", F.lit(GROUPS))})
-    return out.groupBy("name", F.when(folds, GROUPS).otherwise(F.col("rank")).alias("place")).agg(F.sum("value").alias("value"))
+    """name, place, value: more than six groups become the five largest and the rest. Tasks send their largest six only;
+    the rest is one sum over the groups that are not among the five."""
+    top = groups.orderBy(F.desc("value"), "seen").limit(GROUPS)
+    top = top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("value"), "seen")))  # six rows
+    kept = top.crossJoin(F.broadcast(groups.agg(F.count("*").alias("k")))).filter((F.col("k") <= GROUPS) | (F.col("place") < GROUPS))  # one row
+    rest = groups.join(F.broadcast(kept.select("name")), "name", "left_anti").agg(F.sum("value").alias("value")).filter("value is not null")  # six rows
+    return kept.select("name", "place", "value").unionByName(rest.select(F.lit(OTHER).alias("name"), F.lit(GROUPS).alias("place"), "value"))
 
 
 def category_breakdown(df: DataFrame, column: str, row_id: str = "row_id") -> DataFrame:
-    """name, place, value: rows per trimmed value. Grouping comes before ranking, so one task ranks groups
-    of a column with few values, never rows."""
+    """name, place, value: rows per trimmed value."""
     name = F.coalesce(_category(df, column), F.lit(MISSING))
     return _folded(df.groupBy(name.alias("name")).agg(F.count("*").alias("value"), F.min(row_id).alias("seen")))
 

@@ -10,6 +10,7 @@ from tableprobe.functions.values import INCONSISTENT_ERROR, classify_bucket, emp
 from tableprobe.operators.shape import cells, first_rows, per_column
 
 MAX_CATEGORIES, MAX_DISTANCE, SAMPLES = 49, 2, 5
+BUCKETS = ("number", "boolean", "date", "string")
 FINDING = ("check_name", "column", "idx", "count", "percentage", "severity")
 
 
@@ -49,10 +50,16 @@ def duplicate_samples(df: DataFrame, columns: list[str], row_id: str = "row_id",
 
 
 def type_buckets(df: DataFrame, columns: list[str], row_id: str = "row_id") -> DataFrame:
-    """column, idx, bucket, n, first_row."""
-    value = lambda c: classify_bucket(F.col(c), df.schema[c].dataType)
-    long = cells(df, columns, row_id, value).filter("value is not null")
-    return long.groupBy("column", "idx", F.col("value").alias("bucket")).agg(F.count("*").alias("n"), F.min("row_id").alias("first_row"))
+    """column, idx, bucket, n, first_row: one aggregation of the wide table."""
+    wide = df.select(F.col(row_id).alias("row_id"), *[classify_bucket(F.col(c), df.schema[c].dataType).alias(f"b{i}") for i, c in enumerate(columns)])
+    place = {c: f"b{i}" for i, c in enumerate(columns)}
+
+    def stats(c):
+        return {b: F.struct(F.count_if(F.col(place[c]) == b).alias("n"), F.min(F.when(F.col(place[c]) == b, F.col("row_id"))).alias("first_row")) for b in BUCKETS}
+
+    each = F.array(*[F.struct(F.lit(b).alias("bucket"), F.col(b).alias("s")) for b in BUCKETS])
+    found = per_column(wide, columns, stats).select("column", "idx", F.explode(each).alias("e"))
+    return found.select("column", "idx", "e.bucket", "e.s.n", "e.s.first_row").filter("n > 0")
 
 
 def mixed_types(df: DataFrame, columns: list[str], row_id: str = "row_id") -> DataFrame:
@@ -121,6 +128,7 @@ def category_clusters(values: DataFrame) -> DataFrame:
         near = both.join(label.withColumnRenamed("value", "b"), ["column", "b"]).groupBy("column", F.col("a").alias("value")).agg(F.min("cluster").alias("near"))
         after = label.join(near, ["column", "value"]).select("column", "value", F.least("cluster", "near").alias("cluster"), (F.col("near") < F.col("cluster")).alias("moved"))
         if not after.filter("moved").head(1):
+            both.unpersist()
             return label
         label = after.drop("moved")
 

@@ -25,3 +25,28 @@ def first_rows(df: DataFrame, keys: list[str], order: list[Column], k: int, name
     from pyspark.sql import Window
 
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col(name) <= k)
+
+
+def first_cells(df: DataFrame, columns: list[str], row_id: str, k: int, empty) -> DataFrame:
+    """row_id, column, idx, rank and the row's columns under c: the first k cells of each column that are not empty(name).
+
+    Most columns have them among the first rows, which are cut out once (one small job tells which); only the cells
+    of the others are ranked over the whole table."""
+    kept = df.select(F.col(row_id).alias("row_id"), *[F.struct(F.when(~empty(c), F.lit(True)).alias("filled"), F.col(f"`{c}`").alias("v")).alias(f"c{i}") for i, c in enumerate(columns)])
+    head = kept.orderBy("row_id").limit(10 * k)
+    told = head.agg(F.count("*"), *[F.count(f"c{i}.filled") for i in range(len(columns))]).first()
+    near = [i for i in range(len(columns)) if told[0] < 10 * k or told[i + 1] >= k]
+    out = None
+    for source, places in ((head, near), (kept, [i for i in range(len(columns)) if i not in near])):
+        if places:
+            filled = [F.when(F.col(f"c{i}.filled"), F.struct(F.lit(columns[i]).alias("column"), F.lit(i).alias("idx"))) for i in places]
+            row = F.struct(*[F.when(F.col("e.idx") == i, F.col(f"c{i}.v")).alias(f"c{i}") for i in range(len(columns))])
+            long = source.withColumn("e", F.explode(F.array_compact(F.array(*filled)))).select("row_id", "e.column", "e.idx", row.alias("c"))
+            part = first_rows(long, ["column"], [F.col("row_id")], k)
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
+def of_cell(columns: list[str], make) -> Column:
+    """What make(Column, name) makes of the cell of a row of first_cells."""
+    return F.coalesce(*[F.when(F.col("idx") == i, make(F.col(f"c.c{i}"), c)) for i, c in enumerate(columns)])

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tableprobe.functions.values import classify_value, empty_of
-from tableprobe.operators.shape import cells, first_rows, per_column
+from tableprobe.operators.shape import first_cells, of_cell, per_column
 
 TYPE_SAMPLE, SAMPLES, MAJORITY = 200, 5, 0.7
 # Industries and the words in column names that hint at them.
@@ -34,17 +34,28 @@ def _type_from_counts(total) -> object:
 
 def infer_types(df: DataFrame, columns: list[str], row_id: str = "row_id", sample: int | None = TYPE_SAMPLE) -> DataFrame:
     """column, idx and data_type by majority of the first values that are not empty (sample None: of all)."""
-    kinds = ("boolean", "integer", "float", "date")
     if sample is None:
-        count = lambda c: {k: F.count_if(classify_value(F.col(c), df.schema[c].dataType) == k) for k in kinds} | {"total": F.count_if(~empty_of(df, c))}
-        counted = per_column(df, columns, count)
-    else:
-        value = lambda c: classify_value(F.col(c), df.schema[c].dataType)
-        seen = first_rows(cells(df, columns, row_id, value).filter("value is not null"), ["column"], [F.col("row_id")], sample)
-        found = seen.groupBy("column").agg(F.count("*").alias("total"), *[F.count_if(F.col("value") == k).alias(k) for k in kinds])
-        counted = _names(df, columns).join(found, "column", "left")
-    total = F.coalesce(F.col("total"), F.lit(0))
-    return counted.select("column", "idx", _type_from_counts(total).alias("data_type"))
+        count = lambda c: {k: F.count_if(classify_value(F.col(c), df.schema[c].dataType) == k) for k in _KINDS} | {"total": F.count_if(~empty_of(df, c))}
+        return _typed(per_column(df, columns, count))
+    return _typed(_sampled_kinds(df, columns, _first(df, columns, row_id, sample)))
+
+
+_KINDS = ("boolean", "integer", "float", "date")
+
+
+def _typed(counted: DataFrame) -> DataFrame:
+    return counted.select("column", "idx", _type_from_counts(F.coalesce(F.col("total"), F.lit(0))).alias("data_type"))
+
+
+def _first(df: DataFrame, columns: list[str], row_id: str, k: int) -> DataFrame:
+    return first_cells(df, columns, row_id, k, lambda c: empty_of(df, c))
+
+
+def _sampled_kinds(df: DataFrame, columns: list[str], seen: DataFrame) -> DataFrame:
+    kind = of_cell(columns, lambda v, c: classify_value(v, df.schema[c].dataType))
+    seen = seen.select("column", kind.alias("kind"))
+    found = seen.groupBy("column").agg(F.count("*").alias("total"), *[F.count_if(F.col("kind") == k).alias(k) for k in _KINDS])
+    return _names(df, columns).join(found, "column", "left")
 
 
 def _names(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -53,15 +64,20 @@ def _names(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def sample_values(df: DataFrame, columns: list[str], row_id: str = "row_id", k: int = SAMPLES) -> DataFrame:
     """column, idx, rank, value: the first values of each column that are not empty."""
-    value = lambda c: F.when(~empty_of(df, c), F.col(c).cast("string"))
-    return first_rows(cells(df, columns, row_id, value).filter("value is not null"), ["column"], [F.col("row_id")], k).drop("row_id")
+    return _texts(columns, _first(df, columns, row_id, k))
+
+
+def _texts(columns: list[str], seen: DataFrame) -> DataFrame:
+    return seen.select("column", "idx", "rank", of_cell(columns, lambda v, c: v.cast("string")).alias("value"))
 
 
 def structural_profile(df: DataFrame, columns: list[str], row_id: str = "row_id") -> DataFrame:
     """column, idx, data_type and samples (in order, joined by ' | ')."""
-    lists = sample_values(df, columns, row_id).groupBy("column").agg(F.sort_array(F.collect_list(F.struct("rank", "value"))).alias("s"))
+    seen = _first(df, columns, row_id, TYPE_SAMPLE)
+    lists = _texts(columns, seen.filter(F.col("rank") <= SAMPLES)).groupBy("column").agg(F.sort_array(F.collect_list(F.struct("rank", "value"))).alias("s"))
     text = F.array_join(F.transform("s", lambda x: x["value"]), " | ")
-    return infer_types(df, columns, row_id).join(lists, "column", "left").select("column", "idx", "data_type", F.coalesce(text, F.lit("")).alias("samples"))
+    types = _typed(_sampled_kinds(df, columns, seen))
+    return types.join(lists, "column", "left").select("column", "idx", "data_type", F.coalesce(text, F.lit("")).alias("samples"))
 
 
 def dictionary_tags(profile: DataFrame) -> DataFrame:
