@@ -201,8 +201,12 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
         held: Counter[bytes] = Counter()
         out = lambda: pa.RecordBatch.from_arrays([pa.array(list(held), "binary"), pa.array(list(held.values()), "int64")], ["word", "n"])
         for batch in batches:
-            for text in batch.column(0):
-                held.update(words(text.as_py()))
+            for part in sliced(batch.column(0).to_pylist(), 2 * SLICE_CHARS):
+                raw, starts, ends, _ = _spans(part)
+                _, first, n = np.unique(span_hashes(prefix_sums(raw), starts, ends), return_index=True, return_counts=True)
+                data = raw.tobytes()
+                for p, q, k in zip(starts[first].tolist(), ends[first].tolist(), n.tolist(), strict=True):
+                    held[data[p:q]] += k
                 if len(held) > 400_000:
                     yield out()
                     held.clear()
@@ -259,17 +263,32 @@ def spelling(counts: DataFrame, vocab: Vocabulary) -> np.ndarray:
         return np.log(table / table.sum(1, keepdims=True))
 
 
-def positions(texts: list[str | None], vocab: Vocabulary, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Contexts, targets and the text of every word, and its place there."""
-    raw, starts, ends, of = _spans(texts)
-    own = vocab.numbered(raw, starts, ends)
-    first = np.searchsorted(of, np.arange(len(texts) + 1))
-    place = np.arange(len(of)) - first[of]
-    ids = np.full(len(of) + reach * (len(texts) + 1), PAD, "int32")
-    at = np.arange(len(of)) + reach * (of + 1)  # with so much padding before each text
-    ids[at] = own
-    offsets = [o for o in range(-reach, reach + 1) if o]
-    return np.stack([ids[at + o] for o in offsets], 1), own, of, place
+class Positions:
+    """The words of texts: the number (target), the text (of) and the place there of each; context gives the neighbours."""
+
+    def __init__(self, texts: list[str | None], vocab: Vocabulary, reach: int):
+        self.texts, self.reach, self.spans = len(texts), reach, _spans(texts)
+        raw, starts, ends, self.of = self.spans
+        self.target = vocab.numbered(raw, starts, ends)
+        self.place = np.arange(len(self.of)) - np.searchsorted(self.of, np.arange(len(texts) + 1))[self.of]
+        self._ids = np.full(len(self.of) + reach * (len(texts) + 1), PAD, "int32")
+        self._at = np.arange(len(self.of)) + reach * (self.of + 1)  # with so much padding before each text
+        self._ids[self._at] = self.target
+
+    def context(self, some) -> np.ndarray:
+        at = self._at[some]
+        return np.stack([self._ids[at + o] for o in range(-self.reach, self.reach + 1) if o], 1)
+
+    def spelled(self, letters: np.ndarray) -> np.ndarray:
+        """What the spelling of its rare words costs each text."""
+        raw, starts, ends, of = self.spans
+        rare = np.flatnonzero(self.target == RARE)
+        size = ends[rare] - starts[rare] + 1  # with the end
+        last = np.cumsum(size) - 1
+        symbol = raw[np.repeat(starts[rare] - (last - size + 1), size) + np.arange(size.sum())].astype("int64")
+        symbol[last] = EDGE
+        before = np.r_[EDGE, symbol[:-1]][: len(symbol)]  # the end of one is the start of the next
+        return np.bincount(np.repeat(of[rare], size), letters[before, symbol], self.texts)
 
 
 def learned(place: np.ndarray, turn: int, s: Settings) -> np.ndarray:
@@ -277,19 +296,6 @@ def learned(place: np.ndarray, turn: int, s: Settings) -> np.ndarray:
     return (place + turn) % s.stride == 0
 
 
-def _spelled(texts: list[str | None], target: np.ndarray, letters: np.ndarray) -> np.ndarray:
-    """What the spelling of its rare words costs each text."""
-    raw, starts, ends, of = _spans(texts)
-    rare = np.flatnonzero(target == RARE)
-    size = ends[rare] - starts[rare] + 1  # with the end
-    last = np.cumsum(size) - 1
-    first = last - size + 1
-    symbol = raw[np.repeat(starts[rare] - first, size) + np.arange(size.sum())].astype("int64")
-    symbol[last] = EDGE
-    before = np.r_[EDGE, symbol[:-1]][: len(symbol)]  # the end of one is the start of the next
-    return np.bincount(np.repeat(of[rare], size), letters[before, symbol], len(texts))
-
-
 def train(docs: DataFrame, vocab: Vocabulary, s: Settings = Settings(), text_col: str = "text") -> Network:
     """Parameters after s.rounds rounds over all documents."""
     net, sc = Network(s), docs.sparkSession.sparkContext
@@ -301,11 +307,11 @@ def train(docs: DataFrame, vocab: Vocabulary, s: Settings = Settings(), text_col
             own, seen = Network(s, start.value.copy()), 0
             for batch in batches:
                 for part in sliced(batch.column(0).to_pylist(), 2 * SLICE_CHARS):
-                    context, target, _, place = positions(part, terms.value, s.reach)
-                    chosen = np.flatnonzero(learned(place, turn, s))
-                    chosen = np.random.default_rng([s.seed, turn, len(target)]).permutation(chosen)
+                    found = Positions(part, terms.value, s.reach)
+                    chosen = np.flatnonzero(learned(found.place, turn, s))
+                    chosen = np.random.default_rng([s.seed, turn, len(found.target)]).permutation(chosen)
                     for k in range(0, len(chosen), s.batch):
-                        own.step(context[chosen[k : k + s.batch]], target[chosen[k : k + s.batch]])
+                        own.step(found.context(chosen[k : k + s.batch]), found.target[chosen[k : k + s.batch]])
                     seen += len(chosen)
             if seen:
                 change = (own.flat - start.value) * np.float32(seen)
@@ -349,12 +355,13 @@ def score(docs: DataFrame, net: Network, vocab: Vocabulary, id_col: str = "doc_i
         for batch in batches:
             n, total = [], []
             for part in sliced(batch.column(1).to_pylist()):
-                context, target, of, _ = positions(part, terms.value, s.reach)
-                logs = [own.log_probs(context[k : k + s.batch], target[k : k + s.batch]) for k in range(0, len(target), s.batch)]
-                n.append(np.bincount(of, minlength=len(part)))
-                total.append(np.bincount(of, np.concatenate(logs).astype("f8") if logs else None, minlength=len(part)).astype("f8"))
+                found = Positions(part, terms.value, s.reach)
+                cuts = [slice(k, k + s.batch) for k in range(0, len(found.target), s.batch)]
+                logs = [own.log_probs(found.context(x), found.target[x]) for x in cuts]
+                n.append(np.bincount(found.of, minlength=len(part)))
+                total.append(np.bincount(found.of, np.concatenate(logs).astype("f8") if logs else None, minlength=len(part)).astype("f8"))
                 if letters.value is not None:
-                    total[-1] += _spelled(part, target, letters.value)
+                    total[-1] += found.spelled(letters.value)
             n = np.concatenate(n) if n else np.zeros(0, "int64")
             total = np.concatenate(total) if total else np.zeros(0)
             mean = pa.array(total / np.maximum(n, 1), mask=n == 0)

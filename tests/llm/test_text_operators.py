@@ -354,13 +354,15 @@ def test_rounds_learn_every_position_once():
 def test_positions_against_plain_loops():
     vocab = masked_lm.Vocabulary([b"a", b"b", b"\xc3\xa9"])
     texts = ["a x b", None, "", "A\tb\x1cc \u00e9 \n b", "b"]
-    context, target, of, place = masked_lm.positions(texts, vocab, 2)
+    got = masked_lm.Positions(texts, vocab, 2)
     want = []
     for k, t in enumerate(texts):
         ids = [0, 0, *(vocab[w] for w in masked_lm.words(t)), 0, 0]
         want += [([ids[i - 2], ids[i - 1], ids[i + 1], ids[i + 2]], ids[i], k, i - 2) for i in range(2, len(ids) - 2)]
-    assert list(zip(context.tolist(), target.tolist(), of.tolist(), place.tolist(), strict=True)) == want
-    assert all(len(x) == 0 for x in masked_lm.positions([None, " "], vocab, 2))
+    every = slice(None)
+    assert list(zip(got.context(every).tolist(), got.target.tolist(), got.of.tolist(), got.place.tolist(), strict=True)) == want
+    none = masked_lm.Positions([None, " "], vocab, 2)
+    assert len(none.target) == len(none.context(every)) == 0
 
 
 def test_large_logits_stay_finite():
