@@ -57,8 +57,10 @@ def vectors(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding")
             for k in range(len(column)):
                 x = values[offsets[k] : offsets[k + 1]]
                 wide = x.astype("f8")
-                fine = valid[k] and len(x) and np.isfinite(wide).all() and 0 < wide @ wide < np.inf
-                out.append(x.tobytes() if fine else None)
+                top = np.abs(wide).max() if valid[k] and len(x) and np.isfinite(wide).all() else 0
+                if top and not 1e-150 < top < 1e150:  # squares would leave the range of doubles; cosines stay as they are
+                    x = (wide / top).astype(dtype)
+                out.append(x.tobytes() if top else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, "binary")], ["vec_id", "vec"])
 
     made = rows.select(F.col(id_col), F.col(vec_col).cast(cast)).mapInArrow(run, f"vec_id {kind}, vec binary")

@@ -64,6 +64,13 @@ def test_embeddings_against_all_pairs(spark):
     assert embedding_dedup.links_and_components(df.filter("false")).count() == 0
 
 
+def test_embeddings_of_extreme_size(spark):
+    rows = [(1, [1e200, 0.0]), (2, [1e200, 0.0]), (3, [1e-170, 0.0]), (4, [1.0, 0.0]), (5, [0.0, 5e-324]), (6, [0.0, 1e300]), (7, [0.0, 0.0]), (None, [3.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embedding_dedup.links_and_components(df).collect()}
+    assert got == {1: (4, 1, True), 2: (4, 1, False), 3: (4, 1, False), 4: (4, 1, False), None: (4, 1, False), 5: (1, 5, True), 6: (1, 5, False), 7: (0, 7, True)}
+
+
 def brute(rows, n, percent):
     sets = [sketch_dedup.shingle_set(sketch_dedup.normalised(t), n) for _, t in rows]
     groups = Sets(len(rows))
