@@ -15,8 +15,9 @@ ACTIONS = ("drop-row", "fill-default", "leave-null")
 TARGETS = ("string", "integer", "float", "number", "date", "boolean")
 CHANGES = ("value-mapping", "type-coercion", "missing-value", "skipped-invalid-column")
 AUDIT = "seq int, column string, change_type string, detail string, reason string, affected_rows long, failed_rows long, applied boolean"
-#: More mappings of one column than this are joined as a table.
+#: More mappings of one column than this are joined as a table; a table of at most BROADCAST_ROWS is broadcast.
 WHEN_CHAIN = 50
+BROADCAST_ROWS = 100_000
 
 
 class PlanError(ValueError):
@@ -81,23 +82,28 @@ def load_plan(source: str | dict) -> Plan:
     return Plan(tuple(plans), data.get("summary"))
 
 
-def composed(mappings: list[tuple[str, str]]) -> dict[str, str]:
-    """from -> final to, when each mapping sees the one before's result."""
-    out: dict[str, str] = {}
-    for a, b in mappings:
-        for k, v in out.items():
-            if v == a:
-                out[k] = b
-        out.setdefault(a, b)
-    return out
+def composed(mappings: list[tuple[str, str]]) -> dict[str, tuple[str, tuple[int, ...]]]:
+    """from -> final to and the places of the mappings on its way, when each mapping sees the one before's result."""
+    at: dict[str, list[str]] = {}  # where a value stands now: the values that started there or came there
+    way: dict[str, list[int]] = {}
+    for k, (a, b) in enumerate(mappings):
+        come = at.pop(a, [])
+        if a not in way:
+            way[a] = []
+            come.append(a)
+        for start in come:
+            way[start].append(k)
+        at.setdefault(b, []).extend(come)
+    return {start: (b, tuple(way[start])) for b, starts in at.items() for start in starts}
 
 
 def apply_cleaning_plan(df: DataFrame, plan: Plan) -> tuple[DataFrame, DataFrame]:
     """(cleaned, audit). Mappings in their order, then coercion, then, over all columns, missing values.
 
     Touched columns are text afterwards; a cell that cannot be coerced stays as it is and counts as failed.
-    Dropped rows are those that any drop-row column lacks; counters are one aggregation."""
-    spark, out, entries, counters, drops = df.sparkSession, df, [], [], []
+    Dropped rows are those that any drop-row column lacks. The audit is made here and now: its counters are one
+    aggregation, and one more for each column of more than WHEN_CHAIN mappings; ``cleaned`` reads the source again."""
+    spark, entries, counters, drops, counts = df.sparkSession, [], [], [], {}
 
     def count(condition) -> str:
         counters.append(F.count_if(F.coalesce(condition, F.lit(False))).alias(name := f"n{len(counters)}"))
@@ -117,13 +123,19 @@ def apply_cleaning_plan(df: DataFrame, plan: Plan) -> tuple[DataFrame, DataFrame
                 entries.append((p.column, CHANGES[0], f"{a} -> {b}", reason, count(c == a), None))
                 c = F.when(c == a, F.lit(b)).otherwise(c)
         else:
-            table = spark.createDataFrame(list(composed([m[:2] for m in p.mappings]).items()), "_from string, _to string")
-            # The plan's own mappings, not data: a few thousand rows.
-            staged = staged.withColumn("_from", c).join(F.broadcast(table), "_from", "left")
+            ways = composed([m[:2] for m in p.mappings])
+            table = spark.createDataFrame([(a, b) for a, (b, _) in ways.items()], "_from string, _to string")
             name = f"_m_{len(steps)}"
-            staged = staged.withColumn(name, F.coalesce("_to", "_from")).withColumn(f"{name}_hit", F.col("_to").isNotNull()).drop("_from", "_to")
+            staged = staged.withColumn("_from", c).join(F.broadcast(table) if len(ways) <= BROADCAST_ROWS else table, "_from", "left")
+            staged = staged.withColumn(name, F.coalesce("_to", "_from")).withColumn(f"{name}_from", F.when(F.col("_to").isNotNull(), F.col("_from"))).drop("_from", "_to")
             steps[name] = c = F.col(name)
-            entries.append((p.column, CHANGES[0], f"{len(p.mappings)} mappings", p.mappings[0][2], count(F.col(f"{name}_hit")), None))
+            hits = dict.fromkeys(range(len(p.mappings)), 0)
+            for r in staged.filter(F.col(f"{name}_from").isNotNull()).groupBy(f"{name}_from").agg(F.count("*").alias("n")).collect():  # a row per mapping at most
+                for k in ways[r[0]][1]:
+                    hits[k] += r["n"]
+            for k, (a, b, reason) in enumerate(p.mappings):
+                counts[f"{name}_{k}"] = hits[k]
+                entries.append((p.column, CHANGES[0], f"{a} -> {b}", reason, f"{name}_{k}", None))
         if p.coercion:
             staged = staged.withColumn(f"_m_{len(steps)}", c)
             steps[f"_m_{len(steps)}"] = c = F.col(f"_m_{len(steps)}")
@@ -140,7 +152,7 @@ def apply_cleaning_plan(df: DataFrame, plan: Plan) -> tuple[DataFrame, DataFrame
                 drops.append(f"_v_{p.column}")
             elif action == "fill-default":
                 staged = staged.withColumn(f"_f_{p.column}", F.when(empty, F.lit(default)).otherwise(c))
-    counts = staged.agg(*counters).first() if counters else {}
+    counts |= staged.agg(*counters).first().asDict() if counters else {}
     touched = {p.column for p in plan.columns}
     final = [F.col(f"_f_{c}" if f"_f_{c}" in staged.columns else f"_v_{c}" if c in touched else f"`{c}`").alias(c) for c in df.columns]
     gone = F.lit(False)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tableprobe.functions.values import empty_of
@@ -70,8 +70,9 @@ def detect_delimiter(line: str) -> str:
     return max(CANDIDATES, key=lambda c: (bare.count(c), c == ","))
 
 
-def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None, multi_line: bool = False, encoding: str | None = None) -> DataFrame:
+def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None, multi_line: bool = False, encoding: str | None = None, row_id: str | None = None) -> DataFrame:
     """All-text table of a delimited file or folder: names made unique, blank rows dropped, missing cells ''.
+    row_id names a column to add, of row numbers from 0 in the order of the source, blank rows counted.
 
     Files with line ends inside quotes need multi_line, which forgoes splitting a file over tasks."""
     suffix = re.search(r"(\.\w+)(\.gz)?$", path)
@@ -90,12 +91,15 @@ def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None,
     import csv
 
     names = unique_headers(next(csv.reader([first], delimiter=sep)))
-    df = df.toDF(*(names if len(names) == len(df.columns) else unique_headers(df.columns)))
+    names = names if len(names) == len(df.columns) else unique_headers(df.columns)
+    if row_id in names:
+        raise ValueError(f"the table has a column {row_id}")
+    df = df.toDF(*names) if row_id is None else with_row_index(df, "_row_index_").toDF(row_id, *names)
     blank = F.lit(True)
-    for c in df.columns:
+    for c in names:
         blank = blank & empty_of(df, c)
     cell = lambda c: F.coalesce(F.translate(F.col(f"`{c}`"), *_widened()) if latin else F.col(f"`{c}`"), F.lit(""))
-    return df.filter(~blank).select(*[cell(c).alias(c) for c in df.columns])
+    return df.filter(~blank).select(*([row_id] if row_id else []), *[cell(c).alias(c) for c in names])
 
 
 def _widened() -> tuple[str, str]:
@@ -104,8 +108,31 @@ def _widened() -> tuple[str, str]:
     return "".join(map(chr, codes)), bytes(codes).decode(FALLBACK)
 
 
-def read_table(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    return spark.read.format(fmt).load(path)
+def with_row_index(df: DataFrame, name: str = "row_id") -> DataFrame:
+    """A table just read from files, with row numbers first: gapless from 0, files by name, rows as they stand in them.
+
+    A first pass counts the rows of each block of a file, a second one numbers them; no row is shuffled unless the counts
+    (a row per block) are too many to broadcast. ValueError if the table has a column of that name."""
+    if name in df.columns:
+        raise ValueError(f"the table has a column {name}")
+    placed = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_nth"))
+    blocks = placed.groupBy("_file", "_block").agg(F.count("*").alias("_n"), F.min("_nth").alias("_least"))
+    before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)  # a row per block
+    starts = blocks.select("_file", "_block", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_least")).alias("_shift"))
+    return placed.join(starts, ["_file", "_block"]).select((F.col("_nth") + F.col("_shift")).alias(name), *[F.col(f"`{c}`") for c in df.columns])
+
+
+def read_table(spark: SparkSession, path: str, fmt: str = "parquet", row_id: str | None = None) -> DataFrame:
+    """A table that exists; row_id names a column of row numbers to add."""
+    df = spark.read.format(fmt).load(path)
+    return df if row_id is None else with_row_index(df, row_id)
+
+
+def source_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of all files of a path."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sum(system.getContentSummary(status.getPath()).getLength() for status in system.globStatus(p) or ())
 
 
 def validate_source(df: DataFrame, need_rows: bool = True) -> DataFrame:
@@ -119,10 +146,14 @@ def validate_source(df: DataFrame, need_rows: bool = True) -> DataFrame:
 
 # ---- SQL dumps
 
-_CREATE = re.compile(r"create\s+table\s+(?:if\s+not\s+exists\s+)?([`\"\[]?[\w.]+[`\"\]]?)\s*\((.*)\)[^)]*$", re.IGNORECASE | re.DOTALL)
-_INSERT = re.compile(r"insert\s+into\s+([`\"\[]?[\w.]+[`\"\]]?)\s*(?:\(([^)]*)\))?\s*values\s*(.*)$", re.IGNORECASE | re.DOTALL)
-_COMMENT = re.compile(r"('(?:[^'\\]|\\.|'')*')|--[^\n]*|#[^\n]*|/\*.*?\*/", re.DOTALL)
-_ITEM = re.compile(r"\s*('(?:[^'\\]|\\.|'')*'|[^,()']+)\s*(,|\))", re.DOTALL)
+_QUOTED = r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.|\"\")*\"|`[^`]*`"
+_NAME = r"(`[^`]+`|\"[^\"]+\"|\[[^\]]+\]|[\w.$]+)"
+_CREATE = re.compile(rf"\bcreate\s+table\s+(?:if\s+not\s+exists\s+)?{_NAME}\s*\(", re.IGNORECASE)
+_INSERT = re.compile(rf"\binsert\s+(?:(?:ignore|delayed|low_priority|high_priority)\s+)*into\s+{_NAME}\s*(?:\(([^)]*)\)\s*)?values\b", re.IGNORECASE)
+_COMMENT = re.compile(rf"({_QUOTED})|--[^\n]*|#[^\n]*|/\*.*?\*/", re.DOTALL)
+_CUT = re.compile(rf"{_QUOTED}|;", re.DOTALL)
+_MARK = re.compile(rf"{_QUOTED}|[(),]|[^(),'\"`]+", re.DOTALL)
+_OPEN = re.compile(r"[\s,]*\(")
 _CONSTRAINT = re.compile(r"^(primary|foreign|unique|key|index|constraint|check|fulltext|spatial)\b", re.IGNORECASE)
 _ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "0": "\0"}
 
@@ -131,67 +162,101 @@ def _bare(name: str) -> str:
     return name.strip().strip('`"[]')
 
 
+def statements(text: str) -> list[str]:
+    """The statements of a stretch of SQL, without comments, parted by ';' outside of quotes."""
+    text, out, start = _COMMENT.sub(lambda m: m[1] or " ", text), [], 0
+    for m in _CUT.finditer(text):
+        if m[0] == ";":
+            out.append(text[start : m.start()])
+            start = m.end()
+    return [s.strip() for s in (*out, text[start:]) if s.strip()]
+
+
+def _items(text: str, at: int) -> tuple[list[str], int]:
+    """The items of the bracketed list whose first item starts at ``at``, and the place after its end; commas in quotes
+    and in inner brackets part nothing."""
+    items, depth, start = [], 1, at
+    while m := _MARK.match(text, at):
+        at, mark = m.end(), m[0]
+        depth += (mark == "(") - (mark == ")")
+        if (mark, depth) in ((",", 1), (")", 0)):
+            items.append(text[start : m.start()])
+            start = at
+        if not depth:
+            return items, at
+    raise SourceError("unreadable", f"a list without an end near: {text[start : start + 40]}")
+
+
 def create_table(statement: str) -> tuple[str, list[tuple[str, str]]] | None:
     """Name and (column, declared type) pairs of a CREATE TABLE statement."""
     m = _CREATE.search(statement)
     if not m:
         return None
-    parts, depth, start = [], 0, 0
-    for k, ch in enumerate(m[2]):
-        depth += (ch == "(") - (ch == ")")
-        if ch == "," and depth == 0:
-            parts.append(m[2][start:k])
-            start = k + 1
-    columns = [p.strip().split(None, 1) for p in [*parts, m[2][start:]] if p.strip() and not _CONSTRAINT.match(p.strip())]
+    parts = [p.strip() for p in _items(statement, m.end())[0]]
+    columns = [p.split(None, 1) for p in parts if p and not _CONSTRAINT.match(p)]
     return _bare(m[1]), [(_bare(c[0]), c[1].strip() if len(c) > 1 else "") for c in columns]
 
 
 def literal(token: str) -> str | None:
-    """The text of a SQL literal: null, a number, a boolean, or a string with its escapes undone."""
+    """The text of a SQL literal: null, a string with its escapes undone, or, of anything else, the token itself."""
     token = token.strip()
     if token.upper() in ("NULL", ""):
         return None
-    if token[0] != "'":
+    q = token[0]
+    if q not in "'\"" or not re.fullmatch(_QUOTED, token, re.DOTALL):
         return token
-    return re.sub(r"''|\\(.)", lambda m: "'" if m[0] == "''" else _ESCAPES.get(m[1], m[1]), token[1:-1], flags=re.DOTALL)
+    return re.sub(rf"{q}{q}|\\(.)", lambda m: q if m[0] == q + q else _ESCAPES.get(m[1], m[1]), token[1:-1], flags=re.DOTALL)
 
 
 def insert_rows(statement: str, table: str, columns: list[str]) -> Iterator[dict[str, str | None]]:
-    """The rows of an INSERT for the table, by column; tuples that are short are null at the end."""
-    m = _INSERT.search(statement.strip().rstrip(";"))
-    if not m or _bare(m[1]) != table:
+    """The rows of an INSERT for the table, by column; tuples that are short are null at the end. What follows the last
+    tuple is no row; a call such as NOW() is kept as its text."""
+    m = _INSERT.search(statement)
+    if not m or _bare(m[1]).lower() != table.lower():
         return
-    names = [_bare(c) for c in m[2].split(",")] if m[2] else columns
-    text, at = m[3], 0
-    while (at := text.find("(", at)) >= 0:
-        at, row = at + 1, []
-        while item := _ITEM.match(text, at):
-            row.append(literal(item[1]))
-            at = item.end()
-            if item[2] == ")":
-                break
-        else:
-            raise SourceError("unreadable", f"broken tuple near: {text[at : at + 40]}")
-        yield dict(zip(names, row, strict=False))
-
-
-def read_sql_dump(spark: SparkSession, path: str, row_limit: int | None = None) -> DataFrame:
-    """All-text table of a dump's first CREATE TABLE, its rows from INSERTs. Statements end with ';' at a line's
-    end and are parsed apart, in tasks; a string that holds such an end is beyond this reader."""
-    statements = spark.read.option("lineSep", ";\n").text(path).withColumnRenamed("value", "s")
-    bare = lambda s: _COMMENT.sub(lambda m: m[1] or " ", s)
-    heads = statements.filter(F.lower("s").contains("create table")).withColumn("o", F.monotonically_increasing_id()).orderBy("o").limit(1).collect()
-    made = create_table(bare(heads[0]["s"]).strip().rstrip(";").strip()) if heads else None
+    names, at = [_bare(c) for c in m[2].split(",")] if m[2] else columns, m.end()
+    while opened := _OPEN.match(statement, at):
+        row, at = _items(statement, opened.end())
+        yield dict(zip(names, map(literal, row), strict=False))
+
+
+#: More tuples than one record of a text file (2 GB at most) can hold.
+_TUPLES = 1 << 30
+
+
+def read_sql_dump(spark: SparkSession, path: str, row_limit: int | None = None, row_id: str | None = None) -> DataFrame:
+    """All-text table of a dump's first CREATE TABLE, its rows from INSERTs; row_id names a column to add, of numbers
+    that ascend in the dump's order, with gaps.
+
+    The file is cut at ';' at a line's end (LF or CRLF, as its head has it) and the pieces are parsed apart, in tasks,
+    where further ends of statements are found; a string that holds such a cut is beyond this reader."""
+    import pandas as pd
+
+    end = ";\r\n" if b";\r\n" in _head(spark, path) else ";\n"
+    pieces = with_row_index(spark.read.option("lineSep", end).text(path), "_piece").withColumnRenamed("value", "s")
+
+    def creations(frames):
+        for frame in frames:
+            found = [(o, k, s) for o, text in zip(frame["_piece"], frame["s"], strict=True) for k, s in enumerate(statements(text)) if create_table(s)]
+            yield pd.DataFrame(found, columns=["o", "k", "s"])
+
+    heads = pieces.filter(F.lower("s").rlike(r"create\s+table")).mapInPandas(creations, "o long, k long, s string").orderBy("o", "k").limit(1).collect()
+    made = create_table(heads[0]["s"]) if heads else None
     if not made or not made[1]:
         raise SourceError("no-columns", f"{path} has no CREATE TABLE")
     table, columns = made[0], [c for c, _ in made[1]]
+    if row_id in columns:
+        raise ValueError(f"the table has a column {row_id}")
+    names = [row_id, *columns] if row_id else columns
 
     def parse(frames):
-        import pandas as pd
-
         for frame in frames:
-            rows = [[r.get(c) for c in columns] for s in frame["s"] for r in insert_rows(bare(s), table, columns)]
-            yield pd.DataFrame(rows, columns=columns, dtype=object)
-
-    rows = statements.filter(F.lower("s").contains("insert into")).mapInPandas(parse, ", ".join(f"`{c}` string" for c in columns))
+            rows = []
+            for o, text in zip(frame["_piece"], frame["s"], strict=True):
+                found = (r for s in statements(text) for r in insert_rows(s, table, columns))
+                rows += [[*([o * _TUPLES + k] if row_id else []), *map(r.get, columns)] for k, r in enumerate(found)]
+            yield pd.DataFrame(rows, columns=names, dtype=object)
+
+    schema = ", ".join([*([f"`{row_id}` long"] if row_id else []), *(f"`{c}` string" for c in columns)])
+    rows = pieces.filter(F.lower("s").rlike(r"\binsert\b")).mapInPandas(parse, schema)
     return rows if row_limit is None else rows.limit(row_limit)

@@ -129,7 +129,7 @@ def test_plan_chains_and_drops(spark):
     assert [(r["column"], r["affected_rows"], r["failed_rows"], r["applied"]) for r in audit.orderBy("seq").collect()] == [
         ("c", 1, 0, True), ("c", 2, 0, True), ("n", 2, 1, True), ("gone", 0, 0, False), ("c", 1, 0, True), ("k", 1, 0, True),
     ]
-    assert cleaning.composed([("a", "b"), ("b", "c")]) == {"a": "c", "b": "c"}
+    assert cleaning.composed([("a", "b"), ("b", "c"), ("a", "z"), ("c", "c")]) == {"a": ("c", (0, 1, 3)), "b": ("c", (1, 3)), "c": ("c", (3,))}
     assert {r["column"] for r in cleaning.changed_columns(audit).collect()} == {"c", "n"}
 
 
@@ -162,3 +162,16 @@ def test_dates_with_month_names(spark):
     assert got == want
     numbers = spark.createDataFrame([(1, 20240131, 1.5, True)], "row_id long, a long, b double, c boolean")
     assert [r["n_parsed"] for r in calendar.detect_date_columns(numbers, ["a", "b", "c"]).collect()] == [0, 0, 0]
+
+
+def test_long_plans_have_the_shape_of_short_ones(spark, monkeypatch):
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(["v0", "v1", "v1", "v7", "w", None, "v49"])], "row_id long, c string")
+    for n in (50, 51):
+        made = []
+        for chain in (1000, 0):  # as expressions, as a joined table
+            monkeypatch.setattr(cleaning, "WHEN_CHAIN", chain)
+            entries = [{"from": f"v{k}", "to": f"v{k + 1}" if k < 5 else "end", "reason": f"r{k}"} for k in range(n)]
+            cleaned, audit = cleaning.apply_cleaning_plan(df, cleaning.load_plan({"columns": [{"columnName": "c", "valueMappings": entries}]}))
+            made.append(([tuple(r) for r in cleaned.orderBy("row_id").collect()], [tuple(r) for r in audit.orderBy("seq").collect()]))
+        assert made[0] == made[1]
+        assert len(made[0][1]) == n and [r[5] for r in made[0][1][:8]] == [1, 3, 3, 3, 3, 3, 0, 1]

@@ -83,3 +83,40 @@ def test_validation(spark):
     assert tables.validate_source(df, need_rows=False) is df
     with pytest.raises(tables.SourceError):
         tables.validate_source(df)
+
+
+def test_sql_dump_with_crlf_and_what_follows_tuples(spark, tmp_path):
+    text = r"""CREATE TABLE o (`a` int, b varchar(9) DEFAULT 'x,(y', c enum('p,q','r')); -- the end
+INSERT IGNORE INTO `O` VALUES (1,'x;y',NOW()),(2,"it""s",CONCAT('a,b','c')) ON DUPLICATE KEY UPDATE a=VALUES(a); INSERT INTO o (a) VALUES (3);
+INSERT INTO o SELECT * FROM o;
+INSERT INTO other VALUES (9,9,9);
+INSERT INTO o VALUES ();
+"""
+    want = [("1", "x;y", "NOW()"), ("2", 'it"s', "CONCAT('a,b','c')"), ("3", None, None), (None, None, None)]
+    for name, end in (("lf", "\n"), ("crlf", "\r\n")):
+        (tmp_path / f"{name}.sql").write_bytes(text.replace("\n", end).encode())
+        df = tables.read_sql_dump(spark, f"file://{tmp_path}/{name}.sql", row_id="n").orderBy("n")
+        assert [tuple(r)[1:] for r in df.collect()] == want
+    with pytest.raises(tables.SourceError):
+        list(tables.insert_rows("INSERT INTO o VALUES (1, 'open", "o", ["a"]))
+
+
+def test_row_numbers_follow_files_and_blocks(spark, tmp_path):
+    for k in range(3):
+        (tmp_path / f"p{k}.csv").write_text("a,b\n" + "".join(f"{k * 1000 + i},{'x' * (k + 1)}\n" for i in range(300)) + (" , \n" if k == 1 else ""))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        df = tables.read_delimited(spark, f"file://{tmp_path}", delimiter=",", row_id="row_id")
+        assert df.rdd.getNumPartitions() > 3
+        rows = df.orderBy("row_id").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert df.columns == ["row_id", "a", "b"]
+    assert [int(r["a"]) for r in rows] == [k * 1000 + i for k in range(3) for i in range(300)]
+    assert [r["row_id"] for r in rows] == [*range(600), *range(601, 901)]  # the blank row had number 600
+    spark.createDataFrame([(5,), (6,)], "v int").coalesce(1).write.parquet(f"file://{tmp_path}/t")
+    assert sorted(map(tuple, tables.read_table(spark, f"file://{tmp_path}/t", row_id="n").collect())) == [(0, 5), (1, 6)]
+    with pytest.raises(ValueError):
+        tables.read_table(spark, f"file://{tmp_path}/t", row_id="v")
+    assert tables.source_bytes(spark, f"file://{tmp_path}/p0.csv") == (tmp_path / "p0.csv").stat().st_size
