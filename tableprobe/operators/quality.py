@@ -153,6 +153,42 @@ def quality_report(df: DataFrame, columns: list[str], row_id: str = "row_id") ->
     return out
 
 
+#: What a check counts, in the words of a finding's description.
+COUNTED = {
+    "missing-values": "empty cells", "duplicate-rows": "rows that repeat an earlier one", "inconsistent-categoricals": "values spelled in several ways",
+    "mixed-types": "cells of another type than most",
+}
+
+
+def finding_details(report: DataFrame, columns: list[str]) -> DataFrame:
+    """Findings that found something, with a description and the affected columns (all of them for duplicate rows)."""
+    what = F.coalesce(*[F.when(F.col("check_name") == k, v) for k, v in COUNTED.items()])
+    where = F.when(F.col("column") != "", F.concat(F.lit(" in "), "column")).otherwise("")
+    text = F.concat(F.col("count").cast("string"), F.lit(" "), what, where, F.lit(" ("), F.round("percentage", 1).cast("string"), F.lit(" %)"))
+    affected = F.when(F.col("column") == "", F.array(*map(F.lit, columns))).otherwise(F.array("column"))
+    return report.filter("count > 0").withColumns({"description": text, "affected_columns": affected})
+
+
+def cluster_samples(df: DataFrame, columns: list[str], k: int = SAMPLES) -> DataFrame:
+    """column, place, sample: the first k clusters of spellings of each column, values joined by ' / '."""
+    values = F.array_sort(F.collect_list("value"))  # a column has 49 values at most
+    groups = category_clusters(category_values(df, columns)).groupBy("column", "cluster").agg(F.array_join(values, " / ").alias("sample"))
+    return first_rows(groups, ["column"], [F.col("cluster")], k, "place").select("column", "place", "sample")
+
+
+def finding_samples(df: DataFrame, columns: list[str], row_id: str = "row_id", k: int = SAMPLES) -> DataFrame:
+    """check_name, column, place, sample: at most k examples of each finding: rows that repeat (cells joined by '|'),
+    clusters of spellings, cells with their type. Missing cells have none."""
+    row = F.concat_ws("|", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in columns])
+    copies = duplicate_samples(df, columns, row_id, k).select(F.lit("").alias("column"), F.row_number().over(Window.orderBy(row_id)).alias("place"), row.alias("sample"))  # k rows
+    mixed = mixed_type_examples(df, columns, row_id, k).select("column", "place", F.concat("bucket", F.lit(": "), "value").alias("sample"))
+    out = None
+    for check, part in (("duplicate-rows", copies), ("inconsistent-categoricals", cluster_samples(df, columns, k)), ("mixed-types", mixed)):
+        part = part.select(F.lit(check).alias("check_name"), "column", "place", "sample")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def quality_concerns(report: DataFrame) -> DataFrame:
     return report.filter("severity <> 'info' and count > 0")
 

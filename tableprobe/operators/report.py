@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tableprobe.functions.values import markdown_cell, severity_rank
+from tableprobe.operators import calendar, numeric, quality
 
 
 def column_detail(profile: DataFrame, described: DataFrame, dates: DataFrame, report: DataFrame) -> DataFrame:
@@ -23,6 +24,18 @@ def column_detail(profile: DataFrame, described: DataFrame, dates: DataFrame, re
     )
 
 
+def eda(cleaned: DataFrame, raw_profile: DataFrame, as_of: str, row_id: str = "row_id") -> DataFrame:
+    """column_detail of the cleaned table under the raw table's profile: numbers are described where the raw type was a
+    number, dates where most cleaned cells are dates, and the findings are the cleaned table's."""
+    raw = raw_profile.orderBy("idx").collect()  # a row per column
+    columns = [r["column"] for r in raw]
+    numbers = [r["column"] for r in raw if r["data_type"] in ("integer", "float")]
+    dates = [r["column"] for r in calendar.detect_date_columns(cleaned, columns).filter("is_date").collect()]
+    described = numeric.numeric_describe(cleaned, numbers or columns).filter(F.col("column").isin(numbers))
+    spans = calendar.date_profile(cleaned, dates or columns, as_of).filter(F.col("column").isin(dates))
+    return column_detail(raw_profile, described, spans, quality.quality_report(cleaned, columns, row_id))
+
+
 def dictionary_attach(entries: DataFrame, profile: DataFrame) -> DataFrame:
     """Entries (name, place, description) with the real column's name and type: by name, else by place."""
     by_name = profile.select(F.col("column").alias("c1"), F.col("data_type").alias("t1"))

@@ -20,8 +20,10 @@ INDUSTRIES = {
 }
 
 
-def table_stats(df: DataFrame) -> DataFrame:
-    return df.agg(F.count("*").alias("n_rows")).withColumn("n_columns", F.lit(len(df.columns)).cast("long"))
+def table_stats(df: DataFrame, size_bytes: int | None = None) -> DataFrame:
+    """n_rows, n_columns and, where the source's size is given (source_bytes), size_bytes."""
+    found = df.agg(F.count("*").alias("n_rows")).withColumn("n_columns", F.lit(len(df.columns)).cast("long"))
+    return found if size_bytes is None else found.withColumn("size_bytes", F.lit(size_bytes).cast("long"))
 
 
 def _type_from_counts(total) -> object:

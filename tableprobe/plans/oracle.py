@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from tableprobe.plans.dirty import COLUMNS, sql
+import re
+
+from tableprobe.operators.quality import COUNTED
+from tableprobe.plans.dirty import COLUMNS, DIRTY, sql
 
 NUMBERS, TEXTS, AS_OF = ("qty", "age"), [c for c in COLUMNS if c not in ("qty", "age")], "2024-12-31"
 _BLANK = r"'^[\s\x{00a0}\x{feff}]+|[\s\x{00a0}\x{feff}]+$'"
@@ -180,6 +183,23 @@ _CHARTS = f"""c1 AS (SELECT 1 AS chart, 'trend' AS id, row_number() OVER (ORDER
 {fold(f"SELECT coalesce({_cat('segment_cd')}, '(missing)') AS name, sum({_AMOUNT}) AS value, min(row_id) AS seen FROM d WHERE {_AMOUNT} IS NOT NULL GROUP BY 1")},
 c2 AS (SELECT 2 AS chart, 'breakdown-segment_cd' AS id, place, name AS label, value FROM fo)"""
 
+_CELLS = ", ".join(f"coalesce(cast({c} AS VARCHAR), '')" for c in COLUMNS)
+_DETAIL = """SELECT prof."column", prof.idx, data_type, samples, round(ds.mean, 4) AS mean, CASE WHEN prof."column" = 'order_date' THEN (SELECT min(normalized) FROM dv) END AS earliest,
+ coalesce(q.n, 0) AS n_findings, coalesce(q.checks, '') AS checks FROM prof LEFT JOIN ds ON prof."column" = ds."column"
+ LEFT JOIN (SELECT "column", count(*) AS n, string_agg(DISTINCT check_name, ', ' ORDER BY check_name) AS checks FROM rep WHERE count > 0 AND "column" <> '' GROUP BY 1) q ON prof."column" = q."column" """
+_EXAMPLES = f"""{_MIXED}, ce AS (SELECT l."column", l.row_id, l.v.b AS bucket, l.v.t AS value FROM ({long(lambda c: f"{{'b': {bucket(c, False)}, 't': cast({c} AS VARCHAR)}}")}) l WHERE l.v.b IS NOT NULL AND l."column" IN (SELECT "column" FROM mix)),
+ e1 AS (SELECT *, row_number() OVER (PARTITION BY "column", bucket ORDER BY row_id) AS nth, min(row_id) OVER (PARTITION BY "column", bucket) AS seen FROM ce),
+ e2 AS (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY seen, row_id) AS place FROM e1 WHERE nth <= 5)"""
+
+
+def _eda() -> str:
+    """Types and samples of the raw table (raw), all else of the cleaned one (d)."""
+    of_raw = lambda text: re.sub(r"\bFROM d\b", "FROM raw", text)
+    cleaned = ", ".join("raw_amount AS total_amount" if c == "total_amount" else c for c in COLUMNS)
+    numbers = describe("d", {c: number(c) for c in ("total_amount", "qty", "age")}, COLUMNS)
+    return f"""WITH RECURSIVE raw AS ({DIRTY.format(orders="orders")}), {of_raw(_CLEAN)}, d AS (SELECT row_id, {cleaned} FROM fin), {of_raw(_PROFILE)}, {_REPORT}, {numbers}, {_DATES} {_DETAIL}"""
+
+
 ORACLE: dict[str, str] = {
     "table_stats": sql(f" SELECT count(*) AS n_rows, {len(COLUMNS) + 1}::BIGINT AS n_columns FROM d"),
     "classify_values": sql(f' SELECT "column", v AS class, count(*) AS n FROM ({long(lambda c: bucket(c, True))}) WHERE v IS NOT NULL GROUP BY ALL'),
@@ -194,9 +214,7 @@ ORACLE: dict[str, str] = {
     "duplicate_rows": sql(f", {_DUPS} SELECT {_FINDING}, groups FROM dup"),
     "duplicate_samples": sql(f" SELECT row_id, order_id FROM (SELECT row_id, order_id, row_number() OVER (PARTITION BY {', '.join(COLUMNS)} ORDER BY row_id) AS nth FROM d) WHERE nth > 1 ORDER BY row_id LIMIT 5"),
     "mixed_types": sql(f", {_MIXED} SELECT {_FINDING}, dominant FROM mix"),
-    "mixed_type_examples": sql(f""", {_MIXED}, ce AS (SELECT l."column", l.row_id, l.v.b AS bucket, l.v.t AS value FROM ({long(lambda c: f"{{'b': {bucket(c, False)}, 't': cast({c} AS VARCHAR)}}")}) l WHERE l.v.b IS NOT NULL AND l."column" IN (SELECT "column" FROM mix)),
- e1 AS (SELECT *, row_number() OVER (PARTITION BY "column", bucket ORDER BY row_id) AS nth, min(row_id) OVER (PARTITION BY "column", bucket) AS seen FROM ce),
- e2 AS (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY seen, row_id) AS place FROM e1 WHERE nth <= 5) SELECT "column", place::INT AS place, bucket, value FROM e2 WHERE place <= 5"""),
+    "mixed_type_examples": sql(f""", {_EXAMPLES} SELECT "column", place::INT AS place, bucket, value FROM e2 WHERE place <= 5"""),
     "category_values": sql(f', {_VALUES} SELECT "column", idx, value, n FROM cv'),
     "near_duplicate_pairs": sql(f', {_VALUES} SELECT "column", a, b FROM pairs'),
     "inconsistent_categoricals": sql(f", {_CLUSTERS} SELECT {_FINDING}, clusters FROM inc"),
@@ -245,9 +263,22 @@ ORACLE: dict[str, str] = {
     "choose_charts": sql(f", {_DATES}, {_CHARTS} SELECT chart::INT AS chart, id, place, label, round(value, 2) AS value FROM c1 UNION ALL SELECT chart::INT, id, place, label, round(value, 2) FROM c2"),
     "normalize_category": sql(f" SELECT regexp_replace(lower({trim('channel')}), '\\s+', ' ', 'g') AS norm, count(*) AS n FROM d WHERE NOT {empty('channel')} GROUP BY 1"),
     "escape_cell": """SELECT event_id, CASE WHEN regexp_matches(props, '[",\\r\\n]') THEN '"' || replace(props, '"', '""') || '"' ELSE props END AS csv, replace(props, '|', '\\|') AS markdown FROM events""",
-    "column_detail": sql(f""", {_PROFILE}, {_REPORT}, {_DN}, {_DATES} SELECT prof."column", prof.idx, data_type, samples, round(ds.mean, 4) AS mean, CASE WHEN prof."column" = 'order_date' THEN (SELECT min(normalized) FROM dv) END AS earliest,
- coalesce(q.n, 0) AS n_findings, coalesce(q.checks, '') AS checks FROM prof LEFT JOIN ds ON prof."column" = ds."column"
- LEFT JOIN (SELECT "column", count(*) AS n, string_agg(DISTINCT check_name, ', ' ORDER BY check_name) AS checks FROM rep WHERE count > 0 AND "column" <> '' GROUP BY 1) q ON prof."column" = q."column" """),
+    "column_detail": sql(f", {_PROFILE}, {_REPORT}, {_DN}, {_DATES} {_DETAIL}"),
+    "eda": _eda(),
+    "column_structure_report": sql(f""", {_PROFILE}, {_DN}, {_DATES} SELECT prof."column", prof.idx, data_type, CASE WHEN prof."column" = 'order_date' THEN (SELECT min(normalized) || ' to ' || max(normalized) FROM dv)
+ WHEN mean IS NOT NULL THEN 'mean ' || round(mean, 2) || ' min ' || round(min, 2) || ' max ' || round(max, 2) ELSE '' END AS note FROM prof LEFT JOIN ds ON prof."column" = ds."column" """),
+    "dictionary_attach": sql(f', {_PROFILE} SELECT idx AS place, samples AS description, "column", data_type FROM prof'),
+    "tag_filter": sql(f""", {_PROFILE} SELECT "column", idx FROM prof WHERE data_type = 'string'"""),
+    "tag_union": sql(f""", {_PROFILE} SELECT "column", idx, 'type:' || data_type || CASE WHEN data_type = 'null' THEN ',quality:all-null' ELSE '' END || CASE WHEN samples = '' THEN ',quality:no-sample-values' ELSE '' END
+ || CASE WHEN data_type <> 'string' THEN ',type:string' ELSE '' END || ',reviewed' AS tags FROM prof"""),
+    "outliers_ranked": sql(f', {_OUT} SELECT "column", idx, n_outliers FROM oc WHERE n_outliers > 0'),
+    "finding_details": sql(f""", {_REPORT} SELECT check_name, "column", count || ' ' || CASE check_name {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in COUNTED.items())} END || CASE WHEN "column" <> '' THEN ' in ' || "column" ELSE '' END
+ || ' (' || round(percentage, 1) || ' %)' AS description, CASE WHEN "column" = '' THEN '{",".join(COLUMNS)}' ELSE "column" END AS affected FROM rep WHERE count > 0"""),
+    "finding_samples": sql(f""", {_CLUSTERS}, {_EXAMPLES}, dn AS (SELECT *, row_number() OVER (PARTITION BY {", ".join(COLUMNS)} ORDER BY row_id) AS nth FROM d),
+ dp AS (SELECT array_to_string([{_CELLS}], '|') AS sample, row_number() OVER (ORDER BY row_id)::INT AS place FROM dn WHERE nth > 1),
+ cg AS (SELECT "column", string_agg(value, ' / ' ORDER BY value) AS sample, row_number() OVER (PARTITION BY "column" ORDER BY cluster)::INT AS place FROM cl GROUP BY "column", cluster)
+ SELECT 'duplicate-rows' AS check_name, '' AS "column", place, sample FROM dp WHERE place <= 5 UNION ALL SELECT 'inconsistent-categoricals', "column", place, sample FROM cg WHERE place <= 5
+ UNION ALL SELECT 'mixed-types', "column", place::INT, bucket || ': ' || value FROM e2 WHERE place <= 5"""),
     "importance_sort": sql(f""", {_REPORT} SELECT check_name, "column", priority, CASE priority WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END AS grade FROM (SELECT *, CASE severity WHEN 'error' THEN 'high' WHEN 'info' THEN 'low' ELSE 'medium' END AS priority FROM rep)"""),
     "item_bounds_check": sql(f""", {_REPORT} SELECT check_name AS group_id, CASE WHEN count > 0 THEN 'kpi' ELSE 'note' END AS type, count(*) AS n, count(*) FILTER ("column" = '') AS bad, count(*) BETWEEN 1 AND CASE WHEN count > 0 THEN 4 ELSE 9 END AS within_bounds FROM rep GROUP BY 1, 2, count > 0"""),
 }

@@ -79,6 +79,29 @@ def _detail(d: DataFrame) -> DataFrame:
     return _rounded(made.select("column", "idx", "data_type", "samples", "mean", "earliest", "n_findings", "checks"), 4, "mean")
 
 
+def _noted(d: DataFrame) -> DataFrame:
+    profile = structure.structural_profile(d, COLUMNS)
+    return report.column_structure_report(report.column_detail(profile, numeric.numeric_describe(d, NUMBERS), calendar.date_profile(d, ["order_date"], AS_OF), _report(d)))
+
+
+def _eda(d: DataFrame) -> DataFrame:
+    found = report.eda(_clean(d)[0], structure.structural_profile(d, COLUMNS), AS_OF)
+    return _rounded(found.select("column", "idx", "data_type", "samples", "mean", "earliest", "n_findings", "checks"), 4, "mean")
+
+
+def _attached(d: DataFrame) -> DataFrame:
+    """Every other column's entry goes by a name that is no column's, and is found by its place."""
+    profile = structure.structural_profile(d, COLUMNS)
+    name = F.when(F.col("idx") % 2 == 0, F.col("column")).otherwise("unknown")
+    return report.dictionary_attach(profile.select(name.alias("name"), F.col("idx").alias("place"), F.col("samples").alias("description")), profile)
+
+
+def _tagged(d: DataFrame) -> DataFrame:
+    more = F.array(F.lit("type:string"), F.lit("reviewed"))
+    items = structure.tag_union(structure.dictionary_tags(structure.structural_profile(d, COLUMNS)).withColumn("more", more), "more")
+    return items.withColumn("tags", F.array_join("tags", ","))
+
+
 def _importance(d: DataFrame) -> DataFrame:
     graded = _report(d).withColumn("priority", F.when(F.col("severity") == "error", "high").when(F.col("severity") == "info", "low"))
     return quality.importance_sort(graded).select("check_name", "column", "priority", "grade")
@@ -158,6 +181,16 @@ on_orders(
 on_orders(_charts, "choose_charts")
 on_orders(lambda d: d.select(normalize_category(F.col("channel")).alias("norm")).filter("norm <> ''").groupBy("norm").agg(F.count("*").alias("n")), "normalize_category")
 on_orders(_detail, "column_detail")
+on_orders(_noted, "column_structure_report")
+on_orders(_eda, "eda")
+on_orders(_attached, "dictionary_attach")
+on_orders(_tagged, "tag_union")
+on_orders(lambda d: structure.tag_filter(structure.dictionary_tags(structure.structural_profile(d, COLUMNS)), ["type:string"]).select("column", "idx"), "tag_filter")
+on_orders(lambda d: dashboard.ranked_by_count(numeric.outlier_counts(d, NUMBERS), "n_outliers").select("column", "idx", "n_outliers"), "outliers_ranked")
+on_orders(
+    lambda d: quality.finding_details(_report(d), COLUMNS).select("check_name", "column", "description", F.array_join("affected_columns", ",").alias("affected")), "finding_details"
+)
+on_orders(lambda d: quality.finding_samples(d, COLUMNS), "finding_samples")
 on_orders(_importance, "importance_sort")
 on_orders(_bounds, "item_bounds_check")
 
