@@ -16,17 +16,21 @@ LEAST_LANGUAGE_SCORE = 0.3
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass every rule of the policy."""
+    """Documents that pass every rule of the policy. A null or empty text has no words and fails; repeated rows and ids
+    are judged each; an empty table gives no rows; other columns, whatever their names, pass through untouched."""
     short_batches(spark)
     return quality_rules.accepted(docs, quality_rules.POLICIES["v2"])
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the languages learned from the labelled folds."""
+    """Documents in one of the languages learned from the labelled folds. A text that is null or without a letter goes,
+    and so do all where no row has a language; a null id trains; repeated rows and ids are judged each; an empty table
+    gives no rows; other columns, whatever their names, pass through untouched."""
     short_batches(spark)
     model = language_id.train(docs.filter(~language_id.held_out()))
-    found = language_id.predict(docs, model)
-    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+    own = [f"c{i}" for i in range(len(docs.columns))]  # the verdict's names may be columns of docs
+    found = language_id.predict(docs.toDF(*own), model, text_col=own[docs.columns.index("text")])
+    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*own).toDF(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +42,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' pieces in sequences of at most 4096 tokens."""
+    """The documents' pieces in sequences of at most 4096 tokens. A null text is an empty one and holds the end token
+    only; a null id stays null; repeated rows are packed each; an empty table gives no rows; other columns are left out."""
     short_batches(spark)
     pieces = packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"), max_tokens=4096, end_id=1, keep_memo=False, with_ids=False)
     return packing.pack(pieces, packing.Capacity(tokens=4096))
