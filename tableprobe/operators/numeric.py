@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from tableprobe.functions.values import coerce_to_number, percentage_of, severity_of, to_number
-from tableprobe.operators.shape import cells, per_column
+from tableprobe.operators.shape import cells, held, per_column
 
 FENCE, BINS = 1.5, 6
+QUARTERS = (0.25, 0.5, 0.75)
+#: Numbers that a range of a column's values should hold, and ranges of a column at most.
+RANGE_ROWS, MOST_RANGES = 1_000_000, 256
 STATS = ("column", "idx", "n", "min", "max", "mean", "median", "mode", "stddev", "q1", "q3", "lo", "hi")
 
 
@@ -16,43 +21,76 @@ def _number(df: DataFrame, name: str):
     return to_number(F.col(name), df.schema[name].dataType)
 
 
-def numeric_describe(df: DataFrame, columns: list[str], accuracy: int | None = None) -> DataFrame:
-    """A row per column over its finite numbers; quantiles are interpolated, a tied mode is the least value.
-
-    With accuracy, quantiles are percentile_approx of that accuracy: for columns with very many values."""
+def _moments(df: DataFrame, columns: list[str], accuracy: int | None = None) -> list[Row]:
+    """column, idx, n, min, max, mean, stddev and, with accuracy, q of each column with numbers: one job."""
 
     def stats(c):
         x = _number(df, c)
-        if accuracy:
-            q = F.percentile_approx(x, [0.25, 0.5, 0.75], accuracy)
-        else:
-            q = F.percentile(x, [0.25, 0.5, 0.75])
-        return {"n": F.count(x), "min": F.min(x), "max": F.max(x), "mean": F.avg(x), "q": q, "mode": F.mode(x, True), "stddev": F.coalesce(F.stddev_samp(x), F.lit(0.0))}
+        found = {"n": F.count(x), "min": F.min(x), "max": F.max(x), "mean": F.avg(x), "stddev": F.coalesce(F.stddev_samp(x), F.lit(0.0))}
+        return found | ({"q": F.percentile_approx(x, list(QUARTERS), accuracy)} if accuracy else {})
+
+    return [r for r in per_column(df, columns, stats).collect() if r["n"]]
+
+
+def _bounds(df: DataFrame, known: list[Row]) -> dict[int, list[float]]:
+    """idx and the bounds of ranges of about RANGE_ROWS numbers, from sketches, of the columns that need more than one."""
+    large = [r for r in known if r["n"] > RANGE_ROWS]
+    if not large:
+        return {}
+    parts = {r["idx"]: min(MOST_RANGES, math.ceil(r["n"] / RANGE_ROWS)) for r in large}
+    found = df.agg(*[F.percentile_approx(_number(df, r["column"]), [k / parts[r["idx"]] for k in range(1, parts[r["idx"]])], 1000) for r in large]).first()
+    return {r["idx"]: sorted(set(grid)) for r, grid in zip(large, found, strict=True)}
+
+
+def _ranked(df: DataFrame, known: list[Row], shares: tuple[float, ...]) -> DataFrame:
+    """idx, q (the interpolated quantile of each share) and mode (a tied one is the least) of the known columns: distinct
+    values are counted, and ranked within ranges of values, so that no task holds a large column whole."""
+    cut = _bounds(df, known)
+    bounds = lambda r: F.array(*map(F.lit, cut[r["idx"]])) if cut.get(r["idx"]) else F.array().cast("array<double>")
+    each = lambda value: F.create_map(*[x for r in known for x in (F.lit(r["idx"]), value(r))])[F.col("idx")]
+    numbers = F.array(*[F.struct(F.lit(r["idx"]).alias("idx"), _number(df, r["column"]).alias("x")) for r in known])
+    counts = df.select(F.explode(numbers).alias("e")).select("e.idx", "e.x").filter("x is not null").groupBy("idx", "x").agg(F.count("*").alias("n"))
+    ranged = counts.withColumn("part", F.size(F.filter(each(bounds), lambda b: b < F.col("x"))))
+    before = Window.partitionBy("idx").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    starts = ranged.groupBy("idx", "part").agg(F.sum("n").alias("size")).select("idx", "part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"))
+    within = Window.partitionBy("idx", "part").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    placed = ranged.withColumn("upto", F.sum("n").over(within)).join(F.broadcast(starts), ["idx", "part"])  # MOST_RANGES rows a column
+    after = F.col("start") + F.col("upto")
+    placed = placed.select("idx", "x", "n", (after - F.col("n")).alias("first"), (after - 1).alias("last"), each(lambda r: F.lit(r["n"])).alias("total"))
+    at = [(F.col("total") - 1) * F.lit(float(s)) for s in shares]
+    low = [F.max(F.when(F.col("first") <= F.floor(a), F.col("x"))).alias(f"low{k}") for k, a in enumerate(at)]
+    high = [F.min(F.when(F.col("last") >= F.ceil(a), F.col("x"))).alias(f"high{k}") for k, a in enumerate(at)]
+    found = placed.groupBy("idx", "total").agg(*low, *high, F.min(F.struct((-F.col("n")).alias("n"), "x"))["x"].alias("mode"))
+    share = [a - F.floor(a) for a in at]  # of the way from low to high
+    value = [(1 - f) * F.col(f"low{k}") + f * F.col(f"high{k}") for k, f in enumerate(share)]
+    return found.select("idx", F.array(*value).alias("q"), "mode")
 
-    found = per_column(df, columns, stats).withColumns({"q1": F.col("q")[0], "median": F.col("q")[1], "q3": F.col("q")[2]})
+
+def numeric_describe(df: DataFrame, columns: list[str], accuracy: int | None = None) -> DataFrame:
+    """A row per column over its finite numbers; quantiles are interpolated, a tied mode is the least value. One job
+    runs at once, for the moments, and another for the ranges of large columns.
+
+    With accuracy, quantiles are percentile_approx of that accuracy."""
+    known = _moments(df, columns, accuracy)
+    spark, fields = df.sparkSession, ("column", "idx", "n", "min", "max", "mean", "stddev")
+    schema = "column string, idx int, n long, min double, max double, mean double, stddev double, rough array<double>"
+    base = spark.createDataFrame([(*[r[f] for f in fields], r["q"] if accuracy else None) for r in known], schema)
+    if not known:
+        return base.withColumns({c: F.lit(None).cast("double") for c in STATS if c not in fields}).select(*STATS)
+    found = base.join(_ranked(df, known, QUARTERS), "idx").withColumn("q", F.coalesce("rough", "q"))
+    found = found.withColumns({"q1": F.col("q")[0], "median": F.col("q")[1], "q3": F.col("q")[2]})
     reach = FENCE * (F.col("q3") - F.col("q1"))
     found = found.withColumns({"lo": F.col("q1") - reach, "hi": F.col("q3") + reach})
-    return found.filter("n > 0").withColumn("stddev", F.when(F.col("n") < 2, 0.0).otherwise(F.col("stddev"))).select(*STATS)
+    return found.withColumn("stddev", F.when(F.col("n") < 2, 0.0).otherwise(F.col("stddev"))).select(*STATS)
 
 
 def exact_quantiles(df: DataFrame, column: str, shares: list[float]) -> DataFrame:
-    """share and value, interpolated, from counts of distinct values spread over ranges: no task holds a
-    whole column's values. For columns too wide for ``percentile``."""
-    x = df.select(_number(df, column).alias("x")).filter("x is not null").groupBy("x").agg(F.count("*").alias("n"))
-    ranged = x.repartitionByRange("x").withColumn("part", F.spark_partition_id()).persist()
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
-    offsets = ranged.groupBy("part").agg(F.sum("n").alias("size")).select("part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"))
-    within = Window.partitionBy("part").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    placed = ranged.withColumn("upto", F.sum("n").over(within)).join(F.broadcast(offsets), "part").select("x", (F.col("start") + F.col("upto") - F.col("n")).alias("first"), (F.col("start") + F.col("upto") - 1).alias("last"))
-    total = ranged.agg(F.sum("n")).first()[0]
-    if not total:
+    """share and value, interpolated; none where the column has no numbers."""
+    known = _moments(df, [column])
+    if not known or not shares:
         return df.sparkSession.createDataFrame([], "share double, value double")
-    wanted = df.sparkSession.createDataFrame([(s, (total - 1) * s) for s in shares], "share double, at double")
-    hits = placed.join(F.broadcast(wanted), (F.col("first") <= F.ceil("at")) & (F.col("last") >= F.floor("at")))  # a row per share
-    low, high = F.max(F.when(F.col("first") <= F.floor("at"), F.col("x"))), F.min(F.when(F.col("last") >= F.ceil("at"), F.col("x")))
-    return hits.groupBy("share", "at").agg(low.alias("low"), high.alias("high")).select(
-        "share", (F.col("low") + (F.col("high") - F.col("low")) * (F.col("at") - F.floor("at"))).alias("value")
-    )
+    pairs = F.arrays_zip(F.array(*[F.lit(float(s)) for s in shares]).alias("share"), F.col("q").alias("value"))
+    return _ranked(df, known, tuple(shares)).select(F.explode(pairs).alias("e")).select("e.share", "e.value")
 
 
 def outlier_rows(df: DataFrame, columns: list[str], row_id: str = "row_id", described: DataFrame | None = None) -> DataFrame:
@@ -64,8 +102,8 @@ def outlier_rows(df: DataFrame, columns: list[str], row_id: str = "row_id", desc
 
 
 def outlier_counts(df: DataFrame, columns: list[str], row_id: str = "row_id") -> DataFrame:
-    """column, idx, n_outliers, percentage, severity, most first."""
-    described = numeric_describe(df, columns).persist()
+    """column, idx, n_outliers, percentage, severity of every column with numbers, in no order."""
+    described = held(numeric_describe(df, columns))  # a row per column
     n = outlier_rows(df, columns, row_id, described).groupBy("column").agg(F.count("*").alias("n_outliers"))
     found = described.join(n, "column", "left").withColumn("n_outliers", F.coalesce("n_outliers", F.lit(0)))
     found = found.withColumn("percentage", percentage_of(F.col("n_outliers"), F.col("n")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tableprobe.functions.values import INCONSISTENT_ERROR, classify_bucket, empty_of, normalize_category, percentage_of, severity_of, severity_rank
-from tableprobe.operators.shape import cells, first_rows, per_column
+from tableprobe.operators.shape import cells, first_rows, held, per_column
 
 MAX_CATEGORIES, MAX_DISTANCE, SAMPLES = 49, 2, 5
 BUCKETS = ("number", "boolean", "date", "string")
@@ -119,23 +119,21 @@ def near_duplicate_pairs(values: DataFrame) -> DataFrame:
 
 def category_clusters(values: DataFrame) -> DataFrame:
     """column, value, cluster (its least value). Labels travel along the pairs; a column's pairs number some
-    thousand at most, so rounds are few and small."""
-    pairs = near_duplicate_pairs(values)
-    both = pairs.unionByName(pairs.select("column", F.col("b").alias("a"), F.col("a").alias("b"))).persist()
-    label = both.groupBy("column", F.col("a").alias("value")).agg(F.least(F.min("a"), F.min("b")).alias("cluster"))
+    thousand at most, so rounds are few and small, over local tables."""
+    pairs = held(near_duplicate_pairs(values))
+    both = pairs.unionByName(pairs.select("column", F.col("b").alias("a"), F.col("a").alias("b")))
+    label = held(both.groupBy("column", F.col("a").alias("value")).agg(F.least(F.min("a"), F.min("b")).alias("cluster")))
     while True:
-        label = label.persist()
         near = both.join(label.withColumnRenamed("value", "b"), ["column", "b"]).groupBy("column", F.col("a").alias("value")).agg(F.min("cluster").alias("near"))
-        after = label.join(near, ["column", "value"]).select("column", "value", F.least("cluster", "near").alias("cluster"), (F.col("near") < F.col("cluster")).alias("moved"))
+        after = held(label.join(near, ["column", "value"]).select("column", "value", F.least("cluster", "near").alias("cluster"), (F.col("near") < F.col("cluster")).alias("moved")))
+        label = after.drop("moved")
         if not after.filter("moved").head(1):
-            both.unpersist()
             return label
-        label = after.drop("moved")
 
 
 def inconsistent_categoricals(df: DataFrame, columns: list[str]) -> DataFrame:
     """A finding for every column with clusters: values in clusters, as a share of its distinct values."""
-    values = category_values(df, columns).persist()
+    values = held(category_values(df, columns))  # 49 rows a column at most
     sizes = values.groupBy("column", "idx").agg(F.count("*").alias("total"))
     found = category_clusters(values).groupBy("column").agg(F.count("*").alias("count"), F.count_distinct("cluster").alias("clusters"))
     found = found.join(sizes, "column").withColumn("percentage", percentage_of(F.col("count"), F.col("total")))

@@ -13,6 +13,11 @@ def per_column(df: DataFrame, columns: list[str], stats) -> DataFrame:
     return df.agg(*aggs).select(F.explode(rows).alias("r")).select("r.column", "r.idx", "r.s.*")
 
 
+def held(df: DataFrame) -> DataFrame:
+    """df's rows as a local table, computed once: for tables of a few rows a column, whatever the data."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
 def cells(df: DataFrame, columns: list[str], row_id: str, value=None) -> DataFrame:
     """row_id, column, idx and value (a string, or what value(name) makes of a cell) of every cell."""
     value = value or (lambda c: F.col(c).cast("string"))

@@ -42,6 +42,20 @@ def test_numbers(spark):
     assert numeric.numeric_distribution(one_column(spark, [], "double"), "v").count() == 0
 
 
+def test_ranges_of_values_change_nothing(spark, monkeypatch):
+    df = spark.range(3000).selectExpr("id * 7919 % 1009 / 4 AS a", "if(id % 3 = 0, 5.0, id) AS b", "cast(null AS double) AS c", "1.0 AS d")
+    want = sorted(map(tuple, numeric.numeric_describe(df, df.columns).collect()))
+    some = df.agg(*[F.percentile(c, [0.25, 0.5, 0.75]) for c in "abd"], *[F.mode(c, True) for c in "abd"]).first()
+    for k, row in enumerate(want):
+        named = dict(zip(numeric.STATS, row, strict=True))
+        assert [named["q1"], named["median"], named["q3"]] == some[k] and named["mode"] == some[3 + k]
+    monkeypatch.setattr(numeric, "RANGE_ROWS", 100)
+    assert sorted(map(tuple, numeric.numeric_describe(df, df.columns).collect())) == want
+    assert [r[0] for r in want] == ["a", "b", "d"]
+    rough = {r["column"]: r["median"] for r in numeric.numeric_describe(df, ["a"], accuracy=10_000).collect()}
+    assert abs(rough["a"] - want[0][numeric.STATS.index("median")]) < 1
+
+
 def test_exact_quantiles_agree_with_percentile(spark):
     df = one_column(spark, [float(x * x % 97) for x in range(500)], "double")
     got = {r["share"]: r["value"] for r in numeric.exact_quantiles(df, "v", [0.1, 0.25, 0.5, 0.99]).collect()}
