@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableprobe.llm import chunk_bpe, embedding_dedup, language_id, masked_lm, packing, quality_rules, ring_sharding, sketch_dedup, token_scan, zip_warc
+from tableprobe.llm import chunk_bpe, embedding_dedup, language_id, masked_lm, member_lloyd, packing, quality_rules, ring_sharding, sketch_dedup, token_scan, zip_warc
 from tableprobe.llm.common import durable, run_dir, table
 
 #: Files of public tokenizers come with this module; their places are parameters of the operators.
@@ -112,9 +112,38 @@ def op10_bottom_k_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch_dedup.components(table(spark, sf_dir, "documents"), sketch_dedup.Settings(words=3, percent=85))
 
 
+def op12_member_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return member_lloyd.compress(table(spark, sf_dir, "embeddings"), member_lloyd.Settings(parts=8, entries=16, rounds=6, scale=4096))
+
+
+def _op12_sql(rounds: int = 6) -> str:
+    """Parts by position; then, for each round, nearest entries and means rounded down; then codes and errors."""
+    near = lambda book: f"""SELECT p.rid, p.pos, p.x, arg_min(c.entry, c.d * 16 + c.entry) AS entry, min(c.d) AS d FROM parts p JOIN LATERAL (
+  SELECT b.entry, list_sum(list_transform(list_zip(p.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM {book} b WHERE b.pos = p.pos) c ON true GROUP BY ALL"""
+    steps = []
+    for k in range(rounds):
+        steps += [
+            f"a{k} AS MATERIALIZED ({near(f'b{k}')})",
+            f"m{k} AS (SELECT pos, entry, list(v ORDER BY i) AS x FROM (SELECT pos, entry, i, floor(sum(x[i])::DOUBLE / count(*))::BIGINT AS v FROM a{k}, (SELECT unnest(range(1, 9)) AS i) GROUP BY ALL) GROUP BY ALL)",
+            f"b{k + 1} AS MATERIALIZED (SELECT b{k}.pos, b{k}.entry, coalesce(m{k}.x, b{k}.x) AS x FROM b{k} LEFT JOIN m{k} ON b{k}.pos = m{k}.pos AND b{k}.entry = m{k}.entry)",
+        ]
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id, embedding) AS rid, vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (SELECT rid, pos, v[pos * len(v) // 8 + 1 : (pos + 1) * len(v) // 8] AS x FROM kept, (SELECT unnest(range(8)) AS pos)),
+b0 AS MATERIALIZED (SELECT pos, rid - 1 AS entry, x FROM parts WHERE rid <= 16),
+{", ".join(steps)},
+f AS MATERIALIZED ({near(f"b{rounds}")}),
+coded AS (SELECT rid, string_agg(printf('%02x', entry), '' ORDER BY pos) AS code, sum(d)::BIGINT AS error FROM f GROUP BY rid),
+sha AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY pos, entry)) AS codebooks_sha256 FROM b{rounds})
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM coded JOIN kept ON coded.rid = kept.rid, sha
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_embedding_dedup, op2_best_fit_packing, op3_chunk_bpe, op4_quality_rules, op5_zip_warc, op6_language_id, op7_masked_lm, op8_separator_scan, op9_ring_sharding, op10_bottom_k_dedup)}
+    return {f.__name__: f for f in (op1_embedding_dedup, op2_best_fit_packing, op3_chunk_bpe, op4_quality_rules, op5_zip_warc, op6_language_id, op7_masked_lm, op8_separator_scan, op9_ring_sharding, op10_bottom_k_dedup, op12_member_lloyd)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality_rules": OP4_SQL}
+    return {"op4_quality_rules": OP4_SQL, "op12_member_lloyd": _op12_sql()}
