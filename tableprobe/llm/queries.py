@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableprobe.llm import chunk_bpe, embedding_dedup, language_id, masked_lm, member_lloyd, packing, quality_rules, ring_sharding, sketch_dedup, token_scan, zip_warc
+from tableprobe.llm import chunk_bpe, embedding_dedup, language_id, masked_lm, member_lloyd, packing, phrase_graph, quality_rules, ring_sharding, sketch_dedup, token_scan, zip_warc
 from tableprobe.llm.common import durable, run_dir, table
 
 #: Files of public tokenizers come with this module; their places are parameters of the operators.
@@ -141,9 +141,40 @@ SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS labe
 """
 
 
+def op13_phrase_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_graph.phrases(table(spark, sf_dir, "documents"), phrase_graph.Settings(most=4, least=30, percent=80, top=2000)).drop("path_words")
+
+
+def _op13_sql() -> str:
+    """All phrases of 1 to 4 words counted one by one."""
+    gram = lambda k: "||' '||".join(f"ws[i+{j}]" for j in range(k))
+    counted = " UNION ALL ".join(f"SELECT lang, {k} AS w, x AS phrase, count(*) AS f FROM (SELECT lang, {gram(k)} AS x FROM (SELECT lang, ws, unnest(range(1, len(ws) - {k - 2})) AS i FROM p)) GROUP BY ALL" for k in range(1, 5))
+    cuts = " UNION ALL ".join(
+        f"SELECT lang, phrase, f, {k} AS k, array_to_string(ws[:{k}], ' ') AS x, array_to_string(ws[{k + 1}:], ' ') AS y FROM c WHERE w > {k}" for k in range(1, 4)
+    )
+    inner = " UNION ALL ".join(
+        f"SELECT lang, f, array_to_string(ws[{i}:{i + n - 1}], ' ') AS phrase FROM c WHERE w > {n} AND w >= {i + n - 1}" for n in (2, 3) for i in range(1, 4)
+    )
+    return f"""
+WITH p AS MATERIALIZED (
+  SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+g AS MATERIALIZED (SELECT * FROM ({counted}) WHERE f >= 30),
+c AS MATERIALIZED (SELECT lang, w, phrase, f, string_split(phrase, ' ') AS ws FROM g WHERE w > 1),
+held AS (SELECT lang, phrase, max(f) AS most FROM ({inner}) GROUP BY ALL),
+cut AS (SELECT cuts.lang, cuts.phrase, cuts.f AS a, k, l.f AS l, r.f AS r, 2000000::HUGEINT * cuts.f // (l.f + r.f) AS score
+  FROM ({cuts}) cuts JOIN g l ON l.lang = cuts.lang AND l.phrase = cuts.x JOIN g r ON r.lang = cuts.lang AND r.phrase = cuts.y),
+best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+n AS (SELECT lang, sum(len(ws)) AS n FROM p GROUP BY lang),
+ranked AS (SELECT best.*, row_number() OVER (PARTITION BY best.lang ORDER BY score DESC, a DESC, best.phrase) AS rank
+  FROM best LEFT JOIN held ON held.lang = best.lang AND held.phrase = best.phrase WHERE most IS NULL OR 100 * most < 80 * a)
+SELECT ranked.lang, rank, phrase, a, l, r, n.n::BIGINT AS n, score::BIGINT AS score FROM ranked JOIN n ON n.lang = ranked.lang WHERE rank <= 2000
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_embedding_dedup, op2_best_fit_packing, op3_chunk_bpe, op4_quality_rules, op5_zip_warc, op6_language_id, op7_masked_lm, op8_separator_scan, op9_ring_sharding, op10_bottom_k_dedup, op12_member_lloyd)}
+    return {f.__name__: f for f in (op1_embedding_dedup, op2_best_fit_packing, op3_chunk_bpe, op4_quality_rules, op5_zip_warc, op6_language_id, op7_masked_lm, op8_separator_scan, op9_ring_sharding, op10_bottom_k_dedup, op12_member_lloyd, op13_phrase_graph)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality_rules": OP4_SQL, "op12_member_lloyd": _op12_sql()}
+    return {"op4_quality_rules": OP4_SQL, "op12_member_lloyd": _op12_sql(), "op13_phrase_graph": _op13_sql()}
