@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableprobe.llm import chunk_bpe, embedding_dedup, language_id, masked_lm, member_lloyd, packing, phrase_graph, quality_rules, ring_sharding, sketch_dedup, token_scan, zip_warc
+from tableprobe.llm import chunk_bpe, embedding_dedup, language_id, lexical_packing, masked_lm, member_lloyd, packing, phrase_graph, quality_rules, ring_sharding, sketch_dedup, token_scan, zip_warc
 from tableprobe.llm.common import durable, run_dir, table
 
 #: Files of public tokenizers come with this module; their places are parameters of the operators.
@@ -112,6 +112,10 @@ def op10_bottom_k_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch_dedup.components(table(spark, sf_dir, "documents"), sketch_dedup.Settings(words=3, percent=85))
 
 
+def op11_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_packing.lexical_packing(table(spark, sf_dir, "documents"), BYTE_BPE, BYTE_RANKS, public_tokenizers.PATTERN, lexical_packing.Settings(window=1024, end_id=0))
+
+
 def op12_member_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return member_lloyd.compress(table(spark, sf_dir, "embeddings"), member_lloyd.Settings(parts=8, entries=16, rounds=6, scale=4096))
 
@@ -173,7 +177,7 @@ SELECT ranked.lang, rank, phrase, a, l, r, n.n::BIGINT AS n, score::BIGINT AS sc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_embedding_dedup, op2_best_fit_packing, op3_chunk_bpe, op4_quality_rules, op5_zip_warc, op6_language_id, op7_masked_lm, op8_separator_scan, op9_ring_sharding, op10_bottom_k_dedup, op12_member_lloyd, op13_phrase_graph)}
+    return {f.__name__: f for f in (op1_embedding_dedup, op2_best_fit_packing, op3_chunk_bpe, op4_quality_rules, op5_zip_warc, op6_language_id, op7_masked_lm, op8_separator_scan, op9_ring_sharding, op10_bottom_k_dedup, op11_lexical_packing, op12_member_lloyd, op13_phrase_graph)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import base64
 import functools
 import json
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from tokenizers import Tokenizer
 
-from tableprobe.llm.rolling import prefix_sums, span_hashes
+from tableprobe.llm.rolling import prefix_sums, same_spans, span_hashes
 
 #: Characters of text that are split into words at a time; words that a memo holds before it starts anew.
 SLICE_CHARS = 500_000
@@ -54,9 +57,10 @@ class WordEncoder:
         self.forget()
 
     def forget(self) -> None:
-        """The memo: hashes of words, ascending; where the ids of each begin and how many they are; the ids of all.
-        Of MEMO_WORDS words, two have the same 64-bit hash with a chance of 5e-9."""
-        self.known, self.start, self.length, self.flat = np.zeros(0, "uint64"), np.zeros(0, "int64"), np.zeros(0, "int64"), np.zeros(0, "<u4")
+        """The memo: hashes of words, ascending; where the ids of each begin and how many they are; the ids of all; where
+        its letters begin and end; the letters of all."""
+        self.known, self.flat, self.letters = np.zeros(0, "uint64"), np.zeros(0, "<u4"), np.zeros(0, "uint8")
+        self.start, self.length, self.word, self.word_end = (np.zeros(0, "int64") for _ in range(4))
 
     def _learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
         """Words of letters in one call, as a token at a word's end is known as such; others one by one."""
@@ -79,8 +83,13 @@ class WordEncoder:
         self.start = np.insert(self.start, at, len(self.flat) + np.cumsum(length) - length)
         self.length = np.insert(self.length, at, length)
         self.flat = np.concatenate([self.flat, *found])
+        size = np.array([len(w) for w in words], "int64")
+        until = len(self.letters) + np.cumsum(size)
+        self.word, self.word_end = np.insert(self.word, at, until - size), np.insert(self.word_end, at, until)
+        self.letters = np.concatenate([self.letters, np.frombuffer(b"".join(words), "uint8")])
 
-    def _by_words(self, texts: list[bytes]) -> list[np.ndarray]:
+    def _by_words(self, texts: list[bytes]) -> list[np.ndarray] | None:
+        """None where two different words of the texts, or of the texts and the memo, have one hash."""
         raw = np.frombuffer(b" ".join(texts) + b" ", "uint8")
         blank = raw == 0x20
         # A mark behind a letter begins a word: fewer forms of words, and the tokenizer parts the two anyway.
@@ -93,6 +102,9 @@ class WordEncoder:
         text_at = np.cumsum([0, *(len(t) + 1 for t in texts)])
         bounds = np.searchsorted(starts, text_at)
         own, first, of = np.unique(span_hashes(prefix_sums(raw), starts, ends), return_index=True, return_inverse=True)
+        of = of.ravel()
+        if not same_spans(raw, starts, ends, raw, starts[first][of], ends[first][of]).all():
+            return None
         if len(self.known) > MEMO_WORDS:
             self.forget()
         at = np.searchsorted(self.known, own)
@@ -101,6 +113,9 @@ class WordEncoder:
             data = raw.tobytes()
             self._learn(own[new], [data[p:q] for p, q in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
             at = np.searchsorted(self.known, own)
+        if not same_spans(raw, starts[first], ends[first], self.letters, self.word[at], self.word_end[at]).all():
+            self.forget()
+            return None
         number = at[of]
         length = self.length[number]
         until = np.r_[0, np.cumsum(length)]
@@ -114,11 +129,37 @@ class WordEncoder:
             # Texts that may hold special tokens are encoded as they are.
             plain = [k for k, t in enumerate(part) if t and (not self.by_words or "<|" in t)]
             odd = dict(zip(plain, self.tokenizer.encode_batch_fast([part[k] for k in plain], add_special_tokens=False), strict=True))
-            known = self._by_words([b"" if k in odd or not t else t.replace("\n", " ").encode().lower() for k, t in enumerate(part)]) if self.by_words else [np.zeros(0, "<u4")] * len(part)
+            known: list[np.ndarray] | None = [np.zeros(0, "<u4")] * len(part)
+            if self.by_words:
+                known = self._by_words([b"" if k in odd or not t else t.replace("\n", " ").encode().lower() for k, t in enumerate(part)])
+                if known is None:
+                    known = [np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast([t or "" for t in part], add_special_tokens=False)]
             for k, ids in enumerate(known):
                 yield np.array(odd[k].ids, "<u4") if k in odd else ids
 
 
+class ByteEncoder:
+    """ids of whole texts by a byte-level BPE of which the ranks are given, as the tokenizer of its JSON file encodes them."""
+
+    def __init__(self, json_path: str, ranks_path: str, pattern: str):
+        with open(json_path, encoding="utf-8") as f:
+            self.special = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+        with open(ranks_path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.size = max(*ranks.values(), *self.special.values()) + 1
+        self.bpe = tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=ranks, special_tokens=self.special)
+
+    def __call__(self, text: str | None) -> np.ndarray:
+        """Unsigned 32-bit ids; null counts as empty."""
+        odd = any(x in text for x in self.special) if text else False
+        return np.array(array("I", self.bpe.encode(text, allowed_special="all") if odd else self.bpe.encode_ordinary(text or "")))
+
+
+@functools.cache
+def byte_encoder(json_path: str, ranks_path: str, pattern: str) -> ByteEncoder:
+    return ByteEncoder(json_path, ranks_path, pattern)
+
+
 def sliced(texts: Iterable[str | None], chars: int = SLICE_CHARS) -> Iterator[list[str | None]]:
     """The texts in lists of about so many characters."""
     part, n = [], 0
