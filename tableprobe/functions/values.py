@@ -22,6 +22,15 @@ SEVERITY_LIMITS = {"missing-values": (30, 5), "duplicate-rows": (5, 1), "mixed-t
 INCONSISTENT_ERROR = 50
 
 
+def col(name: str) -> Column:
+    """A column by its name as it is, whatever dots, blanks or backticks it holds."""
+    return F.col(quoted(name))
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def trimmed(c: Column) -> Column:
     """Without white space, no-break spaces and byte-order marks at its ends. Most cells have none: a look at two
     characters tells."""
@@ -39,7 +48,7 @@ def is_empty(c: Column, kind: T.DataType = T.StringType()) -> Column:
 
 
 def empty_of(df: DataFrame, name: str) -> Column:
-    return is_empty(F.col(name), df.schema[name].dataType)
+    return is_empty(col(name), df.schema[name].dataType)
 
 
 def is_date_like(s: Column) -> Column:
