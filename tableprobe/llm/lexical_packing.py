@@ -53,31 +53,45 @@ class Statistics:
 
 
 def encoded(docs: DataFrame, json_path: str, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, row (any number of its own), n and ids (little-endian unsigned 32-bit) of every text, without the end token."""
-    kind = docs.schema[id_col].dataType.simpleString()
+    """doc_id, row (any number of its own), n and ids (little-endian; of 16 bits where the vocabulary allows, else of 32) of
+    every text, without the end token."""
+    kind, width = docs.schema[id_col].dataType.simpleString(), _width(byte_encoder(json_path, ranks_path, pattern).size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = byte_encoder(json_path, ranks_path, pattern)
         for batch in batches:
-            at, held, ids = 0, 0, []
+            at, held, ids, count = 0, 0, [], []
             for k, text in enumerate(batch.column(1), 1):
-                ids.append(encode(text.as_py()).astype("<u4").tobytes())
+                ids.append(encode(text.as_py()).astype(width).tobytes())
+                count.append(len(ids[-1]) // np.dtype(width).itemsize)
                 held += len(ids[-1])
                 if held > 8_000_000 or k == batch.num_rows:
-                    made = [batch.column(0).slice(at, k - at), pa.array([len(x) // 4 for x in ids], "int64"), pa.array(ids, "binary")]
+                    made = [batch.column(0).slice(at, k - at), pa.array(count, "int64"), pa.array(ids, "binary")]
                     yield pa.RecordBatch.from_arrays(made, ["doc_id", "n", "ids"])
-                    at, held, ids = k, 0, []
+                    at, held, ids, count = k, 0, [], []
         release()
 
     made = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(run, f"doc_id {kind}, n long, ids binary")
     return made.withColumn("row", F.monotonically_increasing_id())
 
 
+def _width(size: int) -> str:
+    return "<u2" if size <= 1 << 16 else "<u4"
+
+
+def _read(column: pa.Array, size: int) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), _width(size)) for x in column]
+
+
 def _terms(ids: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Documents by place, and the distinct terms of each, ascending, with how often it has them."""
-    of = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
-    both, tf = np.unique(of * size + np.concatenate([*ids, np.zeros(0, "<u4")]).astype("int64"), return_counts=True)
-    return both // size, both % size, tf
+    kind = "uint32" if len(ids) * size < 1 << 32 else "uint64"
+    both = np.concatenate([*ids, np.zeros(0, "u2")]).astype(kind)
+    both += np.repeat(np.arange(len(ids), dtype=kind) * np.array(size, kind), [len(x) for x in ids])
+    both.sort()
+    first = np.flatnonzero(np.r_[len(both) > 0, both[1:] != both[:-1]])
+    doc, term = np.divmod(both[first], np.array(size, kind))
+    return doc.astype("int64"), term.astype("int64"), np.diff(np.r_[first, len(both)])
 
 
 def statistics(docs: DataFrame, size: int) -> Statistics:
@@ -86,7 +100,7 @@ def statistics(docs: DataFrame, size: int) -> Statistics:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, rows, total = np.zeros(size, "int64"), 0, 0
         for batch in batches:
-            ids = [np.frombuffer(x.as_buffer(), "<u4") for x in batch.column(0)]
+            ids = _read(batch.column(0), size)
             df += np.bincount(_terms(ids, size)[1], minlength=size)
             rows, total = rows + len(ids), total + sum(map(len, ids))
         term = np.flatnonzero(df)
@@ -127,19 +141,28 @@ class Shard:
         doc, term, weight = _weights(ids, stats, s)
         self.rows, self.size = len(ids), len(stats.idf)
         self.first = np.searchsorted(doc, np.arange(len(ids) + 1))
-        order = np.argsort(term, kind="stable")
-        terms, at = np.unique(term[order], return_index=True)
+        order = np.argsort(term.astype("u4"), kind="stable")
+        terms, at, n = np.unique(term[order], return_index=True, return_counts=True)
         self.begin = np.zeros(self.size + 1, "int64")
-        self.begin[terms + 1] = np.diff(np.r_[at, len(order)])
+        self.begin[terms + 1] = n
         np.cumsum(self.begin, out=self.begin)
         self.term, self.doc, self.weight = term, doc[order], weight[order]
+        # Postings of terms that many documents have are rows of a matrix.
+        often = np.flatnonzero(8 * n >= self.rows)
+        self.row = np.full(self.size, -1, "int32")
+        self.row[terms[often]] = np.arange(len(often))
+        self.matrix = np.zeros((len(often), self.rows))
+        here = np.flatnonzero(self.row[term[order]] >= 0)
+        self.matrix[self.row[term[order[here]]], self.doc[here]] = self.weight[here]
 
     def scores(self, seed: int) -> np.ndarray:
         """BM25 of every document for the seed's terms."""
         terms = self.term[self.first[seed] : self.first[seed + 1]]
-        begin, n = self.begin[terms], self.begin[terms + 1] - self.begin[terms]
+        row = self.row[terms]
+        rare = terms[row < 0]
+        begin, n = self.begin[rare], self.begin[rare + 1] - self.begin[rare]
         at = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
-        return np.bincount(self.doc[at], self.weight[at], self.rows)
+        return np.bincount(self.doc[at], self.weight[at], self.rows) + self.matrix[row[row >= 0]].sum(0)
 
 
 class Filler:
@@ -218,7 +241,7 @@ def pack(docs: DataFrame, size: int, s: Settings = Settings()) -> DataFrame:
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stats, races = shared.value
         for batch in batches:
-            doc, term, weight = _weights([np.frombuffer(x.as_buffer(), "<u4") for x in batch.column("ids")], stats, s)
+            doc, term, weight = _weights(_read(batch.column("ids"), size), stats, s)
             draws = [pa.array(_drawn(doc, term, weight, race, batch.num_rows)) for race in races]
             yield pa.RecordBatch.from_arrays([*batch.columns, *draws], [*batch.schema.names, "x", "y"])
 
@@ -258,9 +281,9 @@ def pack(docs: DataFrame, size: int, s: Settings = Settings()) -> DataFrame:
         key_type, tokens = None, 0
         for batch in batches:
             key_type = batch.schema.field("doc_id").type
-            for key, x in zip(batch.column("doc_id"), batch.column("ids"), strict=True):
+            for key, own in zip(batch.column("doc_id"), _read(batch.column("ids"), size), strict=True):
                 keys.append(key)
-                ids.append(np.frombuffer(x.as_buffer(), "<u4"))
+                ids.append(own)
                 tokens += len(ids[-1])
                 if len(ids) >= s.shard_rows or tokens >= s.shard_tokens:
                     yield ready(False)

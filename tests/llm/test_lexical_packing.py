@@ -88,7 +88,7 @@ def test_statistics_count_all_documents(spark):
     rows = [(0, "a b a"), (1, "a"), (2, None), (3, "c" * 40)]
     encoded = lexical_packing.encoded(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), *FILES)
     stats = lexical_packing.statistics(encoded, 50257)
-    df = Counter(t for r in encoded.collect() for t in set(np.frombuffer(r["ids"], "<u4").tolist()))
+    df = Counter(t for r in encoded.collect() for t in set(np.frombuffer(r["ids"], "<u2").tolist()))
     assert all(stats.idf[t] == pytest.approx(math.log(1 + (4 - n + 0.5) / (n + 0.5)), rel=1e-5) for t, n in df.items())
     assert stats.mean_length == sum(r["n"] for r in encoded.collect()) / 4
 
