@@ -67,24 +67,42 @@ def _typed(c: Column, kind: T.DataType, whole: str, part: str) -> Column | None:
         return F.when(c == F.floor(c), whole).otherwise(part)
     if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
         return F.lit("date")
-    return None
+    return None if isinstance(kind, T.StringType) else F.lit("string")
 
 
 def classify_value(c: Column, kind: T.DataType = T.StringType()) -> Column:
     """boolean, integer, float, date or string; null for empty cells."""
-    typed, s = _typed(c, kind, "integer", "float"), trimmed(c.cast("string"))
-    text = (
+    typed = typed_class(c, kind)
+    return F.when(~is_empty(c, kind), classify_text(c.cast("string")) if typed is None else typed)
+
+
+def typed_class(c: Column, kind: T.DataType) -> Column | None:
+    """The class of a cell by its column's type; null where cells are text."""
+    return _typed(c, kind, "integer", "float")
+
+
+def typed_bucket(c: Column, kind: T.DataType) -> Column | None:
+    return _typed(c, kind, "number", "number")
+
+
+def classify_text(c: Column) -> Column:
+    """The class of a text that isn't empty."""
+    s = trimmed(c)
+    return (
         F.when(F.lower(s).isin(*BOOLEAN_WORDS), "boolean").when(s.rlike(INTEGER), "integer").when(s.rlike(FLOAT), "float")
         .when(is_date_like(s), "date").otherwise("string")
     )
-    return F.when(~is_empty(c, kind), text if typed is None else typed)
+
+
+def bucket_text(c: Column) -> Column:
+    s = trimmed(c)
+    return F.when(F.lower(s).isin(*BOOLEAN_WORDS), "boolean").when(s.rlike(NUMBER), "number").when(is_date_like(s), "date").otherwise("string")
 
 
 def classify_bucket(c: Column, kind: T.DataType = T.StringType()) -> Column:
     """The coarser number, boolean, date or string of the mixed-type check; null for empty cells."""
-    typed, s = _typed(c, kind, "number", "number"), trimmed(c.cast("string"))
-    text = F.when(F.lower(s).isin(*BOOLEAN_WORDS), "boolean").when(s.rlike(NUMBER), "number").when(is_date_like(s), "date").otherwise("string")
-    return F.when(~is_empty(c, kind), text if typed is None else typed)
+    typed = typed_bucket(c, kind)
+    return F.when(~is_empty(c, kind), bucket_text(c.cast("string")) if typed is None else typed)
 
 
 def to_number(c: Column, kind: T.DataType = T.StringType()) -> Column:

@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tableprobe.functions.dates import DATE_SHARE, date_flag, month_of, normalized_date, parse_date
-from tableprobe.functions.values import empty_of
+from tableprobe.functions.values import col, empty_of
 from tableprobe.operators.shape import per_column
 
 
 def _parsed(df: DataFrame, name: str):
-    return parse_date(F.col(name), df.schema[name].dataType)
+    return parse_date(col(name), df.schema[name].dataType)
 
 
 def detect_date_columns(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -23,7 +23,7 @@ def detect_date_columns(df: DataFrame, columns: list[str]) -> DataFrame:
 def date_values(df: DataFrame, column: str, as_of: str, row_id: str = "row_id") -> DataFrame:
     """row_id, original, normalized, format and flag of every row, in the row's own partition."""
     p = F.col("p")
-    return df.select(F.col(row_id).alias("row_id"), F.col(column).cast("string").alias("original"), _parsed(df, column).alias("p")).select(
+    return df.select(col(row_id).alias("row_id"), col(column).cast("string").alias("original"), _parsed(df, column).alias("p")).select(
         "row_id", "original", normalized_date(p).alias("normalized"), p["format"].alias("format"), date_flag(p, as_of).alias("flag")
     )
 

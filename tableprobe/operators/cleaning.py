@@ -1,23 +1,21 @@
-"""A declarative cleaning plan, applied as one projection, with an audit of what it changed."""
+"""A declarative cleaning plan, applied as one plan, with an audit of what it changed."""
 
 from __future__ import annotations
 
 import json
+import zlib
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tableprobe.functions.values import coerce_value, is_empty
+from tableprobe.functions.values import coerce_value, col, is_empty
 
 MAX_COLUMNS = 500
 ACTIONS = ("drop-row", "fill-default", "leave-null")
 TARGETS = ("string", "integer", "float", "number", "date", "boolean")
 CHANGES = ("value-mapping", "type-coercion", "missing-value", "skipped-invalid-column")
-AUDIT = "seq int, column string, change_type string, detail string, reason string, affected_rows long, failed_rows long, applied boolean"
-#: More mappings of one column than this are joined as a table; a table of at most BROADCAST_ROWS is broadcast.
-WHEN_CHAIN = 50
-BROADCAST_ROWS = 100_000
 
 
 class PlanError(ValueError):
@@ -97,74 +95,152 @@ def composed(mappings: list[tuple[str, str]]) -> dict[str, tuple[str, tuple[int,
     return {start: (b, tuple(way[start])) for b, starts in at.items() for start in starts}
 
 
-def apply_cleaning_plan(df: DataFrame, plan: Plan) -> tuple[DataFrame, DataFrame]:
-    """(cleaned, audit). Mappings in their order, then coercion, then, over all columns, missing values.
-
-    Touched columns are text afterwards; a cell that cannot be coerced stays as it is and counts as failed.
-    Dropped rows are those that any drop-row column lacks. The audit is made here and now: its counters are one
-    aggregation, and one more for each column of more than WHEN_CHAIN mappings; ``cleaned`` reads the source again."""
-    spark, entries, counters, drops, counts = df.sparkSession, [], [], [], {}
-
-    def count(condition) -> str:
-        counters.append(F.count_if(F.coalesce(condition, F.lit(False))).alias(name := f"n{len(counters)}"))
-        return name
-
-    steps: dict[str, object] = {}  # columns of the staged frame, by name
-    staged = df
-    for p in plan.columns:
-        if p.column not in df.columns:
-            entries.append((p.column, CHANGES[3], "", "column is not in the table", None, None))
+def _dictionary(start: dict[str, tuple[str, int]]) -> Callable[[Column], Column]:
+    """struct(t, k) of a cell that is a key, else null: a constant table of small maps, found by the cell's checksum, so that
+    a look-up costs the same for few entries and for many."""
+    n = max(1, len(start) // 4)
+    maps: list[dict[str, dict]] = [{} for _ in range(n)]
+    for key, (to, code) in start.items():
+        maps[zlib.crc32(key.encode()) % n][key] = {"t": to, "k": code}
+    table = F.from_json(F.lit(json.dumps(maps)), "array<map<string,struct<t:string,k:int>>>")
+    return lambda c: F.try_element_at(F.get(table, (F.crc32(c.cast("binary")) % n).cast("int")), c)
+
+
+_TYPES = {"integer": "bigint", "float": "double", "number": "double", "boolean": "boolean", "date": "date"}
+
+
+def _typed_value(text: Column, target: str) -> Column:
+    """Canonical text as the target's type; null where it is none."""
+    return F.try_to_date(text, "yyyy-MM-dd") if target == "date" else text.try_cast(_TYPES[target])
+
+
+class _Marks:
+    """Codes of what may happen to a cell, and to which entries of the audit each counts."""
+
+    def __init__(self) -> None:
+        self.entries: list[tuple[str, str, str, str]] = []  # column, change, detail, reason
+        self.links: list[tuple[int, int, bool]] = []  # code, entry, failed
+        self.codes = 0
+
+    def entry(self, column: str, change: str, detail: str, reason: str) -> int:
+        self.entries.append((column, change, detail, reason))
+        return len(self.entries) - 1
+
+    def code(self, *entries: int, failed: bool = False) -> int:
+        self.codes += 1
+        self.links += [(self.codes, e, failed) for e in entries]
+        return self.codes
+
+    def audit(self, marked: DataFrame) -> DataFrame:
+        """The audit of rows with marks under _hits: one group-by, of as many groups as codes."""
+        spark = marked.sparkSession
+        counts = marked.select(F.explode("_hits").alias("code")).groupBy("code").agg(F.count("*").alias("n"))
+        links = spark.createDataFrame(self.links, "code int, seq int, failed boolean")
+        sums = links.join(counts, "code").groupBy("seq").agg(F.sum(F.when(~F.col("failed"), F.col("n"))).alias("affected"), F.sum(F.when(F.col("failed"), F.col("n"))).alias("failures"))
+        entries = spark.createDataFrame([(k, *e) for k, e in enumerate(self.entries)], "seq int, column string, change_type string, detail string, reason string")
+        affected = F.coalesce("affected", F.lit(0).cast("long"))
+        done = (affected > 0) & ~F.col("detail").eqNullSafe("leave-null")
+        return entries.join(sums, "seq", "left").select(*entries.columns, affected.alias("affected_rows"), F.coalesce("failures", F.lit(0).cast("long")).alias("failed_rows"), done.alias("applied"))
+
+
+def _staged(df: DataFrame, plan: Plan, typed: bool) -> tuple[DataFrame, list[str], _Marks]:
+    """df's columns after the plan as c0, c1, .., with _hits (codes of what happened to the row) and _gone; the names of the
+    columns; and the marks."""
+    marks, names = _Marks(), df.columns
+    place = {c: i for i, c in reversed(list(enumerate(names)))}
+    now = df.toDF(*[f"c{i}" for i in range(len(names))]).withColumns({"_hits": F.array().cast("array<int>")})
+    seen: dict[int, int] = {}  # plans of a column before this one
+    rounds: list[list[ColumnPlan]] = []
+    kinds: dict[int, str] = {}
+    steps: dict[int, tuple[list[int], list[int], tuple[int, int] | None]] = {}
+    for n, p in enumerate(plan.columns):
+        if p.column not in place:
+            marks.entry(p.column, CHANGES[3], "", "column is not in the table")
             continue
-        c = F.col(p.column).cast("string")
-        if len(p.mappings) <= WHEN_CHAIN:
-            for k, (a, b, reason) in enumerate(p.mappings):
-                staged = staged.withColumn(f"_m_{len(steps)}", c)
-                steps[f"_m_{len(steps)}"] = c = F.col(f"_m_{len(steps)}")
-                entries.append((p.column, CHANGES[0], f"{a} -> {b}", reason, count(c == a), None))
-                c = F.when(c == a, F.lit(b)).otherwise(c)
-        else:
+        k = seen[place[p.column]] = seen.get(place[p.column], -1) + 1
+        rounds += [[]] * (k >= len(rounds))
+        rounds[k] = [*rounds[k], p]
+        maps = [marks.entry(p.column, CHANGES[0], f"{a} -> {b}", reason) for a, b, reason in p.mappings]
+        coerced = marks.entry(p.column, CHANGES[1], *p.coercion) if p.coercion else None
+        steps[n] = maps, [], (marks.code(coerced), marks.code(coerced, failed=True)) if coerced is not None else None
+    number = {id(p): n for n, p in enumerate(plan.columns)}
+    extra: dict[int, str] = {}
+    for group in rounds:
+        here = {place[p.column]: p for p in group}
+        looked, hits = [], []
+        for i, p in here.items():
+            maps = steps[number[id(p)]][0]
             ways = composed([m[:2] for m in p.mappings])
-            table = spark.createDataFrame([(a, b) for a, (b, _) in ways.items()], "_from string, _to string")
-            name = f"_m_{len(steps)}"
-            staged = staged.withColumn("_from", c).join(F.broadcast(table) if len(ways) <= BROADCAST_ROWS else table, "_from", "left")
-            staged = staged.withColumn(name, F.coalesce("_to", "_from")).withColumn(f"{name}_from", F.when(F.col("_to").isNotNull(), F.col("_from"))).drop("_from", "_to")
-            steps[name] = c = F.col(name)
-            hits = dict.fromkeys(range(len(p.mappings)), 0)
-            for r in staged.filter(F.col(f"{name}_from").isNotNull()).groupBy(f"{name}_from").agg(F.count("*").alias("n")).collect():  # a row per mapping at most
-                for k in ways[r[0]][1]:
-                    hits[k] += r["n"]
-            for k, (a, b, reason) in enumerate(p.mappings):
-                counts[f"{name}_{k}"] = hits[k]
-                entries.append((p.column, CHANGES[0], f"{a} -> {b}", reason, f"{name}_{k}", None))
-        if p.coercion:
-            staged = staged.withColumn(f"_m_{len(steps)}", c)
-            steps[f"_m_{len(steps)}"] = c = F.col(f"_m_{len(steps)}")
-            value, ok = coerce_value(c, p.coercion[0])
-            entries.append((p.column, CHANGES[1], p.coercion[0], p.coercion[1], count(ok), count(~is_empty(c) & ~ok)))
-            c = value
-        staged = staged.withColumn(f"_v_{p.column}", c)
+            start = {a: (b, marks.code(*(maps[k] for k in way))) for a, (b, way) in ways.items()}
+            c = F.col(f"c{i}").cast("string")
+            looked.append((_dictionary(start)(c) if start else F.lit(None).cast("struct<t:string,k:int>")).alias(f"m{i}"))
+        now = now.select("*", *looked)
+        made = []
+        for i, p in here.items():
+            value = F.coalesce(F.col(f"m{i}.t"), F.col(f"c{i}").cast("string"))
+            hits.append(F.col(f"m{i}.k"))
+            if p.coercion:
+                text, ok = coerce_value(value, p.coercion[0])
+                made.append(F.struct(text.alias("v"), ok.alias("ok"), (~is_empty(value)).alias("full"), value.alias("cell")).alias(f"k{i}"))
+            else:
+                made.append(F.struct(value.alias("v")).alias(f"k{i}"))
+        now = now.select("*", *made)
+        for i, p in here.items():
+            if p.coercion:
+                good, bad = steps[number[id(p)]][2]
+                fits = F.col(f"k{i}.ok")
+                if typed and p.coercion[0] in _TYPES:
+                    fits = fits & _typed_value(F.col(f"k{i}.v"), p.coercion[0]).isNotNull()
+                hits.append(F.when(F.col(f"k{i}.full"), F.when(F.coalesce(fits, F.lit(False)), good).otherwise(bad)))
+        marked = F.concat("_hits", F.array_compact(F.array(*hits)))
+        cells = []
+        for i in range(len(names)):
+            p = here.get(i)
+            if p and typed and p.coercion and p.coercion[0] in _TYPES:
+                kinds[i] = p.coercion[0]
+                value = _typed_value(F.when(F.col(f"k{i}.ok"), F.col(f"k{i}.v")), p.coercion[0])
+                extra[i] = f"u{i}"
+                cells += [value.alias(f"c{i}"), F.when(F.col(f"k{i}.full") & value.isNull(), F.col(f"k{i}.cell")).alias(f"u{i}")]
+            else:
+                cells.append((F.col(f"k{i}.v") if p else F.col(f"c{i}")).alias(f"c{i}"))
+                cells += [F.col(f"u{i}")] if i in extra else []
+        now = now.select(*cells, marked.alias("_hits"))
+    last, gone, hits = {}, F.lit(False), []
     for p in plan.columns:
-        if p.missing and p.column in df.columns:
-            c, (action, default, reason) = F.col(f"_v_{p.column}"), p.missing
-            empty = is_empty(c)
-            entries.append((p.column, CHANGES[2], action, reason, count(empty), None))
+        if p.missing and p.column in place:
+            i, (action, default, reason) = place[p.column], p.missing
+            kind = kinds.get(i)
+            # A typed cell that could not be coerced is not empty.
+            empty = F.col(f"c{i}").isNull() & F.col(f"u{i}").isNull() if kind else is_empty(F.col(f"c{i}").cast("string"))
+            hits.append(F.when(empty, marks.code(marks.entry(p.column, CHANGES[2], action, reason))))
             if action == "drop-row":
-                drops.append(f"_v_{p.column}")
+                gone = gone | empty
             elif action == "fill-default":
-                staged = staged.withColumn(f"_f_{p.column}", F.when(empty, F.lit(default)).otherwise(c))
-    counts |= staged.agg(*counters).first().asDict() if counters else {}
-    touched = {p.column for p in plan.columns}
-    final = [F.col(f"_f_{c}" if f"_f_{c}" in staged.columns else f"_v_{c}" if c in touched else f"`{c}`").alias(c) for c in df.columns]
-    gone = F.lit(False)
-    for name in drops:
-        gone = gone | is_empty(F.col(name))
-    out = staged.filter(~gone).select(*final)
-    rows = []
-    for k, (column, change, detail, reason, n, failed) in enumerate(entries):
-        affected = counts[n] if n else 0
-        applied = affected > 0 and detail != "leave-null"
-        rows.append((k, column, change, detail, reason, affected, counts[failed] if failed else 0, applied))
-    return out, spark.createDataFrame(rows, AUDIT)
+                fill = F.lit(default) if not kind else _typed_value(F.lit(default), kind)
+                last[i] = F.when(empty, fill).otherwise(F.col(f"c{i}"))
+    cells = [last.get(i, F.col(f"c{i}")).alias(f"c{i}") for i in range(len(names))] + [F.col(u) for u in extra.values()]
+    staged = now.select(*cells, F.concat("_hits", F.array_compact(F.array(*hits)) if hits else F.array().cast("array<int>")).alias("_hits"), gone.alias("_gone"))
+    return staged, [*names, *(f"{names[i]}_uncoerced" for i in extra)], marks
+
+
+def apply_cleaning_plan(df: DataFrame, plan: Plan, typed: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(cleaned, audit). Mappings in their order, then coercion, then, over all columns, missing values.
+
+    Touched columns are text afterwards; a cell that cannot be coerced stays as it is and counts as failed. With typed,
+    a coerced column has the target's type, null where a cell could not be coerced, and that cell stands in a column
+    named after it with ``_uncoerced``. Dropped rows are those that any drop-row column lacks. Both tables are plans over
+    df: nothing runs here, and each reads the source once, however many columns and mappings there are."""
+    staged, names, marks = _staged(df, plan, typed)
+    return staged.filter(~F.col("_gone")).drop("_hits", "_gone").toDF(*names), marks.audit(staged)
+
+
+def write_cleaned(df: DataFrame, plan: Plan, path: str, typed: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(cleaned, audit) as apply_cleaning_plan has them, the source read once: all rows are written as Parquet below path,
+    with the marks of what happened to them; the audit reads the marks alone, and what was dropped stays apart."""
+    staged, names, marks = _staged(df, plan, typed)
+    staged.write.partitionBy("_gone").parquet(path)
+    back = df.sparkSession.read.schema(staged.schema).parquet(path)
+    return back.filter(~F.col("_gone")).drop("_hits", "_gone").toDF(*names), marks.audit(back)
 
 
 def cleaning_summary(audit: DataFrame) -> DataFrame:
@@ -187,4 +263,4 @@ def raw_vs_cleaned(raw: DataFrame, cleaned: DataFrame, audit: DataFrame) -> Data
 
 def preview(df: DataFrame, row_id: str = "row_id", k: int = 50) -> DataFrame:
     """The first k rows in order."""
-    return df.orderBy(row_id).limit(k)
+    return df.orderBy(col(row_id)).limit(k)

@@ -7,8 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tableprobe.functions.values import coerce_to_number, severity_rank, trimmed
-from tableprobe.operators import calendar, numeric
+from tableprobe.functions.values import coerce_to_number, col, severity_rank, trimmed
+from tableprobe.operators import calendar, numeric, quality
 from tableprobe.operators.quality import text_columns
 from tableprobe.operators.shape import cells
 
@@ -45,11 +45,11 @@ def choose_date_column(names: list[str]) -> str | None:
 
 def filter_by_category(df: DataFrame, column: str, value: str | None) -> DataFrame:
     """Rows whose trimmed cell is the value; all rows for null."""
-    return df if value is None else df.filter(trimmed(F.col(column).cast("string")) == value)
+    return df if value is None else df.filter(trimmed(col(column).cast("string")) == value)
 
 
 def _category(df: DataFrame, column: str) -> Column:
-    text = trimmed(F.col(column).cast("string"))
+    text = trimmed(col(column).cast("string"))
     return F.when(text != "", text)
 
 
@@ -89,13 +89,13 @@ def kpi_rows_in_view(view: DataFrame, total_rows: int) -> DataFrame:
 
 
 def kpi_measure(view: DataFrame, measure: str) -> DataFrame:
-    x = coerce_to_number(F.col(measure), view.schema[measure].dataType)
+    x = coerce_to_number(col(measure), view.schema[measure].dataType)
     return view.agg(F.sum(x).alias("total"), F.avg(x).alias("mean"), F.count(x).alias("n"))
 
 
 def kpi_top_category(view: DataFrame, column: str, row_id: str = "row_id") -> DataFrame:
     """The most frequent trimmed value (ties: seen first), n, and its share of the view's rows."""
-    groups = view.groupBy(_category(view, column).alias("value")).agg(F.count("*").alias("n"), F.min(row_id).alias("seen"))
+    groups = view.groupBy(_category(view, column).alias("value")).agg(F.count("*").alias("n"), F.min(col(row_id)).alias("seen"))
     rows = groups.agg(F.sum("n").alias("n_rows"))
     top = groups.filter("value is not null").orderBy(F.desc("n"), "seen").limit(1)
     return top.crossJoin(rows).select("value", "n", (F.col("n") * 100.0 / F.col("n_rows")).alias("percentage"))  # one row by one row
@@ -103,7 +103,7 @@ def kpi_top_category(view: DataFrame, column: str, row_id: str = "row_id") -> Da
 
 def segment_kpis(df: DataFrame, segment: str, measure: str, total_rows: int | None = None) -> DataFrame:
     """segment (null: all rows), n_rows, percentage, total, mean: one pass for every value of the segment."""
-    x = coerce_to_number(F.col(measure), df.schema[measure].dataType)
+    x = coerce_to_number(col(measure), df.schema[measure].dataType)
     base = df.select(_category(df, segment).alias("segment"), x.alias("x"))
     found = base.rollup("segment").agg(F.grouping("segment").alias("g"), F.count("*").alias("n_rows"), F.sum("x").alias("total"), F.avg("x").alias("mean"))
     found = found.filter("g = 1 or segment is not null")
@@ -124,37 +124,55 @@ def _folded(groups: DataFrame) -> DataFrame:
 def category_breakdown(df: DataFrame, column: str, row_id: str = "row_id") -> DataFrame:
     """name, place, value: rows per trimmed value."""
     name = F.coalesce(_category(df, column), F.lit(MISSING))
-    return _folded(df.groupBy(name.alias("name")).agg(F.count("*").alias("value"), F.min(row_id).alias("seen")))
+    return _folded(df.groupBy(name.alias("name")).agg(F.count("*").alias("value"), F.min(col(row_id)).alias("seen")))
 
 
 def category_measure_breakdown(df: DataFrame, column: str, measure: str, row_id: str = "row_id") -> DataFrame:
     """name, place, value: sum of the measure; rows without a number are left out."""
-    x = coerce_to_number(F.col(measure), df.schema[measure].dataType)
+    x = coerce_to_number(col(measure), df.schema[measure].dataType)
     name = F.coalesce(_category(df, column), F.lit(MISSING))
-    rows = df.select(name.alias("name"), x.alias("x"), F.col(row_id).alias("row_id")).filter("x is not null")
+    rows = df.select(name.alias("name"), x.alias("x"), col(row_id).alias("row_id")).filter("x is not null")
     return _folded(rows.groupBy("name").agg(F.sum("x").alias("value"), F.min("row_id").alias("seen")))
 
 
-def dashboard_notices(report: DataFrame, outliers: DataFrame, n_rows: int) -> DataFrame:
-    """rank, id, severity, count: at most four notices of a view, the gravest first."""
-    spark, schema = report.sparkSession, "id string, severity string, count long, kind int, nth int"
-    if n_rows == 0:
-        return spark.createDataFrame([(1, "no-rows", "warning", 0)], "rank int, id string, severity string, count long")
-    top = lambda df, kind, k, order: df.withColumn("nth", F.row_number().over(Window.orderBy(*order))).filter(F.col("nth") <= k).withColumn("kind", F.lit(kind))
+def _noticed(report: DataFrame, outliers: DataFrame, sizes: DataFrame) -> DataFrame:
+    """g, rank, id, severity, count: at most four notices of each view g, of findings and outliers by g. sizes: g, n_rows."""
+    top = lambda df, kind, k, order: df.withColumn("nth", F.row_number().over(Window.partitionBy("g").orderBy(*order))).filter(F.col("nth") <= k).withColumn("kind", F.lit(kind))
     of = lambda check: report.filter((F.col("check_name") == check) & (F.col("count") > 0))
-    named = lambda df, word, c="count": df.select(F.concat(F.lit(word), "column").alias("id"), "severity", F.col(c).cast("long").alias("count"), "kind", "nth")
-    parts = [
-        named(top(of("missing-values"), 0, 2, [F.desc("count"), "idx"]), "missing-"),
+    named = lambda df, word, c="count": df.select("g", F.concat(F.lit(word), "column").alias("id"), "severity", F.col(c).cast("long").alias("count"), "kind", "nth")
+    found = named(top(of("missing-values"), 0, 2, [F.desc("count"), "idx"]), "missing-")
+    for p in (
         named(top(of("duplicate-rows"), 1, 1, ["idx"]), "duplicates"),
         named(top(outliers.filter("n_outliers > 0").withColumn("severity", F.lit("warning")), 2, 2, [F.desc("n_outliers"), "idx"]), "outliers-", "n_outliers"),
         named(top(of("inconsistent-categoricals"), 3, 1, ["idx"]), "inconsistent-"),
-    ]
-    found = parts[0]
-    for p in parts[1:]:
+    ):
         found = found.unionByName(p)
-    clean = spark.createDataFrame([("clean", "info", 0, 9, 1)], schema)  # stands last, and alone only where nothing else does
-    ranked = found.unionByName(clean).withColumn("rank", F.row_number().over(Window.orderBy(severity_rank(F.col("severity")), "kind", "nth")))
-    return ranked.filter((F.col("rank") <= NOTICES) & ((F.col("id") != "clean") | (F.col("rank") == 1))).select("rank", "id", "severity", "count")
+    none = F.col("n_rows") == 0
+    # Stands last, and alone only where nothing else does; a view without rows has only its own notice.
+    plain = sizes.select("g", F.when(none, "no-rows").otherwise("clean").alias("id"), F.when(none, "warning").otherwise("info").alias("severity"), F.lit(0).cast("long").alias("count"), F.when(none, -1).otherwise(9).alias("kind"), F.lit(1).alias("nth"))
+    order = Window.partitionBy("g").orderBy((F.col("kind") >= 0).cast("int"), severity_rank(F.col("severity")), "kind", "nth")
+    ranked = found.unionByName(plain).withColumn("rank", F.row_number().over(order)).withColumn("first", F.first("id").over(order))
+    alone = (F.col("id") != "clean") | (F.col("rank") == 1)
+    return ranked.filter((F.col("rank") <= NOTICES) & alone & ((F.col("first") != "no-rows") | (F.col("rank") == 1))).select("g", "rank", "id", "severity", "count")
+
+
+def dashboard_notices(report: DataFrame, outliers: DataFrame, n_rows: int) -> DataFrame:
+    """rank, id, severity, count: at most four notices of a view, the gravest first."""
+    g = lambda df: df.withColumn("g", F.lit(None).cast("string"))
+    sizes = report.sparkSession.createDataFrame([(None, n_rows)], "g string, n_rows long")
+    return _noticed(g(report), g(outliers), sizes).drop("g")
+
+
+def segment_notices(df: DataFrame, columns: list[str], numbers: list[str], segment: str, row_id: str = "row_id") -> DataFrame:
+    """segment (null: all rows), rank, id, severity, count: the notices of the whole table and of the view of every value of
+    the segment's column, each as if the view were analysed alone. A segment's column has MOST_VALUES values at most."""
+    g = _category(df, segment)
+    values = sorted(r[0] for r in df.select(g.alias("g")).filter("g is not null").distinct().limit(MOST_VALUES + 1).collect())
+    if len(values) > MOST_VALUES:
+        raise ValueError(f"{segment} has more than {MOST_VALUES} values")
+    sizes = df.select(g.alias("g")).rollup("g").agg(F.grouping("g").alias("whole"), F.count("*").alias("n_rows")).filter("whole = 1 or g is not null").select("g", "n_rows")
+    found = _noticed(quality.quality_report_by(df, columns, g, row_id), numeric.outlier_counts_by(df, numbers, g, values), sizes)
+    return found.withColumnRenamed("g", "segment")
 
 
 def choose_charts(df: DataFrame, date_column: str | None, breakdowns: list[str], measure: str | None, row_id: str = "row_id", k: int = CHARTS) -> DataFrame:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from tableprobe.functions.values import coerce_to_number, percentage_of, severity_of, to_number
-from tableprobe.operators.shape import cells, held, per_column
+from tableprobe.functions.values import coerce_to_number, col, percentage_of, severity_of, to_number
+from tableprobe.operators.shape import held, per_column
 
 FENCE, BINS = 1.5, 6
 QUARTERS = (0.25, 0.5, 0.75)
@@ -18,7 +18,13 @@ STATS = ("column", "idx", "n", "min", "max", "mean", "median", "mode", "stddev",
 
 
 def _number(df: DataFrame, name: str):
-    return to_number(F.col(name), df.schema[name].dataType)
+    return to_number(col(name), df.schema[name].dataType)
+
+
+def _numbers(df: DataFrame, columns: list[str]) -> DataFrame:
+    """idx and x of every number."""
+    cells = F.array(*[F.struct(F.lit(i).alias("idx"), _number(df, c).alias("x")) for i, c in enumerate(columns)])
+    return df.select(F.explode(cells).alias("e")).select("e.idx", "e.x").filter("x is not null")
 
 
 def _moments(df: DataFrame, columns: list[str], accuracy: int | None = None) -> list[Row]:
@@ -32,31 +38,31 @@ def _moments(df: DataFrame, columns: list[str], accuracy: int | None = None) ->
     return [r for r in per_column(df, columns, stats).collect() if r["n"]]
 
 
-def _bounds(df: DataFrame, known: list[Row]) -> dict[int, list[float]]:
-    """idx and the bounds of ranges of about RANGE_ROWS numbers, from sketches, of the columns that need more than one."""
-    large = [r for r in known if r["n"] > RANGE_ROWS]
+def _bounds(numbers: DataFrame, known: dict[int, int]) -> dict[int, list[float]]:
+    """Of the idx that have many numbers: the bounds of ranges of about RANGE_ROWS of them, from sketches."""
+    large = {i: min(MOST_RANGES, math.ceil(n / RANGE_ROWS)) for i, n in known.items() if n > RANGE_ROWS}
     if not large:
         return {}
-    parts = {r["idx"]: min(MOST_RANGES, math.ceil(r["n"] / RANGE_ROWS)) for r in large}
-    found = df.agg(*[F.percentile_approx(_number(df, r["column"]), [k / parts[r["idx"]] for k in range(1, parts[r["idx"]])], 1000) for r in large]).first()
-    return {r["idx"]: sorted(set(grid)) for r, grid in zip(large, found, strict=True)}
-
-
-def _ranked(df: DataFrame, known: list[Row], shares: tuple[float, ...]) -> DataFrame:
-    """idx, q (the interpolated quantile of each share) and mode (a tied one is the least) of the known columns: distinct
-    values are counted, and ranked within ranges of values, so that no task holds a large column whole."""
-    cut = _bounds(df, known)
-    bounds = lambda r: F.array(*map(F.lit, cut[r["idx"]])) if cut.get(r["idx"]) else F.array().cast("array<double>")
-    each = lambda value: F.create_map(*[x for r in known for x in (F.lit(r["idx"]), value(r))])[F.col("idx")]
-    numbers = F.array(*[F.struct(F.lit(r["idx"]).alias("idx"), _number(df, r["column"]).alias("x")) for r in known])
-    counts = df.select(F.explode(numbers).alias("e")).select("e.idx", "e.x").filter("x is not null").groupBy("idx", "x").agg(F.count("*").alias("n"))
+    grid = [k / MOST_RANGES for k in range(1, MOST_RANGES)]
+    found = numbers.filter(F.col("idx").isin(list(large))).groupBy("idx").agg(F.percentile_approx("x", grid, 1000).alias("b")).collect()  # a row per idx
+    return {r["idx"]: sorted({r["b"][k * MOST_RANGES // large[r["idx"]] - 1] for k in range(1, large[r["idx"]])}) for r in found}
+
+
+def _ranked(numbers: DataFrame, known: dict[int, int], shares: tuple[float, ...]) -> DataFrame:
+    """idx, q (the interpolated quantile of each share) and mode (a tied one is the least) of numbers (idx, x), of which known
+    tells how many each idx has: distinct values are counted, and ranked within ranges of values, so that no task holds all
+    of a large one."""
+    cut = _bounds(numbers, known)
+    bounds = lambda i: F.array(*map(F.lit, cut[i])) if cut.get(i) else F.array().cast("array<double>")
+    each = lambda value: F.create_map(*[x for i in known for x in (F.lit(i), value(i))])[F.col("idx")]
+    counts = numbers.groupBy("idx", "x").agg(F.count("*").alias("n"))
     ranged = counts.withColumn("part", F.size(F.filter(each(bounds), lambda b: b < F.col("x"))))
     before = Window.partitionBy("idx").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
     starts = ranged.groupBy("idx", "part").agg(F.sum("n").alias("size")).select("idx", "part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"))
     within = Window.partitionBy("idx", "part").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    placed = ranged.withColumn("upto", F.sum("n").over(within)).join(F.broadcast(starts), ["idx", "part"])  # MOST_RANGES rows a column
+    placed = ranged.withColumn("upto", F.sum("n").over(within)).join(F.broadcast(starts), ["idx", "part"])  # MOST_RANGES rows an idx
     after = F.col("start") + F.col("upto")
-    placed = placed.select("idx", "x", "n", (after - F.col("n")).alias("first"), (after - 1).alias("last"), each(lambda r: F.lit(r["n"])).alias("total"))
+    placed = placed.select("idx", "x", "n", (after - F.col("n")).alias("first"), (after - 1).alias("last"), each(lambda i: F.lit(known[i])).alias("total"))
     at = [(F.col("total") - 1) * F.lit(float(s)) for s in shares]
     low = [F.max(F.when(F.col("first") <= F.floor(a), F.col("x"))).alias(f"low{k}") for k, a in enumerate(at)]
     high = [F.min(F.when(F.col("last") >= F.ceil(a), F.col("x"))).alias(f"high{k}") for k, a in enumerate(at)]
@@ -77,7 +83,7 @@ def numeric_describe(df: DataFrame, columns: list[str], accuracy: int | None = N
     base = spark.createDataFrame([(*[r[f] for f in fields], r["q"] if accuracy else None) for r in known], schema)
     if not known:
         return base.withColumns({c: F.lit(None).cast("double") for c in STATS if c not in fields}).select(*STATS)
-    found = base.join(_ranked(df, known, QUARTERS), "idx").withColumn("q", F.coalesce("rough", "q"))
+    found = base.join(_ranked(_numbers(df, columns), {r["idx"]: r["n"] for r in known}, QUARTERS), "idx").withColumn("q", F.coalesce("rough", "q"))
     found = found.withColumns({"q1": F.col("q")[0], "median": F.col("q")[1], "q3": F.col("q")[2]})
     reach = FENCE * (F.col("q3") - F.col("q1"))
     found = found.withColumns({"lo": F.col("q1") - reach, "hi": F.col("q3") + reach})
@@ -90,15 +96,40 @@ def exact_quantiles(df: DataFrame, column: str, shares: list[float]) -> DataFram
     if not known or not shares:
         return df.sparkSession.createDataFrame([], "share double, value double")
     pairs = F.arrays_zip(F.array(*[F.lit(float(s)) for s in shares]).alias("share"), F.col("q").alias("value"))
-    return _ranked(df, known, tuple(shares)).select(F.explode(pairs).alias("e")).select("e.share", "e.value")
+    return _ranked(_numbers(df, [column]), {0: known[0]["n"]}, tuple(shares)).select(F.explode(pairs).alias("e")).select("e.share", "e.value")
 
 
 def outlier_rows(df: DataFrame, columns: list[str], row_id: str = "row_id", described: DataFrame | None = None) -> DataFrame:
-    """column, row_id, value of numbers strictly outside their column's fences."""
-    bounds = (described if described is not None else numeric_describe(df, columns)).select("column", "lo", "hi")
-    long = cells(df, columns, row_id, lambda c: _number(df, c)).filter("value is not null")
-    out = long.join(F.broadcast(bounds), "column").filter((F.col("value") < F.col("lo")) | (F.col("value") > F.col("hi")))  # a row per column
-    return out.select("column", "row_id", "value")
+    """column, row_id, value of numbers strictly outside their column's fences. All fences are one row, and rows are long
+    only where they have outliers."""
+    fences = (described if described is not None else numeric_describe(df, columns)).select("column", "lo", "hi")
+    row = fences.agg(*[F.max(F.when(F.col("column") == c, F.struct("lo", "hi"))).alias(f"f{i}") for i, c in enumerate(columns)])
+    numbers = df.select(col(row_id).alias("row_id"), *[_number(df, c).alias(f"x{i}") for i, c in enumerate(columns)]).crossJoin(F.broadcast(row))  # one row
+    out = lambda i: (F.col(f"x{i}") < F.col(f"f{i}.lo")) | (F.col(f"x{i}") > F.col(f"f{i}.hi"))
+    hits = F.array_compact(F.array(*[F.when(out(i), F.struct(F.lit(c).alias("column"), F.col(f"x{i}").alias("value"))) for i, c in enumerate(columns)]))
+    return numbers.select("row_id", F.explode(hits).alias("h")).select("h.column", "row_id", "h.value")
+
+
+def outlier_counts_by(df: DataFrame, columns: list[str], by: Column, groups: list[str]) -> DataFrame:
+    """g, column, idx, n_outliers, percentage, severity: outlier_counts of each of the groups of rows that by names, by its own
+    fences, and, under a null g, of all rows. Numbers of all groups are ranked in one pass."""
+    width, place = len(columns), F.coalesce(F.array_position(F.array(*map(F.lit, groups)).cast("array<string>"), by), F.lit(0))
+    numbers = df.select(place.cast("int").alias("p"), F.explode(F.array(*[F.struct(F.lit(i).alias("i"), _number(df, c).alias("x")) for i, c in enumerate(columns)])).alias("e"))
+    keys = F.array_distinct(F.array(F.col("e.i"), F.col("p") * width + F.col("e.i")))  # of all rows, and of the group
+    numbers = numbers.filter("e.x is not null").select(F.explode(keys).alias("idx"), F.col("e.x").alias("x"))
+    known = {r["idx"]: r["n"] for r in numbers.groupBy("idx").agg(F.count("*").alias("n")).collect()}  # groups times columns
+    schema = "g string, column string, idx int, n_outliers long, percentage double, severity string"
+    if not known:
+        return df.sparkSession.createDataFrame([], schema)
+    q = F.col("q")
+    reach = FENCE * (q[1] - q[0])
+    fences = _ranked(numbers, known, (QUARTERS[0], QUARTERS[2])).select("idx", (q[0] - reach).alias("lo"), (q[1] + reach).alias("hi"))
+    counted = numbers.join(F.broadcast(fences), "idx").groupBy("idx").agg(F.count("*").alias("n"), F.count_if((F.col("x") < F.col("lo")) | (F.col("x") > F.col("hi"))).alias("n_outliers"))
+    found = counted.withColumn("percentage", percentage_of(F.col("n_outliers"), F.col("n")))
+    found = found.withColumn("severity", severity_of("outliers", F.col("n_outliers"), F.col("percentage")))
+    g = F.get(F.array(F.lit(None).cast("string"), *map(F.lit, groups)), F.floor(F.col("idx") / width).cast("int"))
+    i = F.col("idx") % width
+    return found.select(g.alias("g"), F.get(F.array(*map(F.lit, columns)), i).alias("column"), i.alias("idx"), "n_outliers", "percentage", "severity")
 
 
 def outlier_counts(df: DataFrame, columns: list[str], row_id: str = "row_id") -> DataFrame:
@@ -113,7 +144,7 @@ def outlier_counts(df: DataFrame, columns: list[str], row_id: str = "row_id") ->
 
 def numeric_distribution(df: DataFrame, column: str, bins: int = BINS) -> DataFrame:
     """bin, lo, hi, n: bins of equal width from least to greatest, the last one closed; one bin where all agree."""
-    x = df.select(coerce_to_number(F.col(column), df.schema[column].dataType).alias("x")).filter("x is not null")
+    x = df.select(coerce_to_number(col(column), df.schema[column].dataType).alias("x")).filter("x is not null")
     ends = x.agg(F.min("x").alias("least"), F.max("x").alias("most")).filter("least is not null").withColumn("width", (F.col("most") - F.col("least")) / bins)
     place = F.when(F.col("width") == 0, 0).otherwise(F.least(F.lit(bins - 1), F.floor(F.try_divide(F.col("x") - F.col("least"), F.col("width"))))).cast("int")
     counts = x.crossJoin(F.broadcast(ends)).groupBy(place.alias("bin")).agg(F.count("*").alias("n"))  # one row

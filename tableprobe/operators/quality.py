@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tableprobe.functions.values import INCONSISTENT_ERROR, classify_bucket, empty_of, normalize_category, percentage_of, severity_of, severity_rank
-from tableprobe.operators.shape import cells, first_rows, held, per_column
+from tableprobe.functions.values import INCONSISTENT_ERROR, bucket_text, col, empty_of, normalize_category, percentage_of, severity_of, severity_rank, typed_bucket
+from tableprobe.operators.shape import filled_cells, first_rows, per_column
 
 MAX_CATEGORIES, MAX_DISTANCE, SAMPLES = 49, 2, 5
 BUCKETS = ("number", "boolean", "date", "string")
@@ -24,13 +24,13 @@ def missing_values(df: DataFrame, columns: list[str]) -> DataFrame:
 def _suspects(df: DataFrame, columns: list[str]) -> DataFrame:
     """Rows whose hash over the columns repeats: all duplicates, and few others. Only hashes are shuffled
     unless many rows repeat."""
-    hashed = df.withColumn("_h", F.xxhash64(*[F.struct(F.col(f"`{c}`").isNull(), F.col(f"`{c}`")) for c in columns]))
+    hashed = df.withColumn("_h", F.xxhash64(*[F.struct(col(c).isNull(), col(c)) for c in columns]))
     repeated = hashed.groupBy("_h").agg(F.count("*").alias("_n")).filter("_n > 1").select("_h")
     return hashed.join(repeated, "_h", "left_semi").drop("_h")
 
 
 def duplicate_groups(df: DataFrame, columns: list[str]) -> DataFrame:
-    return _suspects(df, columns).groupBy(*columns).agg(F.count("*").alias("_copies")).filter("_copies > 1")
+    return _suspects(df, columns).groupBy(*map(col, columns)).agg(F.count("*").alias("_copies")).filter("_copies > 1")
 
 
 def duplicate_rows(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -45,26 +45,24 @@ def duplicate_rows(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def duplicate_samples(df: DataFrame, columns: list[str], row_id: str = "row_id", k: int = SAMPLES) -> DataFrame:
     """The first k rows that repeat an earlier one."""
-    nth = F.row_number().over(Window.partitionBy(*columns).orderBy(row_id))
-    return _suspects(df, columns).withColumn("_nth", nth).filter("_nth > 1").drop("_nth").orderBy(row_id).limit(k)
+    nth = F.row_number().over(Window.partitionBy(*map(col, columns)).orderBy(col(row_id)))
+    return _suspects(df, columns).withColumn("_nth", nth).filter("_nth > 1").drop("_nth").orderBy(col(row_id)).limit(k)
 
 
 def type_buckets(df: DataFrame, columns: list[str], row_id: str = "row_id") -> DataFrame:
-    """column, idx, bucket, n, first_row: one aggregation of the wide table."""
-    wide = df.select(F.col(row_id).alias("row_id"), *[classify_bucket(F.col(c), df.schema[c].dataType).alias(f"b{i}") for i, c in enumerate(columns)])
-    place = {c: f"b{i}" for i, c in enumerate(columns)}
-
-    def stats(c):
-        return {b: F.struct(F.count_if(F.col(place[c]) == b).alias("n"), F.min(F.when(F.col(place[c]) == b, F.col("row_id"))).alias("first_row")) for b in BUCKETS}
-
-    each = F.array(*[F.struct(F.lit(b).alias("bucket"), F.col(b).alias("s")) for b in BUCKETS])
-    found = per_column(wide, columns, stats).select("column", "idx", F.explode(each).alias("e"))
-    return found.select("column", "idx", "e.bucket", "e.s.n", "e.s.first_row").filter("n > 0")
+    """column, idx, bucket, n, first_row. Cells are counted within tasks: few rows a column are shuffled."""
+    bucket = F.coalesce("kind", bucket_text(F.col("text"))).alias("bucket")
+    found = filled_cells(df, columns, row_id, typed_bucket).groupBy("idx", bucket).agg(F.count("*").alias("n"), F.min("row_id").alias("first_row"))
+    return found.select(F.array(*map(F.lit, columns))[F.col("idx")].alias("column"), "idx", "bucket", "n", "first_row")
 
 
 def mixed_types(df: DataFrame, columns: list[str], row_id: str = "row_id") -> DataFrame:
-    """A finding for every column of more than one bucket: cells outside its dominant one (ties: seen first)."""
-    ranked = type_buckets(df, columns, row_id).withColumn("rank", F.row_number().over(Window.partitionBy("column").orderBy(F.desc("n"), "first_row")))
+    """A finding for every column of more than one bucket: cells outside its dominant one (ties: seen first). Only text
+    can be of several."""
+    if not (texts := text_columns(df, columns)):
+        return df.sparkSession.createDataFrame([], "check_name string, column string, idx int, count long, percentage double, severity string, dominant string")
+    place = F.array(*[F.lit(columns.index(c)) for c in texts])[F.col("idx")]
+    ranked = type_buckets(df, texts, row_id).withColumn("idx", place).withColumn("rank", F.row_number().over(Window.partitionBy("column").orderBy(F.desc("n"), "first_row")))
     found = ranked.groupBy("column", "idx").agg(
         F.sum("n").alias("total"), F.sum(F.when(F.col("rank") > 1, F.col("n")).otherwise(0)).alias("count"),
         F.max(F.when(F.col("rank") == 1, F.col("bucket"))).alias("dominant"), F.count("*").alias("buckets"),
@@ -75,9 +73,10 @@ def mixed_types(df: DataFrame, columns: list[str], row_id: str = "row_id") -> Da
 
 def mixed_type_examples(df: DataFrame, columns: list[str], row_id: str = "row_id", k: int = SAMPLES) -> DataFrame:
     """column, place, bucket, value: the first k cells per bucket, buckets as first seen, k in all."""
-    pair = lambda c: F.struct(classify_bucket(F.col(c), df.schema[c].dataType).alias("bucket"), F.col(c).cast("string").alias("text"))
-    mixed = mixed_types(df, columns, row_id).select("column")
-    long = cells(df, columns, row_id, pair).select("row_id", "column", "value.*").filter("bucket is not null").join(F.broadcast(mixed), "column")  # a row per column
+    mixed = [r["column"] for r in mixed_types(df, columns, row_id).select("column").collect()]  # a row per column
+    names = F.array(*map(F.lit, mixed)).cast("array<string>")
+    long = filled_cells(df, mixed, row_id, typed_bucket) if mixed else df.sparkSession.createDataFrame([], f"row_id {df.schema[row_id].dataType.simpleString()}, idx int, kind string, text string")
+    long = long.select("row_id", names[F.col("idx")].alias("column"), bucket_text(F.col("text")).alias("bucket"), "text")
     first = first_rows(long, ["column", "bucket"], [F.col("row_id")], k, "nth")
     first = first.withColumn("seen", F.min("row_id").over(Window.partitionBy("column", "bucket")))
     return first_rows(first, ["column"], [F.col("seen"), F.col("row_id")], k, "place").select("column", "place", "bucket", F.col("text").alias("value"))
@@ -88,57 +87,88 @@ def text_columns(df: DataFrame, columns: list[str]) -> list[str]:
 
 
 def category_values(df: DataFrame, columns: list[str], most: int = MAX_CATEGORIES) -> DataFrame:
-    """column, idx, value, n: distinct raw values of text columns that have 1 to most of them.
+    """column, idx, value, n: distinct raw values of text columns that have 1 to most of them."""
+    names = F.array(*map(F.lit, columns))
+    return _grouped_values(df, columns, most).select(names[F.col("idx")].alias("column"), "idx", "value", "n")
+
+
+def _grouped_values(df: DataFrame, columns: list[str], most: int, by: Column | None = None) -> DataFrame:
+    """g, idx, value, n: as category_values, in each group of rows (none where by is null) and, under a null g, in all.
 
-    Columns with clearly more values are told by a sketch and take no part in the exact pass."""
+    Columns that clearly have more values in a group are told by sketches, a row a group, and take no part in the exact
+    pass; nothing runs while this is planned."""
     texts = text_columns(df, columns)
+    schema = "g string, idx int, value string, n long"
     if not texts:
-        return df.sparkSession.createDataFrame([], "column string, idx int, value string, n long")
-    rough = df.agg(*[F.approx_count_distinct(F.when(~empty_of(df, c), F.col(c)), 0.02).alias(f"n{i}") for i, c in enumerate(texts)]).first()
-    few = [c for i, c in enumerate(texts) if 0 < rough[i] <= 2 * most]
-    place = F.create_map(*[x for i, c in enumerate(columns) for x in (F.lit(c), F.lit(i))])
-    if not few:
-        return df.sparkSession.createDataFrame([], "column string, idx int, value string, n long")
-    value = lambda c: F.when(~empty_of(df, c), F.col(c))
-    long = cells(df.withColumn("_r", F.lit(0)), few, "_r", value).filter("value is not null")
-    values = long.groupBy("column", "value").agg(F.count("*").alias("n"))
-    exact = values.groupBy("column").agg(F.count("*").alias("k")).filter(F.col("k") <= most).select("column")
-    return values.join(exact, "column").select("column", place[F.col("column")].alias("idx"), "value", "n")
+        return df.sparkSession.createDataFrame([], schema)
+    value = lambda c: F.when(~empty_of(df, c), col(c))
+    g = F.lit(None).cast("string") if by is None else by
+    rows = df.select(g.alias("g"), *[value(c).alias(f"v{i}") for i, c in enumerate(texts)])
+    sketches = [F.approx_count_distinct(f"v{i}", 0.02).alias(f"n{i}") for i in range(len(texts))]
+    rough = rows.agg(*sketches).withColumn("g", F.lit(None).cast("string"))
+    if by is not None:
+        rough = rough.unionByName(rows.filter("g is not null").groupBy("g").agg(*sketches))
+    few = F.array_compact(F.array(*[F.when(F.col(f"n{i}") <= 2 * most, F.lit(i)) for i in range(len(texts))]))
+    few = rough.select("g", F.explode(few).alias("k"))
+    cells = rows.select("g", F.explode(F.array(*[F.struct(F.lit(i).alias("k"), F.col(f"v{i}").alias("value")) for i in range(len(texts))])).alias("c")).select("g", "c.*").filter("value is not null")
+    part = cells.join(F.broadcast(few.filter("g is null").select("k")), "k").groupBy("k", "value").agg(F.count("*").alias("n")).withColumn("g", F.lit(None).cast("string"))  # a row a column
+    if by is not None:
+        own = cells.join(F.broadcast(few.filter("g is not null")), ["g", "k"]).groupBy("g", "k", "value").agg(F.count("*").alias("n"))  # a row a group and column
+        part = part.unionByName(own)
+    sized = part.groupBy("g", "k").agg(F.count("*").alias("values")).filter(F.col("values") <= most).select(F.col("g").alias("g2"), F.col("k").alias("k2"))
+    kept = part.join(sized, F.col("g").eqNullSafe(F.col("g2")) & (F.col("k") == F.col("k2")))
+    place = F.array(*[F.lit(columns.index(c)) for c in texts])[F.col("k")]
+    return kept.select("g", place.alias("idx"), "value", "n")
+
+
+def _near(x: Column, y: Column) -> Column:
+    """Do two values (structs of value and norm) agree when normalised, or within two edits and a third of the longer?"""
+    limit = F.least(F.lit(MAX_DISTANCE), F.floor(F.greatest(F.length(x["norm"]), F.length(y["norm"])) / 3))
+    return (x["norm"] == y["norm"]) | ((limit >= 1) & (F.levenshtein(x["norm"], y["norm"]) <= limit))
+
+
+def _paired(values: DataFrame, *keys: str) -> DataFrame:
+    """The keys, total (values) and pairs (a, b), a < b, that are near, of each column: MAX_CATEGORIES values at most."""
+    listed = values.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("value", normalize_category(F.col("value")).alias("norm")))).alias("v"))
+    later = lambda x: F.filter("v", lambda y: (x["value"] < y["value"]) & _near(x, y))
+    pairs = F.flatten(F.transform("v", lambda x: F.transform(later(x), lambda y: F.struct(x["value"].alias("a"), y["value"].alias("b")))))
+    return listed.select(*keys, F.size("v").cast("long").alias("total"), pairs.alias("pairs"))
+
+
+def _clustered(values: DataFrame, *keys: str) -> DataFrame:
+    """The keys, total and clusters (arrays of values) of each column: pairs are taken one by one, and join what holds either."""
+    kind = "array<array<string>>"
+
+    def joined(sets: Column, p: Column) -> Column:
+        of = lambda x: F.array_contains(x, p["a"]) | F.array_contains(x, p["b"])
+        new = F.array_distinct(F.concat(F.array(p["a"], p["b"]), F.flatten(F.filter(sets, of))))
+        return F.concat(F.filter(sets, lambda x: ~of(x)), F.array(new)).cast(kind)
+
+    return _paired(values, *keys).select(*keys, "total", F.aggregate("pairs", F.array().cast(kind), joined).alias("clusters"))
 
 
 def near_duplicate_pairs(values: DataFrame) -> DataFrame:
     """column, a, b: values of a column that agree when normalised or are within two edits (and a third of
     the longer one's length). A column has few values: category_values has seen to that."""
-    norm = values.select("column", "value", normalize_category(F.col("value")).alias("norm"))
-    x, y = norm.alias("x"), norm.alias("y")
-    limit = F.least(F.lit(MAX_DISTANCE), F.floor(F.greatest(F.length("x.norm"), F.length("y.norm")) / 3))
-    near = (F.col("x.norm") == F.col("y.norm")) | ((limit >= 1) & (F.levenshtein("x.norm", "y.norm") <= limit))
-    joined = x.join(y, (F.col("x.column") == F.col("y.column")) & (F.col("x.value") < F.col("y.value")) & near)
-    return joined.select(F.col("x.column").alias("column"), F.col("x.value").alias("a"), F.col("y.value").alias("b"))
+    return _paired(values, "column").select("column", F.explode("pairs").alias("p")).select("column", "p.*")
 
 
 def category_clusters(values: DataFrame) -> DataFrame:
-    """column, value, cluster (its least value). Labels travel along the pairs; a column's pairs number some
-    thousand at most, so rounds are few and small, over local tables."""
-    pairs = held(near_duplicate_pairs(values))
-    both = pairs.unionByName(pairs.select("column", F.col("b").alias("a"), F.col("a").alias("b")))
-    label = held(both.groupBy("column", F.col("a").alias("value")).agg(F.least(F.min("a"), F.min("b")).alias("cluster")))
-    while True:
-        near = both.join(label.withColumnRenamed("value", "b"), ["column", "b"]).groupBy("column", F.col("a").alias("value")).agg(F.min("cluster").alias("near"))
-        after = held(label.join(near, ["column", "value"]).select("column", "value", F.least("cluster", "near").alias("cluster"), (F.col("near") < F.col("cluster")).alias("moved")))
-        label = after.drop("moved")
-        if not after.filter("moved").head(1):
-            return label
+    """column, value, cluster (its least value)."""
+    sets = _clustered(values, "column").select("column", F.explode("clusters").alias("c"))
+    return sets.select("column", F.explode("c").alias("value"), F.array_min("c").alias("cluster"))
 
 
 def inconsistent_categoricals(df: DataFrame, columns: list[str]) -> DataFrame:
     """A finding for every column with clusters: values in clusters, as a share of its distinct values."""
-    values = held(category_values(df, columns))  # 49 rows a column at most
-    sizes = values.groupBy("column", "idx").agg(F.count("*").alias("total"))
-    found = category_clusters(values).groupBy("column").agg(F.count("*").alias("count"), F.count_distinct("cluster").alias("clusters"))
-    found = found.join(sizes, "column").withColumn("percentage", percentage_of(F.col("count"), F.col("total")))
+    return _inconsistent(_clustered(category_values(df, columns), "column", "idx")).select(*FINDING, "clusters")
+
+
+def _inconsistent(clustered: DataFrame) -> DataFrame:
+    found = clustered.filter(F.size("clusters") > 0).withColumns({"count": F.size(F.flatten("clusters")).cast("long"), "clusters": F.size("clusters").cast("long")})
+    found = found.withColumn("percentage", percentage_of(F.col("count"), F.col("total")))
     severity = F.when(F.col("percentage") >= INCONSISTENT_ERROR, "error").otherwise("warning")
-    return found.withColumns({"check_name": F.lit("inconsistent-categoricals"), "severity": severity}).select(*FINDING, "clusters")
+    return found.withColumns({"check_name": F.lit("inconsistent-categoricals"), "severity": severity})
 
 
 def quality_report(df: DataFrame, columns: list[str], row_id: str = "row_id") -> DataFrame:
@@ -151,6 +181,56 @@ def quality_report(df: DataFrame, columns: list[str], row_id: str = "row_id") ->
     return out
 
 
+def _missing_by(df: DataFrame, columns: list[str], by: Column) -> DataFrame:
+    empties = df.select(by.alias("g"), *[empty_of(df, c).alias(f"e{i}") for i, c in enumerate(columns)])
+    counted = empties.rollup("g").agg(F.grouping("g").alias("whole"), F.count("*").alias("total"), *[F.count_if(f"e{i}").alias(f"n{i}") for i in range(len(columns))])
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.lit(i).alias("idx"), F.col(f"n{i}").alias("count")) for i, c in enumerate(columns)]))
+    found = counted.filter("whole = 1 or g is not null").select("g", "total", each.alias("c")).select("g", "total", "c.*")
+    found = found.withColumn("percentage", percentage_of(F.col("count"), F.col("total")))
+    return found.withColumns({"check_name": F.lit("missing-values"), "severity": severity_of("missing-values", F.col("count"), F.col("percentage"))})
+
+
+def _duplicates_by(df: DataFrame, columns: list[str], by: Column) -> DataFrame:
+    """Copies within each group, and in all rows under a null group."""
+    suspects, none = _suspects(df.withColumn("_g", by), columns), F.lit(None).cast("string").alias("g")
+    extra = F.sum(F.col("_copies") - 1).alias("count")
+    copies = lambda *keys: suspects.groupBy(*keys).agg(F.count("*").alias("_copies")).filter("_copies > 1")
+    whole = copies(*map(col, columns)).agg(extra).select(none, "count")
+    own = copies(F.col("_g").alias("g"), *map(col, columns)).filter("g is not null").groupBy("g").agg(extra)
+    totals = df.select(by.alias("g")).rollup("g").agg(F.grouping("g").alias("whole"), F.count("*").alias("total")).filter("whole = 1 or g is not null").select(F.col("g").alias("g2"), "total")
+    found = totals.join(whole.unionByName(own), F.col("g").eqNullSafe(F.col("g2")), "left").select(F.col("g2").alias("g"), "total", F.coalesce("count", F.lit(0).cast("long")).alias("count"))
+    found = found.withColumn("percentage", percentage_of(F.col("count"), F.col("total")))
+    return found.withColumns({"check_name": F.lit("duplicate-rows"), "column": F.lit(""), "idx": F.lit(-1), "severity": severity_of("duplicate-rows", F.col("count"), F.col("percentage"))})
+
+
+def _mixed_by(df: DataFrame, columns: list[str], by: Column, row_id: str) -> DataFrame:
+    texts, none = text_columns(df, columns), F.lit(None).cast("string").alias("g")
+    bucket = F.coalesce("kind", bucket_text(F.col("text"))).alias("bucket")
+    own = filled_cells(df, texts, row_id, typed_bucket, by).groupBy("g", "idx", bucket).agg(F.count("*").alias("n"), F.min("row_id").alias("first_row"))
+    whole = own.groupBy("idx", "bucket").agg(F.sum("n").alias("n"), F.min("first_row").alias("first_row")).select(none, "idx", "bucket", "n", "first_row")
+    both = own.filter("g is not null").unionByName(whole)
+    ranked = both.withColumn("rank", F.row_number().over(Window.partitionBy("g", "idx").orderBy(F.desc("n"), "first_row")))
+    found = ranked.groupBy("g", "idx").agg(F.sum("n").alias("total"), F.sum(F.when(F.col("rank") > 1, F.col("n")).otherwise(0)).alias("count"), F.count("*").alias("buckets")).filter("buckets > 1")
+    place = F.array(*[F.lit(columns.index(c)) for c in texts])[F.col("idx")]
+    found = found.withColumn("idx", place).withColumn("column", F.array(*map(F.lit, columns))[F.col("idx")]).withColumn("percentage", percentage_of(F.col("count"), F.col("total")))
+    return found.withColumns({"check_name": F.lit("mixed-types"), "severity": severity_of("mixed-types", F.col("count"), F.col("percentage"))})
+
+
+def quality_report_by(df: DataFrame, columns: list[str], by: Column, row_id: str = "row_id") -> DataFrame:
+    """g and quality_report's columns: the report of each group of rows that by, a text, names, and, under a null g, of all
+    rows; rows whose by is null are in the latter only. Each check is one pass for all groups."""
+    names = F.array(*map(F.lit, columns))
+    clustered = _clustered(_grouped_values(df, columns, MAX_CATEGORIES, by), "g", "idx").withColumn("column", names[F.col("idx")])
+    parts = [_missing_by(df, columns, by), _duplicates_by(df, columns, by), _inconsistent(clustered)]
+    if text_columns(df, columns):
+        parts.append(_mixed_by(df, columns, by, row_id))
+    out = None
+    for order, part in enumerate(parts):
+        part = part.select("g", *FINDING).withColumn("check_order", F.lit(order))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 #: What a check counts, in the words of a finding's description.
 COUNTED = {
     "missing-values": "empty cells", "duplicate-rows": "rows that repeat an earlier one", "inconsistent-categoricals": "values spelled in several ways",
@@ -177,8 +257,8 @@ def cluster_samples(df: DataFrame, columns: list[str], k: int = SAMPLES) -> Data
 def finding_samples(df: DataFrame, columns: list[str], row_id: str = "row_id", k: int = SAMPLES) -> DataFrame:
     """check_name, column, place, sample: at most k examples of each finding: rows that repeat (cells joined by '|'),
     clusters of spellings, cells with their type. Missing cells have none."""
-    row = F.concat_ws("|", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in columns])
-    copies = duplicate_samples(df, columns, row_id, k).select(F.lit("").alias("column"), F.row_number().over(Window.orderBy(row_id)).alias("place"), row.alias("sample"))  # k rows
+    row = F.concat_ws("|", *[F.coalesce(col(c).cast("string"), F.lit("")) for c in columns])
+    copies = duplicate_samples(df, columns, row_id, k).select(F.lit("").alias("column"), F.row_number().over(Window.orderBy(col(row_id))).alias("place"), row.alias("sample"))  # k rows
     mixed = mixed_type_examples(df, columns, row_id, k).select("column", "place", F.concat("bucket", F.lit(": "), "value").alias("sample"))
     out = None
     for check, part in (("duplicate-rows", copies), ("inconsistent-categoricals", cluster_samples(df, columns, k)), ("mixed-types", mixed)):

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tableprobe.functions.values import col, is_empty
 
 
 def per_column(df: DataFrame, columns: list[str], stats) -> DataFrame:
@@ -20,9 +23,9 @@ def held(df: DataFrame) -> DataFrame:
 
 def cells(df: DataFrame, columns: list[str], row_id: str, value=None) -> DataFrame:
     """row_id, column, idx and value (a string, or what value(name) makes of a cell) of every cell."""
-    value = value or (lambda c: F.col(c).cast("string"))
+    value = value or (lambda c: col(c).cast("string"))
     parts = [F.struct(F.lit(c).alias("column"), F.lit(i).alias("idx"), value(c).alias("value")) for i, c in enumerate(columns)]
-    return df.select(F.col(row_id).alias("row_id"), F.explode(F.array(*parts)).alias("c")).select("row_id", "c.*")
+    return df.select(col(row_id).alias("row_id"), F.explode(F.array(*parts)).alias("c")).select("row_id", "c.*")
 
 
 def first_rows(df: DataFrame, keys: list[str], order: list[Column], k: int, name: str = "rank") -> DataFrame:
@@ -32,26 +35,33 @@ def first_rows(df: DataFrame, keys: list[str], order: list[Column], k: int, name
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col(name) <= k)
 
 
-def first_cells(df: DataFrame, columns: list[str], row_id: str, k: int, empty) -> DataFrame:
-    """row_id, column, idx, rank and the row's columns under c: the first k cells of each column that are not empty(name).
+def filled_cells(df: DataFrame, columns: list[str], row_id: str, typed, by: Column | None = None) -> DataFrame:
+    """row_id, idx, kind and text (and g, the row's group, with by) of every cell that is not empty. kind is typed(Column, type) for columns that hold no
+    text, null for those that do: what is said of texts is then one expression, however many columns there are."""
+    parts = []
+    for i, c in enumerate(columns):
+        kind, text = df.schema[c].dataType, col(c).cast("string")
+        if isinstance(kind, T.StringType):
+            parts.append(F.struct(F.lit(i).alias("idx"), F.lit(None).cast("string").alias("kind"), text.alias("text")))
+        else:
+            parts.append(F.struct(F.lit(i).alias("idx"), F.when(~is_empty(col(c), kind), typed(col(c), kind)).alias("kind"), text.alias("text")))
+    group = [by.alias("g")] if by is not None else []
+    long = df.select(col(row_id).alias("row_id"), *group, F.explode(F.array(*parts)).alias("c")).select("row_id", *(["g"] if group else []), "c.*")
+    return long.filter(F.col("kind").isNotNull() | ~is_empty(F.col("text")))
+
+
+def first_cells(df: DataFrame, columns: list[str], row_id: str, k: int, typed) -> DataFrame:
+    """row_id, idx, kind and text (as filled_cells has them) and rank: the first k cells of each column that are not empty.
 
     Most columns have them among the first rows, which are cut out once (one small job tells which); only the cells
     of the others are ranked over the whole table."""
-    kept = df.select(F.col(row_id).alias("row_id"), *[F.struct(F.when(~empty(c), F.lit(True)).alias("filled"), F.col(f"`{c}`").alias("v")).alias(f"c{i}") for i, c in enumerate(columns)])
-    head = kept.orderBy("row_id").limit(10 * k)
-    told = head.agg(F.count("*"), *[F.count(f"c{i}.filled") for i in range(len(columns))]).first()
-    near = [i for i in range(len(columns)) if told[0] < 10 * k or told[i + 1] >= k]
-    out = None
-    for source, places in ((head, near), (kept, [i for i in range(len(columns)) if i not in near])):
-        if places:
-            filled = [F.when(F.col(f"c{i}.filled"), F.struct(F.lit(columns[i]).alias("column"), F.lit(i).alias("idx"))) for i in places]
-            row = F.struct(*[F.when(F.col("e.idx") == i, F.col(f"c{i}.v")).alias(f"c{i}") for i in range(len(columns))])
-            long = source.withColumn("e", F.explode(F.array_compact(F.array(*filled)))).select("row_id", "e.column", "e.idx", row.alias("c"))
-            part = first_rows(long, ["column"], [F.col("row_id")], k)
-            out = part if out is None else out.unionByName(part)
-    return out
-
-
-def of_cell(columns: list[str], make) -> Column:
-    """What make(Column, name) makes of the cell of a row of first_cells."""
-    return F.coalesce(*[F.when(F.col("idx") == i, make(F.col(f"c.c{i}"), c)) for i, c in enumerate(columns)])
+    named = df.select(col(row_id), *[col(c) for c in columns if c != row_id])
+    head = named.orderBy(col(row_id)).limit(10 * k).persist()  # 10 * k rows
+    told = {r["idx"]: r["n"] for r in filled_cells(head, columns, row_id, typed).groupBy("idx").agg(F.count("*").alias("n")).collect()}
+    near = head.count() < 10 * k
+    rest = [i for i in range(len(columns)) if not near and told.get(i, 0) < k]
+    found = first_rows(filled_cells(head, columns, row_id, typed).filter(~F.col("idx").isin(rest)), ["idx"], [F.col("row_id")], k)
+    if rest:
+        far = filled_cells(named, [columns[i] for i in rest], row_id, typed).withColumn("idx", F.array(*map(F.lit, rest))[F.col("idx")])
+        found = found.unionByName(first_rows(far, ["idx"], [F.col("row_id")], k))
+    return found

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tableprobe.functions.values import classify_value, empty_of
-from tableprobe.operators.shape import first_cells, of_cell, per_column
+from tableprobe.functions.values import classify_text, typed_class
+from tableprobe.operators.shape import filled_cells, first_cells
 
 TYPE_SAMPLE, SAMPLES, MAJORITY = 200, 5, 0.7
 # Industries and the words in column names that hint at them.
@@ -36,10 +36,8 @@ def _type_from_counts(total) -> object:
 
 def infer_types(df: DataFrame, columns: list[str], row_id: str = "row_id", sample: int | None = TYPE_SAMPLE) -> DataFrame:
     """column, idx and data_type by majority of the first values that are not empty (sample None: of all)."""
-    if sample is None:
-        count = lambda c: {k: F.count_if(classify_value(F.col(c), df.schema[c].dataType) == k) for k in _KINDS} | {"total": F.count_if(~empty_of(df, c))}
-        return _typed(per_column(df, columns, count))
-    return _typed(_sampled_kinds(df, columns, _first(df, columns, row_id, sample)))
+    seen = filled_cells(df, columns, row_id, typed_class) if sample is None else _first(df, columns, row_id, sample)
+    return _typed(_kinds(df, columns, seen))
 
 
 _KINDS = ("boolean", "integer", "float", "date")
@@ -50,14 +48,13 @@ def _typed(counted: DataFrame) -> DataFrame:
 
 
 def _first(df: DataFrame, columns: list[str], row_id: str, k: int) -> DataFrame:
-    return first_cells(df, columns, row_id, k, lambda c: empty_of(df, c))
+    return first_cells(df, columns, row_id, k, typed_class)
 
 
-def _sampled_kinds(df: DataFrame, columns: list[str], seen: DataFrame) -> DataFrame:
-    kind = of_cell(columns, lambda v, c: classify_value(v, df.schema[c].dataType))
-    seen = seen.select("column", kind.alias("kind"))
-    found = seen.groupBy("column").agg(F.count("*").alias("total"), *[F.count_if(F.col("kind") == k).alias(k) for k in _KINDS])
-    return _names(df, columns).join(found, "column", "left")
+def _kinds(df: DataFrame, columns: list[str], seen: DataFrame) -> DataFrame:
+    seen = seen.select("idx", F.coalesce("kind", classify_text(F.col("text"))).alias("kind"))
+    found = seen.groupBy("idx").agg(F.count("*").alias("total"), *[F.count_if(F.col("kind") == k).alias(k) for k in _KINDS])
+    return _names(df, columns).join(found, "idx", "left")
 
 
 def _names(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -66,20 +63,16 @@ def _names(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def sample_values(df: DataFrame, columns: list[str], row_id: str = "row_id", k: int = SAMPLES) -> DataFrame:
     """column, idx, rank, value: the first values of each column that are not empty."""
-    return _texts(columns, _first(df, columns, row_id, k))
-
-
-def _texts(columns: list[str], seen: DataFrame) -> DataFrame:
-    return seen.select("column", "idx", "rank", of_cell(columns, lambda v, c: v.cast("string")).alias("value"))
+    return _first(df, columns, row_id, k).join(_names(df, columns), "idx").select("column", "idx", "rank", F.col("text").alias("value"))
 
 
 def structural_profile(df: DataFrame, columns: list[str], row_id: str = "row_id") -> DataFrame:
     """column, idx, data_type and samples (in order, joined by ' | ')."""
     seen = _first(df, columns, row_id, TYPE_SAMPLE)
-    lists = _texts(columns, seen.filter(F.col("rank") <= SAMPLES)).groupBy("column").agg(F.sort_array(F.collect_list(F.struct("rank", "value"))).alias("s"))
-    text = F.array_join(F.transform("s", lambda x: x["value"]), " | ")
-    types = _typed(_sampled_kinds(df, columns, seen))
-    return types.join(lists, "column", "left").select("column", "idx", "data_type", F.coalesce(text, F.lit("")).alias("samples"))
+    lists = seen.filter(F.col("rank") <= SAMPLES).groupBy("idx").agg(F.sort_array(F.collect_list(F.struct("rank", "text"))).alias("s"))
+    text = F.array_join(F.transform("s", lambda x: x["text"]), " | ")
+    types = _typed(_kinds(df, columns, seen))
+    return types.join(lists, "idx", "left").select("column", "idx", "data_type", F.coalesce(text, F.lit("")).alias("samples"))
 
 
 def dictionary_tags(profile: DataFrame) -> DataFrame:

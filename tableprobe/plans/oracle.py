@@ -8,6 +8,8 @@ from tableprobe.operators.quality import COUNTED
 from tableprobe.plans.dirty import COLUMNS, DIRTY, sql
 
 NUMBERS, TEXTS, AS_OF = ("qty", "age"), [c for c in COLUMNS if c not in ("qty", "age")], "2024-12-31"
+# The shapes of blanks, dates and numbers, as in functions/values.py and functions/dates.py. The separators of
+# a date in numbers are compared apart (_SEPS), as this engine's patterns have no back-references.
 _BLANK = r"'^[\s\x{00a0}\x{feff}]+|[\s\x{00a0}\x{feff}]+$'"
 _ISO = r"'(?i)^\d{4}-(\d{2})-(\d{2})(t\d{2}:\d{2}(:\d{2})?(\.\d+)?(z|[+-]\d{2}:?\d{2})?)?$'"
 _SHORT = r"'^(\d{1,2})[/.-](\d{1,2})[/.-]\d{2,4}$'"
@@ -200,6 +202,21 @@ def _eda() -> str:
     return f"""WITH RECURSIVE raw AS ({DIRTY.format(orders="orders")}), {of_raw(_CLEAN)}, d AS (SELECT row_id, {cleaned} FROM fin), {of_raw(_PROFILE)}, {_REPORT}, {numbers}, {_DATES} {_DETAIL}"""
 
 
+_NOTICES = f""", {_REPORT}, {_OUT}, nt AS (
+ SELECT 'missing-' || "column" AS id, severity, count, 0 AS kind, row_number() OVER (ORDER BY count DESC, idx) AS nth FROM rep WHERE check_name = 'missing-values' AND count > 0 QUALIFY nth <= 2
+ UNION ALL SELECT 'duplicates', severity, count, 1, 1 FROM rep WHERE check_name = 'duplicate-rows' AND count > 0
+ UNION ALL (SELECT 'outliers-' || "column", 'warning', n_outliers, 2, row_number() OVER (ORDER BY n_outliers DESC, idx) AS nth FROM oc WHERE n_outliers > 0 QUALIFY nth <= 2)
+ UNION ALL (SELECT 'inconsistent-' || "column", severity, count, 3, row_number() OVER (ORDER BY idx) AS nth FROM rep WHERE check_name = 'inconsistent-categoricals' QUALIFY nth <= 1))
+ SELECT row_number() OVER (ORDER BY {_RANK}, kind, nth)::INT AS rank, id, severity, count FROM nt QUALIFY rank <= 4"""
+
+
+def each_segment(query: str) -> str:
+    """The query over all rows and over the rows of each segment of the planted table, apart."""
+    views = [("NULL::VARCHAR", "true"), *((f"'S{k}'", f"{trim('segment_cd')} = 'S{k}'") for k in range(8))]
+    parts = [f"SELECT {name} AS segment, v{k}.* FROM (WITH RECURSIVE d AS (SELECT * FROM dd WHERE {rule}){query}) v{k}" for k, (name, rule) in enumerate(views)]
+    return f"WITH dd AS MATERIALIZED ({DIRTY.format(orders='orders')}) " + " UNION ALL ".join(parts)
+
+
 ORACLE: dict[str, str] = {
     "table_stats": sql(f" SELECT count(*) AS n_rows, {len(COLUMNS) + 1}::BIGINT AS n_columns FROM d"),
     "classify_values": sql(f' SELECT "column", v AS class, count(*) AS n FROM ({long(lambda c: bucket(c, True))}) WHERE v IS NOT NULL GROUP BY ALL'),
@@ -223,12 +240,9 @@ ORACLE: dict[str, str] = {
     "quality_concerns": sql(f""", {_REPORT} SELECT check_name, "column", count FROM rep WHERE severity <> 'info' AND count > 0"""),
     "quality_totals": sql(f""", {_REPORT}, {_OUT} SELECT sum(CASE WHEN check_name = 'missing-values' THEN count ELSE 0 END)::BIGINT AS missing_cells, count(*) FILTER (check_name = 'missing-values' AND count > 0) AS columns_missing,
  sum(CASE WHEN check_name = 'duplicate-rows' THEN count ELSE 0 END)::BIGINT AS duplicates, min(CASE WHEN count > 0 THEN {_RANK} END) AS worst, (SELECT sum(n_outliers)::BIGINT FROM oc) AS outliers FROM rep"""),
-    "dashboard_notices": sql(f""", {_REPORT}, {_OUT}, nt AS (
- SELECT 'missing-' || "column" AS id, severity, count, 0 AS kind, row_number() OVER (ORDER BY count DESC, idx) AS nth FROM rep WHERE check_name = 'missing-values' AND count > 0 QUALIFY nth <= 2
- UNION ALL SELECT 'duplicates', severity, count, 1, 1 FROM rep WHERE check_name = 'duplicate-rows' AND count > 0
- UNION ALL (SELECT 'outliers-' || "column", 'warning', n_outliers, 2, row_number() OVER (ORDER BY n_outliers DESC, idx) AS nth FROM oc WHERE n_outliers > 0 QUALIFY nth <= 2)
- UNION ALL (SELECT 'inconsistent-' || "column", severity, count, 3, row_number() OVER (ORDER BY idx) AS nth FROM rep WHERE check_name = 'inconsistent-categoricals' QUALIFY nth <= 1))
- SELECT row_number() OVER (ORDER BY {_RANK}, kind, nth)::INT AS rank, id, severity, count FROM nt QUALIFY rank <= 4"""),
+    "dashboard_notices": sql(_NOTICES),
+    "segment_notices": each_segment(_NOTICES),
+    "segment_quality_report": each_segment(f", {_REPORT} SELECT * FROM rep"),
     "numeric_describe": sql(f', {_DN} SELECT "column", idx, n, {_STATS} FROM ds'),
     "numeric_describe_lineitem": f'WITH {describe("lineitem", {c: c for c in _MEASURES}, _MEASURES)} SELECT "column", idx, n, {_STATS} FROM ds',
     "exact_quantiles": "SELECT share, round(quantile, 4) AS value FROM (SELECT unnest([0.05, 0.5, 0.95]) AS share, unnest(quantile_cont(l_extendedprice, [0.05, 0.5, 0.95])) AS quantile FROM lineitem)",
@@ -245,6 +259,10 @@ ORACLE: dict[str, str] = {
  (SELECT string_agg(DISTINCT format, ', ' ORDER BY format) FROM dv) AS formats, count(flag) AS n_flagged FROM dv"""),
     "trend_monthly": sql(f", {_DATES} SELECT strftime(day, '%Y-%m') AS month, count(*) AS n FROM dv WHERE day IS NOT NULL GROUP BY 1"),
     "apply_cleaning_plan": sql(f", {_CLEAN} SELECT row_id, order_id, channel, status, segment_cd, amount, qty::BIGINT AS qty, order_date, is_gift, notes FROM fin"),
+    "typed_cleaning_plan": sql(f""", {_CLEAN} SELECT row_id, CASE WHEN ch2 IS NULL OR {trim("ch2")} = '' THEN 'unknown' ELSE ch2 END AS channel, round(ta, 2) AS total_amount,
+ CASE WHEN ta IS NULL AND NOT {empty("total_amount")} THEN total_amount END AS total_amount_uncoerced, try_cast(od AS DATE)::VARCHAR AS order_date,
+ CASE WHEN try_cast(od AS DATE) IS NULL AND NOT {empty("order_date")} THEN order_date END AS order_date_uncoerced, gf = 'true' AS is_gift, CASE WHEN gf IS NULL AND NOT {empty("is_gift")} THEN is_gift END AS is_gift_uncoerced
+ FROM st WHERE NOT {empty("segment_cd")}"""),
     "audit_counts": sql(f", {_CLEAN} SELECT * FROM audit"),
     "cleaning_summary": sql(f", {_CLEAN} SELECT change_type, count(*) AS entries, sum(CASE WHEN applied THEN affected_rows ELSE 0 END)::BIGINT AS applied_rows FROM audit GROUP BY 1"),
     "changed_columns": sql(f""", {_CLEAN} SELECT DISTINCT "column" FROM audit WHERE applied AND change_type IN ('value-mapping', 'type-coercion')"""),

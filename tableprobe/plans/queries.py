@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableprobe.functions.values import classify_value, csv_cell, markdown_cell, normalize_category
+from tableprobe.functions.values import classify_text, csv_cell, markdown_cell, normalize_category, typed_class
 from tableprobe.operators import calendar, cleaning, dashboard, numeric, quality, report, structure
-from tableprobe.operators.shape import cells
+from tableprobe.operators.shape import filled_cells
 from tableprobe.plans.dirty import COLUMNS, dirty_orders
 from tableprobe.plans.oracle import AS_OF
 
@@ -64,8 +64,9 @@ def _clean(d: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _classes(d: DataFrame) -> DataFrame:
-    value = lambda c: classify_value(F.col(c), d.schema[c].dataType)
-    return cells(d, COLUMNS, "row_id", value).filter("value is not null").groupBy("column", F.col("value").alias("class")).agg(F.count("*").alias("n"))
+    kind = F.coalesce("kind", classify_text(F.col("text"))).alias("class")
+    found = filled_cells(d, COLUMNS, "row_id", typed_class).groupBy("idx", kind).agg(F.count("*").alias("n"))
+    return found.select(F.array(*map(F.lit, COLUMNS))[F.col("idx")].alias("column"), "class", "n")
 
 
 def _notices(d: DataFrame) -> DataFrame:
@@ -126,6 +127,13 @@ def _cleaned(d: DataFrame) -> DataFrame:
     return _clean(d)[0].select("row_id", "order_id", "channel", "status", "segment_cd", amount, "qty", "order_date", "is_gift", "notes")
 
 
+def _typed(d: DataFrame) -> DataFrame:
+    """Coerced columns with their types, and what could not be coerced beside them."""
+    made = cleaning.apply_cleaning_plan(d, cleaning.load_plan(PLAN), typed=True)[0]
+    amount = F.round("total_amount", 2).alias("total_amount")
+    return made.select("row_id", "channel", amount, "total_amount_uncoerced", F.col("order_date").cast("string").alias("order_date"), "order_date_uncoerced", "is_gift", "is_gift_uncoerced")
+
+
 def _compared(d: DataFrame) -> DataFrame:
     cleaned, audit = _clean(d)
     return cleaning.raw_vs_cleaned(d, cleaned, audit)
@@ -154,6 +162,8 @@ on_orders(lambda d: _rounded(quality.quality_highlights(_report(d)).select(*_FLA
 on_orders(lambda d: quality.quality_concerns(_report(d)).select("check_name", "column", "count"), "quality_concerns")
 on_orders(lambda d: quality.quality_totals(_report(d), numeric.outlier_counts(d, NUMBERS)), "quality_totals")
 on_orders(_notices, "dashboard_notices")
+on_orders(lambda d: dashboard.segment_notices(d, COLUMNS, NUMBERS, "segment_cd"), "segment_notices")
+on_orders(lambda d: _rounded(quality.quality_report_by(d, COLUMNS, dashboard._category(d, "segment_cd")), 6, "percentage").withColumnRenamed("g", "segment"), "segment_quality_report")
 on_orders(lambda d: _stats(numeric.numeric_describe(d, NUMBERS)), "numeric_describe")
 on_orders(lambda d: numeric.outlier_rows(d, NUMBERS), "outlier_rows")
 on_orders(lambda d: _rounded(numeric.outlier_counts(d, NUMBERS), 6, "percentage"), "outlier_counts")
@@ -163,6 +173,7 @@ on_orders(lambda d: calendar.detect_date_columns(d, COLUMNS), "detect_date_colum
 on_orders(lambda d: calendar.date_profile(d, ["order_date"], AS_OF), "date_profile")
 on_orders(lambda d: calendar.trend_monthly(d, "order_date"), "trend_monthly")
 on_orders(_cleaned, "apply_cleaning_plan")
+on_orders(_typed, "typed_cleaning_plan")
 on_orders(lambda d: _clean(d)[1].drop("reason"), "audit_counts")
 on_orders(lambda d: cleaning.cleaning_summary(_clean(d)[1]).drop("place"), "cleaning_summary")
 on_orders(lambda d: cleaning.changed_columns(_clean(d)[1]), "changed_columns")

@@ -178,14 +178,109 @@ def test_dates_with_month_names(spark):
     assert [r["n_parsed"] for r in calendar.detect_date_columns(numbers, ["a", "b", "c"]).collect()] == [0, 0, 0]
 
 
-def test_long_plans_have_the_shape_of_short_ones(spark, monkeypatch):
-    df = spark.createDataFrame([(i, v) for i, v in enumerate(["v0", "v1", "v1", "v7", "w", None, "v49"])], "row_id long, c string")
-    for n in (50, 51):
-        made = []
-        for chain in (1000, 0):  # as expressions, as a joined table
-            monkeypatch.setattr(cleaning, "WHEN_CHAIN", chain)
-            entries = [{"from": f"v{k}", "to": f"v{k + 1}" if k < 5 else "end", "reason": f"r{k}"} for k in range(n)]
-            cleaned, audit = cleaning.apply_cleaning_plan(df, cleaning.load_plan({"columns": [{"columnName": "c", "valueMappings": entries}]}))
-            made.append(([tuple(r) for r in cleaned.orderBy("row_id").collect()], [tuple(r) for r in audit.orderBy("seq").collect()]))
-        assert made[0] == made[1]
-        assert len(made[0][1]) == n and [r[5] for r in made[0][1][:8]] == [1, 3, 3, 3, 3, 3, 0, 1]
+@pytest.mark.parametrize("n", [1, 50, 3000])
+def test_long_plans_against_loops(spark, n):
+    entries = [{"from": f"v{k}", "to": f"v{k + 1}" if k < 5 else "end", "reason": f"r{k}"} for k in range(n)]
+    cells = ["v0", "v1", "v1", "v7", "w", None, f"v{n - 1}", "end", "é"]
+    df = spark.createDataFrame(list(enumerate(cells)), "row_id long, c string")
+    cleaned, audit = cleaning.apply_cleaning_plan(df, cleaning.load_plan({"columns": [{"columnName": "c", "valueMappings": entries}]}))
+    hits, now = [0] * n, list(cells)
+    for k, e in enumerate(entries):
+        hits[k] = now.count(e["from"])
+        now = [e["to"] if x == e["from"] else x for x in now]
+    assert [r["c"] for r in cleaned.orderBy("row_id").collect()] == now
+    assert [(r["affected_rows"], r["applied"], r["detail"]) for r in audit.orderBy("seq").collect()] == [(h, h > 0, f"{e['from']} -> {e['to']}") for h, e in zip(hits, entries, strict=True)]
+
+
+def test_plans_run_nothing_while_they_are_made(spark):
+    """500 columns of 60 mappings: no job for the plan, one stage of tasks over the source for the audit."""
+    names = [f"a.{k}`" for k in range(500)]
+    df = spark.createDataFrame([tuple(f"m{(i + k) % 90}" for k in range(500)) for i in range(30)], ", ".join("`" + n.replace("`", "``") + "` string" for n in names))
+    plan = cleaning.load_plan({"columns": [{"columnName": c, "valueMappings": [{"from": f"m{k}", "to": "x", "reason": "r"} for k in range(60)]} for c in names]})
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("planned", "planned")
+    cleaned, audit = cleaning.apply_cleaning_plan(df, plan)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert not tracker.getJobIdsForGroup("planned")
+    assert cleaned.columns == names
+    got = audit.filter("affected_rows > 0").agg(F.sum("affected_rows"), F.count("*")).first()
+    assert got[0] == sum((i + k) % 90 < 60 for i in range(30) for k in range(500)) and got[1] <= 30_000
+
+
+def test_typed_plans_and_written_ones(spark, tmp_path):
+    rows = [(0, "1.9", "Jan 5, 2024", "yes", None), (1, "no", "2024-02-30", "maybe", "k"), (2, "", None, "", "k"), (3, "-2", "31/12/2023", "FALSE", "k")]
+    df = spark.createDataFrame(rows, "row_id long, `n.o` string, d string, b string, k string")
+    plan = cleaning.load_plan({"columns": [
+        {"columnName": "n.o", "typeCoercion": {"targetType": "integer", "reason": "r"}, "missingValuePolicy": {"action": "fill-default", "defaultValue": 7, "reason": "r"}},
+        {"columnName": "d", "typeCoercion": {"targetType": "date", "reason": "r"}}, {"columnName": "b", "typeCoercion": {"targetType": "boolean", "reason": "r"}},
+        {"columnName": "k", "missingValuePolicy": {"action": "drop-row", "reason": "r"}},
+    ]})
+    for typed in (False, True):
+        lazy, audit = cleaning.apply_cleaning_plan(df, plan, typed)
+        written, again = cleaning.write_cleaned(df, plan, f"file://{tmp_path}/{typed}", typed)
+        assert sorted(map(tuple, lazy.collect())) == sorted(map(tuple, written.collect())) and lazy.columns == written.columns
+        assert [tuple(r) for r in audit.orderBy("seq").collect()] == [tuple(r) for r in again.orderBy("seq").collect()]
+    assert dict(lazy.dtypes) == {"row_id": "bigint", "n.o": "bigint", "d": "date", "b": "boolean", "k": "string", "n.o_uncoerced": "string", "d_uncoerced": "string", "b_uncoerced": "string"}
+    got = [(r["row_id"], r["n.o"], str(r["d"]), r["b"], r["n.o_uncoerced"], r["d_uncoerced"], r["b_uncoerced"]) for r in lazy.orderBy("row_id").collect()]
+    assert got == [(1, None, "None", None, "no", "2024-02-30", "maybe"), (2, 7, "None", None, None, None, None), (3, -2, "2023-12-31", False, None, None, None)]
+    assert [(r["column"], r["affected_rows"], r["failed_rows"]) for r in audit.orderBy("seq").collect()] == [("n.o", 2, 1), ("d", 2, 1), ("b", 2, 1), ("n.o", 1, 0), ("k", 1, 0)]
+
+
+def test_names_of_any_kind(spark):
+    """Every operator over columns whose names hold dots, blanks, backticks and quotes, beside the same under plain names."""
+    odd = ["row id.", "Unit.Price", "a b`c", "seg'ment", 'd"ate', "num ber.1"]
+    plain = ["r", "p", "c", "s", "d", "n"]
+    rows = [(i, f"{i % 7}.5" if i % 5 else "x", "Web web WEB store".split()[i % 4], f"S{i % 3}" if i % 8 else "", f"2024-0{1 + i % 9}-11", float(i * i)) for i in range(40)]
+    rows += rows[:3]
+    results = []
+    for names in (odd, plain):
+        df = spark.createDataFrame(rows, "r long, p string, c string, s string, d string, n double").toDF(*names)
+        r, p, c, s, d, n = names
+        back = dict(zip(names, plain, strict=True))
+        described = numeric.numeric_describe(df, [p, n])
+        report_ = quality.quality_report(df, names, r)
+        profile = structure.structural_profile(df, names, r)
+        plan = cleaning.load_plan({"columns": [{"columnName": c, "valueMappings": [{"from": "WEB", "to": "web", "reason": "r"}], "missingValuePolicy": {"action": "drop-row", "reason": "r"}}, {"columnName": p, "typeCoercion": {"targetType": "float", "reason": "r"}}]})
+        cleaned, audit = cleaning.apply_cleaning_plan(df, plan)
+        made = [
+            profile, structure.infer_types(df, names, r, None), structure.sample_values(df, names, r), structure.table_stats(df), structure.dictionary_tags(profile),
+            quality.missing_values(df, names), quality.duplicate_rows(df, names), quality.duplicate_samples(df, names, r), quality.mixed_types(df, names, r), quality.mixed_type_examples(df, names, r),
+            quality.category_values(df, names), quality.inconsistent_categoricals(df, names), report_, quality.finding_samples(df, names, r), quality.finding_details(report_, names),
+            described, numeric.outlier_rows(df, [p, n], r), numeric.outlier_counts(df, [p, n], r), numeric.numeric_distribution(df, n), numeric.exact_quantiles(df, n, [0.5]),
+            calendar.detect_date_columns(df, names), calendar.date_values(df, d, "2024-12-31", r), calendar.date_profile(df, [d], "2024-12-31"), calendar.trend_monthly(df, d), calendar.flagged_dates(df, d, "2024-05-01", r),
+            dashboard.distinct_categories(df, names), dashboard.filter_by_category(df, c, "Web"), dashboard.kpi_measure(df, n), dashboard.kpi_top_category(df, c, r), dashboard.segment_kpis(df, s, n),
+            dashboard.category_breakdown(df, c, r), dashboard.category_measure_breakdown(df, c, n, r), dashboard.choose_charts(df, d, [c], n, r), dashboard.segment_notices(df, names, [p, n], s, r),
+            dashboard.rank_filter_columns(dashboard.distinct_categories(df, names), quality.inconsistent_categoricals(df, names)),
+            cleaned, audit, cleaning.cleaning_summary(audit), cleaning.raw_vs_cleaned(df, cleaned, audit), cleaning.preview(df, r, 3), report.eda(df, profile, "2024-12-31", r),
+        ]
+        results.append([(named(m.columns, back), sorted(repr(named(list(row), back)) for row in m.collect())) for m in made])
+    for k, (a, b) in enumerate(zip(*results, strict=True)):
+        assert a == b, k
+
+
+def named(x, back):
+    """x with the names of columns replaced, wherever they stand."""
+    if isinstance(x, str):
+        for name, short in back.items():
+            x = x.replace(name, short)
+    return [named(v, back) for v in x] if isinstance(x, list) else x
+
+
+def test_segments_as_if_each_were_alone(spark):
+    rows = [(i, f"S{i % 3}" if i % 7 else " ", ["web", "Web", "store", "phone"][i % (2 + i % 3)], str(i % 4) if i % 6 else "x", float(i % 5) if i % 31 else 1000.0 + i) for i in range(400)]
+    rows += [(500 + i, *r[1:]) for i, r in enumerate(rows[:50])]
+    df = spark.createDataFrame(rows, "row_id long, s string, c string, m string, n double")
+    columns = ["s", "c", "m", "n"]
+    by = dashboard._category(df, "s")
+    report_, notices = quality.quality_report_by(df, columns, by).collect(), dashboard.segment_notices(df, columns, ["m", "n"], "s").collect()
+    outliers = numeric.outlier_counts_by(df, ["m", "n"], by, ["S0", "S1", "S2"]).collect()
+    for value in (None, "S0", "S1", "S2"):
+        view = dashboard.filter_by_category(df, "s", value)
+        alone = quality.quality_report(view, columns)
+        of = lambda found, key="g": sorted(tuple(r)[1:] for r in found if r[key] == value)  # noqa: B023, E731
+        assert of(report_) == sorted(map(tuple, alone.collect()))
+        counts = numeric.outlier_counts(view, ["m", "n"])
+        assert of(outliers) == sorted(map(tuple, counts.collect()))
+        assert of(notices, "segment") == sorted(map(tuple, dashboard.dashboard_notices(alone, counts, view.count()).collect()))
+    with pytest.raises(ValueError):
+        dashboard.segment_notices(spark.range(40).selectExpr("id AS row_id", "cast(id AS string) AS s", "1.0 AS n"), ["s", "n"], ["n"], "s")
