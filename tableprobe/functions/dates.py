@@ -22,8 +22,9 @@ DATE_SHARE = 0.7
 _WEEKDAY, _TIME = r"(?:(?:sun|mon|tue|wed|thu|fri|sat)[a-z]*,?\s+)?", r"(?:,?\s+\d{1,2}:\d{2}(?::\d{2})?(?:\s*[ap]m)?)?"
 MONTH_FIRST = rf"(?i)^{_WEEKDAY}({MONTHS})\.?[\s-]+(\d{{1,2}})(?:\s*,\s*|[\s-]+)(\d{{4}}){_TIME}$"
 DAY_FIRST = rf"(?i)^{_WEEKDAY}(\d{{1,2}})[\s-]+({MONTHS})\.?(?:\s*,\s*|[\s-]+)(\d{{4}}){_TIME}$"
-#: What any date has: cells without it cost one search.
-_HINT = r"(?i)^\d{1,4}[/.-]\d{1,2}[/.-]\d|\d.*(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)|(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec).*\d"
+#: What any date has, whether it begins with a digit or not: cells without it cost one search.
+_MONTH = "(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)"
+_DIGIT_HINT, _LETTER_HINT = rf"(?i)^\d{{1,4}}(?:[/.-]\d{{1,2}}[/.-]\d|.*{_MONTH})", rf"(?i){_MONTH}.*\d"
 _ABBREVIATED = "janfebmaraprmayjunjulaugsepoctnovdec"
 
 
@@ -43,7 +44,8 @@ def parse_date(c: Column, kind: T.DataType = T.StringType()) -> Column:
     if isinstance(kind, (T.NumericType, T.BooleanType)):  # one number alone is no date
         return F.lit(None).cast("struct<day:date,format:string>")
     read = lambda s: F.when(s.rlike(ISO), _iso(s)).when(s.rlike(PARTS), _with(_pieces(s), _numbered)).otherwise(_named(s))
-    return _with(trimmed(c.cast("string")), lambda s: F.when(s.rlike(_HINT), _with(read(s), lambda d: F.when(d["day"].isNotNull(), d))))
+    hinted = lambda s: F.when(F.substring(s, 1, 1).between("0", "9"), s.rlike(_DIGIT_HINT)).otherwise(s.rlike(_LETTER_HINT))
+    return _with(trimmed(c.cast("string")), lambda s: F.when(hinted(s), _with(read(s), lambda d: F.when(d["day"].isNotNull(), d))))
 
 
 def _with(value: Column, use) -> Column:

@@ -40,8 +40,8 @@ def trimmed(c: Column) -> Column:
 
 def is_empty(c: Column, kind: T.DataType = T.StringType()) -> Column:
     """Null, not a number, or blank."""
-    if isinstance(kind, T.StringType):
-        return c.isNull() | ~c.rlike(NOT_BLANK)
+    if isinstance(kind, T.StringType):  # most cells begin with what is no blank
+        return c.isNull() | F.when((c == "") | F.substring(c, 1, 1).isin(*BLANKS), ~c.rlike(NOT_BLANK)).otherwise(F.lit(False))
     if isinstance(kind, (T.DoubleType, T.FloatType)):
         return c.isNull() | F.isnan(c)
     return c.isNull()
@@ -88,15 +88,23 @@ def typed_bucket(c: Column, kind: T.DataType) -> Column | None:
 def classify_text(c: Column) -> Column:
     """The class of a text that isn't empty."""
     s = trimmed(c)
-    return (
-        F.when(F.lower(s).isin(*BOOLEAN_WORDS), "boolean").when(s.rlike(INTEGER), "integer").when(s.rlike(FLOAT), "float")
-        .when(is_date_like(s), "date").otherwise("string")
-    )
+    number = F.when(s.rlike(INTEGER), "integer").when(s.rlike(FLOAT), "float").when(is_date_like(s), "date").otherwise("string")
+    return F.when(_numeric_lead(s), number).otherwise(_word(s))
 
 
 def bucket_text(c: Column) -> Column:
     s = trimmed(c)
-    return F.when(F.lower(s).isin(*BOOLEAN_WORDS), "boolean").when(s.rlike(NUMBER), "number").when(is_date_like(s), "date").otherwise("string")
+    return F.when(_numeric_lead(s), F.when(s.rlike(NUMBER), "number").when(is_date_like(s), "date").otherwise("string")).otherwise(_word(s))
+
+
+def _numeric_lead(s: Column) -> Column:
+    """Whether a text begins as all numbers and dates do: others cost no pattern."""
+    lead = F.substring(s, 1, 1)
+    return lead.between("0", "9") | lead.isin("+", "-", ".")
+
+
+def _word(s: Column) -> Column:
+    return F.when((F.length(s) <= 5) & F.lower(s).isin(*BOOLEAN_WORDS), "boolean").otherwise("string")
 
 
 def classify_bucket(c: Column, kind: T.DataType = T.StringType()) -> Column:
@@ -115,7 +123,7 @@ def to_number(c: Column, kind: T.DataType = T.StringType()) -> Column:
         x = c.cast("double")
     else:
         s = trimmed(c)
-        x = F.when(s.rlike(NUMBER), s.try_cast("double"))
+        x = F.when(_numeric_lead(s) & s.rlike(NUMBER), s.try_cast("double"))
     return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
 
 

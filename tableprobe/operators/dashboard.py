@@ -111,14 +111,26 @@ def segment_kpis(df: DataFrame, segment: str, measure: str, total_rows: int | No
     return found.select("segment", (F.col("g") == 1).alias("is_total"), "n_rows", (F.col("n_rows") * 100.0 / whole).alias("percentage"), "total", "mean")  # a row per segment
 
 
+#: Parts into which groups are dealt before their largest are chosen.
+_PARTS = 64
+
+
 def _folded(groups: DataFrame) -> DataFrame:
-    """name, place, value: more than six groups become the five largest and the rest. Tasks send their largest six only;
-    the rest is one sum over the groups that are not among the five."""
-    top = groups.orderBy(F.desc("value"), "seen").limit(GROUPS)
-    top = top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("value"), "seen")))  # six rows
-    kept = top.crossJoin(F.broadcast(groups.agg(F.count("*").alias("k")))).filter((F.col("k") <= GROUPS) | (F.col("place") < GROUPS))  # one row
-    rest = groups.join(F.broadcast(kept.select("name")), "name", "left_anti").agg(F.sum("value").alias("value")).filter("value is not null")  # six rows
-    return kept.select("name", "place", "value").unionByName(rest.select(F.lit(OTHER).alias("name"), F.lit(GROUPS).alias("place"), "value"))
+    """name, place, value: more than six groups become the five largest and the rest. Groups are made once, and dealt into
+    parts; each part gives its six largest and the sum of its others, and those of all parts make the answer."""
+    part = F.pmod(F.xxhash64("name"), F.lit(_PARTS)).alias("p")
+    ranked = groups.select(part, "name", "value", "seen").withColumn("r", F.row_number().over(Window.partitionBy("p").orderBy(F.desc("value"), "seen")))
+    top = F.when(F.col("r") <= GROUPS, F.struct("value", "seen", "name"))
+    parts = ranked.groupBy("p").agg(F.collect_list(top).alias("top"), F.sum(F.when(F.col("r") > GROUPS, F.col("value"))).alias("rest"), F.count("*").alias("k"))  # six a part
+    later = lambda x, y: F.when(x["value"] > y["value"], -1).when(x["value"] < y["value"], 1).when(x["seen"] < y["seen"], -1).when(x["seen"] > y["seen"], 1).otherwise(0)
+    whole = parts.agg(F.array_sort(F.flatten(F.collect_list("top")), later).alias("top"), F.sum("rest").alias("rest"), F.sum("k").alias("k"))  # _PARTS rows
+    kept = F.when(F.col("k") > GROUPS, GROUPS - 1).otherwise(GROUPS)
+    value = dict(groups.dtypes)["value"]
+    total = F.aggregate(F.slice("top", kept + 1, F.size("top") + 1), F.coalesce(F.col("rest"), F.lit(0)).cast(value), lambda a, x: (a + x["value"]).cast(value))
+    named = lambda name, place, v: F.struct(name.alias("name"), place.alias("place"), v.cast(value).alias("value"))
+    first = F.transform(F.slice("top", F.lit(1), kept), lambda x, i: named(x["name"], i + 1, x["value"]))
+    other = F.when(F.col("k") > GROUPS, F.array(named(F.lit(OTHER), F.lit(GROUPS), total))).otherwise(F.array().cast(f"array<struct<name:string,place:int,value:{value}>>"))
+    return whole.filter("top is not null").select(F.explode(F.concat(first, other)).alias("e")).select("e.*")
 
 
 def category_breakdown(df: DataFrame, column: str, row_id: str = "row_id") -> DataFrame:
@@ -176,15 +188,19 @@ def segment_notices(df: DataFrame, columns: list[str], numbers: list[str], segme
 
 
 def choose_charts(df: DataFrame, date_column: str | None, breakdowns: list[str], measure: str | None, row_id: str = "row_id", k: int = CHARTS) -> DataFrame:
-    """chart (1..k), id, place, label, value: the first k charts that have data, of trend, breakdowns, distribution."""
-    made = []
-    if date_column:
+    """chart (1..k), id, place, label, value: the first k charts that have data, of trend, breakdowns, distribution. A few
+    rows, looked at here, tell which have any; the others are not computed."""
+    there = lambda x: not df.select(x.alias("x")).filter("x is not null").isEmpty()  # noqa: E731  one row tells, as a rule from the first file
+    measured = bool(measure) and there(coerce_to_number(col(measure), df.schema[measure].dataType))
+    made: list[tuple[str, DataFrame]] = []
+    if date_column and there(calendar._parsed(df, date_column)):
         trend = calendar.trend_monthly(df, date_column)
         made.append(("trend", trend.select(F.row_number().over(Window.orderBy("month")).alias("place"), F.col("month").alias("label"), F.col("n").cast("double").alias("value"))))
-    for c in breakdowns:
-        part = category_measure_breakdown(df, c, measure, row_id) if measure else category_breakdown(df, c, row_id)
-        made.append((f"breakdown-{c}", part.select("place", F.col("name").alias("label"), F.col("value").cast("double").alias("value"))))
-    if measure:
+    for c in breakdowns if measured or not measure and not df.isEmpty() else []:
+        if len(made) < k:
+            part = category_measure_breakdown(df, c, measure, row_id) if measure else category_breakdown(df, c, row_id)
+            made.append((f"breakdown-{c}", part.select("place", F.col("name").alias("label"), F.col("value").cast("double").alias("value"))))
+    if measured and len(made) < k:
         bins = numeric.numeric_distribution(df, measure)
         made.append((f"distribution-{measure}", bins.select((F.col("bin") + 1).alias("place"), F.col("bin").cast("string").alias("label"), F.col("n").cast("double").alias("value"))))
     out = None
@@ -193,8 +209,7 @@ def choose_charts(df: DataFrame, date_column: str | None, breakdowns: list[str],
         out = part if out is None else out.unionByName(part)
     if out is None:
         return df.sparkSession.createDataFrame([], "chart int, id string, place int, label string, value double")
-    ranked = out.withColumn("chart", F.dense_rank().over(Window.orderBy("o")))  # chart points: months, groups, bins
-    return ranked.filter(F.col("chart") <= k).select("chart", "id", "place", "label", "value")
+    return out.filter(F.col("o") < k).select((F.col("o") + 1).alias("chart"), "id", "place", "label", "value")
 
 
 def ranked_by_count(findings: DataFrame, count: str = "count") -> DataFrame:
