@@ -2,24 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tableprobe.llm.common import discard, saved
 
-#: Rounds over fewer edges are joined as planned, as adaptive planning's jobs and threads for every exchange cost more
-#: than they save; larger ones are planned anew as they run, with hot keys split. The results are the same.
-SMALL = 5_000_000
-
-
-def _apart(spark: SparkSession, edges: int) -> SparkSession:
-    """A session of the same application, so that the caller's settings stay as they are."""
-    other = spark.newSession()
-    other.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
-    other.conf.set("spark.sql.adaptive.enabled", "false" if edges < SMALL else "true")
-    return other
-
-
 def _stars(edges: DataFrame) -> str:
     """One round over edges (a, b), a > b: each neighbour is linked to the least node that a node sees. Where it is saved.
 
@@ -56,7 +43,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     before = state()
     while before[0]:
-        was, path = path, _stars(_apart(spark, before[0]).read.schema(schema).parquet(path))
+        was, path = path, _stars(spark.read.schema(schema).parquet(path))
         discard(spark, was)
         after = state()
         if after == before:

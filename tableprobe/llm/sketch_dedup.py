@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from tableprobe.llm.common import WORD_CHAR, durable
 from tableprobe.llm.components import connected_components
-from tableprobe.llm.rolling import prefix_sums, span_hashes
+from tableprobe.llm.rolling import prefix_sums, same_spans, span_hashes
 from tableprobe.llm.tokens import release, sliced
 
 
@@ -81,7 +81,8 @@ def shingle_set(norm: bytes, n: int) -> set[bytes]:
 
 
 def _sketches(norms: list[bytes], n: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of all texts: number of distinct shingles; the least k hashes, text by text; how many each has."""
+    """Of all texts: number of distinct shingles; the least k hashes, text by text; how many each has. Shingles of one hash
+    are compared; where they differ, a text's are counted as they are."""
     raw = np.frombuffer(b" ".join(norms) + b" ", "uint8")
     text_at = np.r_[0, np.cumsum([len(x) + 1 for x in norms])]
     blank = np.flatnonzero(raw == 0x20)
@@ -96,15 +97,21 @@ def _sketches(norms: list[bytes], n: int, k: int) -> tuple[np.ndarray, np.ndarra
     i = np.arange(max(0, len(of) - n + 1))
     i = i[of[i] == of[i + n - 1]]
     prefix = prefix_sums(raw)
-    h = np.r_[span_hashes(prefix, starts[i], ends[i + n - 1]), span_hashes(prefix, starts[first[short]], ends[first[short] + per_text[short] - 1])]
-    doc = np.r_[of[i], short]
+    begin, stop = np.r_[starts[i], starts[first[short]]], np.r_[ends[i + n - 1], ends[first[short] + per_text[short] - 1]]
+    h, doc = span_hashes(prefix, begin, stop), np.r_[of[i], short]
     order = np.lexsort((h, doc))
     h, doc = h[order], doc[order]
     new = np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])] if len(h) else np.zeros(0, bool)
+    again = np.flatnonzero(~new)
+    one, other = order[again], order[again - 1]
+    unlike = np.unique(doc[again[~same_spans(raw, begin[one], stop[one], raw, begin[other], stop[other])]])
     h, doc = h[new], doc[new]
     count = np.bincount(doc, minlength=len(norms))
     rank = np.arange(len(h)) - np.repeat(np.r_[0, np.cumsum(count)[:-1]], count)
-    return count, (h[rank < k] ^ np.uint64(1 << 63)).view("int64"), np.minimum(count, k)  # signed order, as Spark's, is the order of h
+    kept = np.minimum(count, k)
+    for d in unlike.tolist():
+        count[d] = len(shingle_set(norms[d], n))
+    return count, (h[rank < k] ^ np.uint64(1 << 63)).view("int64"), kept  # signed order, as Spark's, is the order of h
 
 
 def sketches(docs: DataFrame, s: Settings, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -164,7 +171,7 @@ def _whole(texts: DataFrame, s: Settings) -> DataFrame:
             for part in sliced(batch.column(1).to_pylist()):
                 count, values, kept = _sketches(part, s.words, 1 << 62)
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(kept)], "int32"), pa.array(values))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array(count, "int64"), lists], ["cls", "n", "vals"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array(kept, "int64"), lists], ["cls", "n", "vals"])
                 at += len(part)
         release()
 
