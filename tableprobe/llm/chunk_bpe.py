@@ -25,6 +25,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tableprobe.llm.common import schema_of
 from tableprobe.llm.tokens import sliced
 
 WINDOW = 32
@@ -191,11 +192,10 @@ def encode(docs: DataFrame, json_path: str, ranks_path: str, pattern: str, decod
 
 def decode(encoded: DataFrame, json_path: str, ranks_path: str, pattern: str) -> DataFrame:
     """encoded (with a binary column ids) and text, as the tokenizer decodes it, special tokens kept."""
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in encoded.schema.fields)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = chunk_encoder(json_path, ranks_path, pattern).text
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([text(x.as_py() or b"") for x in batch.column("ids")], "string")], [*batch.schema.names, "text"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([text(x.as_py() or b"") for x in batch.column(place)], "string")], [*batch.schema.names, "text"])
 
-    return encoded.mapInArrow(run, f"{kinds}, text string")
+    place, plain = encoded.columns.index("ids"), encoded.toDF(*[f"c{k}" for k in range(len(encoded.columns))])  # names of any kind
+    return plain.mapInArrow(run, f"{schema_of(plain)}, text string").toDF(*encoded.columns, "text")

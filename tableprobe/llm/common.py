@@ -27,6 +27,15 @@ def short_batches(spark: SparkSession) -> None:
         spark.conf.set(ARROW_ROWS, "1000")
 
 
+def named(name: str) -> str:
+    """A column's name as an expression or a schema has it, whatever dots, blanks or backticks it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def schema_of(df: DataFrame) -> str:
+    return ", ".join(f"{named(f.name)} {f.dataType.simpleString()}" for f in df.schema.fields)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``. Only where a session has none and runs
     in one process (tests on one machine), a new temporary folder; on a cluster that is an error."""

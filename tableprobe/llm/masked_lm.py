@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tableprobe.llm.common import durable
-from tableprobe.llm.rolling import prefix_sums, span_hashes
+from tableprobe.llm.rolling import chunks, same_spans, span_hashes
 from tableprobe.llm.tokens import SLICE_CHARS, sliced
 
 PAD, RARE, FIRST = 0, 1, 2
@@ -170,14 +170,18 @@ def _spans(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
 
 
 class Vocabulary:
-    """The numbers of words, by their hashes."""
+    """The numbers of words, found by their hashes and compared by their bytes."""
 
     def __init__(self, some: list[bytes]):
         self.places = {w: k for k, w in enumerate(some, FIRST)}
         raw, starts, ends, _ = _spans([w.decode() for w in some])
-        found = span_hashes(prefix_sums(raw), starts, ends)
+        found = span_hashes(chunks(raw), starts, ends)
         order = np.argsort(found)
         self.hashes, self.numbers = np.r_[found[order], np.uint64(0)], np.r_[(order + FIRST).astype("int32"), np.int32(RARE)]
+        self.letters, self.starts, self.ends = raw, np.r_[starts[order], 0], np.r_[ends[order], 0]
+        # The first hash of each leading 16 bits, and how many share them at most.
+        self.first = np.searchsorted(found[order] >> np.uint64(48), np.arange(1 << 16))
+        self.depth = int(np.bincount((found >> np.uint64(48)).astype("int64"), minlength=1).max(initial=0))
 
     def __iter__(self) -> Iterator[bytes]:
         return iter(self.places)
@@ -189,9 +193,15 @@ class Vocabulary:
         return self.places.get(word, RARE)
 
     def numbered(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        own = span_hashes(prefix_sums(raw), starts, ends)
-        at = np.searchsorted(self.hashes[:-1], own)
-        return np.where(self.hashes[at] == own, self.numbers[at], np.int32(RARE))
+        own = span_hashes(chunks(raw), starts, ends)
+        at, out = self.first[(own >> np.uint64(48)).astype("int64")], np.full(len(own), RARE, "int32")
+        for k in range(self.depth):
+            near = np.minimum(at + k, len(self.hashes) - 1)
+            hit = np.flatnonzero((self.hashes[near] == own) & (near < len(self.hashes) - 1))
+            word = near[hit]
+            same = same_spans(raw, starts[hit], ends[hit], self.letters, self.starts[word], self.ends[word])
+            out[hit[same]] = self.numbers[word[same]]
+        return out
 
 
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:

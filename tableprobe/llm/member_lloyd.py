@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tableprobe.llm.common import discard, durable, run_dir, saved
+from tableprobe.llm.common import discard, durable, run_dir, saved, schema_of
 
 #: The entries of each part position, in order: integers, one list an entry.
 Codebooks = list[list[list[int]]]
@@ -246,13 +246,12 @@ def compress(vectors: DataFrame, s: Settings = Settings(), id_col: str = "vec_id
 
 def decode(coded: DataFrame, books: Codebooks, s: Settings = Settings()) -> DataFrame:
     """coded with vec, the centres that its codes name, in the vectors' own scale."""
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in coded.schema.fields)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes = [bytes.fromhex(c) if c is not None else None for c in batch.column("code").to_pylist()]
+            codes = [bytes.fromhex(c) if c is not None else None for c in batch.column(place).to_pylist()]
             vecs = [None if c is None else [x / s.scale for book, e in zip(books, c, strict=True) for x in book[e]] for c in codes]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(vecs, pa.list_(pa.float64()))], [*batch.schema.names, "vec"])
 
-    return coded.mapInArrow(run, f"{kinds}, vec array<double>")
+    place, plain = coded.columns.index("code"), coded.toDF(*[f"c{k}" for k in range(len(coded.columns))])  # names of any kind
+    return plain.mapInArrow(run, f"{schema_of(plain)}, vec array<double>").toDF(*coded.columns, "vec")
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tableprobe.llm.common import durable
+from tableprobe.llm.common import durable, schema_of
 from tableprobe.llm.tokens import release, word_encoder
 
 
@@ -117,8 +117,6 @@ def best_fit(lengths: np.ndarray, cap: Capacity, rule: str = "norm") -> np.ndarr
 
 def _pack_groups(items: DataFrame, cap: Capacity, rule: str) -> DataFrame:
     """items with bin, offset and fill, packed within each grp."""
-    kinds = {f.name: f.dataType.simpleString() for f in items.schema.fields}
-
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("row", "ascending")])
         lengths = group["length"].to_numpy()
@@ -132,15 +130,15 @@ def _pack_groups(items: DataFrame, cap: Capacity, rule: str) -> DataFrame:
         fill = np.bincount(bins, lengths, minlength=1).astype("int64")[bins]
         return group.append_column("bin", pa.array(bins)).append_column("offset", pa.array(offset)).append_column("fill", pa.array(fill))
 
-    schema = ", ".join(f"{k} {v}" for k, v in kinds.items()) + ", bin long, offset long, fill long"
-    return items.groupBy("grp").applyInArrow(run, schema)
+    return items.groupBy("grp").applyInArrow(run, schema_of(items) + ", bin long, offset long, fill long")
 
 
 def pack(items: DataFrame, cap: Capacity = Capacity(), rule: str = "norm", group_pieces: int = 8192, refill: float = 0.995) -> DataFrame:
     """items (doc_id, piece, length and more columns) with sequence_id and offset. Columns of the names used
     here (row, grp, bin, fill, sequence_id, offset) are replaced."""
     items = items.drop("row", "grp", "bin", "fill", "sequence_id", "offset")
-    keep = items.columns
+    names, keep = items.columns, [c if c in ("doc_id", "piece", "length") else f"x{k}" for k, c in enumerate(items.columns)]
+    items = items.toDF(*keep)  # others may have names of any kind
     items = durable(items.withColumn("row", F.monotonically_increasing_id()))
 
     def grouped(df: DataFrame, n: int, salt: int) -> DataFrame:
@@ -152,4 +150,4 @@ def pack(items: DataFrame, cap: Capacity = Capacity(), rule: str = "norm", group
     short = first.filter(F.col("fill") < refill * cap.tokens).drop("grp", "bin", "offset", "fill")
     second = _pack_groups(grouped(short, short.count(), 2), cap, rule)
     number = lambda top: (F.lit(top << 62) + F.shiftleft(F.col("grp").cast("long"), 31) + F.col("bin")).alias("sequence_id")
-    return done.select(*keep, number(0), "offset").unionByName(second.select(*keep, number(1), "offset"))
+    return done.select(*keep, number(0), "offset").unionByName(second.select(*keep, number(1), "offset")).toDF(*names, "sequence_id", "offset")

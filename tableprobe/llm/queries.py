@@ -74,6 +74,19 @@ FROM b
 """
 
 
+def quality_rule_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the second policy rejects, alone and with others."""
+    return quality_rules.ablation(quality_rules.ledger(table(spark, sf_dir, "documents")), quality_rules.POLICIES["v2"])
+
+
+_RULE_BITS = ", ".join(f"('{r.name}', {1 << k}::BIGINT)" for k, r in enumerate(quality_rules.RULES))
+ABLATION_SQL = f"""{OP4_SQL[: OP4_SQL.rindex("SELECT doc_id, n_words")]}
+SELECT rule, bit, count(*) AS n_docs, count(*) FILTER (failure_bits & bit <> 0) AS n_failed, count(*) FILTER (failure_bits = bit) AS n_only,
+       bit_or(failure_bits) AS bits_ever, bit_and(failure_bits) AS bits_always
+FROM b, (VALUES {_RULE_BITS}) r(rule, bit) GROUP BY rule, bit
+"""
+
+
 def op5_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = run_dir(spark, "warc")
     packages = zip_warc.write_packages(zip_warc.roles(table(spark, sf_dir, "pages"), min_bytes=0), folder)
@@ -177,8 +190,8 @@ SELECT ranked.lang, rank, phrase, a, l, r, n.n::BIGINT AS n, score::BIGINT AS sc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_embedding_dedup, op2_best_fit_packing, op3_chunk_bpe, op4_quality_rules, op5_zip_warc, op6_language_id, op7_masked_lm, op8_separator_scan, op9_ring_sharding, op10_bottom_k_dedup, op11_lexical_packing, op12_member_lloyd, op13_phrase_graph)}
+    return {f.__name__: f for f in (op1_embedding_dedup, op2_best_fit_packing, op3_chunk_bpe, op4_quality_rules, op5_zip_warc, op6_language_id, op7_masked_lm, op8_separator_scan, op9_ring_sharding, op10_bottom_k_dedup, op11_lexical_packing, op12_member_lloyd, op13_phrase_graph, quality_rule_ablation)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality_rules": OP4_SQL, "op12_member_lloyd": _op12_sql(), "op13_phrase_graph": _op13_sql()}
+    return {"op4_quality_rules": OP4_SQL, "quality_rule_ablation": ABLATION_SQL, "op12_member_lloyd": _op12_sql(), "op13_phrase_graph": _op13_sql()}

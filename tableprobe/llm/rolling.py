@@ -1,77 +1,49 @@
-"""Polynomial hashes of byte spans, for whole arrays of spans at once, and whether spans are equal byte by byte.
+"""Hashes of byte spans, for whole arrays of spans at once, and whether spans are equal byte by byte.
 
-The hash of a span is a polynomial of its bytes at a fixed base, modulo two primes of 31 bits: no text makes all of one
-length collide, as with a power of two, and two spans that differ agree in 1 case of 2 ** 55 or so at a thousand bytes."""
+A span is taken eight bytes at a time; each chunk is mixed in by a multiplication and shifts, which is no polynomial that
+texts could be built against. Where equality decides a result, callers compare bytes."""
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 
-#: Primes and a base of each.
-_FIELDS = ((2147483647, 1288490189), (2147483629, 1987654321))
-_MIX = np.uint64(0xD6E8FEB86659FD93)
-#: Bytes whose terms are summed before they are reduced: 256 * 2 ** 31 times as many stay below 2 ** 63.
-_BLOCK = 1 << 23
-
-
-@functools.lru_cache(maxsize=4)
-def _powers(n: int, field: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo the prime, n a power of two."""
-    p, base = _FIELDS[field]
-    out = []
-    for b in (base, pow(base, -1, p)):
-        x = np.ones(1, "uint64")
-        while len(x) < n:
-            x = np.concatenate([x, x * np.uint64(pow(b, len(x), p)) % np.uint64(p)])
-        out.append(x)
-    return out[0], out[1]
-
-
-def _rounded(n: int) -> int:
-    return 1 << max(10, n.bit_length())
+_MIX, _LAST = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x94D049BB133111EB)
 
 
-def prefix_sums(raw: np.ndarray, fields: int = 2) -> list[np.ndarray]:
-    """What span_hashes needs of a text's bytes; with one field, hashes of 31 bits that need not tell all spans apart."""
-    out = []
-    for field in range(fields):
-        up, _ = _powers(_rounded(len(raw)), field)
-        sums = np.zeros(len(raw) + 1, "uint64")
-        for at in range(0, len(raw), _BLOCK):
-            part = raw[at : at + _BLOCK]
-            np.cumsum((part + np.uint64(1)) * up[at : at + len(part)], out=sums[at + 1 : at + 1 + len(part)])
-            sums[at + 1 : at + 1 + len(part)] += sums[at] % np.uint64(_FIELDS[field][0])
-        out.append(sums)
-    return out
+def chunks(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from each byte on, as one number; what span_hashes reads."""
+    padded = np.zeros(len(raw) + 8, "uint8")
+    padded[: len(raw)] = raw
+    return np.ndarray((len(raw) + 1,), "<u8", padded, strides=(1,))
 
 
-def span_hashes(prefix: list[np.ndarray], starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def span_hashes(eight: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Mixed 64-bit hashes of the spans, equal for equal bytes wherever they stand."""
-    h = np.zeros(len(starts), "uint64")
-    for field, sums in enumerate(prefix):
-        p = np.uint64(_FIELDS[field][0])
-        _, down = _powers(_rounded(len(sums) - 1), field)
-        low = sums[starts] % p
-        h = (h << np.uint64(31)) | ((sums[ends] % p + p - low) % p * down[starts] % p)
-    h ^= (ends - starts).astype("uint64") * _MIX
-    h = (h ^ (h >> np.uint64(32))) * _MIX
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    left = ends - starts
+    h = (left.astype("uint64") + np.uint64(1)) * _LAST
+    live = np.flatnonzero(left > 0)
+    at, left = starts[live], left[live]
+    while len(live):
+        part = eight[at] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.uint64(8) * np.minimum(left, 8).astype("uint64")))
+        x = (h[live] ^ part) * _MIX
+        h[live] = x ^ (x >> np.uint64(32))
+        more = np.flatnonzero(left > 8)
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    h = (h ^ (h >> np.uint64(29))) * _LAST
     return h ^ (h >> np.uint64(31))
 
 
 def same_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray, others: np.ndarray, other_ends: np.ndarray) -> np.ndarray:
     """Which spans of raw have the same bytes as those of other, one by one."""
-    length = ends - starts
-    same = length == other_ends - others
-    length = np.where(same, length, 0)
-    until = np.cumsum(length)
-    for low in range(0, len(length), 100_000):  # so many spans at a time
-        part = slice(low, low + 100_000)
-        n = length[part]
-        if n.any():
-            step = np.arange(int(n.sum())) - np.repeat(until[part] - n - (until[low] - n[0]), n)
-            differ = raw[np.repeat(starts[part], n) + step] != other[np.repeat(others[part], n) + step]
-            same[part] &= np.bincount(np.repeat(np.arange(len(n)), n)[differ], minlength=len(n)) == 0
+    left = ends - starts
+    same = left == other_ends - others
+    one, two = chunks(raw), chunks(other)
+    live = np.flatnonzero(same & (left > 0))
+    at, to, left = starts[live], others[live], left[live]
+    while len(live):
+        mask = np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.uint64(8) * np.minimum(left, 8).astype("uint64"))
+        unlike = ((one[at] ^ two[to]) & mask) != 0
+        same[live[unlike]] = False
+        more = np.flatnonzero(~unlike & (left > 8))
+        live, at, to, left = live[more], at[more] + 8, to[more] + 8, left[more] - 8
     return same

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from tableprobe.llm.common import WORD_CHAR, durable
 from tableprobe.llm.components import connected_components
-from tableprobe.llm.rolling import prefix_sums, same_spans, span_hashes
+from tableprobe.llm.rolling import chunks, same_spans, span_hashes
 from tableprobe.llm.tokens import release, sliced
 
 
@@ -96,9 +96,9 @@ def _sketches(norms: list[bytes], n: int, k: int) -> tuple[np.ndarray, np.ndarra
     short = np.flatnonzero((per_text > 0) & (per_text < n))
     i = np.arange(max(0, len(of) - n + 1))
     i = i[of[i] == of[i + n - 1]]
-    prefix = prefix_sums(raw)
+    eight = chunks(raw)
     begin, stop = np.r_[starts[i], starts[first[short]]], np.r_[ends[i + n - 1], ends[first[short] + per_text[short] - 1]]
-    h, doc = span_hashes(prefix, begin, stop), np.r_[of[i], short]
+    h, doc = span_hashes(eight, begin, stop), np.r_[of[i], short]
     order = np.lexsort((h, doc))
     h, doc = h[order], doc[order]
     new = np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])] if len(h) else np.zeros(0, bool)

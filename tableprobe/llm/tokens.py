@@ -13,7 +13,7 @@ import pyarrow as pa
 import tiktoken
 from tokenizers import Tokenizer
 
-from tableprobe.llm.rolling import prefix_sums, same_spans, span_hashes
+from tableprobe.llm.rolling import chunks, same_spans, span_hashes
 
 #: Characters of text that are split into words at a time; words that a memo holds before it starts anew.
 SLICE_CHARS = 500_000
@@ -101,7 +101,7 @@ class WordEncoder:
         ends = ends[np.searchsorted(ends, starts, "right")]
         text_at = np.cumsum([0, *(len(t) + 1 for t in texts)])
         bounds = np.searchsorted(starts, text_at)
-        own, first, of = np.unique(span_hashes(prefix_sums(raw), starts, ends), return_index=True, return_inverse=True)
+        own, first, of = np.unique(span_hashes(chunks(raw), starts, ends), return_index=True, return_inverse=True)
         of = of.ravel()
         if not same_spans(raw, starts, ends, raw, starts[first][of], ends[first][of]).all():
             return None

@@ -74,3 +74,17 @@ def test_empty_table_and_round_trip(spark):
     assert back == {k: [float(k % 4), 0.25, -1.5, 2.0] for k in range(40)}
     with pytest.raises(ValueError):
         member_lloyd.compress(df, member_lloyd.Settings(entries=300))
+
+
+def test_columns_of_any_name_travel_along(spark):
+    """pack and the two decoders keep columns whose names hold dots, blanks and backticks."""
+    import public_tokenizers
+
+    from tableprobe.llm import chunk_bpe, packing
+
+    files = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    df = spark.createDataFrame([(k, "some text", k) for k in range(5)], "doc_id long, text string, `a.b c``d` int")
+    cut = packing.pieces(df, public_tokenizers.path("word_bpe_49k.json"), with_ids=False).join(df.drop("text"), "doc_id")
+    assert {(r["doc_id"], r["a.b c`d"]) for r in packing.pack(cut).collect()} == {(k, k) for k in range(5)}
+    encoded = chunk_bpe.encode(df, *files).join(df.drop("text"), "doc_id")
+    assert {(r["text"], r["a.b c`d"]) for r in chunk_bpe.decode(encoded, *files).collect()} == {("some text", k) for k in range(5)}

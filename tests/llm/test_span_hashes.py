@@ -37,7 +37,7 @@ def test_equal_hashes_are_compared(monkeypatch):
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    weak = lambda prefix, starts, ends: (ends - starts).astype("uint64") % np.uint64(3)
+    weak = lambda eight, starts, ends: (ends - starts).astype("uint64") % np.uint64(3)
     monkeypatch.setattr(tokens, "span_hashes", weak)
     path = public_tokenizers.path("word_bpe_49k.json")
     own, bpe = tokens.WordEncoder(path), Tokenizer.from_file(path)
@@ -50,18 +50,16 @@ def test_equal_hashes_are_compared(monkeypatch):
     assert count.tolist() == [len(sketch_dedup.shingle_set(x, 3)) for x in norms]
 
 
-def test_spans(monkeypatch):
+def test_spans():
     rng = np.random.default_rng(1)
     raw = rng.integers(0, 3, 5000).astype("uint8")
     starts = rng.integers(0, 4900, 3000)
     ends = starts + rng.integers(0, 30, 3000)
-    h = rolling.span_hashes(rolling.prefix_sums(raw), starts, ends)
+    h = rolling.span_hashes(rolling.chunks(raw), starts, ends)
     of = {}
     for x, a, b in zip(h.tolist(), starts, ends, strict=True):
         assert of.setdefault(x, raw[a:b].tobytes()) == raw[a:b].tobytes()
     assert len(of) == len({raw[a:b].tobytes() for a, b in zip(starts, ends, strict=True)})
-    monkeypatch.setattr(rolling, "_BLOCK", 64)
-    assert (rolling.span_hashes(rolling.prefix_sums(raw), starts, ends) == h).all()
     i = rng.integers(0, 3000, 3000)
     same = rolling.same_spans(raw, starts, ends, raw, starts[i], ends[i])
     assert same.tolist() == [raw[a:b].tobytes() == raw[c:d].tobytes() for a, b, c, d in zip(starts, ends, starts[i], ends[i], strict=True)]
