@@ -274,6 +274,7 @@ ORACLE: dict[str, str] = {
     "kpi_top_category": sql(f" SELECT {trim('status')} AS value, count(*) AS n, round(count(*) * 100.0 / (SELECT count(*) FROM d), 6) AS percentage FROM d GROUP BY 1 ORDER BY n DESC, min(row_id) LIMIT 1"),
     "segment_kpis": sql(f""", b AS (SELECT {_cat("segment_cd")} AS segment, {_AMOUNT} AS x FROM d)
  SELECT segment, is_total, n_rows, round(n_rows * 100.0 / (SELECT count(*) FROM b), 6) AS percentage, round(total, 2) AS total, round(mean, 4) AS mean FROM (SELECT segment, grouping(segment) = 1 AS is_total, count(*) AS n_rows, sum(x) AS total, avg(x) AS mean FROM b GROUP BY ROLLUP (segment)) WHERE is_total OR segment IS NOT NULL"""),
+    "row_index": "SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS n, p_partkey FROM part",  # the file is in the order of its key
     "category_breakdown": f"WITH {fold('SELECT p_brand AS name, count(*) AS value, min(p_partkey) AS seen FROM part GROUP BY 1')} SELECT name, place, value::BIGINT AS value FROM fo",
     "category_measure_breakdown": f"WITH {fold('SELECT l_returnflag AS name, sum(l_extendedprice) AS value, min(l_orderkey) AS seen FROM lineitem GROUP BY 1')} SELECT name, place, round(value, 2) AS value FROM fo",
     "distinct_categories": sql(f""", {_CATS} SELECT "column", idx, n_values, array_to_string(vals, '|') AS vals FROM dc"""),

@@ -12,6 +12,7 @@ from tableprobe.operators import calendar, cleaning, dashboard, numeric, quality
 from tableprobe.operators.shape import filled_cells
 from tableprobe.plans.dirty import COLUMNS, dirty_orders
 from tableprobe.plans.oracle import AS_OF
+from tableprobe.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -228,6 +229,11 @@ def typed_date_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return values.groupBy("normalized", "format").agg(F.count("*").alias("n"))
 
 
+@query
+def row_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.read_table(spark, f"{sf_dir}/part.parquet", row_id="n").select("n", "p_partkey")
+
+
 @query
 def category_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dashboard.category_breakdown(spark.read.parquet(f"{sf_dir}/part.parquet"), "p_brand", "p_partkey")
