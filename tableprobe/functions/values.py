@@ -15,6 +15,7 @@ TRUE_WORDS, FALSE_WORDS = ("true", "yes", "1"), ("false", "no", "0")
 INTEGER = r"^[+-]?\d+$"
 FLOAT = r"^[+-]?(\d+\.\d*|\.\d+)([eE][+-]?\d+)?$"
 NUMBER = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
+PADDED_NUMBER = r"^[\s\x{00a0}\x{feff}]*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?[\s\x{00a0}\x{feff}]*$"
 ISO_SHAPE = r"(?i)^\d{4}-(\d{2})-(\d{2})(t\d{2}:\d{2}(:\d{2})?(\.\d+)?(z|[+-]\d{2}:?\d{2})?)?$"
 SHORT_SHAPE = r"^(\d{1,2})[/.-](\d{1,2})[/.-]\d{2,4}$"
 # Least percentage for error and for warning, by check.
@@ -87,13 +88,20 @@ def typed_bucket(c: Column, kind: T.DataType) -> Column | None:
 
 def classify_text(c: Column) -> Column:
     """The class of a text that isn't empty."""
-    s = trimmed(c)
+    return trimmed_class(trimmed(c))
+
+
+def trimmed_class(s: Column) -> Column:
+    """The class of a trimmed text: best a column of its own, as each name of an expression computes it again."""
     number = F.when(s.rlike(INTEGER), "integer").when(s.rlike(FLOAT), "float").when(is_date_like(s), "date").otherwise("string")
     return F.when(_numeric_lead(s), number).otherwise(_word(s))
 
 
 def bucket_text(c: Column) -> Column:
-    s = trimmed(c)
+    return trimmed_bucket(trimmed(c))
+
+
+def trimmed_bucket(s: Column) -> Column:
     return F.when(_numeric_lead(s), F.when(s.rlike(NUMBER), "number").when(is_date_like(s), "date").otherwise("string")).otherwise(_word(s))
 
 
@@ -122,8 +130,7 @@ def to_number(c: Column, kind: T.DataType = T.StringType()) -> Column:
     if isinstance(kind, T.NumericType):
         x = c.cast("double")
     else:
-        s = trimmed(c)
-        x = F.when(_numeric_lead(s) & s.rlike(NUMBER), s.try_cast("double"))
+        x = F.when(c.rlike(PADDED_NUMBER), trimmed(c).try_cast("double"))  # c is named few times, as it may be long itself
     return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
 
 

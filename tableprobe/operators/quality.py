@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tableprobe.functions.values import INCONSISTENT_ERROR, bucket_text, col, empty_of, normalize_category, percentage_of, severity_of, severity_rank, typed_bucket
+from tableprobe.functions.values import INCONSISTENT_ERROR, col, empty_of, normalize_category, percentage_of, severity_of, severity_rank, trimmed_bucket, typed_bucket
 from tableprobe.operators.shape import filled_cells, first_rows, per_column
 
 MAX_CATEGORIES, MAX_DISTANCE, SAMPLES = 49, 2, 5
@@ -51,7 +51,7 @@ def duplicate_samples(df: DataFrame, columns: list[str], row_id: str = "row_id",
 
 def type_buckets(df: DataFrame, columns: list[str], row_id: str = "row_id") -> DataFrame:
     """column, idx, bucket, n, first_row. Cells are counted within tasks: few rows a column are shuffled."""
-    bucket = F.coalesce("kind", bucket_text(F.col("text"))).alias("bucket")
+    bucket = F.coalesce("kind", trimmed_bucket(F.col("s"))).alias("bucket")
     found = filled_cells(df, columns, row_id, typed_bucket).groupBy("idx", bucket).agg(F.count("*").alias("n"), F.min("row_id").alias("first_row"))
     return found.select(F.array(*map(F.lit, columns))[F.col("idx")].alias("column"), "idx", "bucket", "n", "first_row")
 
@@ -75,8 +75,8 @@ def mixed_type_examples(df: DataFrame, columns: list[str], row_id: str = "row_id
     """column, place, bucket, value: the first k cells per bucket, buckets as first seen, k in all."""
     mixed = [r["column"] for r in mixed_types(df, columns, row_id).select("column").collect()]  # a row per column
     names = F.array(*map(F.lit, mixed)).cast("array<string>")
-    long = filled_cells(df, mixed, row_id, typed_bucket) if mixed else df.sparkSession.createDataFrame([], f"row_id {df.schema[row_id].dataType.simpleString()}, idx int, kind string, text string")
-    long = long.select("row_id", names[F.col("idx")].alias("column"), bucket_text(F.col("text")).alias("bucket"), "text")
+    long = filled_cells(df, mixed, row_id, typed_bucket) if mixed else df.sparkSession.createDataFrame([], f"row_id {df.schema[row_id].dataType.simpleString()}, idx int, kind string, text string, s string")
+    long = long.select("row_id", names[F.col("idx")].alias("column"), trimmed_bucket(F.col("s")).alias("bucket"), "text")
     first = first_rows(long, ["column", "bucket"], [F.col("row_id")], k, "nth")
     first = first.withColumn("seen", F.min("row_id").over(Window.partitionBy("column", "bucket")))
     return first_rows(first, ["column"], [F.col("seen"), F.col("row_id")], k, "place").select("column", "place", "bucket", F.col("text").alias("value"))
@@ -205,7 +205,7 @@ def _duplicates_by(df: DataFrame, columns: list[str], by: Column) -> DataFrame:
 
 def _mixed_by(df: DataFrame, columns: list[str], by: Column, row_id: str) -> DataFrame:
     texts, none = text_columns(df, columns), F.lit(None).cast("string").alias("g")
-    bucket = F.coalesce("kind", bucket_text(F.col("text"))).alias("bucket")
+    bucket = F.coalesce("kind", trimmed_bucket(F.col("s"))).alias("bucket")
     own = filled_cells(df, texts, row_id, typed_bucket, by).groupBy("g", "idx", bucket).agg(F.count("*").alias("n"), F.min("row_id").alias("first_row"))
     whole = own.groupBy("idx", "bucket").agg(F.sum("n").alias("n"), F.min("first_row").alias("first_row")).select(none, "idx", "bucket", "n", "first_row")
     both = own.filter("g is not null").unionByName(whole)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tableprobe.functions.values import col, is_empty
+from tableprobe.functions.values import col, is_empty, trimmed
 
 
 def per_column(df: DataFrame, columns: list[str], stats) -> DataFrame:
@@ -36,7 +36,7 @@ def first_rows(df: DataFrame, keys: list[str], order: list[Column], k: int, name
 
 
 def filled_cells(df: DataFrame, columns: list[str], row_id: str, typed, by: Column | None = None) -> DataFrame:
-    """row_id, idx, kind and text (and g, the row's group, with by) of every cell that is not empty. kind is typed(Column, type) for columns that hold no
+    """row_id, idx, kind, text and s, the text trimmed (and g, the row's group, with by), of every cell that is not empty. kind is typed(Column, type) for columns that hold no
     text, null for those that do: what is said of texts is then one expression, however many columns there are."""
     parts = []
     for i, c in enumerate(columns):
@@ -47,11 +47,11 @@ def filled_cells(df: DataFrame, columns: list[str], row_id: str, typed, by: Colu
             parts.append(F.struct(F.lit(i).alias("idx"), F.when(~is_empty(col(c), kind), typed(col(c), kind)).alias("kind"), text.alias("text")))
     group = [by.alias("g")] if by is not None else []
     long = df.select(col(row_id).alias("row_id"), *group, F.explode(F.array(*parts)).alias("c")).select("row_id", *(["g"] if group else []), "c.*")
-    return long.filter(F.col("kind").isNotNull() | ~is_empty(F.col("text")))
+    return long.withColumn("s", trimmed(F.col("text"))).filter(F.col("kind").isNotNull() | (F.col("s") != ""))
 
 
 def first_cells(df: DataFrame, columns: list[str], row_id: str, k: int, typed) -> DataFrame:
-    """row_id, idx, kind and text (as filled_cells has them) and rank: the first k cells of each column that are not empty.
+    """row_id, idx, kind, text and s (as filled_cells has them) and rank: the first k cells of each column that are not empty.
 
     Most columns have them among the first rows, which are cut out once (one small job tells which); only the cells
     of the others are ranked over the whole table."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tableprobe.functions.values import classify_text, typed_class
+from tableprobe.functions.values import trimmed_class, typed_class
 from tableprobe.operators.shape import filled_cells, first_cells
 
 TYPE_SAMPLE, SAMPLES, MAJORITY = 200, 5, 0.7
@@ -52,7 +52,7 @@ def _first(df: DataFrame, columns: list[str], row_id: str, k: int) -> DataFrame:
 
 
 def _kinds(df: DataFrame, columns: list[str], seen: DataFrame) -> DataFrame:
-    seen = seen.select("idx", F.coalesce("kind", classify_text(F.col("text"))).alias("kind"))
+    seen = seen.select("idx", F.coalesce("kind", trimmed_class(F.col("s"))).alias("kind"))
     found = seen.groupBy("idx").agg(F.count("*").alias("total"), *[F.count_if(F.col("kind") == k).alias(k) for k in _KINDS])
     return _names(df, columns).join(found, "idx", "left")
 

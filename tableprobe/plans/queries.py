@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableprobe.functions.values import classify_text, csv_cell, markdown_cell, normalize_category, typed_class
+from tableprobe.functions.values import csv_cell, markdown_cell, normalize_category, trimmed_class, typed_class
 from tableprobe.operators import calendar, cleaning, dashboard, numeric, quality, report, structure
 from tableprobe.operators.shape import filled_cells
 from tableprobe.plans.dirty import COLUMNS, dirty_orders
@@ -65,7 +65,7 @@ def _clean(d: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _classes(d: DataFrame) -> DataFrame:
-    kind = F.coalesce("kind", classify_text(F.col("text"))).alias("class")
+    kind = F.coalesce("kind", trimmed_class(F.col("s"))).alias("class")
     found = filled_cells(d, COLUMNS, "row_id", typed_class).groupBy("idx", kind).agg(F.count("*").alias("n"))
     return found.select(F.array(*map(F.lit, COLUMNS))[F.col("idx")].alias("column"), "class", "n")
 
