@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tableprobe.functions.values import coerce_to_number, col, severity_rank, trimmed
 from tableprobe.operators import calendar, numeric, quality
 from tableprobe.operators.quality import text_columns
-from tableprobe.operators.shape import cells
+from tableprobe.operators.shape import cells, over_kept
 
 LEAST_VALUES, MOST_VALUES, GROUPS, NOTICES, CHARTS = 2, 15, 6, 4, 2
 MISSING, OTHER = "(missing)", "Other"
@@ -178,6 +178,10 @@ def dashboard_notices(report: DataFrame, outliers: DataFrame, n_rows: int) -> Da
 def segment_notices(df: DataFrame, columns: list[str], numbers: list[str], segment: str, row_id: str = "row_id") -> DataFrame:
     """segment (null: all rows), rank, id, severity, count: the notices of the whole table and of the view of every value of
     the segment's column, each as if the view were analysed alone. A segment's column has MOST_VALUES values at most."""
+    return over_kept(df, lambda d: _segment_notices(d, columns, numbers, segment, row_id))
+
+
+def _segment_notices(df: DataFrame, columns: list[str], numbers: list[str], segment: str, row_id: str) -> DataFrame:
     g = _category(df, segment)
     values = sorted(r[0] for r in df.select(g.alias("g")).filter("g is not null").distinct().limit(MOST_VALUES + 1).collect())
     if len(values) > MOST_VALUES:

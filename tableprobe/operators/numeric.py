@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from tableprobe.functions.values import coerce_to_number, col, percentage_of, severity_of, to_number
-from tableprobe.operators.shape import held, per_column
+from tableprobe.operators.shape import held, over_kept, per_column
 
 FENCE, BINS = 1.5, 6
 QUARTERS = (0.25, 0.5, 0.75)
@@ -38,24 +38,31 @@ def _moments(df: DataFrame, columns: list[str], accuracy: int | None = None) ->
     return [r for r in per_column(df, columns, stats).collect() if r["n"]]
 
 
-def _bounds(numbers: DataFrame, known: dict[int, int]) -> dict[int, list[float]]:
-    """Of the idx that have many numbers: the bounds of ranges of about RANGE_ROWS of them, from sketches."""
-    large = {i: min(MOST_RANGES, math.ceil(n / RANGE_ROWS)) for i, n in known.items() if n > RANGE_ROWS}
+def _counts(numbers: DataFrame, *keys: str) -> DataFrame:
+    """The keys, x and n: how often each number occurs."""
+    return numbers.groupBy(*keys, "x").agg(F.count("*").alias("n"))
+
+
+def _bounds(counts: DataFrame, known: dict[int, int]) -> dict[int, list[float]]:
+    """Of the idx that have many distinct numbers: the bounds of ranges of about RANGE_ROWS of them, from sketches."""
+    if not (several := [i for i, n in known.items() if n > RANGE_ROWS]):
+        return {}
+    sizes = {r["idx"]: r["k"] for r in counts.filter(F.col("idx").isin(several)).groupBy("idx").agg(F.count("*").alias("k")).collect()}  # a row per idx
+    large = {i: min(MOST_RANGES, math.ceil(k / RANGE_ROWS)) for i, k in sizes.items() if k > RANGE_ROWS}
     if not large:
         return {}
     grid = [k / MOST_RANGES for k in range(1, MOST_RANGES)]
-    found = numbers.filter(F.col("idx").isin(list(large))).groupBy("idx").agg(F.percentile_approx("x", grid, 1000).alias("b")).collect()  # a row per idx
+    found = counts.filter(F.col("idx").isin(list(large))).groupBy("idx").agg(F.percentile_approx("x", grid, 1000).alias("b")).collect()  # a row per idx
     return {r["idx"]: sorted({r["b"][k * MOST_RANGES // large[r["idx"]] - 1] for k in range(1, large[r["idx"]])}) for r in found}
 
 
-def _ranked(numbers: DataFrame, known: dict[int, int], shares: tuple[float, ...]) -> DataFrame:
-    """idx, q (the interpolated quantile of each share) and mode (a tied one is the least) of numbers (idx, x), of which known
-    tells how many each idx has: distinct values are counted, and ranked within ranges of values, so that no task holds all
+def _ranked(counts: DataFrame, known: dict[int, int], shares: tuple[float, ...]) -> DataFrame:
+    """idx, q (the interpolated quantile of each share) and mode (a tied one is the least) of numbers counted (idx, x, n), of
+    which known tells how many each idx has: distinct values are ranked within ranges of values, so that no task holds all
     of a large one."""
-    cut = _bounds(numbers, known)
+    cut = _bounds(counts, known)
     bounds = lambda i: F.array(*map(F.lit, cut[i])) if cut.get(i) else F.array().cast("array<double>")
     each = lambda value: F.create_map(*[x for i in known for x in (F.lit(i), value(i))])[F.col("idx")]
-    counts = numbers.groupBy("idx", "x").agg(F.count("*").alias("n"))
     ranged = counts.withColumn("part", F.size(F.filter(each(bounds), lambda b: b < F.col("x"))))
     before = Window.partitionBy("idx").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
     starts = ranged.groupBy("idx", "part").agg(F.sum("n").alias("size")).select("idx", "part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"))
@@ -73,8 +80,8 @@ def _ranked(numbers: DataFrame, known: dict[int, int], shares: tuple[float, ...]
 
 
 def numeric_describe(df: DataFrame, columns: list[str], accuracy: int | None = None) -> DataFrame:
-    """A row per column over its finite numbers; quantiles are interpolated, a tied mode is the least value. One job
-    runs at once, for the moments, and another for the ranges of large columns.
+    """A row per column over its finite numbers; quantiles are interpolated, a tied mode is the least value. It
+    runs at once: a pass for the moments, and one that counts distinct values, which are kept while they are ranked.
 
     With accuracy, quantiles are percentile_approx of that accuracy."""
     known = _moments(df, columns, accuracy)
@@ -83,7 +90,8 @@ def numeric_describe(df: DataFrame, columns: list[str], accuracy: int | None = N
     base = spark.createDataFrame([(*[r[f] for f in fields], r["q"] if accuracy else None) for r in known], schema)
     if not known:
         return base.withColumns({c: F.lit(None).cast("double") for c in STATS if c not in fields}).select(*STATS)
-    found = base.join(_ranked(_numbers(df, columns), {r["idx"]: r["n"] for r in known}, QUARTERS), "idx").withColumn("q", F.coalesce("rough", "q"))
+    ranked = over_kept(_counts(_numbers(df, columns), "idx"), lambda c: _ranked(c, {r["idx"]: r["n"] for r in known}, QUARTERS))
+    found = base.join(ranked, "idx").withColumn("q", F.coalesce("rough", "q"))
     found = found.withColumns({"q1": F.col("q")[0], "median": F.col("q")[1], "q3": F.col("q")[2]})
     reach = FENCE * (F.col("q3") - F.col("q1"))
     found = found.withColumns({"lo": F.col("q1") - reach, "hi": F.col("q3") + reach})
@@ -96,7 +104,8 @@ def exact_quantiles(df: DataFrame, column: str, shares: list[float]) -> DataFram
     if not known or not shares:
         return df.sparkSession.createDataFrame([], "share double, value double")
     pairs = F.arrays_zip(F.array(*[F.lit(float(s)) for s in shares]).alias("share"), F.col("q").alias("value"))
-    return _ranked(_numbers(df, [column]), {0: known[0]["n"]}, tuple(shares)).select(F.explode(pairs).alias("e")).select("e.share", "e.value")
+    ranked = over_kept(_counts(_numbers(df, [column]), "idx"), lambda c: _ranked(c, {0: known[0]["n"]}, tuple(shares)))
+    return ranked.select(F.explode(pairs).alias("e")).select("e.share", "e.value")
 
 
 def outlier_rows(df: DataFrame, columns: list[str], row_id: str = "row_id", described: DataFrame | None = None) -> DataFrame:
@@ -112,19 +121,26 @@ def outlier_rows(df: DataFrame, columns: list[str], row_id: str = "row_id", desc
 
 def outlier_counts_by(df: DataFrame, columns: list[str], by: Column, groups: list[str]) -> DataFrame:
     """g, column, idx, n_outliers, percentage, severity: outlier_counts of each of the groups of rows that by names, by its own
-    fences, and, under a null g, of all rows. Numbers of all groups are ranked in one pass."""
+    fences, and, under a null g, of all rows. Numbers are counted in one pass over the rows; the rest reads the counts."""
     width, place = len(columns), F.coalesce(F.array_position(F.array(*map(F.lit, groups)).cast("array<string>"), by), F.lit(0))
     numbers = df.select(place.cast("int").alias("p"), F.explode(F.array(*[F.struct(F.lit(i).alias("i"), _number(df, c).alias("x")) for i, c in enumerate(columns)])).alias("e"))
-    keys = F.array_distinct(F.array(F.col("e.i"), F.col("p") * width + F.col("e.i")))  # of all rows, and of the group
-    numbers = numbers.filter("e.x is not null").select(F.explode(keys).alias("idx"), F.col("e.x").alias("x"))
-    known = {r["idx"]: r["n"] for r in numbers.groupBy("idx").agg(F.count("*").alias("n")).collect()}  # groups times columns
+    own = _counts(numbers.filter("e.x is not null").select("p", "e.i", "e.x"), "p", "i")
+    keys = F.array_distinct(F.array(F.col("i"), F.col("p") * width + F.col("i")))  # of all rows, and of the group
+    counts = own.select(F.explode(keys).alias("idx"), "x", "n").groupBy("idx", "x").agg(F.sum("n").alias("n"))
+    return over_kept(counts, lambda c: _outliers_by(c, columns, groups))
+
+
+def _outliers_by(counts: DataFrame, columns: list[str], groups: list[str]) -> DataFrame:
+    width = len(columns)
+    known = {r["idx"]: r["n"] for r in counts.groupBy("idx").agg(F.sum("n").alias("n")).collect()}  # groups times columns
     schema = "g string, column string, idx int, n_outliers long, percentage double, severity string"
     if not known:
-        return df.sparkSession.createDataFrame([], schema)
+        return counts.sparkSession.createDataFrame([], schema)
     q = F.col("q")
     reach = FENCE * (q[1] - q[0])
-    fences = _ranked(numbers, known, (QUARTERS[0], QUARTERS[2])).select("idx", (q[0] - reach).alias("lo"), (q[1] + reach).alias("hi"))
-    counted = numbers.join(F.broadcast(fences), "idx").groupBy("idx").agg(F.count("*").alias("n"), F.count_if((F.col("x") < F.col("lo")) | (F.col("x") > F.col("hi"))).alias("n_outliers"))
+    fences = _ranked(counts, known, (QUARTERS[0], QUARTERS[2])).select("idx", (q[0] - reach).alias("lo"), (q[1] + reach).alias("hi"))
+    out = (F.col("x") < F.col("lo")) | (F.col("x") > F.col("hi"))
+    counted = counts.join(F.broadcast(fences), "idx").groupBy("idx").agg(F.sum("n").alias("n"), F.sum(F.when(out, F.col("n")).otherwise(0)).alias("n_outliers"))
     found = counted.withColumn("percentage", percentage_of(F.col("n_outliers"), F.col("n")))
     found = found.withColumn("severity", severity_of("outliers", F.col("n_outliers"), F.col("percentage")))
     g = F.get(F.array(F.lit(None).cast("string"), *map(F.lit, groups)), F.floor(F.col("idx") / width).cast("int"))

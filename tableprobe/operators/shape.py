@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +24,19 @@ def held(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(df.collect(), df.schema)
 
 
+def over_kept(df: DataFrame, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """make(df), a table of a few rows a column, as a local table: df's rows are computed once, kept in memory or on disk
+    while make's passes read them, and let go. Within another such call, or where df is cached already, make(df) itself."""
+    if df.storageLevel != StorageLevel.NONE:
+        return make(df)
+    df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        df.count()  # passes that run side by side would each compute the rows
+        return held(make(df))
+    finally:
+        df.unpersist()
+
+
 def cells(df: DataFrame, columns: list[str], row_id: str, value=None) -> DataFrame:
     """row_id, column, idx and value (a string, or what value(name) makes of a cell) of every cell."""
     value = value or (lambda c: col(c).cast("string"))
@@ -38,6 +54,11 @@ def first_rows(df: DataFrame, keys: list[str], order: list[Column], k: int, name
 def filled_cells(df: DataFrame, columns: list[str], row_id: str, typed, by: Column | None = None) -> DataFrame:
     """row_id, idx, kind, text and s, the text trimmed (and g, the row's group, with by), of every cell that is not empty. kind is typed(Column, type) for columns that hold no
     text, null for those that do: what is said of texts is then one expression, however many columns there are."""
+    return long_cells(df, columns, row_id, typed, by).filter(F.col("kind").isNotNull() | (F.col("s") != ""))
+
+
+def long_cells(df: DataFrame, columns: list[str], row_id: str, typed, by: Column | None = None) -> DataFrame:
+    """filled_cells with the empty ones, whose kind is null and whose s is null or blank."""
     parts = []
     for i, c in enumerate(columns):
         kind, text = df.schema[c].dataType, col(c).cast("string")
@@ -47,7 +68,7 @@ def filled_cells(df: DataFrame, columns: list[str], row_id: str, typed, by: Colu
             parts.append(F.struct(F.lit(i).alias("idx"), F.when(~is_empty(col(c), kind), typed(col(c), kind)).alias("kind"), text.alias("text")))
     group = [by.alias("g")] if by is not None else []
     long = df.select(col(row_id).alias("row_id"), *group, F.explode(F.array(*parts)).alias("c")).select("row_id", *(["g"] if group else []), "c.*")
-    return long.withColumn("s", trimmed(F.col("text"))).filter(F.col("kind").isNotNull() | (F.col("s") != ""))
+    return long.withColumn("s", trimmed(F.col("text")))
 
 
 def first_cells(df: DataFrame, columns: list[str], row_id: str, k: int, typed) -> DataFrame:
