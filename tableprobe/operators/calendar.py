@@ -35,11 +35,13 @@ def flagged_dates(df: DataFrame, column: str, as_of: str, row_id: str = "row_id"
 def date_profile(df: DataFrame, columns: list[str], as_of: str) -> DataFrame:
     """column, idx, earliest, latest, duration_days, formats (sorted, joined by ', ') and n_flagged."""
 
+    days = df.select(*[_parsed(df, c).alias(c) for c in columns])  # a cell is parsed once, though four figures are taken from it
+
     def stats(c):
-        p = _parsed(df, c)
+        p = col(c)
         return {"earliest": F.min(p["day"]), "latest": F.max(p["day"]), "f": F.collect_set(p["format"]), "n_flagged": F.count_if(date_flag(p, as_of).isNotNull())}
 
-    found = per_column(df, columns, stats).filter("earliest is not null")
+    found = per_column(days, columns, stats).filter("earliest is not null")
     day = lambda c: F.date_format(c, "yyyy-MM-dd").alias(c)
     return found.select("column", "idx", day("earliest"), day("latest"), F.datediff("latest", "earliest").alias("duration_days"), F.array_join(F.array_sort("f"), ", ").alias("formats"), "n_flagged")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tableprobe.functions.values import markdown_cell, severity_rank
 from tableprobe.operators import calendar, numeric, quality
+from tableprobe.operators.shape import over_kept
 
 
 def column_detail(profile: DataFrame, described: DataFrame, dates: DataFrame, report: DataFrame) -> DataFrame:
@@ -27,6 +28,10 @@ def column_detail(profile: DataFrame, described: DataFrame, dates: DataFrame, re
 def eda(cleaned: DataFrame, raw_profile: DataFrame, as_of: str, row_id: str = "row_id") -> DataFrame:
     """column_detail of the cleaned table under the raw table's profile: numbers are described where the raw type was a
     number, dates where most cleaned cells are dates, and the findings are the cleaned table's."""
+    return over_kept(cleaned, lambda d: _eda(d, raw_profile, as_of, row_id))
+
+
+def _eda(cleaned: DataFrame, raw_profile: DataFrame, as_of: str, row_id: str) -> DataFrame:
     raw = raw_profile.orderBy("idx").collect()  # a row per column
     columns = [r["column"] for r in raw]
     numbers = [r["column"] for r in raw if r["data_type"] in ("integer", "float")]

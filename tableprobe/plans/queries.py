@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tableprobe.functions.values import csv_cell, markdown_cell, normalize_category, trimmed_class, typed_class
 from tableprobe.operators import calendar, cleaning, dashboard, numeric, quality, report, structure
-from tableprobe.operators.shape import filled_cells
+from tableprobe.operators.shape import filled_cells, over_kept
 from tableprobe.plans.dirty import COLUMNS, dirty_orders
 from tableprobe.plans.oracle import AS_OF
 from tableprobe.sources import tables
@@ -48,6 +48,11 @@ def on_orders(make: Callable[[DataFrame], DataFrame], name: str) -> None:
     QUERIES[name] = lambda spark, sf_dir: make(dirty_orders(spark, sf_dir))
 
 
+def on_kept_orders(make: Callable[[DataFrame], DataFrame], name: str) -> None:
+    """As on_orders, of makers of a few rows that read the orders several times: they are kept meanwhile."""
+    on_orders(lambda d: over_kept(d, make), name)
+
+
 def _rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in columns})
 
@@ -161,8 +166,8 @@ on_orders(lambda d: _rounded(quality.inconsistent_categoricals(d, COLUMNS), 6, "
 on_orders(lambda d: _rounded(_report(d), 6, "percentage"), "quality_report")
 on_orders(lambda d: _rounded(quality.quality_highlights(_report(d)).select(*_FLAT), 6, "percentage"), "quality_highlights")
 on_orders(lambda d: quality.quality_concerns(_report(d)).select("check_name", "column", "count"), "quality_concerns")
-on_orders(lambda d: quality.quality_totals(_report(d), numeric.outlier_counts(d, NUMBERS)), "quality_totals")
-on_orders(_notices, "dashboard_notices")
+on_kept_orders(lambda d: quality.quality_totals(_report(d), numeric.outlier_counts(d, NUMBERS)), "quality_totals")
+on_kept_orders(_notices, "dashboard_notices")
 on_orders(lambda d: dashboard.segment_notices(d, COLUMNS, NUMBERS, "segment_cd"), "segment_notices")
 on_orders(lambda d: _rounded(quality.quality_report_by(d, COLUMNS, dashboard._category(d, "segment_cd")), 6, "percentage").withColumnRenamed("g", "segment"), "segment_quality_report")
 on_orders(lambda d: _stats(numeric.numeric_describe(d, NUMBERS)), "numeric_describe")
@@ -192,9 +197,9 @@ on_orders(
 )
 on_orders(_charts, "choose_charts")
 on_orders(lambda d: d.select(normalize_category(F.col("channel")).alias("norm")).filter("norm <> ''").groupBy("norm").agg(F.count("*").alias("n")), "normalize_category")
-on_orders(_detail, "column_detail")
-on_orders(_noted, "column_structure_report")
-on_orders(_eda, "eda")
+on_kept_orders(_detail, "column_detail")
+on_kept_orders(_noted, "column_structure_report")
+on_kept_orders(_eda, "eda")
 on_orders(_attached, "dictionary_attach")
 on_orders(_tagged, "tag_union")
 on_orders(lambda d: structure.tag_filter(structure.dictionary_tags(structure.structural_profile(d, COLUMNS)), ["type:string"]).select("column", "idx"), "tag_filter")
