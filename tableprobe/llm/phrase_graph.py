@@ -2,15 +2,17 @@
 
 Texts are lower-cased (A-Z), split into pieces at marks and line ends, and pieces into words. The longest grams, of
 ``most`` words, are the graph's edges: each leads from the node of its first ``most - 1`` words to that of its last. Edges
-are summed over the corpus, and so are the ends of pieces. All shorter counts follow from the graph: a node occurs as
-often as its edges leave it, plus the times that a piece ends in it; a gram one word shorter as often as the nodes that
-begin with it occur, plus the ends of pieces, and so on down to words. Nodes that a single edge enters and a single edge
-leaves are compacted, so that a passage of any length which is repeated as a whole is one path.
-
-A phrase counts where it occurs ``least`` times, and then so do all words and pairs of words in it. So a first pass counts
-words and pairs in a table of 2 ** slot_bits slots, whatever the data; pieces are then cut where a word's or a pair's
-slot holds less than ``least``. No occurrence of a phrase that counts is cut, and most edges never arise. Slots that
-several share let more through than need be, which changes no result.
+are summed over the corpus, and so are the shorter grams where no edge begins. All shorter counts follow from the graph: a
+node occurs as often as its edges leave it, plus the times that it stands where none leaves; a gram one word shorter as
+often as the nodes that begin with it occur, plus the times that it stands where no node begins, and so on down to words.
+Nodes that a single edge enters and a single edge leaves are compacted, so that a passage of any length which is repeated
+as a whole is one path.
+
+A phrase counts where it occurs ``least`` times, and then so do all grams in it. So two passes before count grams in tables
+of 2 ** slot_bits slots: the first words and pairs, the second the longer grams all of whose pairs passed. From each place
+the longest gram is taken whose slot, and those of all grams in it, hold ``least``. No occurrence of a phrase that counts
+is lost, and hardly a gram arises that occurs less often: a task's rows are bounded by the grams that count. Slots that
+several share let more through than need be, which changes no result; with long corpora there are more slots.
 
 Defined cases: a null text is empty, a null language is ``und``; repeated rows count each; words are taken as they are,
 of any length; an empty table, or one without phrases, gives no rows; other columns are ignored. Counts are exact, scores
@@ -19,12 +21,14 @@ are divisions of decimals rounded down.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+import math
+from collections.abc import Iterable, Iterator, Mapping
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,7 +50,10 @@ class Settings:
     percent: int = 80
     scale: int = 2_000_000
     top: int = 2000
+    #: Slots grow with the text, one for slot_bytes of it, from 2 ** slot_bits to 2 ** most_slot_bits, 31 bits at most.
     slot_bits: int = 26
+    most_slot_bits: int = 29
+    slot_bytes: int = 100
     #: Words of a language that are counted together in a task.
     slice_words: int = 1_000_000
 
@@ -84,17 +91,27 @@ class Slice:
         self.hash = np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in self.words), "uint64", len(self.words))
         self.shift = bits
 
-    def word_slots(self) -> np.ndarray:
-        """The slot of each distinct word."""
-        return (self.hash >> self.shift).astype("int32")
-
-    def pair_slots(self, at: np.ndarray) -> np.ndarray:
-        """The slots of the pairs that begin at these places."""
+    def slots(self, at: np.ndarray, n: int) -> np.ndarray:
+        """The slots of the grams of n words that begin at these places."""
+        x = self.hash[self.at[at]]
         with np.errstate(over="ignore"):
-            x = (self.hash[self.at[at]] * np.uint64(0x9E3779B97F4A7C15)) ^ self.hash[self.at[at + 1]]
-            x = (x ^ (x >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+            for k in range(1, n):
+                x = (x * np.uint64(0x9E3779B97F4A7C15)) ^ self.hash[self.at[at + k]]
+                x = (x ^ (x >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
         return (x >> self.shift).astype("int32")
 
+    def begins(self, most: int, keep: Mapping[int, np.ndarray]) -> Iterator[np.ndarray]:
+        """For 1, 2, .. most words, the places where a gram begins that passes, as all grams in it do: bits of slots
+        (keep, by number of words) tell which pass, and all pass of a length without bits."""
+        at = np.flatnonzero(~self.end)
+        for n in range(1, most + 1):
+            if n > 1:
+                at = at[:-1][np.diff(at) == 1]  # grams one word shorter begin here and at the next place
+            if n in keep:
+                slots = self.slots(at, n)
+                at = at[(keep[n][slots >> 3] >> (7 - (slots & 7)).astype("uint8") & 1).astype(bool)]
+            yield at
+
 
 def _steps(slots: np.ndarray) -> bytes:
     """Ascending slots as bytes: the step to each from the one before, 255 standing for 255 and no slot yet."""
@@ -110,16 +127,23 @@ def _slots(steps: bytes) -> np.ndarray:
     return np.cumsum(raw, dtype="int64")[raw < 255]
 
 
-def often(texts: DataFrame, s: Settings) -> np.ndarray:
-    """Bits of the slots that hold at least ``least`` words or pairs, of texts (lang, text): 2 ** slot_bits bits. Tasks
-    send their slots as steps, about a byte each, by range of slots; a range's are added up as they come."""
+def _sized(texts: DataFrame, s: Settings) -> Settings:
+    """Settings with as many slots as the texts need."""
+    size = texts.agg(F.sum(F.octet_length("text"))).head()[0] or 0
+    return replace(s, slot_bits=max(s.slot_bits, min(s.most_slot_bits, math.ceil(math.log2(size / s.slot_bytes + 1)))))
+
+
+def often(texts: DataFrame, s: Settings, lengths: range, keep: Mapping[int, Broadcast]) -> np.ndarray:
+    """Bits of the slots that hold at least ``least`` grams of these numbers of words, of texts (lang, text): 2 **
+    slot_bits bits. Grams with a shorter one that does not pass are not counted. Tasks send their slots as steps, about a
+    byte each, by range of slots; a range's are added up as they come."""
     per = (1 << s.slot_bits) // _RANGES
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = {n: bits.value for n, bits in keep.items()}
         for lang, words in _slices(batches, s):
             own = Slice(lang, words, s)
-            inner = np.flatnonzero(~own.end[:-1] & ~own.end[1:])
-            slots = np.sort(np.concatenate([own.word_slots()[own.at[~own.end]], own.pair_slots(inner)]))
+            slots = np.sort(np.concatenate([own.slots(at, n) for n, at in enumerate(own.begins(lengths[-1], known), 1) if n in lengths]))
             # A slot counts as often as least at most: more add nothing.
             first = np.r_[True, slots[1:] != slots[:-1]] if len(slots) else np.zeros(0, bool)
             begin = np.maximum.accumulate(np.where(first, np.arange(len(slots)), 0))
@@ -131,18 +155,30 @@ def often(texts: DataFrame, s: Settings) -> np.ndarray:
         release()
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, count = -1, np.zeros(per, "int32")
+        now, count = -1, np.zeros(per, "int64")
+        held: list[np.ndarray] = []
         out: list[tuple[int, bytes]] = []
+
+        def add() -> None:
+            if held:
+                np.add(count, np.bincount(np.concatenate(held), minlength=per), out=count)
+                held.clear()
+
+        def end() -> None:
+            if now >= 0:
+                add()
+                out.append((now, np.packbits(count >= s.least).tobytes()))
+                count[:] = 0
+
         for batch in batches:
             for r, steps in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if r != now and now >= 0:
-                    out.append((now, np.packbits(count >= s.least).tobytes()))
-                    count[:] = 0
-                now = r
-                count += np.bincount(_slots(steps.as_py()), minlength=per).astype("int32")
-                np.minimum(count, s.least, out=count)
-        if now >= 0:
-            out.append((now, np.packbits(count >= s.least).tobytes()))
+                if r != now:
+                    end()
+                    now = r
+                held.append(_slots(steps.as_py()))
+                if len(held) == 64:
+                    add()
+        end()
         yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in out], "int32"), pa.array([b for _, b in out], "binary")], ["r", "bits"])
 
     sent = texts.select("lang", "text").mapInArrow(told, "r int, steps binary")
@@ -153,24 +189,14 @@ def often(texts: DataFrame, s: Settings) -> np.ndarray:
     return table.ravel()
 
 
-def _grams(own: Slice, keep: np.ndarray, s: Settings) -> tuple[list[str], np.ndarray]:
-    """The edges, and the last ``most - 1`` words at most of each unbroken run, of a slice, and how often each occurs."""
-    has = lambda slots: (keep[slots >> 3] >> (7 - (slots & 7)).astype("uint8") & 1).astype(bool)
-    known = has(own.word_slots())[own.at] & ~own.end
-    link = np.zeros(len(own.at), bool)  # goes a run on from here to the next word?
-    near = np.flatnonzero(known[:-1] & known[1:])
-    link[near] = has(own.pair_slots(near))
-    # back[k]: words of the run up to here, most - 1 at most; ahead: places where an edge begins
-    back = known.astype("int8")
-    for _ in range(s.most - 2):
-        back[1:] = np.where(link[:-1] & known[1:], np.minimum(back[:-1] + 1, s.most - 1), known[1:])
-    whole = link.copy()
-    for k in range(1, s.most - 1):
-        whole[:-k] &= link[k:]
-        whole[-k:] = False
+def _grams(own: Slice, keep: Mapping[int, np.ndarray], s: Settings) -> tuple[list[str], np.ndarray]:
+    """The longest gram, of ``most`` words at most, that passes from each place of a slice, and how often each occurs."""
+    longest = np.zeros(len(own.at), "int8")
+    for n, at in enumerate(own.begins(s.most, keep), 1):
+        longest[at] = n
     texts, counts = [], []
-
-    def add(starts: np.ndarray, n: int) -> None:
+    for n in range(1, s.most + 1):
+        starts = np.flatnonzero(longest == n)
         if len(starts):
             code = own.at[starts].astype("int64")
             for k in range(1, n):
@@ -180,23 +206,23 @@ def _grams(own: Slice, keep: np.ndarray, s: Settings) -> tuple[list[str], np.nda
             rows = np.stack([own.at[starts[first] + k] for k in range(n)], 1).tolist()
             texts.extend(b" ".join([own.words[w] for w in row]).decode() for row in rows)
             counts.append(count)
-
-    add(np.flatnonzero(whole), s.most)
-    ends = np.flatnonzero(known & ~link)
-    for n in range(1, s.most):
-        add(ends[back[ends] == n] - n + 1, n)
     return texts, np.concatenate(counts) if counts else np.zeros(0, "int64")
 
 
 def graph(texts: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """lang, phrase, n: the edges (phrases of ``most`` words), the ends of runs (shorter ones), and, for the empty
-    phrase, the number of all words, of texts (lang, text)."""
-    keep = texts.sparkSession.sparkContext.broadcast(often(texts, s))  # 2 ** slot_bits bits
+    """lang, phrase, n: the edges (phrases of ``most`` words), the shorter phrases where no longer one begins that passes,
+    and, for the empty phrase, the number of all words, of texts (lang, text)."""
+    s, keep = _sized(texts, s), {}
+    for lengths in (range(1, 3), range(3, s.most + 1)):
+        if lengths:
+            bits = texts.sparkSession.sparkContext.broadcast(often(texts, s, lengths, dict(keep)))  # 2 ** slot_bits bits
+            keep |= dict.fromkeys(lengths, bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = {n: bits.value for n, bits in keep.items()}
         for lang, words in _slices(batches, s):
             own = Slice(lang, words, s)
-            phrases, counts = _grams(own, keep.value, s)
+            phrases, counts = _grams(own, known, s)
             phrases.append("")
             n = pa.array(np.r_[counts, (~own.end).sum()], "int64")
             for at in range(0, len(phrases), 50_000):
@@ -213,14 +239,14 @@ def _n_words(phrase: Column) -> Column:
 
 
 def shorter(grams: DataFrame, s: Settings = Settings()) -> list[DataFrame]:
-    """lang, phrase, f of grams of 1, 2, .. most words, as graph() has them: what leaves them, and what ends in them. All
-    that occur ``least`` times are there, and right; others may be there, short of cut occurrences."""
+    """lang, phrase, f of grams of 1, 2, .. most words, as graph() has them: what leaves them, and where nothing does. All
+    that occur ``least`` times are there, and right; others may be there, short of occurrences."""
     grams = grams.filter("phrase <> ''").withColumn("w", _n_words(F.col("phrase")))
     now = durable(grams.filter(F.col("w") == s.most).select("lang", "phrase", F.col("n").alias("f")))
     out = [now]
     for w in range(s.most - 1, 0, -1):
         leave = now.select("lang", F.substring_index("phrase", " ", w).alias("phrase"), "f")
-        end = grams.filter((F.col("w") >= w) & (F.col("w") < s.most)).select("lang", F.substring_index("phrase", " ", -w).alias("phrase"), F.col("n").alias("f"))
+        end = grams.filter(F.col("w") == w).select("lang", "phrase", F.col("n").alias("f"))
         now = durable(leave.unionByName(end).groupBy("lang", "phrase").agg(F.sum("f").alias("f")))
         out.insert(0, now)
     return out

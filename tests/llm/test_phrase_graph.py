@@ -83,3 +83,34 @@ def test_steps_of_slots():
         slots = np.sort(rng.integers(0, top, 500))
         assert (phrase_graph._slots(phrase_graph._steps(slots)) == slots).all()
     assert len(phrase_graph._slots(b"")) == 0
+
+
+def test_rows_of_the_graph_are_phrases_that_count(spark):
+    rng = random.Random(7)
+    words = [f"w{k}" for k in range(8)]
+    rows = [("en", " ".join(rng.choice(words) for _ in range(512))) for _ in range(8)] + [("en", "w1 w2 w3 w4 w5")] * 40
+    s = phrase_graph.Settings(least=30, slice_words=300)
+    for times in (1, 3):  # pairs come 64 times, most of three and four words 8 times a copy
+        df = spark.createDataFrame(rows * times, "lang string, text string").repartition(4)
+        got = {r["phrase"]: r["n"] for r in phrase_graph.graph(df, s).collect()}
+        counts = Counter()
+        for _, text in rows * times:
+            w = text.split()
+            counts.update(tuple(w[i : i + n]) for n in range(1, 5) for i in range(len(w) - n + 1))
+        often = {" ".join(p) for p, f in counts.items() if f >= s.least}
+        assert got.pop("") == sum(f for p, f in counts.items() if len(p) == 1)
+        assert set(got) <= often and "w1 w2 w3 w4" in got
+        assert sorted(tuple(r)[:8] for r in phrase_graph.phrases(df, s).collect()) == plain(rows * times, s)
+
+
+def test_slots_that_are_shared_and_slots_that_grow(spark):
+    rows = texts(11)
+    df = spark.createDataFrame(rows, "lang string, text string")
+    few = phrase_graph.Settings(least=3, top=1000, slot_bits=13, most_slot_bits=13, slot_bytes=1)
+    more = phrase_graph.Settings(least=3, top=1000, slot_bits=13, most_slot_bits=20, slot_bytes=1)
+    size = sum(len((text or "").encode()) for _, text in rows)
+    assert 2**13 < size < 2**20
+    assert phrase_graph._sized(df, few).slot_bits == 13 and 2 ** (phrase_graph._sized(df, more).slot_bits - 1) <= size <= 2 ** phrase_graph._sized(df, more).slot_bits
+    assert phrase_graph._sized(df.filter("false"), more).slot_bits == 13
+    for s in (few, more):
+        assert sorted(tuple(r)[:8] for r in phrase_graph.phrases(df, s).collect()) == plain(rows, s)
